@@ -1,0 +1 @@
+"""Training-data operators. Nothing outside this folder imports it."""

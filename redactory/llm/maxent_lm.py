@@ -1,0 +1,287 @@
+"""Language-model scoring by a hashed maximum-entropy model with class-factored softmax.
+
+P(word | context) = P(class | context) * P(word | class). The first factor is a softmax over a few
+dozen classes, whose scores are sums of weight rows found by hashing the context's features: the
+word before, the word before that (skip) and both together (n-gram). The second is the word's
+add-one share of its class, from counts over the whole training text; one unseen word a class keeps
+it a distribution.
+
+Counts are one aggregation over all training texts. Weights are learnt in rounds; each training
+text belongs to one round. In a round every task walks from the shared weights over its texts by
+Adagrad steps and returns its change; changes are added up by a tree reduce (fixed size, whatever
+the input) and averaged over the tasks that touched a row. Words frequent enough for a proven bound
+(count >= N / 2^18, so 2^18 words at most) are looked up in a broadcast array; the counts of all
+others are joined by shuffle, a document's rare words with their frequency.
+
+Defined results: null and empty texts have one token, the end; scores are log10. Repeated rows and
+ids are scored row by row (rows carry their own key). An empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from redactory.llm.common import _MIX, Words, held_out, list_array, mix, signed, slices, unsigned, write_table
+
+HEAVY_BITS = 18
+TOP_WORDS, TOP_SUFFIXES, OTHER = 20, 24, 4
+CLASSES = TOP_WORDS + TOP_SUFFIXES + OTHER
+FEATURE_BITS = 13
+FEATURES = 3
+STEP_TOKENS = 16_384
+END = np.uint64(0x5DEECE66D1234567)
+START = np.uint64(0x1234567089ABCDEF)
+_LOG10E = float(np.log10(np.e))
+
+
+def _suffixes(w: Words, at: np.ndarray) -> np.ndarray:
+    """The last three bytes of words, without closing punctuation, as an integer."""
+    start, end = w.start[at], w.end[at]
+    for _ in range(2):
+        punct = (end - start > 1) & np.isin(w.buf[end - 1], np.frombuffer(b".,;:!?", np.uint8))
+        end = end - punct
+    out = np.zeros(len(at), np.int64)
+    for j in (3, 2, 1):
+        has = end - start >= j
+        b = w.buf[np.maximum(end - j, 0)].astype(np.int64)
+        b[(b >= 65) & (b <= 90)] += 32
+        out = out << 8 | np.where(has, b, 0)
+    return out
+
+
+@dataclass
+class Stream:
+    """The tokens of a slice: hash and suffix of each, with an end after every text."""
+
+    hash: np.ndarray
+    suffix: np.ndarray
+    first: np.ndarray
+
+    @staticmethod
+    def of(column: pa.Array) -> Stream:
+        w = Words(column)
+        n = np.diff(w.first)
+        first = w.first + np.arange(w.n_docs + 1)
+        size = int(first[-1])
+        is_end = np.zeros(size, bool)
+        is_end[first[1:] - 1] = True
+        h, s = np.full(size, END), np.zeros(size, np.int64)
+        h[~is_end] = w.hash
+        s[~is_end] = _suffixes(w, np.arange(len(w.hash)))
+        assert len(n) + len(w.hash) == size
+        return Stream(h, s, first)
+
+    def contexts(self) -> np.ndarray:
+        """Buckets of each token's features."""
+        one = np.concatenate([[START], self.hash[:-1]])
+        two = np.concatenate([[START, START], self.hash[:-2]])[: len(self.hash)]
+        head = self.first[:-1]
+        one[head] = START
+        two[head] = START
+        second = head + 1
+        two[second[second < len(two)]] = START
+        top = np.uint64(64 - FEATURE_BITS)
+        return np.stack([mix(one ^ _MIX[0]) >> top, mix(two ^ _MIX[1]) >> top, mix(one * _MIX[1] + two * _MIX[2]) >> top], 1).astype(np.int32)
+
+
+@dataclass
+class Vocabulary:
+    """Fixed-size facts about the training text."""
+
+    n: int
+    v: int
+    heavy: np.ndarray
+    heavy_log: np.ndarray
+    top: np.ndarray
+    suffix: np.ndarray
+    class_log: np.ndarray
+
+    def classes(self, hash_: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+        return classes(self.top, self.suffix, hash_, suffix)
+
+    def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10(count + 1) of heavy words, and which are heavy."""
+        if not len(self.heavy):
+            return np.zeros(len(h)), np.zeros(len(h), bool)
+        at = np.minimum(np.searchsorted(self.heavy, h), len(self.heavy) - 1)
+        found = self.heavy[at] == h
+        return np.where(found, self.heavy_log[at], 0.0), found
+
+
+def classes(top: np.ndarray, suffixes: np.ndarray, hash_: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    out = TOP_WORDS + TOP_SUFFIXES + (hash_ % np.uint64(OTHER)).astype(np.int64)
+    for listed, asked, base in ((suffixes, suffix, TOP_WORDS), (top, hash_, 0)):
+        if len(listed):
+            order = np.argsort(listed)
+            at = np.minimum(np.searchsorted(listed[order], asked), len(listed) - 1)
+            found = listed[order][at] == asked
+            out[found] = base + order[at[found]]
+    return out
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    h, s, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+    h, at, inv = np.unique(h, return_index=True, return_inverse=True)
+    return h, s[at], np.bincount(inv, c, len(h)).astype(np.int64)
+
+
+def count_words(docs: DataFrame) -> DataFrame:
+    """word (hash), suffix, n: over all texts of docs, ends included. Tasks add up their own counts first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list = []
+
+        def out() -> pa.RecordBatch:
+            h, s, c = _merged(parts)
+            parts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(s), pa.array(c)], names=["word", "suffix", "n"])
+
+        for batch in batches:
+            for part in slices(batch, "text"):
+                t = Stream.of(part.column("text"))
+                h, at, c = np.unique(t.hash, return_index=True, return_counts=True)
+                parts.append((h, t.suffix[at], c))
+                if len(parts) >= 8:
+                    parts[:] = [_merged(parts)]
+                    if len(parts[0][0]) > 1_500_000:
+                        yield out()
+        if parts:
+            yield out()
+
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word long, suffix long, n long")
+    return counted.groupBy("word").agg(F.min("suffix").alias("suffix"), F.sum("n").alias("n"))
+
+
+def vocabulary(counts: DataFrame) -> Vocabulary:
+    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    heavy = counts.where(F.col("n") * (1 << HEAVY_BITS) >= n).select("word", "n").toPandas()  # at most 2^18 rows, as their counts add up to n at most
+    h = unsigned(heavy["word"].to_numpy(np.int64))
+    order = np.argsort(h)
+    top = counts.orderBy(F.desc("n"), "word").limit(TOP_WORDS).select("word").toPandas()["word"].to_numpy(np.int64)
+    suffix = counts.where(~F.col("word").isin(top.tolist())).groupBy("suffix").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "suffix").limit(TOP_SUFFIXES).select("suffix").toPandas()["suffix"].to_numpy(np.int64)
+    top_u = unsigned(top)
+
+    @F.pandas_udf("int")
+    def class_of(word, suf):
+        import pandas as pd
+
+        return pd.Series(classes(top_u, suffix, unsigned(word.to_numpy(np.int64)), suf.to_numpy(np.int64)).astype(np.int32))
+
+    per_class = counts.groupBy(class_of("word", "suffix").alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()
+    size = np.ones(CLASSES)
+    size[per_class["c"].to_numpy(int)] += (per_class["n"] + per_class["v"]).to_numpy(float)
+    return Vocabulary(int(n), int(v), h[order], np.log10(heavy["n"].to_numpy(float)[order] + 1), top_u, suffix, np.log10(size))
+
+
+def log_softmax(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
+    s = weights[features[:, 0]]
+    for f in range(1, FEATURES):
+        s += weights[features[:, f]]
+    s += weights[-1]  # the bias row
+    s -= s.max(axis=1, keepdims=True)
+    s -= np.log(np.exp(s).sum(axis=1, keepdims=True))
+    return s
+
+
+def _gradient_steps(weights: np.ndarray, features: np.ndarray, target: np.ndarray, squares: np.ndarray, rate: float) -> None:
+    """One Adagrad step, in place, on tokens; a row's gradient is the mean of its tokens'."""
+    g = np.exp(log_softmax(weights, features))
+    g[np.arange(len(target)), target] -= 1
+    for f in range(FEATURES):
+        order = np.argsort(features[:, f], kind="stable")
+        b = features[order, f]
+        heads = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
+        rows = b[heads]
+        total = np.add.reduceat(g[order], heads, axis=0) / np.sqrt(np.diff(np.append(heads, len(b))))[:, None].astype(np.float32)
+        squares[rows] += total * total
+        weights[rows] -= rate * total / np.sqrt(squares[rows])
+    bias = g.sum(axis=0) / np.float32(np.sqrt(len(target)))
+    squares[-1] += bias * bias
+    weights[-1] -= rate * bias / np.sqrt(squares[-1])
+
+
+def train(docs: DataFrame, v: Vocabulary, rounds: int = 3, rate: float = 0.15) -> np.ndarray:
+    """Weights: a row of CLASSES numbers for each feature bucket, and the bias row."""
+    sc = docs.sparkSession.sparkContext
+    weights = np.zeros(((1 << FEATURE_BITS) + 1, CLASSES), np.float32)
+    for k in range(rounds):
+        shared = sc.broadcast((weights, v))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            start, vocab = shared.value
+            own, squares = start.copy(), np.full(start.shape, 1.0, np.float32)
+            touched = np.zeros(len(start), bool)
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    t = Stream.of(part.column("text"))
+                    features, target = t.contexts(), vocab.classes(t.hash, t.suffix)
+                    for i in range(0, len(target), STEP_TOKENS):
+                        _gradient_steps(own, features[i : i + STEP_TOKENS], target[i : i + STEP_TOKENS], squares, rate)
+                    touched[features.ravel()] = True
+                    touched[-1] = True
+            if touched.any():
+                yield pa.RecordBatch.from_arrays([pa.array([(own - start).tobytes()], pa.binary()), pa.array([touched.astype(np.float32).tobytes()], pa.binary())], names=["change", "touched"])
+
+        part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k)
+        changes = part.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "change binary, touched binary")
+        found = changes.rdd.map(lambda r: (np.frombuffer(bytes(r[0]), np.float32), np.frombuffer(bytes(r[1]), np.float32)))
+        zero = (np.zeros(weights.size, np.float32), np.zeros(len(weights), np.float32))
+        add = lambda a, b: (a[0] + b[0], a[1] + b[1])
+        change, touched = found.treeAggregate(zero, add, add, depth=2)
+        weights = weights + change.reshape(weights.shape) / np.maximum(touched, 1)[:, None]
+    return weights
+
+
+def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, weights: np.ndarray, is_held_out=None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast((weights, v))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, vocab = shared.value
+        for batch in batches:
+            for part in slices(batch, "text"):
+                t, rows = Stream.of(part.column("text")), part.num_rows
+                doc = np.repeat(np.arange(rows), np.diff(t.first))
+                features = t.contexts()
+                words, at, inv = np.unique(t.hash, return_index=True, return_inverse=True)
+                cls, (log, heavy) = vocab.classes(words, t.suffix[at])[inv], vocab.lookup(words)
+                p = np.empty(len(cls))
+                for i in range(0, len(cls), STEP_TOKENS):
+                    s = log_softmax(w, features[i : i + STEP_TOKENS])
+                    p[i : i + STEP_TOKENS] = s[np.arange(len(s)), cls[i : i + STEP_TOKENS]]
+                model = np.bincount(doc, p * _LOG10E - vocab.class_log[cls], rows)
+                rare = ~heavy[inv]
+                pair, tf = np.unique(doc[rare].astype(np.int64) << 32 | inv[rare], return_counts=True)
+                offsets = np.searchsorted(pair >> 32, np.arange(rows + 1))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("held_out"), pa.array(np.diff(t.first)), pa.array(np.bincount(doc, heavy[inv], rows).astype(np.int64)), pa.array(np.bincount(doc, log[inv], rows)), pa.array(model),
+                     list_array(signed(words[pair & 0xFFFFFFFF]), offsets, pa.int64()), list_array(tf.astype(np.int32), offsets, pa.int32())],
+                    names=["doc_id", "held_out", "n_tokens", "known", "logs", "model", "rare", "tf"],
+                )
+
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, known long, logs double, model double, rare array<long>, tf array<int>"
+    flag = held_out(7, 2) if is_held_out is None else is_held_out
+    local = write_table(docs.select("doc_id", flag.alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "lm-local")
+    pairs = local.select("row", F.explode(F.arrays_zip(F.col("rare").alias("word"), F.col("tf").alias("tf"))).alias("x")).select("row", "x.word", "x.tf")
+    found = pairs.join(counts.where(F.col("n") * (1 << HEAVY_BITS) < v.n).select("word", "n"), "word").groupBy("row").agg(F.sum("tf").alias("more"), F.sum(F.log10(F.col("n") + 1.0) * F.col("tf")).alias("more_logs"))
+    out = local.drop("rare", "tf").join(found, "row", "left")
+    logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
+    return out.select(
+        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(v.n).cast("long").alias("train_tokens"),
+        (logs - F.col("n_tokens") * F.lit(float(np.log10(v.n + v.v + 1)))).alias("base_score"), (F.col("model") + logs).alias("score"),
+    )
+
+
+def run(docs: DataFrame) -> DataFrame:
+    """Learn from the texts that are not held out (crc32(doc_id) mod 7 = 2) and score all."""
+    seen = docs.where(~held_out(7, 2))
+    counts = write_table(count_words(seen), "lm-counts")
+    v = vocabulary(counts)
+    return score(docs, counts, v, train(seen, v))

@@ -1,0 +1,87 @@
+"""One query for each training-data operator, over its whole table with production parameters."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def vocabulary_path() -> str:
+    """The public vocabulary file that op10 and the pipeline use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from redactory.llm import toxicity
+
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from redactory.llm import maxent_lm
+
+    return maxent_lm.run(_table(spark, sf_dir, "documents"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from redactory.llm import url_filter
+
+    return url_filter.judge(_table(spark, sf_dir, "pages"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from redactory.llm import quality_rules
+
+    return quality_rules.ledger_rows(_table(spark, sf_dir, "documents"))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from redactory.llm import bpe
+
+    return bpe.digests(bpe.encode(_table(spark, sf_dir, "documents"), vocabulary_path()))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_lm_scoring, op6_url_filter, op9_quality_rules, op10_bpe)}
+
+ORACLES: dict[str, str] = {}
+
+ORACLES["op6_url_filter"] = r"""
+WITH r(rule, verdict) AS (VALUES ('net/', 'block'), ('example.net/en/', 'allow'), ('example.com/de/', 'block'), ('org/fr/', 'allow')),
+rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS x FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(x, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(x, '^[^/?#]*([^?#]*)', 1) AS path, row_number() OVER () AS n FROM rest),
+fit AS (SELECT p.n, r.rule, r.verdict, row_number() OVER (PARTITION BY p.n ORDER BY length(r.rule) DESC) AS k
+        FROM p JOIN r ON (p.host = split_part(r.rule, '/', 1) OR ends_with(p.host, '.' || split_part(r.rule, '/', 1)))
+                     AND starts_with(p.path, substr(r.rule, strpos(r.rule, '/'))))
+SELECT p.page_id, p.host, p.path, fit.rule,
+       coalesce(fit.verdict, CASE WHEN regexp_matches(p.host, '(^|[.-])(ads|adult|bets|casino|pills|porn|spam|warez)([.-]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN fit ON fit.n = p.n AND fit.k = 1
+"""
+
+ORACLES["op9_quality_rules"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT r, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM g) WHERE n > 1),
+cov AS (SELECT r, count(DISTINCT i + k) AS n FROM rep, (VALUES (0), (1), (2)) v(k) GROUP BY r),
+m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
+             len(l) - len(list_distinct(l)) AS n_dup_lines, len(l) AS n_lines, coalesce(cov.n, 0) AS n_repeat_words,
+             length(regexp_replace(t, '[^\p{L}]+', '', 'g')) AS n_letters, length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) AS n_upper,
+             length(t) - length(replace(t, '!', '')) AS n_exclamations
+      FROM w LEFT JOIN cov USING (r)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+             (CASE WHEN n_words < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END)
+             + (CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END) + (CASE WHEN 2 * n_upper > n_letters THEN 8 ELSE 0 END)
+             + (CASE WHEN n_dup_lines > 3 AND 10 * n_dup_lines > 3 * n_lines THEN 16 ELSE 0 END)
+             + (CASE WHEN word_chars < 2.5 * n_words OR word_chars > 12.0 * n_words THEN 32 ELSE 0 END)
+             + (CASE WHEN 2 * n_letters < word_chars THEN 64 ELSE 0 END) + (CASE WHEN 10 * n_exclamations > n_words THEN 128 ELSE 0 END) AS fail_bits FROM m)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+       n_repeat_words::BIGINT AS n_repeat_words, base_failed, fail_bits = 0 AS kept, fail_bits::BIGINT AS fail_bits FROM f
+"""
