@@ -1,0 +1,27 @@
+"""Connected components of a table of links."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from redactory.llm.common import write_table
+
+
+def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """node, component (the smallest node reachable) of every node in links (a, b: long, not null).
+
+    Rounds of: take the smallest label among the neighbours, then follow labels of labels, which
+    halves distances. Messages are counted map-side, and each round is a written table."""
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
+    both = write_table(both, "links")
+    labels = write_table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")), "labels")
+    for _ in range(most_rounds):
+        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
+        moved = labels.join(near, "node", "left").select("node", F.least("component", F.coalesce("m", "component")).alias("c"), F.col("component").alias("was"))
+        jump = labels.select(F.col("node").alias("c"), F.col("component").alias("cc"))
+        new = write_table(moved.join(jump, "c", "left").select("node", F.least("c", F.coalesce("cc", "c")).alias("component"), "was"), "labels")
+        labels = new.select("node", "component")
+        if new.where("component <> was").isEmpty():
+            return labels
+    raise RuntimeError(f"components did not settle in {most_rounds} rounds")

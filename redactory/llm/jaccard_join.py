@@ -1,0 +1,218 @@
+"""N-gram Jaccard join by T-occurrence search, after DivideSkip.
+
+A document's set holds its distinct 3-word shingles. With a set of n shingles, a partner shares at
+least T of them; so of the n inverted lists at most T - 1 may be set aside as long ones, and a
+partner still stands in one of the n - T + 1 short lists. Those are merged (each list's documents
+meet in the sort-merge shuffle by shingle); the long lists are not merged but probed: a candidate's
+shingles are searched in the partner's sorted set by binary search until T is reached or cannot be.
+
+Which lists are long is told by shingles that tasks see repeatedly, counted over all documents; the
+most frequent 2^19 at most are broadcast, others order by hash. That order only decides how much work
+there is: any fixed order finds every link.
+
+Equal sets are one node, however many copies there are. In a list of many nodes, first all are
+tested against one pivot; then, in lists whose nodes are not yet in one component, one node of each
+component against the first; and at last every pair of different components. So no pair of
+different texts that could link two components is left out, while a group of near copies costs one
+test a member and list, not one a pair.
+
+Defined results: null and empty texts, and those without words, have no set, n_shingles 0, and stand
+alone; of fewer than three words the whole sequence is one shingle; rows with a null id have a null
+component unless they equal others, and link through those only; repeated rows and ids fare alike; other columns are
+ignored. Shingles are 64-bit hashes.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from redactory.llm.common import Words, list_array, mix, signed, slices, unsigned, write_table
+from redactory.llm.graph import components
+
+LONG_LISTS = 1 << 19
+LOCAL_SHINGLES = 8_000_000
+
+
+def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of each text, flat, and offsets."""
+    w = Words(column)
+    row, _, h = w.shingles(k)
+    order = np.lexsort((h, row))
+    row, h = row[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    row, h = row[new], h[new]
+    return h, np.searchsorted(row, np.arange(w.n_docs + 1))
+
+
+def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
+    """T of a set of n shingles, for the smallest partner that may link."""
+    smallest = -(-percent * n // 100)
+    return np.maximum(1, -(-percent * (n + smallest) // (100 + percent)))
+
+
+def long_lists(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and counts of shingles that tasks see in several documents; at most LONG_LISTS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            h, c = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(signed(h[c > 1])), pa.array(c[c > 1])], names=["h", "n"])
+
+        for batch in batches:
+            for part in slices(batch, "text"):
+                held.append(shingle_sets(part.column("text"), k)[0])
+                if sum(map(len, held)) > LOCAL_SHINGLES:
+                    yield out()
+        if held:
+            yield out()
+
+    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "h").limit(LONG_LISTS).toPandas()
+    h = unsigned(top["h"].to_numpy(np.int64))
+    order = np.argsort(h)
+    return h[order], top["n"].to_numpy(np.int64)[order]
+
+
+def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, n, s1, s2 (hashes of the set), short (the shingles whose lists are merged)."""
+    shared = docs.sparkSession.sparkContext.broadcast(long_lists(docs, k))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, count = shared.value
+        for batch in batches:
+            for part in slices(batch, "text"):
+                h, first = shingle_sets(part.column("text"), k)
+                n = np.diff(first)
+                row = np.repeat(np.arange(part.num_rows), n)
+                sums = [np.zeros(part.num_rows, np.uint64) for _ in range(2)]
+                some = n > 0
+                if some.any():
+                    heads = first[:-1][some]
+                    sums[0][some] = np.add.reduceat(mix(h ^ np.uint64(0xA5A5A5A5)), heads)
+                    sums[1][some] = np.add.reduceat(mix(h + np.uint64(0x1234567)), heads)
+                weight = np.zeros(len(h), np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                    weight = np.where(common[at] == h, count[at], 0)
+                order = np.lexsort((h, weight, row))
+                place = np.arange(len(h)) - np.repeat(first[:-1], n)
+                taken = place < (n - least_overlap(n, percent) + 1)[row]
+                short = h[order][taken]
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(row[taken], minlength=part.num_rows))])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(signed(sums[0])), pa.array(signed(sums[1])), list_array(signed(short), offsets, pa.int64())], names=["doc_id", "n", "s1", "s2", "short"])
+
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n long, s1 long, s2 long, short array<long>")
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """node, words (the sorted set) of the given nodes; their texts are read again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                h, first = shingle_sets(part.column("text"), k)
+                n = np.diff(first)
+                s = np.zeros(part.num_rows, np.uint64)
+                if (n > 0).any():
+                    s[n > 0] = np.add.reduceat(mix(h ^ np.uint64(0xA5A5A5A5)), first[:-1][n > 0])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(signed(s)), list_array(signed(h), first, pa.int64())], names=["doc_id", "n", "s1", "words"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(nodes.select("doc_id").distinct(), "doc_id", "left_semi")
+    made = texts.mapInArrow(run, f"doc_id {kind}, n long, s1 long, words array<long>")
+    return made.join(nodes.select("doc_id", "n", "s1", "node"), ["doc_id", "n", "s1"]).select("node", "n", "words").dropDuplicates(["node"])
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets overlap enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column("x"), batch.column("y")
+            ok = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                p, q = (unsigned(np.asarray(c[i].values.to_numpy(zero_copy_only=False), np.int64)) for c in (x, y))
+                if len(p) > len(q):
+                    p, q = q, p
+                need = -(-percent * (len(p) + len(q)) // (100 + percent))
+                got, left = 0, len(p)
+                for part in np.array_split(p, max(1, len(p) // 512)):  # until T is reached or out of reach
+                    got += int((q[np.minimum(np.searchsorted(q, part), len(q) - 1)] == part).sum())
+                    left -= len(part)
+                    if got >= need or got + left < need:
+                        break
+                ok[i] = got >= need
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok))], names=["a", "b"])
+
+    full = pairs.join(sets.select(F.col("node").alias("b"), F.col("words").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("words").alias("x")), "a")
+    return full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _fits(n: str, m: str, percent: int):
+    return (100 * F.least(F.col(n), F.col(m))) >= percent * F.greatest(F.col(n), F.col(m))
+
+
+def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row."""
+    rows = write_table(signatures(docs, k, percent), "jaccard-rows")
+    grouped = rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.first("short").alias("short"))
+    nodes = write_table(grouped.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
+
+    posted = nodes.select("node", "n", F.explode("short").alias("h"))
+    several = posted.groupBy("h").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.min_by("n", "node").alias("m")).where("pivot <> last")
+    lists = write_table(posted.join(several.select("h", "pivot", "m"), "h"), "jaccard-lists")
+    sets = write_table(_sets(docs, nodes.join(lists.select("node").distinct(), "node", "left_semi"), k), "jaccard-sets")
+
+    tested = write_table(lists.where((F.col("node") != F.col("pivot")) & _fits("n", "m", percent)).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "jaccard-pairs")
+    links = write_table(_linked(tested, sets, percent), "jaccard-links")
+    label = components(links)
+
+    def mixed(label: DataFrame) -> DataFrame:
+        """Lists whose nodes are in several components."""
+        known = lists.select("h", "node", "n").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        several = known.groupBy("h").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d")
+        return write_table(known.join(several.select("h", "c"), "h"), "jaccard-mixed")
+
+    left = mixed(label)
+    one = left.groupBy("h", "component").agg(F.min("node").alias("node"), F.min_by("n", "node").alias("n"), F.first("c").alias("c"))
+    first = one.where("component = c").select("h", F.col("node").alias("a"), F.col("n").alias("m"))
+    more = one.where("component <> c").join(first, "h").where(_fits("n", "m", percent)).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+    more = write_table(more.join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
+    if not more.isEmpty():
+        found = write_table(_linked(more, sets, percent), "jaccard-links")
+        tested, links = tested.unionByName(more), links.unionByName(found)
+        label = components(links)
+        left = mixed(label)
+
+    x = left.select("h", F.col("node").alias("a"), F.col("n"), F.col("component").alias("c1"))
+    y = left.select("h", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("c2"))
+    rest = x.join(y, "h").where((F.col("a") < F.col("b")) & (F.col("c1") != F.col("c2")) & _fits("n", "m", percent)).select("a", "b").distinct()
+    rest = write_table(rest.join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
+    if not rest.isEmpty():
+        links = links.unionByName(write_table(_linked(rest, sets, percent), "jaccard-links"))
+        label = components(links)
+
+    placed = nodes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = placed.join(smallest, "component").select("n", "s1", "s2", "component_id")
+    out = rows.select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id stays (all rows of that id);
+    documents without a set, or without an id, all stay."""
+    groups = join(docs.where("doc_id is not null"), k, percent)
+    lasting = groups.where("n_shingles = 0 or doc_id = component_id").select("doc_id").distinct()
+    some = docs.where("doc_id is not null").join(lasting, "doc_id", "left_semi")
+    return some.unionByName(docs.where("doc_id is null")).select(*docs.columns)

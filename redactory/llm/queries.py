@@ -29,12 +29,39 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent_lm.run(_table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from redactory.llm import decontaminate
+
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from redactory.llm import substring_dedup
+
+    return substring_dedup.digests(substring_dedup.dedup(_table(spark, sf_dir, "documents")))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from redactory.llm import url_filter
 
     return url_filter.judge(_table(spark, sf_dir, "pages"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from redactory.llm import jaccard_join
+
+    return jaccard_join.join(_table(spark, sf_dir, "documents"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from redactory.llm import line_dedup
+
+    done = line_dedup.dedup(_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "__removed.n_lines", "__removed.n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from redactory.llm import quality_rules
 
@@ -47,7 +74,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(_table(spark, sf_dir, "documents"), vocabulary_path()))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_lm_scoring, op6_url_filter, op9_quality_rules, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_lm_scoring, op4_decontamination, op5_suffix_array_dedup, op6_url_filter, op7_jaccard_join, op8_line_dedup, op9_quality_rules, op10_bpe)}
 
 ORACLES: dict[str, str] = {}
 
@@ -85,3 +112,29 @@ f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
        n_repeat_words::BIGINT AS n_repeat_words, base_failed, fail_bits = 0 AS kept, fail_bits::BIGINT AS fail_bits FROM f
 """
+
+ORACLES["op4_decontamination"] = r"""
+WITH dw AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+iw AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM dw WHERE len(w) > 0)),
+si AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM iw WHERE len(w) > 0)),
+n AS (SELECT item_id, count(*) AS n_item FROM si GROUP BY item_id),
+m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN si USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment FROM m JOIN n USING (item_id) WHERE n_shared >= 0.8 * n_item
+"""
+
+ORACLES["op8_line_dedup"] = r"""
+WITH l AS (SELECT doc_id, text, regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line, x AS raw, j
+           FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS j FROM documents)),
+p AS (SELECT doc_id, j, line, row_number() OVER (PARTITION BY doc_id ORDER BY j) AS i, lead(line) OVER (PARTITION BY doc_id ORDER BY j) AS after FROM l WHERE line <> ''),
+f AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) AS k1, row_number() OVER (PARTITION BY line, after ORDER BY doc_id, i) AS k2 FROM p),
+gone AS (SELECT doc_id, i FROM f WHERE k1 > 1 AND length(line) >= 120
+         UNION SELECT doc_id, i + d FROM f, (VALUES (0), (1)) v(d) WHERE k2 > 1 AND after IS NOT NULL),
+g AS (SELECT p.doc_id, p.j, p.i - row_number() OVER (PARTITION BY p.doc_id ORDER BY p.i) AS run FROM p JOIN gone USING (doc_id, i)),
+r AS (SELECT doc_id, min(j) AS s, max(j) AS e, count(*) AS n FROM g GROUP BY doc_id, run),
+kept AS (SELECT l.doc_id, string_agg(l.raw, chr(10) ORDER BY l.j) AS t FROM l WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = l.doc_id AND l.j BETWEEN r.s AND r.e) GROUP BY l.doc_id),
+c AS (SELECT doc_id, count(*) AS n_lines FROM p GROUP BY doc_id),
+x AS (SELECT doc_id, sum(n) AS n_removed FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(c.n_lines, 0)::BIGINT AS n_lines, coalesce(x.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM documents d LEFT JOIN c USING (doc_id) LEFT JOIN x USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

@@ -1,0 +1,208 @@
+"""Exact substring removal by a sampled suffix array.
+
+Every byte covered by a `length`-byte string that starts elsewhere too is found. Sorting all
+suffixes would move a multiple of the corpus, so a content-chosen sample of them is sorted: of each
+length-byte window the suffix that starts with the smallest 32-byte gram (leftmost of equal ones).
+Equal windows choose the same suffix at the same place, so whatever repeats meets in the sample,
+which is about one suffix in 85 bytes.
+
+The sample is range-partitioned by its leading tokens (the gram) with sampled splitters, and each
+bucket is sorted by gram and then by the hash of its whole stretch of windows, key after key, as
+multikey quicksort does; equal leading tokens never straddle a boundary but for buckets that the
+counts join. A stretch that occurs twice is repeated whole. Where leading tokens repeat but stretches
+differ, the ends of a match lie inside; there each window is compared on its own, by counting window
+hashes over the corpus.
+
+All steps are counts (map-side first) and joins on hashes, which adaptive execution splits where hot;
+no group is gathered. Windows are compared by 64-bit hashes.
+
+Defined results: null and empty texts have no bytes; matches never cross documents but may overlap
+and lie in one document; rows of the same id and text count as one text, and fare alike; rows with a
+null id are handled like others.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from redactory.llm.common import _BASE, _BYTE, list_array, mix, signed, slices, utf8, write_table
+
+GRAM = 32
+_MASK = (1 << 64) - 1
+
+
+class Windows:
+    """Rolling hashes of a slice of texts: gram and window hash at each byte, and window validity."""
+
+    def __init__(self, column: pa.Array, length: int):
+        self.buf, self.offsets = utf8(column)
+        n = len(self.buf)
+        self.length = length
+        self.count = max(0, n - length + 1)
+        if not self.count:
+            return
+        power, h = {1: _BASE}, {1: _BYTE[self.buf]}
+        size = 1
+        while size * 2 <= max(GRAM, length):
+            step = np.uint64(power[size])
+            h[size * 2] = h[size][: n - 2 * size + 1] * step + h[size][size:]
+            power[size * 2] = power[size] * power[size] & _MASK
+            size *= 2
+            if size // 2 != GRAM and not length & (size // 2):
+                del h[size // 2]  # not needed again
+        total, at = np.zeros(self.count, np.uint64), 0
+        for bit in sorted((b for b in h if length & b), reverse=True):
+            total = total * np.uint64(power[bit]) + h[bit][at : at + self.count]
+            at += bit
+        self.window = mix(total)
+        self.gram = mix(h[GRAM] ^ np.uint64(0x5555))
+        size_of = np.diff(self.offsets)
+        for_doc = np.maximum(size_of - length + 1, 0)
+        self.row = np.repeat(np.arange(len(size_of)), for_doc)
+        self.start = np.arange(len(self.row)) - np.repeat(np.cumsum(for_doc) - for_doc, for_doc) + np.repeat(self.offsets[:-1], for_doc)
+
+    def stretches(self) -> tuple[np.ndarray, ...]:
+        """Runs of windows that choose the same suffix: row, first and last window start (in the
+        text), gram and stretch hash."""
+        none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        if not self.count or not len(self.start):
+            return none
+        reach = self.length - GRAM + 1
+        value, place = self.gram, np.arange(len(self.gram), dtype=np.int32)
+        size = 1
+        while size * 2 <= reach:
+            a, b = value[:-size], value[size:]
+            right = b < a
+            value, place = np.where(right, b, a), np.where(right, place[size:], place[:-size])
+            size *= 2
+        off = reach - size
+        a, b = value[: self.count], value[off : off + self.count]
+        right = b < a
+        chosen = np.where(right, place[off : off + self.count], place[: self.count])[self.start]
+        first = np.ones(len(chosen), bool)
+        first[1:] = (chosen[1:] != chosen[:-1]) | (self.row[1:] != self.row[:-1])
+        heads = np.flatnonzero(first)
+        tails = np.append(heads[1:], len(chosen)) - 1
+        s1, s2 = self.start[heads], self.start[tails]
+        g = self.gram[chosen[heads]]
+        c = mix(self.window[s1] * np.uint64(_BASE) + mix(self.window[s2] ^ (s2 - s1).astype(np.uint64)))
+        base = self.offsets[self.row[heads]]
+        return self.row[heads], s1 - base, s2 - base, g, c
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text"))
+
+
+def stretch_table(docs: DataFrame, length: int) -> DataFrame:
+    """doc_id, th, s1, s2, g, c: the sampled suffixes of all texts."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 2 << 20):
+                row, s1, s2, g, c = Windows(part.column("text"), length).stretches()
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("th").take(take), pa.array(s1.astype(np.int32)), pa.array(s2.astype(np.int32)), pa.array(signed(g)), pa.array(signed(c))], names=["doc_id", "th", "s1", "s2", "g", "c"])
+
+    return _texts(docs).mapInArrow(run, f"doc_id {kind}, th long, s1 int, s2 int, g long, c long")
+
+
+def _spots(flagged: DataFrame) -> DataFrame:
+    return flagged.groupBy("doc_id", "th").agg(F.collect_set(F.struct("s1", "s2", "kind")).alias("spots"))
+
+
+def _with_texts(docs: DataFrame, spots: DataFrame, how: str) -> DataFrame:
+    d = _texts(docs)
+    return d.join(spots.withColumnRenamed("doc_id", "__id").withColumnRenamed("th", "__th"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")), how).select("doc_id", "th", "text", "spots")
+
+
+def _window_rows(texts: DataFrame, length: int) -> DataFrame:
+    """doc_id, th, s, w, asked: the windows of the given stretches."""
+    kind = texts.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 2 << 20):
+                w = Windows(part.column("text"), length)
+                spots = part.column("spots")
+                row = np.repeat(np.arange(part.num_rows), spots.value_lengths().to_numpy(zero_copy_only=False))
+                flat = spots.flatten()
+                s1, s2, kind_ = (flat.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("s1", "s2", "kind"))
+                n = s2 - s1 + 1
+                s = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(s1, n)
+                row = np.repeat(row, n)
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("th").take(take), pa.array(s.astype(np.int32)), pa.array(signed(w.window[w.offsets[row] + s]) if len(s) else s), pa.array(np.repeat(kind_ == 1, n))], names=["doc_id", "th", "s", "w", "asked"])
+
+    return texts.mapInArrow(run, f"doc_id {kind}, th long, s int, w long, asked boolean")
+
+
+def removed_spans(docs: DataFrame, length: int = 200) -> DataFrame:
+    """doc_id, th, spots: stretches [s1, s2] of window starts that repeat, in no order."""
+    all_ = write_table(stretch_table(docs, length), "stretches")
+    place = F.struct("doc_id", "th", "s1")
+    grams = all_.groupBy("g").agg(F.count("*").alias("n"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("n > 1").select("g", F.expr("c1 <> c2").alias("mixed"))
+    # Suffixes whose leading tokens repeat, in buckets by sampled splitters, each sorted by its keys.
+    met = write_table(all_.join(grams, "g").repartitionByRange("g", "c", "doc_id", "s1").sortWithinPartitions("g", "c", "doc_id", "s1"), "suffixes")
+    same = met.groupBy("g", "c").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("mixed").alias("mixed"))
+    same = same.select("g", "c", "first", F.expr("first <> last").alias("twice"), "mixed").where("twice or mixed")
+    judged = met.drop("mixed").join(same, ["g", "c"])
+    # 0: repeated whole; 1: windows to ask for; 2: windows to compare with, of one copy
+    whole = judged.where("twice").select("doc_id", "th", "s1", "s2", F.lit(0).alias("kind"))
+    ask = judged.where("mixed and not twice").select("doc_id", "th", "s1", "s2", F.lit(1).alias("kind"))
+    offer = judged.where((F.col("mixed") & F.col("twice")) & (F.col("first") == place)).select("doc_id", "th", "s1", "s2", F.lit(2).alias("kind"))
+    whole = write_table(whole.unionByName(ask).unionByName(offer), "spots")
+    windows = write_table(_window_rows(_with_texts(docs, _spots(whole.where("kind > 0")), "inner"), length), "windows")
+    wide = F.struct("doc_id", "th", "s")
+    repeated = windows.groupBy("w").agg(F.min(wide).alias("a"), F.max(wide).alias("b")).where("a <> b").select("w")
+    found = windows.where("asked").join(repeated, "w").select("doc_id", "th", F.col("s").alias("s1"), F.col("s").alias("s2"), F.lit(0).alias("kind"))
+    return whole.where("kind = 0").unionByName(found)
+
+
+def cut(text: bytes, s1: np.ndarray, s2: np.ndarray, length: int) -> tuple[bytes, int]:
+    """text without the bytes of windows that start in [s1, s2], and the number of cut runs."""
+    depth = np.zeros(len(text) + 1, np.int64)
+    np.add.at(depth, s1, 1)
+    np.add.at(depth, np.minimum(s2 + length, len(text)), -1)
+    gone = np.cumsum(depth[:-1]) > 0
+    return np.frombuffer(text, np.uint8)[~gone].tobytes(), int((gone & ~np.append(False, gone[:-1])).sum())
+
+
+def dedup(docs: DataFrame, length: int = 200) -> DataFrame:
+    """doc_id, n_bytes, kept (the remaining bytes), n_spans of every row."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, runs, sizes = [], [], []
+            for text, spots in zip(batch.column("text"), batch.column("spots"), strict=True):
+                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+                if spots.is_valid:
+                    s1, s2 = (spots.values.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("s1", "s2"))
+                    rest, n = cut(raw, s1, s2, length)
+                else:
+                    rest, n = raw, 0
+                kept.append(rest)
+                runs.append(n)
+                sizes.append(len(raw))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(runs, pa.int64())], names=["doc_id", "n_bytes", "kept", "n_spans"])
+
+    spots = _runs(removed_spans(docs, length))
+    return _with_texts(docs, spots, "left").mapInArrow(run, f"doc_id {kind}, n_bytes long, kept binary, n_spans long")
+
+
+def _runs(spans: DataFrame) -> DataFrame:
+    """The stretches of each text as one list; it is bounded by the text's length."""
+    return spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("s1", "s2")).alias("spots"))
+
+
+def digests(done: DataFrame) -> DataFrame:
+    kept = F.octet_length("kept")
+    return done.select("doc_id", "n_bytes", (F.col("n_bytes") - kept).cast("long").alias("n_removed"), "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
