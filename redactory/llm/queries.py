@@ -23,6 +23,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op2_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from redactory.llm import fuzzy_passages
+
+    return fuzzy_passages.passages(_table(spark, sf_dir, "documents"))
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from redactory.llm import maxent_lm
 
@@ -74,7 +80,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(_table(spark, sf_dir, "documents"), vocabulary_path()))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_lm_scoring, op4_decontamination, op5_suffix_array_dedup, op6_url_filter, op7_jaccard_join, op8_line_dedup, op9_quality_rules, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_fuzzy_passages, op3_lm_scoring, op4_decontamination, op5_suffix_array_dedup, op6_url_filter, op7_jaccard_join, op8_line_dedup, op9_quality_rules, op10_bpe)}
 
 ORACLES: dict[str, str] = {}
 
