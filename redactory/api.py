@@ -1,0 +1,56 @@
+"""The library's front: detect, decide, redact."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from redactory.config import RedactionConfig
+from redactory.operators.replace import apply_spans, redacted, reid_key
+from redactory.operators.rules import RULES, Rule, deny_spans, detect_rules
+from redactory.operators.spans import filter_spans, keep_span, resolve, resolve_overlaps
+
+
+def candidate_spans(text: Column, config: RedactionConfig, rules: tuple[Rule, ...] = RULES) -> Column:
+    """Rule and always-list candidates, in that order."""
+    return F.concat(detect_rules(text, config.enabled, rules), deny_spans(text, config.deny))
+
+
+def active_spans(text: Column, config: RedactionConfig, rules: tuple[Rule, ...] = RULES) -> Column:
+    """The resolved spans of a text, in the row."""
+    return resolve(F.filter(candidate_spans(text, config, rules), lambda s: keep_span(config, s)))
+
+
+def with_spans(df: DataFrame, config: RedactionConfig | None = None, text: str = "text", into: str = "spans") -> DataFrame:
+    """df with its resolved spans as an array; works on streams as on tables."""
+    return df.withColumn(into, active_spans(F.col(text), config or RedactionConfig()))
+
+
+def detect(df: DataFrame, config: RedactionConfig | None = None, id_col: str = "doc_id", text: str = "text", ner: Callable[[DataFrame], DataFrame] | None = None, extra: DataFrame | None = None) -> DataFrame:
+    """The resolved spans of every text as a table. ner: texts to spans of a model (see
+    operators.model), widened to repeats of its names; extra: more candidates, such as header spans."""
+    config = config or RedactionConfig()
+    if ner is None and extra is None:
+        return df.select(id_col, F.inline(active_spans(F.col(text), config)))
+    found = df.select(id_col, F.inline(candidate_spans(F.col(text), config)))
+    if extra is not None:
+        found = found.unionByName(extra)
+    if ner is not None:
+        from redactory.operators.propagate import with_propagation
+
+        found = found.unionByName(with_propagation(df, ner(df), id_col, text))
+    return resolve_overlaps(filter_spans(found, config), id_col)
+
+
+def redact(df: DataFrame, active: DataFrame | None = None, config: RedactionConfig | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """df with its findings replaced: those of a table, or those that the settings find, in one pass."""
+    config = config or RedactionConfig()
+    if active is not None:
+        return apply_spans(df, active, config.mode, id_col, text)
+    spans = "__spans"
+    return with_spans(df, config, text, spans).withColumn(text, redacted(F.col(text), F.col(spans), config.mode)).drop(spans)
+
+
+__all__ = ["RedactionConfig", "active_spans", "candidate_spans", "detect", "redact", "reid_key", "with_spans"]

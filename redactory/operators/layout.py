@@ -1,0 +1,85 @@
+"""Page layout: extracted text items and recognised symbols to lines, text, boxes and rectangles."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+# Distances as shares of the font or line height, padding, and characters of a page with text.
+SAME_LINE, TAB_GAP, SPACE_GAP, SAME_ROW, BACK, PAD, FEW = 0.5, 1.5, 0.1, 0.6, 0.5, 3.0, 25
+# End of fixed values.
+
+PAGE = ["doc_id", "page"]
+
+
+def lines(items: DataFrame) -> DataFrame:
+    """items (doc_id, page, x, y, w, h, text) with `line`: from the top, by the first item of each line."""
+
+    def add(acc: Column, i: Column) -> Column:
+        same = (acc["n"] >= 0) & (F.abs(i["y"] - acc["y"]) <= SAME_LINE * F.least(i["h"], acc["h"]))
+        n = F.when(same, acc["n"]).otherwise(acc["n"] + 1)
+        placed = F.struct(i["x"].alias("x"), i["y"].alias("y"), i["w"].alias("w"), i["h"].alias("h"), i["text"].alias("text"), n.alias("line"))
+        return F.struct(n.alias("n"), F.when(same, acc["y"]).otherwise(i["y"]).alias("y"), F.when(same, acc["h"]).otherwise(i["h"]).alias("h"), F.array_append(acc["out"], placed).alias("out"))
+
+    empty = F.array().cast("array<struct<x:double,y:double,w:double,h:double,text:string,line:int>>")
+    ordered = items.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("k"), "x", "y", "w", "h", "text"))).alias("i"))
+    start = F.struct(F.lit(-1).alias("n"), F.lit(0.0).alias("y"), F.lit(0.0).alias("h"), empty.alias("out"))
+    return ordered.select(*PAGE, F.inline(F.aggregate("i", start, add, lambda a: a["out"])))
+
+
+def page_text(items: DataFrame) -> DataFrame:
+    """doc_id, page, text: items of a line in order of x, with tabs and spaces for gaps, a newline after each line."""
+    by = Window.partitionBy(*PAGE, "line").orderBy("x")
+    m = lines(items).withColumns({"reach": F.max(F.col("x") + F.col("w")).over(by.rowsBetween(Window.unboundedPreceding, -1)), "before": F.lag("text").over(by)})
+    gap = F.col("x") - F.col("reach")
+    numbers = F.col("before").rlike(r"\d\z") & F.col("text").rlike(r"^\d")
+    mark = F.when(F.col("reach").isNull(), "").when(gap > TAB_GAP * F.col("h"), "\t").when((gap > SPACE_GAP * F.col("h")) | numbers, " ").otherwise("")
+    spaced = F.col("before").rlike(r"\s\z") | F.col("text").rlike(r"^\s")
+    parts = m.withColumn("part", F.concat(F.when(spaced & (mark == " "), "").otherwise(mark), "text"))
+    line = parts.groupBy(*PAGE, "line").agg(F.array_sort(F.collect_list(F.struct("x", "part"))).alias("p")).withColumn("t", F.array_join(F.transform("p", lambda x: x["part"]), ""))
+    return line.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("line", "t"))).alias("l")).select(*PAGE, F.array_join(F.transform("l", lambda x: F.concat(x["t"], F.lit("\n"))), "").alias("text"))
+
+
+def char_boxes(runs: DataFrame) -> DataFrame:
+    """runs (doc_id, start, page, x, y, w, h, text, weights or null) as a box for each character: idx, page, x, y, w, h."""
+    n = F.length("text")
+    weights = F.coalesce("weights", F.transform(F.sequence(F.lit(1), n), lambda _: F.lit(1.0)))
+    total = F.aggregate("__w", F.lit(0.0), lambda a, v: a + v)
+    e = runs.where(n > 0).withColumn("__w", weights).withColumn("__t", total).select("*", F.posexplode("__w").alias("k", "v"))
+    left = F.aggregate(F.slice("__w", F.lit(1), F.col("k")), F.lit(0.0), lambda a, v: a + v)
+    return e.select("doc_id", (F.col("start") + F.col("k")).alias("idx"), "page", (F.col("x") + F.col("w") * left / F.col("__t")).alias("x"), "y", (F.col("w") * F.col("v") / F.col("__t")).alias("w"), "h")
+
+
+def symbols_text(symbols: DataFrame) -> DataFrame:
+    """Recognised symbols (doc_id, page, paragraph, line, word, pos, text, x, w, y, h) as text with places: idx is
+    where each symbol starts; words are parted by spaces, lines by newlines, paragraphs by empty lines."""
+    by = Window.partitionBy(*PAGE).orderBy("paragraph", "line", "word", "pos")
+    s = symbols.withColumns({c: F.lag(c.strip("_")).over(by) for c in ("paragraph_", "line_", "word_")})
+    mark = F.when(F.col("word_").isNull(), "").when(F.col("paragraph_") != F.col("paragraph"), "\n\n").when(F.col("line_") != F.col("line"), "\n").when(F.col("word_") != F.col("word"), " ").otherwise("")
+    s = s.withColumn("part", F.concat(mark, "text"))
+    so_far = by.rowsBetween(Window.unboundedPreceding, 0)
+    return s.withColumn("idx", (F.sum(F.length("part")).over(so_far) - F.length("text")).cast("int")).drop("paragraph_", "line_", "word_")
+
+
+def rectangles(spans: DataFrame, boxes: DataFrame) -> DataFrame:
+    """doc_id, start, end, page, x, y, w, h: the padded rectangles that cover each span's characters."""
+
+    def add(acc: Column, b: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        low, high = F.greatest(last["y"], b["y"]), F.least(last["y"] + last["h"], b["y"] + b["h"])
+        joins = F.coalesce((last["page"] == b["page"]) & (high - low > SAME_ROW * F.least(last["h"], b["h"])) & (b["x"] >= last["x"] - BACK * b["h"]) & (b["x"] <= last["x"] + last["w"] + b["h"]), F.lit(False))
+        x, y = F.least(last["x"], b["x"]), F.least(last["y"], b["y"])
+        grown = F.struct(last["page"].alias("page"), x.alias("x"), y.alias("y"), (F.greatest(last["x"] + last["w"], b["x"] + b["w"]) - x).alias("w"), (F.greatest(last["y"] + last["h"], b["y"] + b["h"]) - y).alias("h"))
+        new = F.struct(b["page"].alias("page"), b["x"].alias("x"), b["y"].alias("y"), b["w"].alias("w"), b["h"].alias("h"))
+        return F.when(joins, F.array_append(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), grown)).otherwise(F.array_append(acc, new))
+
+    at = spans.select("doc_id", "start", "end", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("idx"))
+    per = at.join(boxes, ["doc_id", "idx"]).groupBy("doc_id", "start", "end").agg(F.array_sort(F.collect_list(F.struct("idx", "page", "x", "y", "w", "h"))).alias("b"))
+    empty = F.array().cast("array<struct<page:int,x:double,y:double,w:double,h:double>>")
+    r = per.select("doc_id", "start", "end", F.inline(F.aggregate(F.transform("b", lambda b: F.struct(b["page"].cast("int").alias("page"), *(b[c].cast("double").alias(c) for c in ("x", "y", "w", "h")))), empty, add)))
+    return r.select("doc_id", "start", "end", "page", (F.col("x") - PAD).alias("x"), (F.col("y") - PAD).alias("y"), (F.col("w") + 2 * PAD).alias("w"), (F.col("h") + 2 * PAD).alias("h"))
+
+
+def needs_ocr(items: DataFrame, forced: bool = False) -> DataFrame:
+    """doc_id, page, needs_ocr: pages with hardly any text, or all."""
+    return items.groupBy(*PAGE).agg(((F.coalesce(F.sum(F.length(F.trim("text"))), F.lit(0)) < FEW) | F.lit(forced)).alias("needs_ocr"))

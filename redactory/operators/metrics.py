@@ -1,0 +1,73 @@
+"""Reports on findings, and quality against annotated text."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from redactory.functions.text import normalised
+
+#: A candidate model is rejected if it loses more F1 than this.
+MOST_F1_LOSS = 0.005
+
+
+def findings_by_value(spans: DataFrame) -> DataFrame:
+    """type, value, n, n_off, first_text of spans with `active`, over all documents."""
+    by = F.struct("doc_id", "start")
+    return spans.groupBy("type", normalised(F.col("text")).alias("value")).agg(F.count("*").alias("n"), F.count_if(~F.col("active")).alias("n_off"), F.min_by("text", by).alias("first_text"))
+
+
+def findings_rollup(spans: DataFrame) -> DataFrame:
+    """Counts of each value, of each type (value null) and of all (both null), with the switch state."""
+    r = spans.select("type", normalised(F.col("text")).alias("value"), "active").rollup("type", "value").agg(F.count("*").alias("n"), F.count_if("active").alias("n_on"))
+    return r.withColumn("state", F.when(F.col("n_on") == F.col("n"), "all").when(F.col("n_on") == 0, "none").otherwise("some"))
+
+
+def top_values(found: DataFrame, k: int = 3) -> DataFrame:
+    """The k most frequent values of each type; of equal ones the smaller value."""
+    w = Window.partitionBy("type").orderBy(F.desc("n"), "value")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def doc_summary(spans: DataFrame) -> DataFrame:
+    return spans.groupBy("doc_id").agg(F.count_if("active").alias("redacted"), F.count_if(~F.col("active")).alias("kept"))
+
+
+def eval_spans(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """Precision, recall and F1 of exact (doc, start, end, type), for each type and all (null)."""
+    key = ["doc_id", "start", "end", "type"]
+    both = gold.select(*key, F.lit(1).alias("g")).distinct().join(predicted.select(*key, F.lit(1).alias("p")).distinct(), key, "full_outer")
+    n = both.rollup("type").agg(F.count("g").alias("n_gold"), F.count("p").alias("n_predicted"), F.count_if(F.col("g").isNotNull() & F.col("p").isNotNull()).alias("n_right"), F.grouping("type").alias("__all"))
+    ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    n = n.withColumns({"precision": ratio("n_right", "n_predicted"), "recall": ratio("n_right", "n_gold")})
+    f1 = F.when(F.col("n_right") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0)
+    return n.withColumn("f1", f1).drop("__all")
+
+
+def _characters(spans: DataFrame) -> DataFrame:
+    return spans.where("start < end").select("doc_id", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("at")).distinct()
+
+
+def eval_chars(texts: DataFrame, gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """doc_id, n_gold, n_covered, n_predicted: characters other than white space."""
+    g, p = _characters(gold).withColumn("g", F.lit(1)), _characters(predicted).withColumn("p", F.lit(1))
+    met = g.join(p, ["doc_id", "at"], "full_outer").join(texts.select("doc_id", "text"), "doc_id")
+    solid = met.where(~F.col("text").substr(F.col("at") + 1, F.lit(1)).rlike(r"\s"))
+    return solid.groupBy("doc_id").agg(F.count("g").alias("n_gold"), F.count_if(F.col("g").isNotNull() & F.col("p").isNotNull()).alias("n_covered"), F.count("p").alias("n_predicted"))
+
+
+def name_coverage(cases: DataFrame, spans: DataFrame, min_score: float = 0.5) -> DataFrame:
+    """case_id, name, covered: whether persons found cover every character of the name but spaces and dots.
+    cases: case_id, text, names; spans: case_id, start, end, type, score."""
+    people = spans.where((F.col("type") == "PERSON") & (F.col("score") >= min_score))
+    seen = people.select("case_id", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("at")).distinct().withColumn("hit", F.lit(True))
+    names = cases.select("case_id", "text", F.explode("names").alias("name")).withColumn("from", F.instr("text", F.col("name")) - 1)
+    chars = names.select("case_id", "name", F.explode(F.sequence(F.col("from"), F.col("from") + F.length("name") - 1)).alias("at"), "text").where(~F.col("text").substr(F.col("at") + 1, F.lit(1)).isin(" ", "."))
+    return chars.join(seen, ["case_id", "at"], "left").groupBy("case_id", "name").agg(F.min(F.coalesce("hit", F.lit(False))).alias("covered"))
+
+
+def passes_gate(base: DataFrame, candidate: DataFrame, most_loss: float = MOST_F1_LOSS) -> DataFrame:
+    """Two results of eval_spans compared: type, base_f1, f1, accepted."""
+    b = base.select(F.coalesce("type", F.lit("*")).alias("type"), F.col("f1").alias("base_f1"))
+    c = candidate.select(F.coalesce("type", F.lit("*")).alias("type"), "f1")
+    return b.join(c, "type", "left").withColumn("accepted", F.col("base_f1") - F.coalesce("f1", F.lit(0.0)) <= most_loss)

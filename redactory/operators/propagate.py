@@ -1,0 +1,78 @@
+"""Names found once, found again: variants, dictionary search and occurrences.
+
+The search is an equi-join of a document's words with the first word of each term, so its work is the
+words and the hits, not terms times texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from redactory.config import DENY, MODEL
+from redactory.functions.text import trimmed
+from redactory.operators.rules import located, term_pattern
+from redactory.operators.spans import plausible
+
+# Which types spread, what a part of a name looks like, and how much score a repeat keeps.
+SPREADING = ("PERSON", "ORG", "LOCATION")
+NAME_PART = r"^[A-Z][a-z'-]{2,}\z"
+REPEAT_SCORE = 0.95
+# End of fixed values.
+
+WORD = r"[\p{L}\p{N}_]+"
+
+
+def name_variants(spans: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """doc, type, term, score: each name and, of persons, its parts; the first of equal ones."""
+    some = spans.where(F.col("type").isin(*SPREADING))
+    parts = F.when(F.col("type") == "PERSON", F.filter(F.split(F.col("text"), r"[\s]+"), lambda p: p.rlike(NAME_PART))).otherwise(F.array().cast("array<string>"))
+    terms = some.select(doc, "type", "score", "ord", F.posexplode(F.concat(F.array(trimmed(F.col("text"))), parts)).alias("k", "term")).where(F.length("term") >= 3)
+    first = Window.partitionBy(doc, "type", "term").orderBy("ord", "k")
+    return terms.withColumn("n", F.row_number().over(first)).where("n = 1").select(doc, "type", "term", "score", "ord", "k")
+
+
+def words_of(df: DataFrame, doc: str, text: str) -> DataFrame:
+    """doc, word, at: where each run of letters, digits and underscores starts."""
+    return df.select(doc, F.inline(located(F.col(text), WORD))).select(doc, F.col("t").alias("word"), F.col("start").alias("at"))
+
+
+def occurrences_of(texts: DataFrame, terms: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """terms' columns, start, end: every case-sensitive whole-word occurrence in the term's document."""
+    first = F.regexp_extract("term", WORD, 0)
+    keyed = terms.withColumn("word", first).where("word <> ''").withColumn("__lead", F.instr("term", F.col("word")) - 1)
+    here = texts.join(terms.select(doc).distinct(), doc, "left_semi")
+    met = words_of(here, doc, text).join(keyed, [doc, "word"]).withColumn("start", F.col("at") - F.col("__lead")).where("start >= 0")
+    met = met.join(here.select(doc, F.col(text).alias("__text")), doc).withColumn("end", F.col("start") + F.length("term"))
+    around = lambda at: F.coalesce(F.col("__text").substr(at, F.lit(1)).rlike(rf"^{WORD}"), F.lit(False))
+    same = (F.col("__text").substr(F.col("start") + 1, F.length("term")) == F.col("term")) & ~((F.col("start") > 0) & around(F.col("start"))) & ~around(F.col("end") + 1)
+    return met.where(same).drop("word", "at", "__lead", "__text")
+
+
+def with_propagation(texts: DataFrame, spans: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """Plausible model spans and, at a lower score, every repeat of their names not yet found."""
+    own = spans.where(plausible(F.col("type"), F.col("text")))
+    hits = occurrences_of(texts, name_variants(own, doc), doc, text)
+    new = hits.join(own.select(doc, "type", "start", "end"), [doc, "type", "start", "end"], "left_anti")
+    best = Window.partitionBy(doc, "type", "start", "end").orderBy("ord", "k")
+    new = new.withColumn("n", F.row_number().over(best)).where("n = 1")
+    repeats = new.select(doc, F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "type", F.col("term").alias("text"), F.lit("ml").alias("source"), (F.col("score") * REPEAT_SCORE).alias("score"), (F.lit((MODEL << 40) + (1 << 36)) + F.col("start")).cast("bigint").alias("ord"))
+    return own.select(repeats.columns).unionByName(repeats)
+
+
+def occurrences(texts: DataFrame, terms: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """Every whole-word occurrence of terms in any case, as manual spans. terms (column term, and
+    doc if they belong to documents) is a list that people typed; each row pairs only with texts that hold it."""
+    t = terms.withColumn("term", trimmed(F.col("term"))).where("term <> ''")
+    holds = F.contains(F.lower(F.col(text)), F.lower("term"))
+    met = texts.join(t, doc).where(holds) if doc in t.columns else texts.join(F.broadcast(t) if _few(t) else t, holds)
+    found = met.select(doc, "term", F.inline(located_by(F.col(text), term_pattern(F.col("term")))))
+    return found.select(doc, F.col("start").cast("int").alias("start"), (F.col("start") + F.length("t")).cast("int").alias("end"), F.lit("CUSTOM").alias("type"), F.col("t").alias("text"), F.lit("manual").alias("source"), F.lit(1.0).alias("score"), (F.lit(DENY << 40) + F.col("start")).cast("bigint").alias("ord")).distinct()
+
+
+def _few(terms: DataFrame, most: int = 10_000) -> bool:
+    return terms.limit(most + 1).count() <= most
+
+
+def located_by(text: Column, pattern: Column) -> Column:
+    """Matches of a pattern that is itself a column."""
+    return located(text, pattern)

@@ -1,0 +1,105 @@
+"""Replacement: consistent numbering and splicing.
+
+`redacted` works in the row: detection, resolution, numbering and splicing of a text need no shuffle.
+`label_map` and `apply_spans` do the same where spans are a table, with one shuffle by document."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from redactory.config import POOLS
+from redactory.functions.text import let, neutralised, normalised
+
+MASK = "[REDACTED]"
+
+
+def _pool(type_: Column, n: Column) -> Column:
+    """The nth stand-in of a type; null beyond its pool, or without one."""
+    found = F.lit(None).cast("string")
+    for name, values in POOLS.items():
+        found = F.when(type_ == name, F.get(F.array(*map(F.lit, values)), (n - 1).cast("int"))).otherwise(found)
+    return found
+
+
+def replacement(type_: Column, n: Column, mode: str) -> Column:
+    label = F.concat(F.lit("["), type_, F.lit("_"), n.cast("string"), F.lit("]"))
+    return F.lit(MASK) if mode == "redact" else F.coalesce(_pool(type_, n), label) if mode == "pseudonymize" else label
+
+
+def numbered(spans: Column) -> Column:
+    """Spans (sorted, disjoint) as structs s, key, n: n counts the values of a type by first appearance."""
+    keyed = F.transform(spans, lambda s: F.struct(s.alias("s"), s["type"].alias("type"), F.concat(s["type"], F.lit(":"), normalised(s["text"])).alias("key")))
+
+    def count(k: Column) -> Column:
+        values = F.transform(F.array_distinct(F.transform(k, lambda x: F.struct(x["type"], x["key"]))), lambda v: v)
+        return let(values, lambda v: F.transform(k, lambda x: F.struct(x["s"].alias("s"), x["key"].alias("key"), F.array_position(F.transform(F.filter(v, lambda y: y["type"] == x["type"]), lambda y: y["key"]), x["key"]).cast("int").alias("n"))))
+
+    return let(keyed, count)
+
+
+def spliced(text: Column, pieces: Column) -> Column:
+    """text with array<struct<start, end, new>> put in; pieces are sorted and disjoint."""
+
+    def build(p: Column) -> Column:
+        parts = F.transform(p, lambda x, i: F.concat(text.substr(F.when(i == 0, 1).otherwise(F.get(p, i - 1)["end"] + 1), x["start"] - F.when(i == 0, 0).otherwise(F.get(p, i - 1)["end"])), x["new"]))
+        tail = text.substr(F.get(p, F.size(p) - 1)["end"] + 1, F.length(text))
+        return F.concat(F.array_join(parts, ""), tail)
+
+    return let(pieces, lambda p: F.when(F.size(p) == 0, text).otherwise(build(p)))
+
+
+def redacted(text: Column, spans: Column, mode: str) -> Column:
+    """text with its resolved spans replaced."""
+    def put(s: Column) -> Column:
+        return F.when(F.size(s) == 0, text).otherwise(_put_in(text, s, mode))
+
+    return let(spans, put)
+
+
+def _put_in(text: Column, spans: Column, mode: str) -> Column:
+    pieces = F.transform(numbered(spans), lambda x: F.struct(x["s"]["start"].alias("start"), x["s"]["end"].alias("end"), replacement(x["s"]["type"], x["n"], mode).alias("new")))
+    return spliced(text, pieces)
+
+
+def label_map(active: DataFrame, doc: str = "doc_id", place: Column | None = None) -> DataFrame:
+    """doc, type, value (normalised), n, first_text: values numbered by first appearance."""
+    at = F.col("start") if place is None else place
+    firsts = active.groupBy(doc, "type", normalised(F.col("text")).alias("value")).agg(F.min(at).alias("__at"), F.min_by("text", at).alias("first_text"))
+    n = F.row_number().over(Window.partitionBy(doc, "type").orderBy("__at", "value"))
+    return firsts.select(doc, "type", "value", n.alias("n"), "first_text")
+
+
+def reid_key(active: DataFrame, mode: str = "label", doc: str = "doc_id") -> DataFrame:
+    """doc, type, original, replacement, first_text of every value; empty where nothing can be undone."""
+    key = label_map(active, doc)
+    out = key.select(doc, "type", F.col("value").alias("original"), replacement(F.col("type"), F.col("n"), mode).alias("replacement"), "first_text")
+    return out.where(F.lit(mode != "redact"))
+
+
+def key_csv(key: DataFrame) -> DataFrame:
+    """The key as it is written: cells that could run as formulas neutralised."""
+    return key.select(*(neutralised(F.col(c)).alias(c) for c in ("type", "original", "replacement")))
+
+
+def apply_spans(texts: DataFrame, active: DataFrame, mode: str, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """texts with the active spans of a table replaced; texts without any stay."""
+    key = label_map(active, doc).drop("first_text")
+    named = active.withColumn("value", normalised(F.col("text"))).join(key, [doc, "type", "value"])
+    pieces = named.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("start", "end", replacement(F.col("type"), F.col("n"), mode).alias("new")))).alias("__p"))
+    return texts.join(pieces, doc, "left").withColumn(text, F.when(F.col("__p").isNull(), F.col(text)).otherwise(spliced(F.col(text), F.col("__p")))).drop("__p")
+
+
+def reidentify(texts: DataFrame, key: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """The inverse of label mode: labels found in the texts become the originals of the key."""
+    from redactory.operators.rules import located
+
+    labels = texts.where(F.contains(F.col(text), F.lit("["))).select(doc, F.inline(located(F.col(text), r"\[[A-Z_]+_\d+\]")))
+    found = labels.join(key.select(doc, F.col("replacement").alias("t"), F.col("first_text").alias("new")), [doc, "t"])
+    pieces = found.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.length("t")).alias("end"), "new"))).alias("__p"))
+    return texts.join(pieces, doc, "left").withColumn(text, F.when(F.col("__p").isNull(), F.col(text)).otherwise(spliced(F.col(text), F.col("__p")))).drop("__p")
+
+
+def pools(spark: SparkSession) -> DataFrame:
+    """The stand-ins as a table: type, n, value."""
+    return spark.createDataFrame([(t, i + 1, v) for t, values in POOLS.items() for i, v in enumerate(values)], "type string, n int, value string")

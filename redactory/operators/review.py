@@ -1,0 +1,98 @@
+"""Review decisions as tables: keys, manual terms, keep or redact, cells, undo, export gate.
+
+Decisions are a log (doc_id, seq, kind, key, value); the state is the latest of what still counts, and
+undo is reading the log up to an earlier seq."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from redactory.config import DENY
+from redactory.functions.text import value_key
+from redactory.operators.propagate import occurrences
+from redactory.operators.spans import resolve_overlaps, without_overlap
+
+
+def occurrence_key() -> Column:
+    return F.concat_ws(":", F.col("start"), F.col("end"))
+
+
+def as_of(log: DataFrame, seq: int | None = None, doc: str = "doc_id") -> DataFrame:
+    """The latest decision of each (document, kind, key), up to seq."""
+    some = log if seq is None else log.where(F.col("seq") <= seq)
+    latest = Window.partitionBy(doc, "kind", "key").orderBy(F.desc("seq"))
+    return some.withColumn("__n", F.row_number().over(latest)).where("__n = 1").drop("__n")
+
+
+def flips(log: DataFrame, spans: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """doc, start, end, flipped: occurrences toggled an odd number of times since the last decision on
+    their value, which resets them."""
+    values = log.where("kind = 'value'").groupBy(doc, F.col("key").alias("__vkey")).agg(F.max("seq").alias("__reset"))
+    toggles = log.where("kind = 'occurrence'").select(doc, F.col("key").alias("__okey"), "seq")
+    s = spans.select(doc, "start", "end", occurrence_key().alias("__okey"), value_key(F.col("type"), F.col("text")).alias("__vkey"))
+    met = s.join(toggles, [doc, "__okey"]).join(values, [doc, "__vkey"], "left").where("__reset is null or seq > __reset")
+    return met.groupBy(doc, "start", "end").agg((F.count("*") % 2 == 1).alias("flipped"))
+
+
+def value_states(log: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """doc, key, excluded: the latest keep (true) or redact (false) of each value."""
+    return as_of(log.where("kind = 'value'"), doc=doc).select(doc, "key", F.col("value").alias("excluded"))
+
+
+def active_spans(spans: DataFrame, log: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """spans with `active`: off if the value is excluded or the occurrence flipped, but not both; manual ones stay on."""
+    s = spans.withColumn("__vkey", value_key(F.col("type"), F.col("text")))
+    v = value_states(log, doc).withColumnRenamed("key", "__vkey")
+    s = s.join(v, [doc, "__vkey"], "left").join(flips(log, spans, doc), [doc, "start", "end"], "left")
+    off = F.coalesce("excluded", F.lit(False)) != F.coalesce("flipped", F.lit(False))
+    return s.withColumn("active", (F.col("source") == "manual") | ~off).select(*spans.columns, "active")
+
+
+def manual_terms(texts: DataFrame, picked: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """The picked spans (doc, start, end, text) and every occurrence of their text in the document."""
+    own = picked.select(doc, F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.lit("CUSTOM").alias("type"), "text", F.lit("manual").alias("source"), F.lit(1.0).alias("score"), (F.lit(DENY << 40) + F.col("start")).cast("bigint").alias("ord"))
+    more = occurrences(texts, picked.select(doc, F.col("text").alias("term")).distinct(), doc, text)
+    return own.unionByName(more).dropDuplicates([doc, "start", "end"])
+
+
+def final_view(detected: DataFrame, manual: DataFrame, log: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """What will be redacted: detections that no manual span overlaps, the resolved manual ones, less what is kept."""
+    both = without_overlap(detected, manual, doc).unionByName(resolve_overlaps(manual, doc))
+    return active_spans(both, log, doc).where("active").drop("active")
+
+
+def cell_decisions(cells: DataFrame, spans: DataFrame, decided: DataFrame, types: DataFrame) -> DataFrame:
+    """Spans of cells after decisions (doc_id, sheet, row, col, value): true makes the whole cell a
+    manual span of its column's type (or CUSTOM), false leaves nothing in it."""
+    at = ["doc_id", "sheet", "row", "col"]
+    rest = spans.join(decided.select(at), at, "left_anti")
+    whole = cells.join(decided.where("value").select(at), at).where("value <> ''").join(types.select("doc_id", "sheet", "col", F.col("type").alias("__t")), ["doc_id", "sheet", "col"], "left")
+    made = whole.select(*at, F.lit(0).alias("start"), F.length("value").alias("end"), F.coalesce("__t", F.lit("CUSTOM")).alias("type"), F.col("value").alias("text"), F.lit("manual").alias("source"), F.lit(1.0).alias("score"), F.lit(DENY << 40).cast("bigint").alias("ord"))
+    return rest.select(made.columns).unionByName(made)
+
+
+def column_decisions(cells: DataFrame, columns: DataFrame, header_rows: int = 1) -> DataFrame:
+    """Decisions of whole columns (doc_id, sheet, col, value) as decisions of their non-empty body cells."""
+    body = cells.where((F.col("row") >= header_rows) & (F.trim("value") != "")).select("doc_id", "sheet", "row", "col")
+    return body.join(columns.select("doc_id", "sheet", "col", "value"), ["doc_id", "sheet", "col"]).select("doc_id", "sheet", "row", "col", "value")
+
+
+def header_flags(detected: DataFrame, override: DataFrame) -> DataFrame:
+    """doc_id, sheet, has_header: what people chose, else what was detected."""
+    o = override.select("doc_id", "sheet", F.col("has_header").alias("__o"))
+    return detected.join(o, ["doc_id", "sheet"], "left").select("doc_id", "sheet", F.coalesce("__o", "has_header").alias("has_header"))
+
+
+def export_gate(docs: DataFrame, acknowledged: DataFrame) -> DataFrame:
+    """docs (doc_id, kind, ml_state) with `allowed`: not while the model is pending; after a failed model, or
+    for a workbook, only when acknowledged."""
+    a = acknowledged.select("doc_id", F.lit(True).alias("__ack")).distinct()
+    needs = (F.col("ml_state") == "failed") | (F.col("kind") == "xlsx")
+    allowed = (F.col("ml_state") != "pending") & (~needs | F.coalesce("__ack", F.lit(False)))
+    return docs.join(a, "doc_id", "left").withColumn("allowed", allowed).drop("__ack")
+
+
+def fingerprint(*parts: Column) -> Column:
+    """Of what an export was made from; a result whose fingerprint differs from today's is stale."""
+    return F.sha2(F.to_json(F.struct(*(p.alias(f"p{i}") for i, p in enumerate(parts)))), 256)

@@ -1,0 +1,176 @@
+"""Detection rules: arrays of spans as Column expressions, so that a text is scanned where it is.
+
+Offsets are code points. A rule's matches and the text between them give each match's place, so no
+UDF is needed; a cheap test decides first whether the rule can match at all.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from redactory.config import DENY, RULE, TYPES
+from redactory.functions.text import NO_WORD_AFTER, NO_WORD_BEFORE, dialect, digits, let, without_end_marks
+
+# Patterns, scores and their order.
+MONTHS = "Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?"
+STREETS = "Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Court|Ct|Place|Pl|Way|Terrace|Ter|Parkway|Pkwy|Circle|Cir|Highway|Hwy|Square|Sq|Trail|Trl"
+EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
+URL = r"""\b(?:https?:\/\/|www\.)[^\s<>"')\]]+"""
+SSN = r"\b\d{3}[- ]\d{2}[- ]\d{4}\b"
+CREDIT_CARD = r"\b(?:\d[ -]?){12,18}\d\b"
+IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b"
+IPV4 = r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b"
+IPV6 = r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b"
+PHONE = r"(?:\+\d{1,3}[\s.-]?)?(?:\(\d{3}\)\s?|\b\d{3}[\s.-])\d{3}[\s.-]\d{4}\b"
+PHONE_INTERNATIONAL = r"\+\d{1,3}(?:[\s.-]?\d{2,4}){2,5}\b"
+DATE = r"\b(?:\d{1,2}[/.-]\d{1,2}[/.-](?:\d{4}|\d{2})|\d{4}-\d{2}-\d{2})\b"
+DATE_WORDS = rf"\b(?:(?:{MONTHS})\.?\s+\d{{1,2}}(?:st|nd|rd|th)?\s*,?\s*\d{{4}}|\d{{1,2}}(?:st|nd|rd|th)?\s+(?:{MONTHS})\.?,?\s+\d{{4}})\b"
+ADDRESS = rf"\b\d{{1,6}}\s+(?:[NSEW]\.?\s+)?(?:[A-Z][A-Za-z0-9'-]*\s+){{1,4}}(?:{STREETS}|{STREETS.upper()})\b\.?(?:,?\s+(?:Apt|Suite|Ste|Unit|#)\.?\s*[A-Za-z0-9-]+)?"
+PO_BOX = r"\bP\.?\s?O\.?\s+Box\s+\d+\b"
+ZIP = r"\b[A-Z]{2}\s+(\d{5}(?:-\d{4})?)\b"
+ID_NUMBER = (
+    r"\b(?:MRN|Medical Record(?: Number| No\.?)?|Patient ID|Account(?: Number| No\.?| #)?|Acct\.?(?: #)?|Policy(?: Number| No\.?)?|(?:Insurance |Health Plan )?Member(?: ID| Number| No\.?| #)"
+    r"|Insurance(?: ID| Number| No\.?)|License(?: Number| No\.?)?|Passport(?: Number| No\.?)?|Employee ID|DOB"
+    r"|(?:Web|PPD|CCD|ACH|Customer|Client|Transaction|Trans|Reference|Ref|Confirmation|Conf|Trace|Case|Claim|Order|Invoice)\.?\s*(?:ID|#|No\.?|Number))\s*[:#]?\s*([A-Z0-9][A-Z0-9-]{3,})"
+)
+# End of fixed values.
+
+
+def luhn_valid(text: Column) -> Column:
+    d = digits(text)
+    return F.length(d).between(13, 19) & F.call_function("luhn_check", d)
+
+
+def iban_valid(text: Column) -> Column:
+    """Mod 97 of the text with its first four characters at the end, letters as 10 to 35, is 1."""
+    s = F.upper(F.replace(text, F.lit(" "), F.lit("")))
+    moved = F.concat(s.substr(F.lit(5), F.length(s)), s.substr(1, 4))
+
+    def step(rest: Column, c: Column) -> Column:
+        code = F.ascii(c)
+        return F.when(code >= 65, (rest * 100 + code - 55) % 97).otherwise((rest * 10 + code - 48) % 97)
+
+    return F.length(s).between(15, 34) & (F.aggregate(F.filter(F.split(moved, ""), lambda c: c != ""), F.lit(0), step) == 1)
+
+
+def ssn_valid(text: Column) -> Column:
+    d = digits(text)
+    area = d.substr(1, 3)
+    return ~area.isin("000", "666") & (d.substr(1, 1) != "9") & (d.substr(4, 2) != "00") & (d.substr(F.lit(6), F.length(d)) != "0000")
+
+
+def has_digit(text: Column) -> Column:
+    return text.rlike(r"\d")
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A pattern (browser dialect) whose matches, or their closing group 1, are spans of a type.
+
+    hint: a literal or regex that every match holds, cheap to test before the pattern."""
+
+    type: str
+    pattern: str
+    score: float
+    valid: Callable[[Column], Column] | None = None
+    group: int = 0
+    flags: str = ""
+    hint: str = r"\d"
+
+
+RULES = (
+    Rule("EMAIL", EMAIL, 0.99, hint="@"),
+    Rule("URL", URL, 0.95, flags="i", hint="(?i)www\\.|://"),
+    Rule("SSN", SSN, 0.95, ssn_valid, hint=r"\d{3}[- ]\d{2}[- ]\d{4}"),
+    Rule("CREDIT_CARD", CREDIT_CARD, 0.95, luhn_valid, hint=r"\d[ -]?\d[ -]?\d[ -]?\d[ -]?\d[ -]?\d[ -]?\d"),
+    Rule("IBAN", IBAN, 0.95, iban_valid, hint=r"[A-Z]{2}\d{2}"),
+    Rule("IP_ADDRESS", IPV4, 0.9, hint=r"\d\.\d"),
+    Rule("IP_ADDRESS", IPV6, 0.9, hint=r"[0-9a-fA-F]:[0-9a-fA-F]"),
+    Rule("PHONE", PHONE, 0.9, hint=r"\d{4}"),
+    Rule("PHONE", PHONE_INTERNATIONAL, 0.8, hint=r"\+\d"),
+    Rule("DATE", DATE, 0.85, hint=r"\d[/.-]\d"),
+    Rule("DATE", DATE_WORDS, 0.9, flags="i", hint=r"\d{4}"),
+    Rule("ADDRESS", ADDRESS, 0.85),
+    Rule("ADDRESS", PO_BOX, 0.85, flags="i", hint="(?i)box"),
+    Rule("ZIP", ZIP, 0.85, group=1, hint=r"\d{5}"),
+    Rule("ID_NUMBER", ID_NUMBER, 0.85, has_digit, group=1, flags="i", hint=r"\d"),
+)
+
+
+#: What every match of the rules above has one of; most texts have none and are scanned no further.
+MAY_MATCH = r"[0-9@]|://|[wW][wW][wW]\."
+
+
+def located(text: Column, pattern: str | Column, group: int = 0) -> Column:
+    """array<struct<start, t>> of a pattern's matches (or their group, which ends the match)."""
+    re = F.lit(pattern) if isinstance(pattern, str) else pattern
+    whole, parts = F.regexp_extract_all(text, re, F.lit(0)), F.split(text, pattern, -1) if isinstance(pattern, str) else F.call_function("split", text, re, F.lit(-1))
+    shown = F.regexp_extract_all(text, re, F.lit(group)) if group else whole
+    steps = F.arrays_zip(F.transform(parts, F.length).alias("gap"), F.transform(whole, F.length).alias("size"), shown.alias("t"))
+    empty = F.array().cast("array<struct<start:int,t:string>>")
+
+    def add(acc: Column, x: Column) -> Column:
+        end = acc["at"] + x["gap"] + x["size"]
+        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct((end - F.length(x["t"])).alias("start"), x["t"].alias("t"))).alias("out"))
+
+    found = F.filter(steps, lambda x: x["size"].isNotNull())  # the text after the last match has none
+    return F.aggregate(found, F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda acc: acc["out"])
+
+
+def _span(start: Column, text: Column, type_: str, source: str, score: float, ord_: Column) -> Column:
+    return F.struct(start.cast("int").alias("start"), (start + F.length(text)).cast("int").alias("end"), F.lit(type_).alias("type"), text.alias("text"), F.lit(source).alias("source"), F.lit(score).alias("score"), ord_.cast("bigint").alias("ord"))
+
+
+def no_spans() -> Column:
+    return F.array().cast("array<struct<start:int,end:int,type:string,text:string,source:string,score:double,ord:bigint>>")
+
+
+def order(stage: int, number: int, start: Column) -> Column:
+    """Candidates keep the order of stage, rule and place."""
+    return F.lit((stage << 40) + (number << 32)) + start.cast("bigint")
+
+
+def rule_spans(text: Column, rule: Rule, number: int) -> Column:
+    """The spans of one rule."""
+    pattern = dialect(rule.pattern, flags=rule.flags)
+
+    def spans(matches: Column) -> Column:
+        cut = F.transform(F.filter(matches, lambda m: m["t"] != ""), lambda m: F.struct(m["start"].alias("start"), without_end_marks(m["t"]).alias("t")))
+        valid = F.filter(cut, lambda m: rule.valid(m["t"])) if rule.valid else cut
+        return F.transform(valid, lambda m: _span(m["start"], m["t"], rule.type, "rule", rule.score, order(RULE, number, m["start"])))
+
+    return F.when(text.rlike(rule.hint), let(located(text, pattern, rule.group), spans)).otherwise(no_spans())
+
+
+def detect_rules(text: Column, enabled: Iterable[str] = TYPES, rules: tuple[Rule, ...] = RULES) -> Column:
+    """The spans of all rules of enabled types, rule after rule; others are not even scanned for."""
+    on = set(enabled)
+    found = [rule_spans(text, r, k) for k, r in enumerate(rules) if r.type in on]
+    return F.coalesce(F.concat(*found), no_spans()) if found else no_spans()
+
+
+def term_pattern(term: Column) -> Column:
+    """Whole-word and case-insensitive, with word edges of any script."""
+    return F.concat(F.lit(rf"(?iu){NO_WORD_BEFORE}\Q"), term, F.lit(rf"\E{NO_WORD_AFTER}"))
+
+
+def term_spans(text: Column, term: str, number: int) -> Column:
+    """Every whole-word occurrence of a term, in any case."""
+    pattern = rf"(?iu){NO_WORD_BEFORE}\Q{term}\E{NO_WORD_AFTER}"
+    found = F.transform(located(text, pattern), lambda m: _span(m["start"], m["t"], "CUSTOM", "manual", 1.0, order(DENY, number, m["start"])))
+    return F.when(F.contains(F.lower(text), F.lit(term.lower())), found).otherwise(no_spans())
+
+
+def deny_spans(text: Column, terms: Iterable[str]) -> Column:
+    """Spans of terms that are always redacted."""
+    found = [term_spans(text, t.strip(), k) for k, t in enumerate(terms) if t.strip()]
+    return F.coalesce(F.concat(*found), no_spans()) if found else no_spans()
+
+
+def explode_spans(df: DataFrame, spans: str, *keys: str) -> DataFrame:
+    """One row a span, after the key columns."""
+    return df.select(*keys, F.inline(spans))

@@ -1,0 +1,114 @@
+"""Span sets: filters, overlap resolution, anti-overlap and merging.
+
+Where a text's spans are an array beside it, they are handled in the row (no shuffle). Where spans are
+a table, one shuffle by document serves windows; groups are islands of overlapping spans, never whole
+documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from redactory.config import RedactionConfig
+from redactory.functions.text import digits, let, trimmed
+
+#: Manual before rule before model.
+SOURCE_RANK = {"manual": 3, "rule": 2, "ml": 1}
+
+
+def rank_of(source: Column) -> Column:
+    return F.when(source == "manual", 3).when(source == "rule", 2).otherwise(1)
+
+
+def resolve(spans: Column) -> Column:
+    """The greedy choice among an array of spans: by source, length, score and order; a span stays if
+    it overlaps none that stays (touching is no overlap). Sorted by start."""
+    return let(spans, _resolved)
+
+
+def _resolved(spans: Column) -> Column:
+    ranked = F.transform(
+        spans,
+        lambda s: F.struct((-rank_of(s["source"])).alias("a"), (s["start"] - s["end"]).alias("b"), (-s["score"]).alias("c"), s["ord"].alias("d"), s["start"].alias("e"), s.alias("s")),
+    )
+
+    def add(kept: Column, x: Column) -> Column:
+        s = x["s"]
+        return F.when(F.exists(kept, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"])), kept).otherwise(F.array_append(kept, s))
+
+    empty = F.filter(spans, lambda s: F.lit(False))
+    return F.when(F.size(spans) <= 1, spans).otherwise(F.sort_array(F.aggregate(F.sort_array(ranked), empty, add)))
+
+
+def resolve_overlaps(spans: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """The same over a table: spans are grouped into islands of overlapping ones, and each is resolved alone."""
+    before = Window.partitionBy(doc).orderBy("start", "end", "ord").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy(doc).orderBy("start", "end", "ord").rowsBetween(Window.unboundedPreceding, 0)
+    fields = [c for c in spans.columns if c != doc]
+    marked = spans.withColumn("__new", F.when(F.col("start") < F.max("end").over(before), 0).otherwise(1)).withColumn("__island", F.sum("__new").over(so_far))
+    islands = marked.groupBy(doc, "__island").agg(F.collect_list(F.struct(*fields)).alias("s"))
+    return islands.select(doc, F.inline(resolve(F.col("s"))))
+
+
+def keep_span(config: RedactionConfig, s: Column) -> Column:
+    """Whether the settings keep a span: manual ones always; others by type, score and allow list."""
+    allowed = [t.strip().lower() for t in config.allow if t.strip()]
+    by_rule = s["type"].isin(*sorted(config.enabled)) & (s["score"] >= config.min_score)
+    if allowed:
+        by_rule &= ~F.lower(trimmed(s["text"])).isin(*allowed)
+    return (s["source"] == "manual") | by_rule
+
+
+def filter_spans(spans: DataFrame, config: RedactionConfig, allow: DataFrame | None = None) -> DataFrame:
+    """The same over a table; allow (column term) may be a table, joined on the trimmed lower-case text."""
+    s = {c: F.col(c) for c in ("type", "score", "source", "text")}
+    kept = spans.where(keep_span(config, s))
+    if allow is not None:
+        terms = allow.select(F.lower(trimmed(F.col("term"))).alias("__term")).where("__term <> ''").distinct()
+        kept = kept.withColumn("__t", F.when(F.col("source") != "manual", F.lower(trimmed(F.col("text"))))).join(terms, F.col("__t") == F.col("__term"), "left_anti").drop("__t")
+    return kept
+
+
+def finalize(spans: DataFrame, config: RedactionConfig, doc: str = "doc_id") -> DataFrame:
+    """Settings, then overlaps; candidates themselves need not be found again."""
+    return resolve_overlaps(filter_spans(spans, config), doc)
+
+
+def plausible(type_: Column, text: Column) -> Column:
+    """A model's hit that cannot be what it says is dropped."""
+    n = F.length(digits(text))
+    return (
+        F.when(type_ == "EMAIL", F.contains(text, F.lit("@")))
+        .when(type_ == "PHONE", n >= 6)
+        .when(type_ == "CREDIT_CARD", n >= 12)
+        .when(type_ == "SSN", n >= 9)
+        .when(type_.isin("IBAN", "IP_ADDRESS"), n >= 4)
+        .otherwise(True)
+    )
+
+
+def without_overlap(a: DataFrame, b: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Spans of a that overlap no span of b in their document."""
+    other = b.select(F.col(doc).alias("__doc"), F.col("start").alias("__s"), F.col("end").alias("__e"))
+    return a.join(other, (F.col(doc) == F.col("__doc")) & (F.col("start") < F.col("__e")) & (F.col("__s") < F.col("end")), "left_anti")
+
+
+def merge_spans(spans: DataFrame, texts: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """Model pieces joined: a piece joins the one before it if they have a type in common and overlap,
+    or only a joiner of one or two characters stands between them (". " only after an initial)."""
+    by = Window.partitionBy(doc).orderBy("start", "end")
+    so_far = by.rowsBetween(Window.unboundedPreceding, 0)
+    t = texts.select(F.col(doc), F.col(text).alias("__text"))
+    s = spans.drop("text").join(t, doc)
+    reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    s = s.withColumns({"__reach": reach, "__type": F.lag("type").over(by), "__from": F.lag("start").over(by)})
+    gap = F.col("__text").substr(F.col("__reach") + 1, F.col("start") - F.col("__reach"))
+    before = F.col("__text").substr(F.col("__from") + 1, F.col("__reach") - F.col("__from"))
+    joiner = gap.rlike(r"^[ \-./:@_]{1,2}\z") & ((gap != ". ") | before.rlike(r"(?:^|[^\p{L}\p{N}])\p{L}\z"))
+    joins = (F.col("type") == F.col("__type")) & ((F.col("start") <= F.col("__reach")) | joiner)
+    s = s.withColumn("__island", F.sum(F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).over(so_far))
+    out = s.groupBy(doc, "__island").agg(F.min("start").alias("a"), F.max("end").alias("b"), F.first("type").alias("type"), F.max("score").alias("score"), F.first("__text").alias("__text"))
+    raw = F.col("__text").substr(F.col("a") + 1, F.col("b") - F.col("a"))
+    left = F.length(raw) - F.length(F.regexp_replace(raw, r"^[\s\-./:@_,;]+", ""))
+    cut = F.regexp_replace(F.regexp_replace(raw, r"^[\s\-./:@_,;]+", ""), r"[\s\-./:@_,;]+\z", "")
+    return out.select(doc, (F.col("a") + left).cast("int").alias("start"), (F.col("a") + left + F.length(cut)).cast("int").alias("end"), "type", cut.alias("text"), "score").where(F.length("text") >= 2)

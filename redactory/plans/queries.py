@@ -1,0 +1,465 @@
+"""Queries over the given tables: (spark, sf_dir) to DataFrame, one for each operator."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from redactory import api
+from redactory.config import MODEL, TYPES, RedactionConfig
+from redactory.functions import text as fx
+from redactory.operators import layout, metrics, model, propagate, replace, review, rules, spans, tables
+
+ALL = RedactionConfig(enabled=frozenset(TYPES))
+TERMS = ("that", "nicht", "mente", "Que")
+AT = tables.AT
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def rare_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts with what the documents hardly have: a record for each customer."""
+    return table(spark, sf, "customer").selectExpr(
+        "c_custkey + 10000000 AS doc_id",
+        """concat('Customer ', c_name, ', SSN ', lpad(c_custkey % 900, 3, '0'), '-', lpad(c_custkey % 97, 2, '0'), '-', lpad(c_custkey * 7 % 9999, 4, '0'),
+        ', born March ', c_custkey % 28 + 1, ', 19', c_custkey % 90 + 10, ' or ', c_custkey % 12 + 1, '/', c_custkey % 28 + 1, '/2001. Lives at ', c_custkey % 9000 + 1, ' Oak Street, CA ', lpad(c_custkey * 13 % 99999, 5, '0'),
+        '. Account Number: A', lpad(c_custkey, 6, '0'), ', 2001:db8:0:0:0:0:0:', c_custkey % 9999, '; IBAN ',
+        CASE c_custkey % 3 WHEN 0 THEN 'GB82 WEST 1234 5698 7654 32' WHEN 1 THEN 'DE89 3704 0044 0532 0130 00' ELSE 'GB00 WEST 1234 5698 7654 32' END,
+        '. Write to c', c_custkey, '@mail.example.org or www.example.org/c/', c_custkey, ', P.O. Box ', c_custkey % 500, '; (555) ', lpad(c_custkey % 1000, 3, '0'), '-0199.') AS text""",
+    )
+
+
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", "text").unionByName(rare_texts(spark, sf))
+
+
+def rule_rows(df: DataFrame, *types: str) -> DataFrame:
+    return df.select("doc_id", F.inline(rules.detect_rules(F.col("text"), types or TYPES)))
+
+
+def _rule_query(*types: str):
+    return lambda spark, sf: rule_rows(texts(spark, sf), *types)
+
+
+def rule_url(spark, sf):
+    pages = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    return rule_rows(pages, "URL")
+
+
+def candidates(spark, sf):
+    return texts(spark, sf).select("doc_id", F.inline(api.candidate_spans(F.col("text"), RedactionConfig(deny=TERMS))))
+
+
+def deny_list(spark, sf):
+    return texts(spark, sf).select("doc_id", F.inline(rules.deny_spans(F.col("text"), TERMS)))
+
+
+def occurrences(spark, sf):
+    terms = spark.createDataFrame([(t,) for t in TERMS], "term string")
+    return propagate.occurrences(table(spark, sf, "documents").select("doc_id", "text"), terms)
+
+
+CONFIG = RedactionConfig(min_score=0.9, allow=("10.0.0.1", " GB82 WEST 1234 5698 7654 32 "))
+
+
+def filter_spans(spark, sf):
+    return spans.filter_spans(rule_rows(texts(spark, sf)), CONFIG)
+
+
+def resolved(spark, sf) -> DataFrame:
+    return api.detect(texts(spark, sf), ALL)
+
+
+def resolve_overlaps(spark, sf):
+    """From a table of candidates, by islands."""
+    return spans.resolve_overlaps(rule_rows(texts(spark, sf)))
+
+
+def redact_label(spark, sf):
+    return api.redact(texts(spark, sf), config=ALL)
+
+
+def redact_mask(spark, sf):
+    return api.redact(texts(spark, sf), config=RedactionConfig(enabled=ALL.enabled, mode="redact"))
+
+
+def redact_fake(spark, sf):
+    return api.redact(texts(spark, sf), config=RedactionConfig(enabled=ALL.enabled, mode="pseudonymize"))
+
+
+def redact_conversations(spark, sf):
+    """A conversation is a document: its values are numbered over all its turns."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    found = turns.select("conv_id", "turn", F.inline(api.active_spans(F.col("text"), ALL)))
+    key = replace.label_map(found, "conv_id", F.struct("turn", "start")).drop("first_text")
+    named = found.withColumn("value", fx.normalised(F.col("text"))).join(key, ["conv_id", "type", "value"])
+    pieces = named.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct("start", "end", replace.replacement(F.col("type"), F.col("n"), "label").alias("new")))).alias("p"))
+    return turns.join(pieces, ["conv_id", "turn"], "left").select("conv_id", "turn", F.when(F.col("p").isNull(), F.col("text")).otherwise(replace.spliced(F.col("text"), F.col("p"))).alias("text"))
+
+
+def value_keys(spark, sf):
+    return resolved(spark, sf).select("doc_id", "start", review.occurrence_key().alias("occurrence_key"), fx.value_key(F.col("type"), F.col("text")).alias("value_key"))
+
+
+def label_map(spark, sf):
+    return replace.label_map(resolved(spark, sf))
+
+
+def reid_key(spark, sf):
+    return replace.reid_key(resolved(spark, sf))
+
+
+def reidentify(spark, sf):
+    """Redacted, and back: each value in the writing of its first occurrence."""
+    t, active = texts(spark, sf), resolved(spark, sf)
+    return replace.reidentify(replace.apply_spans(t, active, "label"), replace.reid_key(active))
+
+
+def neutralise_cells(spark, sf):
+    o = table(spark, sf, "orders")
+    v = F.concat(F.when(F.col("o_orderkey") % 4 == 0, "=").when(F.col("o_orderkey") % 4 == 1, " @").when(F.col("o_orderkey") % 4 == 2, "-").otherwise(""), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority")).otherwise(F.col("o_orderkey").cast("string")))
+    return o.select("o_orderkey", fx.neutralised(v).alias("cell"))
+
+
+def _log(found: DataFrame) -> DataFrame:
+    """Decisions that follow from the spans themselves."""
+    key = fx.value_key(F.col("type"), F.col("text"))
+    value = found.where(F.length("text") % 3 == 0).select("doc_id", F.lit(10).alias("seq"), F.lit("value").alias("kind"), key.alias("key"), F.lit(True).alias("value")).distinct()
+    back = found.where(F.length("text") % 2 == 0).select("doc_id", F.lit(15).alias("seq"), F.lit("value").alias("kind"), key.alias("key"), F.lit(False).alias("value")).distinct()
+    early = found.where(F.col("start") % 3 == 0).select("doc_id", F.lit(5).alias("seq"), F.lit("occurrence").alias("kind"), review.occurrence_key().alias("key"), F.lit(True).alias("value"))
+    late = found.where(F.col("start") % 2 == 0).select("doc_id", F.lit(20).alias("seq"), F.lit("occurrence").alias("kind"), review.occurrence_key().alias("key"), F.lit(True).alias("value"))
+    return value.unionByName(back).unionByName(early).unionByName(late)
+
+
+def active(spark, sf) -> DataFrame:
+    found = resolved(spark, sf)
+    return review.active_spans(found, _log(found))
+
+
+def decisions_asof(spark, sf):
+    return review.as_of(_log(resolved(spark, sf)), 12)
+
+
+def value_decisions(spark, sf):
+    return review.value_states(_log(resolved(spark, sf)))
+
+
+def manual_terms(spark, sf):
+    """The first capitalised word of each document, picked by hand."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    picked = docs.select("doc_id", F.regexp_extract("text", r"[A-Z][a-z]{5,}", 0).alias("w"), "text").where("w <> ''")
+    picked = picked.select("doc_id", (F.instr("text", F.col("w")) - 1).alias("start"), (F.instr("text", F.col("w")) - 1 + F.length("w")).alias("end"), F.col("w").alias("text"))
+    return review.manual_terms(docs, picked)
+
+
+def anti_overlap(spark, sf):
+    found = rule_rows(texts(spark, sf))
+    return spans.without_overlap(found.where("type <> 'PHONE'"), found.where("type = 'PHONE'"))
+
+
+def final_view(spark, sf):
+    found = resolved(spark, sf)
+    manual = found.where("type = 'ZIP'").withColumns({"source": F.lit("manual"), "type": F.lit("CUSTOM"), "score": F.lit(1.0)})
+    return review.final_view(found, manual, _log(found))
+
+
+def export_gate(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "xlsx").otherwise("text").alias("kind"), F.when(F.col("doc_id") % 5 == 0, "pending").when(F.col("doc_id") % 5 == 1, "failed").otherwise("done").alias("ml_state"))
+    return review.export_gate(d, d.where("doc_id % 2 = 0").select("doc_id"))
+
+
+def findings_by_value(spark, sf):
+    return metrics.findings_by_value(active(spark, sf))
+
+
+def findings_rollup(spark, sf):
+    return metrics.findings_rollup(active(spark, sf))
+
+
+def top_values(spark, sf):
+    return metrics.top_values(metrics.findings_by_value(active(spark, sf)).select("type", "value", "n"))
+
+
+def doc_summary(spark, sf):
+    return metrics.doc_summary(active(spark, sf))
+
+
+def findings_by_label(spark, sf):
+    """Findings of labelled documents, by quality and toxicity."""
+    found = rule_rows(table(spark, sf, "documents").select("doc_id", "text")).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return table(spark, sf, "labels").join(found, "doc_id", "left").groupBy("quality", "toxic").agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("findings"))
+
+
+def needs_model(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", fx.needs_model(F.col("text")).alias("needs_model"))
+
+
+def normalise_caps(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", fx.normalise_caps(F.upper("text")).alias("text"))
+
+
+# Names: an annotator that SQL can follow -----------------------------------------------------
+
+
+def names(spark, sf) -> DataFrame:
+    """The first capitalised word of six letters or more of each document is taken for a person."""
+    d = table(spark, sf, "documents").select("doc_id", "text", F.regexp_extract("text", r"[A-Z][a-z]{5,}", 0).alias("w")).where("w <> ''")
+    start = F.instr("text", F.col("w")) - 1
+    return d.select("doc_id", start.alias("start"), (start + F.length("w")).alias("end"), F.lit("PERSON").alias("type"), F.col("w").alias("text"), F.lit("ml").alias("source"), F.lit(0.9).alias("score"), (F.lit(MODEL << 40) + start).cast("bigint").alias("ord"))
+
+
+def name_variants(spark, sf):
+    two = table(spark, sf, "documents").select("doc_id", F.regexp_extract("text", r"[A-Z][a-z]+ [a-z]+", 0).alias("w")).where("w <> ''")
+    two = two.select("doc_id", F.lit("PERSON").alias("type"), F.initcap("w").alias("text"), F.lit(0.9).alias("score"), F.lit(0).cast("bigint").alias("ord"))
+    return propagate.name_variants(two).select("doc_id", "type", "term", "score")
+
+
+def propagate_names(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return propagate.with_propagation(docs, names(spark, sf)).drop("ord").withColumn("score", F.round("score", 6))
+
+
+def plausible_spans(spark, sf):
+    """Rule hits under the names of other types, as a bad model might give them."""
+    found = rule_rows(texts(spark, sf)).withColumn("type", F.when(F.col("start") % 4 == 0, "EMAIL").when(F.col("start") % 4 == 1, "CREDIT_CARD").when(F.col("start") % 4 == 2, "SSN").otherwise("IBAN"))
+    return found.where(spans.plausible(F.col("type"), F.col("text"))).select("doc_id", "start", "type", "text")
+
+
+def merge_spans(spark, sf):
+    """Every capitalised or numbered word a piece; pieces next to each other join."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    pieces = docs.select("doc_id", F.inline(rules.located(F.col("text"), r"[A-Z][a-z]+|[0-9]+"))).select("doc_id", "start", (F.col("start") + F.length("t")).alias("end"), F.when(F.col("t").rlike("^[0-9]"), "ID_NUMBER").otherwise("PERSON").alias("type"), F.col("t").alias("text"), F.lit(0.8).alias("score"))
+    return spans.merge_spans(pieces, docs)
+
+
+LABELS = [("B-PER", "PERSON"), ("I-PER", "PERSON"), ("B-LOC", "LOCATION"), ("I-LOC", "LOCATION"), ("B-X", None), ("O", None)]
+
+
+def type_scores(spark, sf):
+    """Logits made of each event's value."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("token"), "value")
+    made = F.explode(F.array(*(F.struct(F.lit(n).alias("label"), ((F.floor("value") * (i + 3)) % 11 / 2.0).alias("logit")) for i, (n, _) in enumerate(LABELS)))).alias("l")
+    logits = e.select("doc_id", "token", made).select("doc_id", "token", "l.label", "l.logit")
+    labels = spark.createDataFrame(LABELS, "label string, type string")
+    return model.type_scores(logits, labels).withColumn("score", F.round("score", 6))
+
+
+def dictionary_spans(spark, sf):
+    """A model behind the annotator interface, in Arrow batches, over all documents."""
+    def load():
+        return model.dictionary_annotator({"The": "PERSON", "Der": "PERSON", "Que": "LOCATION"})
+
+    return model.annotate(table(spark, sf, "documents").select("doc_id", "text"), load)[0].drop("ord")
+
+
+def chunk_cover(spark, sf):
+    """Chunks of every document: how many, their characters, and where the last ends."""
+    c = model.chunks(table(spark, sf, "documents").select("doc_id", "text"))
+    return c.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("chunk")).alias("chars"), F.max(F.col("offset") + F.length("chunk")).alias("covered"))
+
+
+# Tables ----------------------------------------------------------------------------------------
+
+CUSTOMER = ["Customer Name", "Account Number", "Market Segment", "Balance"]
+SUPPLIER = ["Company Name", "supplier_no", "Total"]
+
+
+def cells(spark, sf) -> DataFrame:
+    """A workbook for each nation: a sheet of customers and one of suppliers."""
+    c = table(spark, sf, "customer").select("c_nationkey", "c_custkey", "c_name", F.concat(F.lit("A-"), "c_custkey").alias("acct"), "c_mktsegment", F.col("c_acctbal").cast("decimal(12,2)").cast("string").alias("bal"))
+    s = table(spark, sf, "supplier").select("s_nationkey", "s_suppkey", "s_name", F.col("s_suppkey").cast("string").alias("no"), F.col("s_acctbal").cast("decimal(12,2)").cast("string").alias("bal"))
+    one = tables.unpivot(c, ["c_name", "acct", "c_mktsegment", "bal"], F.col("c_nationkey").cast("bigint"), F.lit(0), (F.col("c_custkey") + 1).cast("int"))
+    two = tables.unpivot(s, ["s_name", "no", "bal"], F.col("s_nationkey").cast("bigint"), F.lit(1), (F.col("s_suppkey") + 1).cast("int"))
+    return one.unionByName(tables.header_cells(one, CUSTOMER, 0)).unionByName(two).unionByName(tables.header_cells(two, SUPPLIER, 1))
+
+
+def _context(spark, sf) -> tuple[DataFrame, DataFrame]:
+    all_ = cells(spark, sf)
+    headers = tables.detect_header(all_)
+    return tables.with_context(all_, headers), tables.column_types(all_, headers)
+
+
+def classify_columns(spark, sf):
+    """Headers as data: two words of each document's beginning, and a header of every kind."""
+    d = table(spark, sf, "documents").select(F.concat_ws("_", F.get(F.split("text", "[ \n]+"), 0), F.get(F.array(*(F.lit(x) for x in ("name", "Email", "phoneNo", "zip", "user name", "first_name", "dateOfBirth"))), (F.col("doc_id") % 7).cast("int"))).alias("header"))
+    fixed = spark.createDataFrame([(x,) for x in (*CUSTOMER, *SUPPLIER, "FirstName", "E-mail", "IBAN", "city", "Home Town", "LinkedIn", "web site", "")], "header string")
+    return d.unionByName(fixed).distinct().select("header", tables.classify_column(F.col("header")).alias("type"))
+
+
+def detect_header(spark, sf):
+    return tables.detect_header(cells(spark, sf))
+
+
+def unpivot_cells(spark, sf):
+    return _context(spark, sf)[0]
+
+
+def column_label(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", fx.column_label(F.col("p_partkey") % 17000).alias("label"))
+
+
+def structural_spans(spark, sf):
+    c, types = _context(spark, sf)
+    return tables.structural_spans(c, types)
+
+
+def _cell_candidates(c: DataFrame, types: DataFrame) -> DataFrame:
+    return tables.cell_spans(c, ALL).unionByName(tables.structural_spans(c, types).select(*AT, "start", "end", "type", "text", "source", "score", "ord"))
+
+
+def covered_cells(spark, sf):
+    c, types = _context(spark, sf)
+    return tables.covered_cells(c, _cell_candidates(c, types))
+
+
+def scan_plan(spark, sf):
+    c, types = _context(spark, sf)
+    return tables.scan_plan(c, tables.covered_cells(c, tables.structural_spans(c, types)))
+
+
+def scan_stats(spark, sf):
+    c, types = _context(spark, sf)
+    covered = tables.covered_cells(c, tables.structural_spans(c, types))
+    return tables.scan_stats(c, covered, tables.scan_plan(c, covered))
+
+
+def project_findings(spark, sf):
+    """A model that takes the first five characters of each sample for a place."""
+    c, types = _context(spark, sf)
+    plan = tables.scan_plan(c, tables.covered_cells(c, tables.structural_spans(c, types)))
+    findings = plan.select("doc_id", "sheet", "col", "context", "value", F.lit(-2).alias("start"), F.lit(5).alias("end"), F.lit("LOCATION").alias("type"), F.lit(0.8).alias("score"))
+    return tables.project_findings(c, findings)
+
+
+def clip_to_cells(spark, sf):
+    c = _context(spark, sf)[0]
+    found = c.select("doc_id", "sheet", "row", "col", "context", "value", F.lit(0).alias("start"), (F.length("context") + 6).alias("end"), F.lit("PERSON").alias("type"), F.lit("").alias("text"))
+    return tables.clip(found).select(*AT, "start", "end", "type", "text")
+
+
+def _decided(c: DataFrame) -> DataFrame:
+    return c.where("row > 0 and row % 3 = 0 and col < 2").select(*AT, (F.col("row") % 2 == 0).alias("value"))
+
+
+def cell_decisions(spark, sf):
+    c, types = _context(spark, sf)
+    return review.cell_decisions(c, tables.structural_spans(c, types), _decided(c), types).select(*AT, "start", "end", "type", "text", "source")
+
+
+def column_decisions(spark, sf):
+    c = cells(spark, sf)
+    return review.column_decisions(c, c.where("row = 0 and col <> 1").select("doc_id", "sheet", "col", (F.col("col") == 0).alias("value")))
+
+
+def redact_table(spark, sf):
+    c, types = _context(spark, sf)
+    live = tables.resolve_cells(_cell_candidates(c, types), ALL)
+    return tables.redact_cells(c.select(*AT, "value"), live)
+
+
+def pivot_back(spark, sf):
+    done = redact_table(spark, sf).where("sheet = 0")
+    return tables.pivot_back(done, ["name", "account", "segment", "balance"])
+
+
+def apply_to_runs(spark, sf):
+    """Documents cut into runs of seven characters, with their findings put in."""
+    t = rare_texts(spark, sf)
+    n = F.length("text")
+    runs = t.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.ceil(n / 7).cast("int") - 1), lambda i: F.col("text").substr(i * 7 + 1, F.lit(7)))).alias("run_no", "text"))
+    runs = runs.select("doc_id", "run_no", (F.col("run_no") * 7).alias("start"), (F.col("run_no") * 7 + F.length("text")).alias("end"), "text")
+    found = api.detect(t, ALL).select("doc_id", "start", "end", F.concat(F.lit("["), "type", F.lit("]")).alias("new"))
+    return tables.apply_to_runs(runs, found).select("doc_id", "run_no", "text")
+
+
+# Quality, layout and scalars ---------------------------------------------------------------------
+
+
+def eval_spans(spark, sf):
+    """All rules as truth, the rules without phones as prediction."""
+    gold = resolved(spark, sf)
+    return metrics.eval_spans(gold, gold.where("type <> 'PHONE' and start % 7 <> 0")).withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1")})
+
+
+def eval_chars(spark, sf):
+    t = texts(spark, sf)
+    gold = resolved(spark, sf)
+    return metrics.eval_chars(t, gold, gold.where("start % 3 <> 0").withColumn("end", F.col("end") - 1))
+
+
+def name_coverage(spark, sf):
+    n = names(spark, sf)
+    cases = table(spark, sf, "documents").select(F.col("doc_id").alias("case_id"), "text").join(n.select(F.col("doc_id").alias("case_id"), F.array("text").alias("names")), "case_id")
+    found = n.select(F.col("doc_id").alias("case_id"), (F.col("start") + (F.col("doc_id") % 2)).cast("int").alias("start"), "end", "type", "score")
+    return metrics.name_coverage(cases, found)
+
+
+def passes_gate(spark, sf):
+    gold = resolved(spark, sf)
+    base = metrics.eval_spans(gold, gold)
+    return metrics.passes_gate(base, metrics.eval_spans(gold, gold.where("type <> 'PHONE'"))).withColumns({"base_f1": F.round("base_f1", 9), "f1": F.round("f1", 9)})
+
+
+def _items(spark, sf) -> DataFrame:
+    """Line items laid out on pages, an order a page, four items a line."""
+    k = F.col("l_linenumber") - 1
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), (k % 4 * 50.0).alias("x"), (700.0 - F.floor(k / 4) * 20.0).alias("y"), F.when(k % 2 == 0, 49.5).otherwise(20.0).alias("w"), F.lit(10.0).alias("h"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("text"))
+
+
+def page_lines(spark, sf):
+    return layout.lines(_items(spark, sf)).select("doc_id", "page", "line", "x", "text")
+
+
+def page_text(spark, sf):
+    return layout.page_text(_items(spark, sf))
+
+
+def page_needs_ocr(spark, sf):
+    return layout.needs_ocr(_items(spark, sf))
+
+
+def rectangles(spark, sf):
+    """Boxes of every customer's name on lines of ten characters, and a span over it."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), "c_name")
+    runs = c.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length("c_name") - 1) / 10).cast("int")), lambda i: F.col("c_name").substr(i * 10 + 1, F.lit(10)))).alias("k", "text"))
+    runs = runs.select("doc_id", (F.col("k") * 10).alias("start"), F.lit(1).alias("page"), F.lit(100.0).alias("x"), (F.col("k") * 15.0).alias("y"), (F.length("text") * 6.0).alias("w"), F.lit(12.0).alias("h"), "text", F.lit(None).cast("array<double>").alias("weights"))
+    found = c.select("doc_id", F.lit(2).alias("start"), F.length("c_name").alias("end"))
+    return layout.rectangles(found, layout.char_boxes(runs)).withColumns({x: F.round(x, 6) for x in ("x", "y", "w", "h")})
+
+
+def excel_serial_date(spark, sf):
+    o = table(spark, sf, "orders")
+    serial = (F.datediff(F.col("o_orderdate").cast("date"), F.to_date(F.lit("1899-12-30"))) + F.col("o_orderkey") % 4 / 4.0).cast("double")
+    return o.select("o_orderkey", fx.excel_serial_date(serial, F.lit(False)).alias("d1900"), fx.excel_serial_date(serial - 1462, F.lit(True)).alias("d1904"))
+
+
+def zero_pad(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", fx.zero_pad(F.col("o_orderkey"), F.lit("00000000")).alias("padded"), fx.keeps_text(F.concat(F.lit("9007199254"), F.lpad((F.col("o_orderkey") % 1000000).cast("string"), 6, "0"))).alias("keeps_text"))
+
+
+def cell_address(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", fx.cell_address(F.concat(fx.column_label(F.col("p_partkey") % 17000), (F.col("p_partkey") + 1).cast("string"))).alias("a"))
+    return p.select("p_partkey", "a.row", "a.col")
+
+
+def scrub_office_xml(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey", F.concat(F.lit('<w:ins w:author="'), "c_name", F.lit('" w:date="2024-01-01" w:rsidR="00AB"><w:t>x</w:t></w:ins><dc:creator>'), "c_name", F.lit("</dc:creator>")).alias("xml"))
+    return c.select("c_custkey", fx.scrub_office_xml(F.col("xml")).alias("xml"))
+
+
+QUERIES = {
+    "detect_rules": _rule_query(),
+    "rule_email": _rule_query("EMAIL"), "rule_card": _rule_query("CREDIT_CARD"), "rule_ip": _rule_query("IP_ADDRESS"), "rule_phone": _rule_query("PHONE"), "rule_url": rule_url,
+    "rule_ssn": _rule_query("SSN"), "rule_iban": _rule_query("IBAN"), "rule_date": _rule_query("DATE"), "rule_address": _rule_query("ADDRESS"), "rule_zip": _rule_query("ZIP"), "rule_id": _rule_query("ID_NUMBER"),
+    "redact_label": redact_label, "redact_mask": redact_mask, "redact_fake": redact_fake, "active_spans": active,
+} | {
+    f.__name__: f
+    for f in (
+        candidates, deny_list, occurrences, filter_spans, resolve_overlaps, redact_conversations, value_keys, label_map, reid_key, reidentify, neutralise_cells, decisions_asof, value_decisions, manual_terms, anti_overlap,
+        final_view, export_gate, findings_by_value, findings_rollup, top_values, doc_summary, findings_by_label, needs_model, normalise_caps, name_variants, propagate_names, plausible_spans, merge_spans, type_scores,
+        dictionary_spans, chunk_cover, classify_columns, detect_header, unpivot_cells, column_label, structural_spans, covered_cells, scan_plan, scan_stats, project_findings, clip_to_cells, cell_decisions, column_decisions,
+        redact_table, pivot_back, apply_to_runs, eval_spans, eval_chars, name_coverage, passes_gate, page_lines, page_text, page_needs_ocr, rectangles, excel_serial_date, zero_pad, cell_address, scrub_office_xml,
+    )
+}

@@ -1,0 +1,102 @@
+"""Sources: whole texts, delimited tables, term lists, annotated corpora, with reasons for what is refused."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from redactory.functions.text import extension, trimmed
+
+# Extensions by kind, and why others are refused.
+TEXTS = ("txt", "md", "json", "log", "xml", "html", "htm", "eml", "yaml", "yml")
+TABLES = ("csv", "tsv")
+REFUSED = {"xls": "old workbook: save it as .xlsx", "xlsm": "workbook with macros: save it as .xlsx", "xlsb": "binary workbook: save it as .xlsx", "doc": "old document: save it as .docx"}
+DELIMITERS = (",", ";", "\t", "|")
+# End of fixed values.
+
+
+def dispatch(files: DataFrame) -> DataFrame:
+    """files (path, ...) with `kind` (text, table, or null) and `reason` where refused."""
+    ext = extension(F.col("path"))
+    reason = F.lit(None).cast("string")
+    for e, why in REFUSED.items():
+        reason = F.when(ext == e, why).otherwise(reason)
+    kind = F.when(ext.isin(*TEXTS), "text").when(ext.isin(*TABLES), "table")
+    return files.withColumns({"kind": kind, "reason": F.when(kind.isNull(), F.coalesce(reason, F.lit("unsupported type")))})
+
+
+def read_texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """name, text: every file as one text, as it stands."""
+    df = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("name"), F.col("value").alias("text"))
+    return df.where(extension(F.col("name")).isin(*TEXTS))
+
+
+def decoded(content: Column) -> Column:
+    """struct<text, encoding, bom>: by the byte order mark, else UTF-8, else Windows-1252. The last needs
+    spark.sql.legacy.javaCharsets=true in the session."""
+    head2, head3 = F.hex(F.substring(content, 1, 2)), F.hex(F.substring(content, 1, 3))
+    encoding = F.when(head2 == "FFFE", "UTF-16LE").when(head2 == "FEFF", "UTF-16BE").when(head3 == "EFBBBF", "UTF-8").when(F.is_valid_utf8(content.cast("string")), "UTF-8").otherwise("windows-1252")
+    skip = F.when(head2.isin("FFFE", "FEFF"), 3).when(head3 == "EFBBBF", 4).otherwise(1)
+    body = F.substring(content, skip, F.length(content))
+    text = F.when(encoding == "UTF-16LE", F.decode(body, "UTF-16LE")).when(encoding == "UTF-16BE", F.decode(body, "UTF-16BE")).when(encoding == "UTF-8", body.cast("string")).otherwise(F.decode(body, "windows-1252"))
+    return F.struct(text.alias("text"), encoding.alias("encoding"), (skip > 1).alias("bom"))
+
+
+def dialect_of(name: Column, text: Column) -> Column:
+    """struct<delimiter, newline>: tab for .tsv, else the most frequent mark of the first lines."""
+    head = F.array_join(F.slice(F.split(text, r"\r?\n"), 1, 10), "\n")
+    counts = F.array(*(F.struct(F.length(head) - F.length(F.replace(head, F.lit(d), F.lit(""))), F.lit(-k), F.lit(d).alias("d")) for k, d in enumerate(DELIMITERS)))
+    best = F.array_max(counts)["d"]
+    newline = F.when(F.contains(text, F.lit("\r\n")), "\r\n").when(F.contains(text, F.lit("\n")), "\n").when(F.contains(text, F.lit("\r")), "\r").otherwise("\n")
+    return F.struct(F.when(extension(name) == "tsv", "\t").otherwise(best).alias("delimiter"), newline.alias("newline"))
+
+
+def records(text: Column, delimiter: Column) -> Column:
+    """array<array<string>>: quoted cells, doubled quotes and newlines inside quotes, with blank lines kept;
+    null if a quote is never closed."""
+    rest = F.replace(text, F.lit('""'), F.lit("\x01"))
+    closed = (F.length(rest) - F.length(F.replace(rest, F.lit('"'), F.lit("")))) % 2 == 0
+    pieces = F.split(rest, '"')
+    masked = F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 0, p).otherwise(F.replace(F.replace(F.replace(F.replace(p, F.lit("\r"), F.lit("\x02")), F.lit("\n"), F.lit("\x03")), delimiter, F.lit("\x04")), F.lit("\x05"), F.lit("")))), "")
+    ended = F.regexp_replace(masked, r"(?:\r\n|\n|\r)\z", "")
+    cell = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("\x01"), F.lit('"')), F.lit("\x02"), F.lit("\r")), F.lit("\x03"), F.lit("\n")), F.lit("\x04"), delimiter)
+    rows = F.transform(F.split(ended, r"\r\n|\n|\r"), lambda line: F.transform(F.call_function("split", line, F.concat(F.lit(r"\Q"), delimiter, F.lit(r"\E")), F.lit(-1)), lambda c: F.when(c == "\x01", "").otherwise(cell(c))))
+    return F.when(closed, rows)
+
+
+def read_tables(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """(cells, rejects) of delimited files, whatever their encoding and dialect. cells: doc_id (path), sheet,
+    row, col, value, all strings as they stand; rejects: path, reason."""
+    files = spark.read.format("binaryFile").load(paths).where(extension(F.col("path")).isin(*TABLES))
+    d = files.select("path", decoded(F.col("content")).alias("d")).select("path", "d.text").withColumn("s", dialect_of(F.col("path"), F.col("text")))
+    parsed = d.withColumn("rows", records(F.col("text"), F.col("s.delimiter")))
+    rejects = parsed.where("rows is null").select("path", F.lit("a quote is never closed").alias("reason"))
+    rows = parsed.where("rows is not null").select(F.col("path").alias("doc_id"), F.lit(0).alias("sheet"), F.posexplode("rows").alias("row", "cells"))
+    return rows.select("doc_id", "sheet", "row", F.posexplode("cells").alias("col", "value")), rejects
+
+
+def read_terms(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """term: the non-empty lines of term lists."""
+    return spark.read.text(paths).select(trimmed(F.col("value")).alias("term")).where("term <> ''").distinct()
+
+
+def read_annotated(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """(texts, gold) of JSON lines {"text", "spans": [{"start", "end", "label"}]}."""
+    raw = spark.read.schema("text string, spans array<struct<start:int,end:int,label:string>>").json(paths)
+    texts = raw.withColumn("doc_id", F.xxhash64("text"))
+    return texts.select("doc_id", "text"), texts.select("doc_id", F.inline("spans")).withColumnRenamed("label", "type")
+
+
+def union_sheets(*sheets: DataFrame) -> DataFrame:
+    """Cells of several sheets as one document; sheet numbers follow the order given."""
+    out = None
+    for k, cells in enumerate(sheets):
+        one = cells.withColumn("sheet", F.lit(k))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def coverage_notes(files: DataFrame) -> DataFrame:
+    """path, notes: what a reader should know about how a file was read (columns encoding, bom)."""
+    notes = F.array_compact(F.array(F.when(F.col("encoding") == "windows-1252", "read as Windows-1252"), F.when(F.col("encoding").startswith("UTF-16"), "saved again as UTF-8"), F.when(F.col("bom"), "byte order mark kept")))
+    return files.select("path", notes.alias("notes"))

@@ -1,0 +1,47 @@
+"""Sinks: redacted texts, delimited tables, keys."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from redactory.functions.text import base_name, neutralised
+from redactory.operators.replace import key_csv
+
+
+def redacted_name(df: DataFrame, name: str = "name") -> DataFrame:
+    return df.withColumn(name, F.concat(base_name(F.col(name)), F.lit(".redacted.txt")))
+
+
+def write_texts(df: DataFrame, path: str) -> None:
+    """name, text as Parquet; a file for each text would not last at scale."""
+    redacted_name(df).write.mode("errorifexists").parquet(path)
+
+
+def csv_lines(cells: DataFrame, delimiter: str = ",") -> DataFrame:
+    """doc_id, sheet, row, line: cells neutralised and quoted where needed."""
+    v = neutralised(F.coalesce("value", F.lit("")))
+    marks = F.contains(v, F.lit(delimiter)) | v.rlike(r'["\r\n]') | v.rlike(r"^\s|\s\z")
+    quoted = F.when(marks, F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v)
+    rows = cells.groupBy("doc_id", "sheet", "row").agg(F.array_sort(F.collect_list(F.struct("col", quoted.alias("q")))).alias("c"))
+    return rows.select("doc_id", "sheet", "row", F.array_join(F.transform("c", lambda x: x["q"]), delimiter).alias("line"))
+
+
+def write_csv(cells: DataFrame, path: str, delimiter: str = ",", newline: str = "\n", bom: bool = False) -> None:
+    """Rows of cells as delimited text in row order; with bom, one file that starts with the mark."""
+    lines = csv_lines(cells, delimiter).orderBy("doc_id", "sheet", "row")
+    out = lines.select(F.when(F.lit(bom) & (F.col("row") == 0), F.concat(F.lit("﻿"), "line")).otherwise(F.col("line")).alias("value"))
+    (out.coalesce(1) if bom else out).write.option("lineSep", newline).text(path)
+
+
+def write_key(key: DataFrame, path: str) -> None:
+    """The re-identification key: type, original, replacement, every field quoted."""
+    key_csv(key).write.option("header", True).option("quoteAll", True).csv(path)
+
+
+def clean_table(cells: DataFrame, original: DataFrame) -> DataFrame:
+    """Cells for a clean workbook: sheets as "Sheet 1..n", a number or boolean kept where the text did not change."""
+    o = original.select("doc_id", "sheet", "row", "col", F.col("value").alias("__o"), "scalar_num", "scalar_bool")
+    m = cells.join(o, ["doc_id", "sheet", "row", "col"])
+    same = F.col("value") == F.col("__o")
+    return m.select("doc_id", F.concat(F.lit("Sheet "), (F.col("sheet") + 1).cast("string")).alias("sheet"), "row", "col", "value", F.when(same, F.col("scalar_num")).alias("scalar_num"), F.when(same, F.col("scalar_bool")).alias("scalar_bool"))

@@ -1,0 +1,51 @@
+"""Streams: detection is row-local and needs no state; labels that stay the same over a conversation do."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from redactory.api import active_spans
+from redactory.config import RedactionConfig
+from redactory.functions.text import normalised
+from redactory.operators.replace import spliced
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def redact_stream(stream: DataFrame, config: RedactionConfig | None = None, text: str = "text") -> DataFrame:
+    """A stream with its texts redacted one by one; append mode, no shuffle, no state."""
+    from redactory.api import redact
+
+    return redact(stream, config=config, text=text)
+
+
+def labelled_stream(stream: DataFrame, config: RedactionConfig | None = None, key: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
+    """key, order, text of a stream, with labels that number each conversation's values by arrival. State:
+    for each conversation its values and counters; texts that come late get later numbers."""
+    config = config or RedactionConfig()
+    kinds = {c: stream.schema[c].dataType.simpleString() for c in (key, order)}
+    found = stream.select(key, order, text, active_spans(F.col(text), config).alias("s"))
+    shaped = found.select(key, order, text, F.transform("s", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["type"].alias("type"), normalised(s["text"]).alias("value"))).alias("s"))
+
+    def label(group: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        known = dict(zip(*state.get, strict=True)) if state.exists else {}
+        rows = pd.concat(list(batches)).sort_values(order)
+        out = []
+        for turn, t, spans in zip(rows[order], rows[text], rows["s"], strict=True):
+            new = []
+            for s in spans if spans is not None else []:
+                name = f"{s['type']}:{s['value']}"
+                if name not in known:
+                    known[name] = 1 + sum(k.startswith(f"{s['type']}:") for k in known)
+                new.append((int(s["start"]), int(s["end"]), f"[{s['type']}_{known[name]}]"))
+            out.append((group[0], turn, t, [{"start": a, "end": b, "new": c} for a, b, c in new]))
+        state.update((list(known), list(known.values())))
+        yield pd.DataFrame(out, columns=[key, order, text, "p"])
+
+    piece = "array<struct<start:int,end:int,new:string>>"
+    done = shaped.groupBy(key).applyInPandasWithState(label, f"{key} {kinds[key]}, {order} {kinds[order]}, {text} string, p {piece}", "names array<string>, numbers array<int>", "append", "NoTimeout")
+    return done.select(key, order, spliced(F.col(text), F.col("p")).alias(text))
