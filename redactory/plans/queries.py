@@ -197,7 +197,7 @@ def needs_model(spark, sf):
 
 
 def normalise_caps(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", fx.normalise_caps(F.upper("text")).alias("text"))
+    return table(spark, sf, "documents").select("doc_id", fx.normalise_caps(F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).alias("text"))
 
 
 # Names: an annotator that SQL can follow -----------------------------------------------------
