@@ -101,6 +101,7 @@ class Vocabulary:
     top: np.ndarray
     suffix: np.ndarray
     class_log: np.ndarray
+    prior: np.ndarray
 
     def classes(self, hash_: np.ndarray, suffix: np.ndarray) -> np.ndarray:
         return classes(self.top, self.suffix, hash_, suffix)
@@ -174,9 +175,10 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
         return pd.Series(classes(top_u, suffix, unsigned(word.to_numpy(np.int64)), suf.to_numpy(np.int64)).astype(np.int32))
 
     per_class = counts.groupBy(class_of("word", "suffix").alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()
-    size = np.ones(CLASSES)
+    size, tokens = np.ones(CLASSES), np.ones(CLASSES)
+    tokens[per_class["c"].to_numpy(int)] += per_class["n"].to_numpy(float)
     size[per_class["c"].to_numpy(int)] += (per_class["n"] + per_class["v"]).to_numpy(float)
-    return Vocabulary(int(n), int(v), h[order], np.log10(heavy["n"].to_numpy(float)[order] + 1), top_u, suffix, np.log10(size))
+    return Vocabulary(int(n), int(v), h[order], np.log10(heavy["n"].to_numpy(float)[order] + 1), top_u, suffix, np.log10(size), np.log(tokens / tokens.sum()))
 
 
 def log_softmax(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
@@ -210,6 +212,7 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int = 3, rate: float = 0.15) -
     """Weights: a row of CLASSES numbers for each feature bucket, and the bias row."""
     sc = docs.sparkSession.sparkContext
     weights = np.zeros(((1 << FEATURE_BITS) + 1, CLASSES), np.float32)
+    weights[-1] = v.prior  # the features have to say only what differs from the plain shares
     for k in range(rounds):
         shared = sc.broadcast((weights, v))
 
