@@ -19,6 +19,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out over all cores where a table has fewer splits than that, as one small file has; larger
+    tables are left as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def rare_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Texts with what the documents hardly have: a record for each customer."""
     return table(spark, sf, "customer").selectExpr(
@@ -32,7 +39,7 @@ def rare_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text").unionByName(rare_texts(spark, sf))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).unionByName(rare_texts(spark, sf))
 
 
 def rule_rows(df: DataFrame, *types: str) -> DataFrame:
@@ -44,7 +51,7 @@ def _rule_query(*types: str):
 
 
 def rule_url(spark, sf):
-    pages = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    pages = spread(table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")))
     return rule_rows(pages, "URL")
 
 
@@ -91,7 +98,7 @@ def redact_fake(spark, sf):
 
 def redact_conversations(spark, sf):
     """A conversation is a document: its values are numbered over all its turns."""
-    turns = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    turns = spread(table(spark, sf, "conversations").select("conv_id", "turn", "text"))
     found = turns.select("conv_id", "turn", F.inline(api.active_spans(F.col("text"), ALL)))
     key = replace.label_map(found, "conv_id", F.struct("turn", "start")).drop("first_text")
     named = found.withColumn("value", fx.normalised(F.col("text"))).join(key, ["conv_id", "type", "value"])
