@@ -80,14 +80,14 @@ def repeated(docs: DataFrame, min_chars: int = 120, most_rounds: int = 24) -> tu
 
 def runs(lines: DataFrame, copies: DataFrame) -> DataFrame:
     """doc_id, th, first_line, last_line (among all lines of the text), n_lines (non-blank), depth,
-    copy_of: the maximal runs to delete, with the earlier position of their longest common prefix."""
+    copy_of: the maximal runs to delete, with the earlier position of their longest common prefix, of equal ones the first line's."""
     at = copies.groupBy(*KEY, "i").agg(F.max("n").alias("n"), F.max("depth").alias("depth"), F.max_by("first", "depth").alias("copy_of"))
     covered = at.select(*KEY, F.explode(F.when(F.col("n") == 2, F.array(F.col("i"), F.col("i") + 1)).otherwise(F.array("i"))).alias("i"), "depth", "copy_of")
     covered = covered.groupBy(*KEY, "i").agg(F.max("depth").alias("depth"), F.max_by("copy_of", "depth").alias("copy_of"))
     numbered = covered.withColumn("run", F.col("i") - F.row_number().over(Window.partitionBy(*KEY).orderBy("i")))
     same = [lines[k].eqNullSafe(numbered[k]) for k in (*KEY, "i")]
     with_lines = numbered.join(lines, same[0] & same[1] & same[2]).select(*(numbered[k] for k in KEY), lines["j"], "run", "depth", "copy_of")
-    return with_lines.distinct().groupBy(*KEY, "run").agg(F.min("j").alias("first_line"), F.max("j").alias("last_line"), F.count("*").alias("n_lines"), F.max("depth").alias("depth"), F.max_by("copy_of", "depth").alias("copy_of")).drop("run")
+    return with_lines.distinct().groupBy(*KEY, "run").agg(F.min("j").alias("first_line"), F.max("j").alias("last_line"), F.count("*").alias("n_lines"), F.max("depth").alias("depth"), F.min_by("copy_of", F.struct(-F.col("depth"), "j")).alias("copy_of")).drop("run")
 
 
 def dedup(docs: DataFrame, min_chars: int = 120) -> DataFrame:
