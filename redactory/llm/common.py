@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -28,17 +29,33 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[0]
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now, not when the driver happens to collect
+    its garbage; a long operator would else keep all of them on the executors' disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def write_table(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and fixes values that a
     recomputation could change. The table is all that later stages need, so lost executors only
     cost the tasks they were running."""
     spark = df.sparkSession
+    release(spark)
     path = f"{shared_folder(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_column(docs: DataFrame, name: str = "text") -> Column:
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete tables of write_table, once all that was made of them is written itself."""
+    for df in tables:
+        for path in df.inputFiles()[:1]:
+            folder = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
+            folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def text_column(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 

@@ -22,13 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from redactory.llm.common import write_table
+from redactory.llm.common import text_column, write_table
 
 K = 5
 
 
 def words(name: str) -> Column:
-    return F.array_remove(F.split(F.lower(F.coalesce(F.col(name).cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+    return F.array_remove(F.split(F.lower(text_column(name)), r"[^\p{L}\p{N}]+"), "")
 
 
 def exploded(df: DataFrame, key: str, name: str = "text") -> DataFrame:

@@ -7,12 +7,16 @@ meet in the sort-merge shuffle by shingle); the long lists are not merged but pr
 shingles are searched in the partner's sorted set by binary search until T is reached or cannot be.
 
 Which lists are long is told by shingles that tasks see repeatedly, counted over all documents; the
-most frequent 2^19 at most are broadcast, others order by hash. That order only decides how much work
+most frequent 2^17 at most are broadcast, others order by hash. That order only decides how much work
 there is: any fixed order finds every link.
 
-Equal sets are one node, however many copies there are. In a list of many nodes, first all are
-tested against one pivot; then, in lists whose nodes are not yet in one component, one node of each
-component against the first; and at last every pair of different components. So no pair of
+A quarter more lists count as short than that; two linked sets then meet in a quarter more than one, and
+pairs that meet in fewer are not probed.
+
+Equal sets are one node, however many copies there are. First each node is tested against one other:
+of the first nodes of its lists, the one it meets in most. Then, in lists whose nodes are not yet in one
+component, one node of each component is tested against the first's; and at last every pair of
+different components that meets often enough. So no pair of
 different texts that could link two components is left out, while a group of near copies costs one
 test a member and list, not one a pair.
 
@@ -28,14 +32,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redactory.llm.common import Words, list_array, mix, signed, slices, unsigned, write_table
 from redactory.llm.graph import components
 
-LONG_LISTS = 1 << 19
+LONG_LISTS = 1 << 17
 LOCAL_SHINGLES = 8_000_000
+#: One short list more for so many.
+SPARE = 4
 
 
 def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,6 +62,31 @@ def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
     return np.maximum(1, -(-percent * (n + smallest) // (100 + percent)))
 
 
+def spare(n, least):
+    """Short lists beyond the n - T + 1 that a link needs; it must be met in one list more for each."""
+    return (n - least + 1) // SPARE
+
+
+def short_lists(n: np.ndarray, percent: int) -> np.ndarray:
+    least = least_overlap(n, percent)
+    return np.minimum(n, n - least + 1 + spare(n, least))
+
+
+def needed(n: str, percent: int) -> Column:
+    """The n - T + 1 lists of which a linked set has at least one in common."""
+    return F.expr(f"{n} - greatest(1, ({percent} * ({n} + (({percent} * {n} + 99) div 100)) + {99 + percent}) div {100 + percent}) + 1")
+
+
+def must_meet(n: str, m: str, percent: int) -> Column:
+    """In how many short lists two linked sets of n and m shingles meet at least."""
+
+    def extra(c: str) -> str:
+        smallest = f"(({percent} * {c} + 99) div 100)"
+        return f"(({c} - greatest(1, ({percent} * ({c} + {smallest}) + {99 + percent}) div {100 + percent}) + 1) div {SPARE})"
+
+    return F.expr(f"1 + least({extra(n)}, {extra(m)})")
+
+
 def long_lists(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (sorted) and counts of shingles that tasks see in several documents; at most LONG_LISTS."""
 
@@ -76,7 +107,16 @@ def long_lists(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
             yield out()
 
     counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "h").limit(LONG_LISTS).toPandas()
+    counts = write_table(counts.where("n > 2"), "jaccard-counts")
+    # the least count that leaves no more than LONG_LISTS
+    level = F.floor(4 * F.log2("n")).cast("int")
+    left, cut = LONG_LISTS, None
+    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        left -= r["count"]
+        if left < 0:
+            break
+        cut = r["level"]
+    top = counts.where(level >= cut).toPandas() if cut is not None else counts.limit(0).toPandas()
     h = unsigned(top["h"].to_numpy(np.int64))
     order = np.argsort(h)
     return h[order], top["n"].to_numpy(np.int64)[order]
@@ -106,7 +146,7 @@ def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     weight = np.where(common[at] == h, count[at], 0)
                 order = np.lexsort((h, weight, row))
                 place = np.arange(len(h)) - np.repeat(first[:-1], n)
-                taken = place < (n - least_overlap(n, percent) + 1)[row]
+                taken = place < short_lists(n, percent)[row]
                 short = h[order][taken]
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(row[taken], minlength=part.num_rows))])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(signed(sums[0])), pa.array(signed(sums[1])), list_array(signed(short), offsets, pa.int64())], names=["doc_id", "n", "s1", "s2", "short"])
@@ -168,39 +208,52 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     grouped = rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.first("short").alias("short"))
     nodes = write_table(grouped.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
 
-    posted = nodes.select("node", "n", F.explode("short").alias("h"))
-    several = posted.groupBy("h").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.min_by("n", "node").alias("m")).where("pivot <> last")
-    lists = write_table(posted.join(several.select("h", "pivot", "m"), "h"), "jaccard-lists")
-    sets = write_table(_sets(docs, nodes.join(lists.select("node").distinct(), "node", "left_semi"), k), "jaccard-sets")
-
-    tested = write_table(lists.where((F.col("node") != F.col("pivot")) & _fits("n", "m", percent)).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "jaccard-pairs")
-    links = write_table(_linked(tested, sets, percent), "jaccard-links")
-    label = components(links)
-
-    def mixed(label: DataFrame) -> DataFrame:
+    size = nodes.select("node", "n")
+    posted = nodes.select("node", F.posexplode("short").alias("at", "h"), needed("n", percent).alias("last")).select("h", "node", (F.col("at") < F.col("last")).alias("sure"))
+    several = posted.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    lists = write_table(posted.join(several, "h").join(size, "node"), "jaccard-lists")
+    links, tested, label = None, None, size.where("false").select("node", F.col("node").alias("component"))
+
+    def test(pairs: DataFrame) -> None:
+        """Add the links among pairs (a, b) that were not tested yet."""
+        nonlocal links, tested, label
+        new = write_table(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
+        tested = new if tested is None else tested.unionByName(new)
+        if not new.isEmpty():
+            ends = new.select(F.col("a").alias("node")).unionByName(new.select(F.col("b").alias("node"))).distinct()
+            sets = write_table(_sets(docs, nodes.join(ends, "node", "left_semi"), k), "jaccard-sets")
+            found = write_table(_linked(new, sets, percent), "jaccard-links")
+            links = found if links is None else links.unionByName(found)
+            label = components(links)
+
+    def met(pairs: DataFrame, part: int) -> DataFrame:
+        """Pairs (a, n, b, m), a row for each list they meet in, that meet in 1 / part of what they must."""
+        counted = pairs.where(_fits("n", "m", percent)).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
+        return counted.where(F.col("c") * part >= must_meet("n", "m", percent))
+
+    def mixed() -> DataFrame:
         """Lists whose nodes are in several components."""
-        known = lists.select("h", "node", "n").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        known = lists.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
         several = known.groupBy("h").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d")
         return write_table(known.join(several.select("h", "c"), "h"), "jaccard-mixed")
 
-    left = mixed(label)
-    one = left.groupBy("h", "component").agg(F.min("node").alias("node"), F.min_by("n", "node").alias("n"), F.first("c").alias("c"))
-    first = one.where("component = c").select("h", F.col("node").alias("a"), F.col("n").alias("m"))
-    more = one.where("component <> c").join(first, "h").where(_fits("n", "m", percent)).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-    more = write_table(more.join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
-    if not more.isEmpty():
-        found = write_table(_linked(more, sets, percent), "jaccard-links")
-        tested, links = tested.unionByName(more), links.unionByName(found)
-        label = components(links)
-        left = mixed(label)
-
-    x = left.select("h", F.col("node").alias("a"), F.col("n"), F.col("component").alias("c1"))
-    y = left.select("h", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("c2"))
-    rest = x.join(y, "h").where((F.col("a") < F.col("b")) & (F.col("c1") != F.col("c2")) & _fits("n", "m", percent)).select("a", "b").distinct()
-    rest = write_table(rest.join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
-    if not rest.isEmpty():
-        links = links.unionByName(write_table(_linked(rest, sets, percent), "jaccard-links"))
-        label = components(links)
+    heads = lists.groupBy("h").agg(F.min("node").alias("a"), F.min_by("n", "node").alias("n"))
+    near = met(lists.select("h", F.col("node").alias("b"), F.col("n").alias("m")).join(heads, "h").where("a <> b"), 2)
+    test(near.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", "b"))
+
+    left = mixed()
+    one = left.groupBy("h", "component").agg(F.min("node").alias("node"), F.min_by("n", "node").alias("size"), F.first("c").alias("c"))
+    first = one.where("component = c").select("h", F.col("node").alias("x"), F.col("size").alias("n"))
+    more = one.where("component <> c").join(first, "h").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"), "n", F.col("size").alias("m"))
+    test(met(more, 2).select("a", "b"))
+
+    # Linked sets meet in a list that is sure for both, so pairs are made there only, and counted over all.
+    left = mixed()
+    x = left.where("sure").select("h", F.col("node").alias("a"), F.col("n"), F.col("component").alias("c1"))
+    y = left.where("sure").select("h", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("c2"))
+    rest = x.join(y, "h").where((F.col("a") < F.col("b")) & (F.col("c1") != F.col("c2")) & _fits("n", "m", percent)).select("a", "n", "b", "m").distinct()
+    lists_of = lambda node: left.select(F.col("node").alias(node), "h")
+    test(met(rest.join(lists_of("a"), "a").join(lists_of("b"), ["b", "h"]), 1).select("a", "b"))
 
     placed = nodes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -67,7 +67,7 @@ def _repeat_words(words: Column) -> Column:
 
 def evaluate_rules(docs: DataFrame, text: str = "text", min_words: int = 50, min_mean_chars: float = 2.5, max_mean_chars: float = 12.0) -> DataFrame:
     """docs with a struct column LEDGER: measurements and fail_bits (bit k: RULES[k] failed)."""
-    body = text_column(docs, text)
+    body = text_column(text)
     w = f"{LEDGER}_w"
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counted = _let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
