@@ -131,6 +131,7 @@ O["detect_rules"] = f"WITH t AS MATERIALIZED ({TEXTS}) {detected('SELECT * FROM
 for name, type_ in {"email": "EMAIL", "card": "CREDIT_CARD", "ip": "IP_ADDRESS", "phone": "PHONE", "ssn": "SSN", "iban": "IBAN", "date": "DATE", "address": "ADDRESS", "zip": "ZIP", "id": "ID_NUMBER"}.items():
     O[f"rule_{name}"] = f"WITH t AS MATERIALIZED ({TEXTS}) {detected('SELECT * FROM t', (type_,))}"
 O["rule_url"] = detected("SELECT page_id AS doc_id, html AS text FROM pages", ("URL",))
+O["rule_ipv6"] = f"WITH t AS MATERIALIZED ({TEXTS}) SELECT * FROM ({detected('SELECT * FROM t', ('IP_ADDRESS',))}) WHERE contains(text, ':')"
 O["candidates"] = f"WITH t AS MATERIALIZED ({TEXTS}), {words('SELECT * FROM t')} {detected('SELECT * FROM t', tuple(t for t in TYPES if t != 'ORG'))} UNION ALL {denied('t')}"
 O["deny_list"] = f"WITH {words(TEXTS)} {denied('t')}"
 O["occurrences"] = f"""WITH {words('SELECT doc_id, text FROM documents')} SELECT DISTINCT doc_id, "start", "end", type, text, source, score, ({DENY << 40} + "start")::BIGINT AS ord FROM ({denied('d')})"""

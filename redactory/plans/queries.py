@@ -55,6 +55,10 @@ def rule_url(spark, sf):
     return rule_rows(pages, "URL")
 
 
+def rule_ipv6(spark, sf):
+    return rule_rows(texts(spark, sf), "IP_ADDRESS").where(F.contains("text", F.lit(":")))
+
+
 def candidates(spark, sf):
     return texts(spark, sf).select("doc_id", F.inline(api.candidate_spans(F.col("text"), RedactionConfig(deny=TERMS))))
 
@@ -464,7 +468,7 @@ QUERIES = {
 } | {
     f.__name__: f
     for f in (
-        candidates, deny_list, occurrences, filter_spans, resolve_overlaps, redact_conversations, value_keys, label_map, reid_key, reidentify, neutralise_cells, decisions_asof, value_decisions, manual_terms, anti_overlap,
+        rule_ipv6, candidates, deny_list, occurrences, filter_spans, resolve_overlaps, redact_conversations, value_keys, label_map, reid_key, reidentify, neutralise_cells, decisions_asof, value_decisions, manual_terms, anti_overlap,
         final_view, export_gate, findings_by_value, findings_rollup, top_values, doc_summary, findings_by_label, needs_model, normalise_caps, name_variants, propagate_names, plausible_spans, merge_spans, type_scores,
         dictionary_spans, chunk_cover, classify_columns, detect_header, unpivot_cells, column_label, structural_spans, covered_cells, scan_plan, scan_stats, project_findings, clip_to_cells, cell_decisions, column_decisions,
         redact_table, pivot_back, apply_to_runs, eval_spans, eval_chars, name_coverage, passes_gate, page_lines, page_text, page_needs_ocr, rectangles, excel_serial_date, zero_pad, cell_address, scrub_office_xml,
