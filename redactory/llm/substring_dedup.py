@@ -10,8 +10,9 @@ The sample is range-partitioned by its leading tokens (the gram) with sampled sp
 bucket is sorted by gram and then by the hash of its whole stretch of windows, key after key, as
 multikey quicksort does; equal leading tokens never straddle a boundary but for buckets that the
 counts join. A stretch that occurs twice is repeated whole. Where leading tokens repeat but stretches
-differ, the ends of a match lie inside; there each window is compared on its own, by counting window
-hashes over the corpus.
+differ, the ends of a match lie inside; there blocks of 16 windows are compared: a block whose bytes
+all repeat is removed, one whose common core does not repeat stays, and only in the few between is each
+window compared on its own.
 
 All steps are counts (map-side first) and joins on hashes, which adaptive execution splits where hot;
 no group is gathered. Windows are compared by 64-bit hashes.
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactory.llm.common import _BASE, _BYTE, list_array, mix, signed, slices, utf8, write_table
+from redactory.llm.common import _BASE, _BYTE, drop_tables, mix, release, signed, slices, utf8, write_table
 
 GRAM = 32
 _MASK = (1 << 64) - 1
@@ -60,16 +61,32 @@ class Windows:
             total = total * np.uint64(power[bit]) + h[bit][at : at + self.count]
             at += bit
         self.window = mix(total)
+        self.large_size = max(h)
+        self.large = h[self.large_size]
         self.gram = mix(h[GRAM] ^ np.uint64(0x5555))
         size_of = np.diff(self.offsets)
         for_doc = np.maximum(size_of - length + 1, 0)
         self.row = np.repeat(np.arange(len(size_of)), for_doc)
         self.start = np.arange(len(self.row)) - np.repeat(np.cumsum(for_doc) - for_doc, for_doc) + np.repeat(self.offsets[:-1], for_doc)
 
+    @property
+    def step(self) -> int:
+        """Windows of a block: few enough that the core holds the longest string that is hashed at once."""
+        return max(1, min(BLOCK, self.length - self.large_size + 1))
+
+    def block_hashes(self, first: np.ndarray, last: np.ndarray, core: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the bytes of windows first to last, and of the bytes that all windows of a block
+        share. The first and the last window cover the one, the strings at both ends the other."""
+        if not len(first):
+            return (np.zeros(0, np.uint64),) * 2
+        end = core + self.length - (self.step - 1) - self.large_size
+        whole = mix(mix(self.window[first] + (last - first).astype(np.uint64)) * np.uint64(_BASE) + self.window[last])
+        return whole, mix(mix(self.large[core] + number.astype(np.uint64)) * np.uint64(_BASE) + self.large[end])
+
     def stretches(self) -> tuple[np.ndarray, ...]:
-        """Runs of windows that choose the same suffix: row, first and last window start (in the
-        text), gram and stretch hash."""
-        none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        """Runs of windows that choose the same suffix: row, first and last window start and the
+        suffix's (in the text), gram and stretch hash."""
+        none = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
         if not self.count or not len(self.start):
             return none
         reach = self.length - GRAM + 1
@@ -92,78 +109,116 @@ class Windows:
         g = self.gram[chosen[heads]]
         c = mix(self.window[s1] * np.uint64(_BASE) + mix(self.window[s2] ^ (s2 - s1).astype(np.uint64)))
         base = self.offsets[self.row[heads]]
-        return self.row[heads], s1 - base, s2 - base, g, c
+        return self.row[heads], s1 - base, s2 - base, chosen[heads] - base, g, c
+
+
+BLOCK = 16
 
 
 def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, key, text; equal rows have equal keys."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text"))
+    return docs.select("doc_id", F.xxhash64("doc_id", text).alias("key"), text.alias("text"))
 
 
 def stretch_table(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, th, s1, s2, g, c: the sampled suffixes of all texts."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """key, at, g, c: the sampled suffixes of all texts. at packs the first window's start and, from it, the
+    last window's and the suffix's (under length, thus of 16 bits), as rows of the large shuffle are dear."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
-                row, s1, s2, g, c = Windows(part.column("text"), length).stretches()
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("th").take(take), pa.array(s1.astype(np.int32)), pa.array(s2.astype(np.int32)), pa.array(signed(g)), pa.array(signed(c))], names=["doc_id", "th", "s1", "s2", "g", "c"])
+                row, s1, s2, p, g, c = Windows(part.column("text"), length).stretches()
+                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(row)), pa.array(s1 << 32 | (s2 - s1) << 16 | (p - s1)), pa.array(signed(g)), pa.array(signed(c))], names=["key", "at", "g", "c"])
 
-    return _texts(docs).mapInArrow(run, f"doc_id {kind}, th long, s1 int, s2 int, g long, c long")
+    if length >= 1 << 16:
+        raise ValueError("length is below 65536")
+    return _texts(docs).select("key", "text").mapInArrow(run, "key long, at long, g long, c long")
 
 
-def _spots(flagged: DataFrame) -> DataFrame:
-    return flagged.groupBy("doc_id", "th").agg(F.collect_set(F.struct("s1", "s2", "kind")).alias("spots"))
+def _spread(part: pa.RecordBatch, step: int) -> tuple[np.ndarray, ...]:
+    """Each spot's blocks of `step` windows, counted back from its suffix: row, kind, first and last
+    window, suffix and number."""
+    spots = part.column("spots")
+    row = np.repeat(np.arange(part.num_rows), spots.value_lengths().to_numpy(zero_copy_only=False))
+    flat = spots.flatten()
+    s1, s2, p, kind = (flat.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("s1", "s2", "p", "kind"))
+    low, high = (p - s2) // step, (p - s1) // step
+    n = high - low + 1
+    number = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+    row, kind, s1, s2, p = (np.repeat(x, n) for x in (row, kind, s1, s2, p))
+    return row, kind, np.maximum(s1, p - step * number - step + 1), np.minimum(s2, p - step * number), p, number
 
 
-def _with_texts(docs: DataFrame, spots: DataFrame, how: str) -> DataFrame:
-    d = _texts(docs)
-    return d.join(spots.withColumnRenamed("doc_id", "__id").withColumnRenamed("th", "__th"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")), how).select("doc_id", "th", "text", "spots")
+def _blocks(texts: DataFrame, length: int) -> DataFrame:
+    """key, s1, s2, p, whole, core, asked: blocks of windows. whole: hash of the block's bytes; core: of
+    those that all windows of such a block have, wherever the spot ends."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 2 << 20):
+                w = Windows(part.column("text"), length)
+                step = w.step if w.count else 1
+                row, kind, a, b, p, number = _spread(part, step)
+                base = w.offsets[row]
+                whole, core = w.block_hashes(base + a, base + b, base + p - step * number, number)
+                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(row)), *(pa.array(x.astype(np.int32)) for x in (a, b, p)), pa.array(signed(whole)), pa.array(signed(core)), pa.array(kind == 1)], names=["key", "s1", "s2", "p", "whole", "core", "asked"])
+
+    return texts.mapInArrow(run, "key long, s1 int, s2 int, p int, whole long, core long, asked boolean")
 
-def _window_rows(texts: DataFrame, length: int) -> DataFrame:
-    """doc_id, th, s, w, asked: the windows of the given stretches."""
-    kind = texts.schema["doc_id"].dataType.simpleString()
+
+def _single(texts: DataFrame, length: int) -> DataFrame:
+    """key, s, w, asked: every window of the given blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 w = Windows(part.column("text"), length)
-                spots = part.column("spots")
-                row = np.repeat(np.arange(part.num_rows), spots.value_lengths().to_numpy(zero_copy_only=False))
-                flat = spots.flatten()
-                s1, s2, kind_ = (flat.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("s1", "s2", "kind"))
-                n = s2 - s1 + 1
-                s = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(s1, n)
-                row = np.repeat(row, n)
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("th").take(take), pa.array(s.astype(np.int32)), pa.array(signed(w.window[w.offsets[row] + s]) if len(s) else s), pa.array(np.repeat(kind_ == 1, n))], names=["doc_id", "th", "s", "w", "asked"])
+                row, kind, s, *_ = _spread(part, 1)
+                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(row)), pa.array(s.astype(np.int32)), pa.array(signed(w.window[w.offsets[row] + s]) if len(s) else s), pa.array(kind == 1)], names=["key", "s", "w", "asked"])
+
+    return texts.mapInArrow(run, "key long, s int, w long, asked boolean")
 
-    return texts.mapInArrow(run, f"doc_id {kind}, th long, s int, w long, asked boolean")
+
+def _with_texts(docs: DataFrame, spots: DataFrame) -> DataFrame:
+    """key, text, spots (s1, s2, p, kind) of texts that have any, each text once."""
+    lists = spots.groupBy("key").agg(F.collect_set(F.struct("s1", "s2", "p", "kind")).alias("spots"))
+    return _texts(docs).select("key", "text").join(lists, "key").dropDuplicates(["key"])
 
 
 def removed_spans(docs: DataFrame, length: int = 200) -> DataFrame:
-    """doc_id, th, spots: stretches [s1, s2] of window starts that repeat, in no order."""
+    """key, s1, s2: stretches of window starts that repeat."""
     all_ = write_table(stretch_table(docs, length), "stretches")
-    place = F.struct("doc_id", "th", "s1")
-    grams = all_.groupBy("g").agg(F.count("*").alias("n"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("n > 1").select("g", F.expr("c1 <> c2").alias("mixed"))
+    grams = all_.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
     # Suffixes whose leading tokens repeat, in buckets by sampled splitters, each sorted by its keys.
-    met = write_table(all_.join(grams, "g").repartitionByRange("g", "c", "doc_id", "s1").sortWithinPartitions("g", "c", "doc_id", "s1"), "suffixes")
-    same = met.groupBy("g", "c").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("mixed").alias("mixed"))
-    same = same.select("g", "c", "first", F.expr("first <> last").alias("twice"), "mixed").where("twice or mixed")
-    judged = met.drop("mixed").join(same, ["g", "c"])
+    met = write_table(all_.join(grams, "g").repartitionByRange("g", "c", "key", "at").sortWithinPartitions("g", "c", "key", "at"), "suffixes")
+    drop_tables(all_)
+    place = F.struct("key", "at")
+    mixed = met.groupBy("g").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).select("g", F.expr("c1 <> c2").alias("mixed"))
+    same = met.groupBy("g", "c").agg(F.min(place).alias("first"), F.max(place).alias("last")).select("g", "c", "first", F.expr("first <> last").alias("twice"))
+    judged = met.join(same.join(mixed, "g").where("twice or mixed"), ["g", "c"])
     # 0: repeated whole; 1: windows to ask for; 2: windows to compare with, of one copy
-    whole = judged.where("twice").select("doc_id", "th", "s1", "s2", F.lit(0).alias("kind"))
-    ask = judged.where("mixed and not twice").select("doc_id", "th", "s1", "s2", F.lit(1).alias("kind"))
-    offer = judged.where((F.col("mixed") & F.col("twice")) & (F.col("first") == place)).select("doc_id", "th", "s1", "s2", F.lit(2).alias("kind"))
-    whole = write_table(whole.unionByName(ask).unionByName(offer), "spots")
-    windows = write_table(_window_rows(_with_texts(docs, _spots(whole.where("kind > 0")), "inner"), length), "windows")
-    wide = F.struct("doc_id", "th", "s")
-    repeated = windows.groupBy("w").agg(F.min(wide).alias("a"), F.max(wide).alias("b")).where("a <> b").select("w")
-    found = windows.where("asked").join(repeated, "w").select("doc_id", "th", F.col("s").alias("s1"), F.col("s").alias("s2"), F.lit(0).alias("kind"))
-    return whole.where("kind = 0").unionByName(found)
+    kind = F.when(~F.col("twice"), 1).when(F.col("mixed") & (F.col("first") == place), 2).otherwise(0)
+    s1 = F.shiftright("at", 32)
+    spots = judged.select("key", s1.cast("int").alias("s1"), (s1 + F.shiftright("at", 16).bitwiseAND(0xFFFF)).cast("int").alias("s2"), (s1 + F.col("at").bitwiseAND(0xFFFF)).cast("int").alias("p"), kind.alias("kind"))
+    spots = write_table(spots, "spots")
+    drop_tables(met)
+    place = F.struct("key", "s1")
+
+    blocks = write_table(_blocks(_with_texts(docs, spots.where("kind > 0")), length), "blocks")
+    equal = blocks.groupBy("whole").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("whole", "first")
+    judged = blocks.join(equal, "whole", "left").select("key", "s1", "s2", "p", "core", "asked", F.col("first").isNotNull().alias("both"), (F.col("first") == place).alias("leads"))
+    judged = write_table(judged, "blocks")
+    drop_tables(blocks)
+    blocks = judged
+    # A block is settled if all of it repeats, or its core does not. Where the core does, single windows
+    # are compared: of open blocks, and of one of each kind of settled ones.
+    cores = blocks.groupBy("core").agg(F.count("*").alias("n"), F.max(~F.col("both")).alias("open")).where("n > 1 and open").select("core")
+    rest = blocks.where("not both or leads").join(cores, "core").select("key", "s1", "s2", "p", F.when(F.col("asked") & ~F.col("both"), 1).otherwise(2).alias("kind"))
+    windows = write_table(_single(_with_texts(docs, rest), length), "windows")
+    repeated = windows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
+    found = windows.where("asked").join(repeated, "w").select("key", F.col("s").alias("s1"), F.col("s").alias("s2"))
+    return spots.where("kind <> 1").select("key", "s1", "s2").unionByName(blocks.where("both and asked").select("key", "s1", "s2")).unionByName(found)
 
 
 def cut(text: bytes, s1: np.ndarray, s2: np.ndarray, length: int) -> tuple[bytes, int]:
@@ -184,23 +239,18 @@ def dedup(docs: DataFrame, length: int = 200) -> DataFrame:
             kept, runs, sizes = [], [], []
             for text, spots in zip(batch.column("text"), batch.column("spots"), strict=True):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+                rest, n = raw, 0
                 if spots.is_valid:
                     s1, s2 = (spots.values.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("s1", "s2"))
                     rest, n = cut(raw, s1, s2, length)
-                else:
-                    rest, n = raw, 0
                 kept.append(rest)
                 runs.append(n)
                 sizes.append(len(raw))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(runs, pa.int64())], names=["doc_id", "n_bytes", "kept", "n_spans"])
 
-    spots = _runs(removed_spans(docs, length))
-    return _with_texts(docs, spots, "left").mapInArrow(run, f"doc_id {kind}, n_bytes long, kept binary, n_spans long")
-
-
-def _runs(spans: DataFrame) -> DataFrame:
-    """The stretches of each text as one list; it is bounded by the text's length."""
-    return spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("s1", "s2")).alias("spots"))
+    spots = write_table(removed_spans(docs, length).groupBy("key").agg(F.collect_set(F.struct("s1", "s2")).alias("spots")), "cuts")
+    release(docs.sparkSession)
+    return _texts(docs).join(spots, "key", "left").select("doc_id", "text", "spots").mapInArrow(run, f"doc_id {kind}, n_bytes long, kept binary, n_spans long")
 
 
 def digests(done: DataFrame) -> DataFrame:
