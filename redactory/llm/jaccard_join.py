@@ -209,7 +209,7 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     nodes = write_table(grouped.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
 
     size = nodes.select("node", "n")
-    posted = nodes.select("node", F.posexplode("short").alias("at", "h"), needed("n", percent).alias("last")).select("h", "node", (F.col("at") < F.col("last")).alias("sure"))
+    posted = nodes.select("node", F.posexplode("short").alias("at", "h"), needed("n", percent).alias("last")).select("h", "node", "at", (F.col("at") < F.col("last")).alias("sure"))
     several = posted.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     lists = write_table(posted.join(several, "h").join(size, "node"), "jaccard-lists")
     links, tested, label = None, None, size.where("false").select("node", F.col("node").alias("component"))
@@ -227,7 +227,7 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
             label = components(links)
 
     def met(pairs: DataFrame, part: int) -> DataFrame:
-        """Pairs (a, n, b, m), a row for each list they meet in, that meet in 1 / part of what they must."""
+        """Of pairs (a, n, b, m), a row for each list they meet in, those that meet in 1 / part of what they must."""
         counted = pairs.where(_fits("n", "m", percent)).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
         return counted.where(F.col("c") * part >= must_meet("n", "m", percent))
 
@@ -247,13 +247,16 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     more = one.where("component <> c").join(first, "h").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"), "n", F.col("size").alias("m"))
     test(met(more, 2).select("a", "b"))
 
-    # Linked sets meet in a list that is sure for both, so pairs are made there only, and counted over all.
+    # Linked sets meet in a list that is sure for both, so pairs are made there only, and counted in their sets' short lists.
+    # Where they first meet, in the order of all shingles, what follows in both must still reach T.
     left = mixed()
-    x = left.where("sure").select("h", F.col("node").alias("a"), F.col("n"), F.col("component").alias("c1"))
-    y = left.where("sure").select("h", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("c2"))
-    rest = x.join(y, "h").where((F.col("a") < F.col("b")) & (F.col("c1") != F.col("c2")) & _fits("n", "m", percent)).select("a", "n", "b", "m").distinct()
-    lists_of = lambda node: left.select(F.col("node").alias(node), "h")
-    test(met(rest.join(lists_of("a"), "a").join(lists_of("b"), ["b", "h"]), 1).select("a", "b"))
+    x = left.where("sure").select("h", F.col("node").alias("a"), F.col("n"), F.col("at").alias("i"), F.col("component").alias("c1"))
+    y = left.where("sure").select("h", F.col("node").alias("b"), F.col("n").alias("m"), F.col("at").alias("j"), F.col("component").alias("c2"))
+    reach = F.expr(f"least(n - i, m - j) * {100 + percent} >= {percent} * (n + m)")
+    rest = x.join(y, "h").where((F.col("a") < F.col("b")) & (F.col("c1") != F.col("c2")) & _fits("n", "m", percent) & reach).select("a", "n", "b", "m").distinct()
+    short = lambda node, name: nodes.select(F.col("node").alias(node), F.col("short").alias(name))
+    meets = F.size(F.array_intersect("short_a", "short_b")) >= must_meet("n", "m", percent)
+    test(rest.join(short("a", "short_a"), "a").join(short("b", "short_b"), "b").where(meets).select("a", "b"))
 
     placed = nodes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
