@@ -294,6 +294,32 @@ def test_chaining_takes_the_best_order():
     assert at[best].tolist() == [0, 5, 15, 20]
 
 
+@pytest.mark.parametrize("gap", [100, 300, 800, 1200])
+def test_chaining_links_later_passages_of_a_pair(gap):
+    import numpy as np
+
+    far = 200 + gap
+    at = np.concatenate([np.arange(0, 200, 8), np.arange(far, far + 60, 8)])
+    assert sorted(len(c) for c in fuzzy_passages.chains(at, at)) == [8, 25]
+    assert sorted(len(c) for c in fuzzy_passages.chains(at, at + 7 * (at >= far))) == [8, 25]
+
+
+def test_chaining_is_the_recurrence():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        n = int(rng.integers(2, 120))
+        at, to = rng.integers(0, 500, n), rng.integers(0, 500, n)
+        order = np.lexsort((to, at))
+        x, y = at[order].tolist(), to[order].tolist()
+        score = []
+        for i in range(n):
+            score.append(5.0 + max([0.0] + [score[j] - 0.05 * (x[i] - x[j] + y[i] - y[j]) for j in range(i) if 0 < x[i] - x[j] <= 64 and 0 < y[i] - y[j] <= 64]))
+        got = [5.0 * len(c) - 0.05 * (at[c[-1]] - at[c[0]] + to[c[-1]] - to[c[0]]) for c in fuzzy_passages.chains(at, to)]
+        assert abs(max(got) - max(score)) < 1e-6
+
+
 def test_pipeline(spark, tmp_path, family):
     """run() against the brute-force versions of its stages."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
