@@ -235,6 +235,14 @@ def test_components(spark):
     assert all(out[i] == 0 for i in range(41)) and out[103] == out[101] == 100
 
 
+def test_components_of_a_shuffled_path(spark):
+    ids = list(range(1000))
+    random.Random(3).shuffle(ids)
+    links = spark.createDataFrame([*zip(ids, ids[1:], strict=False), (2000, 3000), (3000, 2500)], "a long, b long")
+    out = {r["node"]: r["component"] for r in components(links).collect()}
+    assert out == dict.fromkeys(range(1000), 0) | dict.fromkeys((2000, 2500, 3000), 2000)
+
+
 def brute_lines(texts, min_chars=120):
     strip = " \t\n\x0b\x0c\r"
     first_one, first_two, out = {}, {}, []
