@@ -302,6 +302,20 @@ def test_chaining_takes_the_best_order():
     assert at[best].tolist() == [0, 5, 15, 20]
 
 
+def test_fuzzy_passages_of_many_edits(spark):
+    rng = random.Random(12)
+    texts, edited = [], []
+    for _ in range(40):
+        passage = prose(rng, 60, 50_000).split()
+        fuzzy = list(passage)
+        for i in range(9, 60, 10):
+            fuzzy[i] = f"odd{rng.randrange(10**6)}"
+        texts.append(" ".join([prose(rng, 40, 50_000), *passage, prose(rng, 40, 50_000)]))
+        edited.append(" ".join([prose(rng, 70, 50_000), *fuzzy, prose(rng, 30, 50_000)]))
+    found = {(r["doc_id"], r["match_doc_id"]) for r in fuzzy_passages.passages(docs(spark, texts + edited)).collect()}
+    assert found == {(40 + i, i) for i in range(40)}
+
+
 @pytest.mark.parametrize("gap", [100, 300, 800, 1200])
 def test_chaining_links_later_passages_of_a_pair(gap):
     import numpy as np
