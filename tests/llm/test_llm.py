@@ -316,6 +316,24 @@ def test_fuzzy_passages_of_many_edits(spark):
     assert found == {(40 + i, i) for i in range(40)}
 
 
+def test_fuzzy_passages_with_parts_in_earlier_texts(spark):
+    rng = random.Random(13)
+    passage = prose(rng, 60, 50_000).split()
+    new = lambda n: prose(rng, n, 50_000).split()
+    parts = [new(40) + passage[i : i + 24] + new(40) for i in (0, 18, 36)]
+    texts = [*parts, new(50) + passage + new(50), new(80) + passage + new(20)]
+    rows = [r for r in fuzzy_passages.passages(docs(spark, [" ".join(t) for t in texts])).collect() if r["match_doc_id"] == 3]
+    assert [(r["doc_id"], r["start_word"], r["end_word"], r["match_start"]) for r in rows] == [(4, 80, 140, 50)]
+    parts = parts + [new(40) + passage[i : i + 24] + new(40) for i in (0, 18, 36)]  # such parts between the two as well
+    texts = [*parts[:3], new(50) + passage + new(50), *parts[3:], new(80) + passage + new(20)]
+    rows = [r for r in fuzzy_passages.passages(docs(spark, [" ".join(t) for t in texts])).collect() if r["match_doc_id"] == 3]
+    assert [(r["doc_id"], r["start_word"], r["end_word"], r["match_start"]) for r in rows] == [(7, 80, 140, 50)]
+    parts = [new(40) + passage[i : i + 16] + new(40) for i in (0, 7, 14)]  # no more than min_words
+    texts = [*parts, new(50) + passage[:30] + new(50), *parts, new(80) + passage[:30] + new(20)]
+    rows = [r for r in fuzzy_passages.passages(docs(spark, [" ".join(t) for t in texts])).collect() if r["match_doc_id"] == 3]
+    assert (7, 80, 110, 50) in [(r["doc_id"], r["start_word"], r["end_word"], r["match_start"]) for r in rows]
+
+
 @pytest.mark.parametrize("gap", [100, 300, 800, 1200])
 def test_chaining_links_later_passages_of_a_pair(gap):
     import numpy as np
