@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redactory.llm.common import slices
+from maskwright.llm.common import slices
 
 #: A vocabulary above this many entries is refused, as it is broadcast.
 MOST_ENTRIES = 1_000_000

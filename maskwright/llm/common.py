@@ -25,7 +25,7 @@ def shared_folder(spark: SparkSession) -> str:
     if folder:
         return folder
     if not _own_folder:
-        _own_folder.append("file://" + tempfile.mkdtemp(prefix="redactory-"))
+        _own_folder.append("file://" + tempfile.mkdtemp(prefix="maskwright-"))
     return _own_folder[0]
 
 

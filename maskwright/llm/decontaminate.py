@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from redactory.llm.common import text_column, write_table
+from maskwright.llm.common import text_column, write_table
 
 K = 5
 

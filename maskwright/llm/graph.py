@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactory.llm.common import drop_tables, write_table
+from maskwright.llm.common import drop_tables, write_table
 
 
 def components(links: DataFrame) -> DataFrame:

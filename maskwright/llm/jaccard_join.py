@@ -35,8 +35,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redactory.llm.common import Words, list_array, mix, signed, slices, unsigned, write_table
-from redactory.llm.graph import components
+from maskwright.llm.common import Words, list_array, mix, signed, slices, unsigned, write_table
+from maskwright.llm.graph import components
 
 LONG_LISTS = 1 << 17
 LOCAL_SHINGLES = 8_000_000

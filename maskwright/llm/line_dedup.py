@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from redactory.llm.common import write_table
+from maskwright.llm.common import write_table
 
 KEY = ("doc_id", "th")
 BLANKS = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"

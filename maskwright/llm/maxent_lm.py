@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactory.llm.common import _MIX, Words, held_out, list_array, mix, signed, slices, unsigned, write_table
+from maskwright.llm.common import _MIX, Words, held_out, list_array, mix, signed, slices, unsigned, write_table
 
 HEAVY_BITS = 18
 TOP_WORDS, TOP_SUFFIXES, OTHER = 20, 24, 4

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redactory.llm.common import WORD_BREAK, text_column
+from maskwright.llm.common import WORD_BREAK, text_column
 
 #: Bit of each rule, in order; the order is part of stored ledgers and only ever grows.
 RULES = ("few_words", "repeated_words", "symbols", "upper_case", "duplicate_lines", "word_length", "no_letters", "exclamations")

@@ -17,44 +17,44 @@ def vocabulary_path() -> str:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from redactory.llm import toxicity
+    from maskwright.llm import toxicity
 
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
 def op2_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from redactory.llm import fuzzy_passages
+    from maskwright.llm import fuzzy_passages
 
     return fuzzy_passages.passages(_table(spark, sf_dir, "documents"))
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from redactory.llm import maxent_lm
+    from maskwright.llm import maxent_lm
 
     return maxent_lm.run(_table(spark, sf_dir, "documents"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from redactory.llm import decontaminate
+    from maskwright.llm import decontaminate
 
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from redactory.llm import substring_dedup
+    from maskwright.llm import substring_dedup
 
     return substring_dedup.digests(substring_dedup.dedup(_table(spark, sf_dir, "documents")))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from redactory.llm import url_filter
+    from maskwright.llm import url_filter
 
     return url_filter.judge(_table(spark, sf_dir, "pages"))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from redactory.llm import jaccard_join
+    from maskwright.llm import jaccard_join
 
     return jaccard_join.join(_table(spark, sf_dir, "documents"))
 
@@ -62,20 +62,20 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
-    from redactory.llm import line_dedup
+    from maskwright.llm import line_dedup
 
     done = line_dedup.dedup(_table(spark, sf_dir, "documents"))
     return done.select("doc_id", "__removed.n_lines", "__removed.n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from redactory.llm import quality_rules
+    from maskwright.llm import quality_rules
 
     return quality_rules.ledger_rows(_table(spark, sf_dir, "documents"))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from redactory.llm import bpe
+    from maskwright.llm import bpe
 
     return bpe.digests(bpe.encode(_table(spark, sf_dir, "documents"), vocabulary_path()))
 

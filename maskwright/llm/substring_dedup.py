@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactory.llm.common import _BASE, _BYTE, drop_tables, mix, release, signed, slices, utf8, write_table
+from maskwright.llm.common import _BASE, _BYTE, drop_tables, mix, release, signed, slices, utf8, write_table
 
 GRAM = 32
 _MASK = (1 << 64) - 1

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactory.llm.common import Words, held_out, list_array, slices
+from maskwright.llm.common import Words, held_out, list_array, slices
 
 #: Documented bound of the labelled sample.
 MOST_LABELLED = 16_000

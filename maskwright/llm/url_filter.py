@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redactory.llm.common import mix, unsigned, write_table
+from maskwright.llm.common import mix, unsigned, write_table
 
 #: Rule (host and path) to verdict.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}

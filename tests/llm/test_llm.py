@@ -9,9 +9,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from redactory.llm import bpe, decontaminate, fuzzy_passages, jaccard_join, line_dedup, maxent_lm, quality_rules, substring_dedup, toxicity, url_filter
-from redactory.llm.graph import components
-from redactory.llm.queries import vocabulary_path
+from maskwright.llm import bpe, decontaminate, fuzzy_passages, jaccard_join, line_dedup, maxent_lm, quality_rules, substring_dedup, toxicity, url_filter
+from maskwright.llm.graph import components
+from maskwright.llm.queries import vocabulary_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
