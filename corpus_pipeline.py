@@ -7,9 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from redactory.llm import bpe, decontaminate, jaccard_join, line_dedup, quality_rules
-from redactory.llm.common import write_table
-from redactory.llm.queries import vocabulary_path
+from maskwright.llm import bpe, decontaminate, jaccard_join, line_dedup, quality_rules
+from maskwright.llm.common import write_table
+from maskwright.llm.queries import vocabulary_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

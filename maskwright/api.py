@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redactory.config import RedactionConfig
-from redactory.operators.replace import apply_spans, redacted, reid_key
-from redactory.operators.rules import RULES, Rule, deny_spans, detect_rules
-from redactory.operators.spans import filter_spans, keep_span, resolve, resolve_overlaps
+from maskwright.config import RedactionConfig
+from maskwright.operators.replace import apply_spans, redacted, reid_key
+from maskwright.operators.rules import RULES, Rule, deny_spans, detect_rules
+from maskwright.operators.spans import filter_spans, keep_span, resolve, resolve_overlaps
 
 
 def candidate_spans(text: Column, config: RedactionConfig, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -38,7 +38,7 @@ def detect(df: DataFrame, config: RedactionConfig | None = None, id_col: str = "
     if extra is not None:
         found = found.unionByName(extra)
     if ner is not None:
-        from redactory.operators.propagate import with_propagation
+        from maskwright.operators.propagate import with_propagation
 
         found = found.unionByName(with_propagation(df, ner(df), id_col, text))
     return resolve_overlaps(filter_spans(found, config), id_col)

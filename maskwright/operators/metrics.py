@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from redactory.functions.text import normalised
+from maskwright.functions.text import normalised
 
 #: A candidate model is rejected if it loses more F1 than this.
 MOST_F1_LOSS = 0.005

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from redactory.config import MODEL
+from maskwright.config import MODEL
 
 # Chunk size and overlap, and how far a token may lie ahead.
 CHUNK, OVERLAP, AHEAD = 1200, 80, 40
@@ -59,7 +59,7 @@ def chunks(df: DataFrame, id_col: str = "doc_id", text: str = "text", most_token
             rows = [(i, k, o, c) for i, t in zip(b["id"], b["text"], strict=True) for k, (o, c) in enumerate(chunk(t, most_tokens, count))]
             yield pd.DataFrame(rows, columns=["id", "chunk_no", "offset", "chunk"])
 
-    from redactory.functions.text import needs_model
+    from maskwright.functions.text import needs_model
 
     some = df.where(needs_model(F.col(text))).select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     return some.mapInPandas(run, f"id {kind}, chunk_no int, offset int, chunk string").withColumnRenamed("id", id_col)

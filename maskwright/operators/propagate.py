@@ -8,10 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from redactory.config import DENY, MODEL
-from redactory.functions.text import trimmed
-from redactory.operators.rules import located, term_pattern
-from redactory.operators.spans import plausible
+from maskwright.config import DENY, MODEL
+from maskwright.functions.text import trimmed
+from maskwright.operators.rules import located, term_pattern
+from maskwright.operators.spans import plausible
 
 # Which types spread, what a part of a name looks like, and how much score a repeat keeps.
 SPREADING = ("PERSON", "ORG", "LOCATION")

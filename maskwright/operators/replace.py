@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from redactory.config import POOLS
-from redactory.functions.text import let, neutralised, normalised
+from maskwright.config import POOLS
+from maskwright.functions.text import let, neutralised, normalised
 
 MASK = "[REDACTED]"
 
@@ -92,7 +92,7 @@ def apply_spans(texts: DataFrame, active: DataFrame, mode: str, doc: str = "doc_
 
 def reidentify(texts: DataFrame, key: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """The inverse of label mode: labels found in the texts become the originals of the key."""
-    from redactory.operators.rules import located
+    from maskwright.operators.rules import located
 
     labels = texts.where(F.contains(F.col(text), F.lit("["))).select(doc, F.inline(located(F.col(text), r"\[[A-Z_]+_\d+\]")))
     found = labels.join(key.select(doc, F.col("replacement").alias("t"), F.col("first_text").alias("new")), [doc, "t"])

@@ -8,10 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from redactory.config import DENY
-from redactory.functions.text import value_key
-from redactory.operators.propagate import occurrences
-from redactory.operators.spans import resolve_overlaps, without_overlap
+from maskwright.config import DENY
+from maskwright.functions.text import value_key
+from maskwright.operators.propagate import occurrences
+from maskwright.operators.spans import resolve_overlaps, without_overlap
 
 
 def occurrence_key() -> Column:

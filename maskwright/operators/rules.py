@@ -12,8 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redactory.config import DENY, RULE, TYPES
-from redactory.functions.text import NO_WORD_AFTER, NO_WORD_BEFORE, dialect, digits, let, without_end_marks
+from maskwright.config import DENY, RULE, TYPES
+from maskwright.functions.text import NO_WORD_AFTER, NO_WORD_BEFORE, dialect, digits, let, without_end_marks
 
 # Patterns, scores and their order.
 MONTHS = "Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?"

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from redactory.config import RedactionConfig
-from redactory.functions.text import digits, let, trimmed
+from maskwright.config import RedactionConfig
+from maskwright.functions.text import digits, let, trimmed
 
 #: Manual before rule before model.
 SOURCE_RANK = {"manual": 3, "rule": 2, "ml": 1}

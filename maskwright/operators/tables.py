@@ -10,9 +10,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redactory.config import HEADER, RedactionConfig
-from redactory.functions.text import column_label, dialect, normalised, trimmed
-from redactory.operators.replace import label_map, replacement, spliced
+from maskwright.config import HEADER, RedactionConfig
+from maskwright.functions.text import column_label, dialect, normalised, trimmed
+from maskwright.operators.replace import label_map, replacement, spliced
 
 # What a header says about its column; the first that matches wins.
 COLUMN_RULES = (
@@ -108,7 +108,7 @@ def structural_spans(cells: DataFrame, types: DataFrame) -> DataFrame:
 def cell_spans(cells: DataFrame, config: RedactionConfig) -> DataFrame:
     """Rule and list spans of every cell, found once for each distinct (context, value). The text
     scanned is "context: value | ", and spans are clipped to the value."""
-    from redactory.api import candidate_spans
+    from maskwright.api import candidate_spans
 
     distinct = cells.select("context", "value").where("value <> ''").distinct()
     shown = F.concat("context", F.lit(": "), "value", F.lit(" | "))
@@ -135,7 +135,7 @@ def covered_cells(cells: DataFrame, spans: DataFrame) -> DataFrame:
 
 def scan_plan(cells: DataFrame, covered: DataFrame) -> DataFrame:
     """The distinct samples a model has to read: doc_id, sheet, col, context, value, targets."""
-    from redactory.functions.text import needs_model
+    from maskwright.functions.text import needs_model
 
     left = cells.where(needs_model(F.col("value"))).join(covered, AT, "left_anti")
     return left.groupBy("doc_id", "sheet", "col", "context", "value").agg(F.count("*").alias("targets"))
@@ -160,7 +160,7 @@ def project_findings(cells: DataFrame, findings: DataFrame) -> DataFrame:
 
 def resolve_cells(spans: DataFrame, config: RedactionConfig) -> DataFrame:
     """Settings and overlaps, cell by cell, in the row."""
-    from redactory.operators.spans import filter_spans, resolve
+    from maskwright.operators.spans import filter_spans, resolve
 
     fields = ["start", "end", "type", "text", "source", "score", "ord"]
     kept = filter_spans(spans, config).groupBy(*AT).agg(F.collect_list(F.struct(*fields)).alias("s"))

@@ -3,11 +3,11 @@ for places, list folds for overlaps, plain joins elsewhere."""
 
 from __future__ import annotations
 
-from redactory.config import DENY, HEADER, MODEL, POOLS, TYPES
-from redactory.functions.text import WHITE_SPACE, dialect
-from redactory.operators.rules import RULES
-from redactory.operators.tables import COLUMN_RULES, NUMERIC
-from redactory.plans.queries import CUSTOMER, LABELS, SUPPLIER, TERMS
+from maskwright.config import DENY, HEADER, MODEL, POOLS, TYPES
+from maskwright.functions.text import WHITE_SPACE, dialect
+from maskwright.operators.rules import RULES
+from maskwright.operators.tables import COLUMN_RULES, NUMERIC
+from maskwright.plans.queries import CUSTOMER, LABELS, SUPPLIER, TERMS
 
 
 def q(s: str) -> str:

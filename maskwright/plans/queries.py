@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactory import api
-from redactory.config import MODEL, TYPES, RedactionConfig
-from redactory.functions import text as fx
-from redactory.operators import layout, metrics, model, propagate, replace, review, rules, spans, tables
+from maskwright import api
+from maskwright.config import MODEL, TYPES, RedactionConfig
+from maskwright.functions import text as fx
+from maskwright.operators import layout, metrics, model, propagate, replace, review, rules, spans, tables
 
 ALL = RedactionConfig(enabled=frozenset(TYPES))
 TERMS = ("that", "nicht", "mente", "Que")

@@ -1,5 +1,5 @@
 """All queries by name."""
 
-from redactory.plans.queries import QUERIES
+from maskwright.plans.queries import QUERIES
 
 __all__ = ["QUERIES"]

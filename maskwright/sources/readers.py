@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactory.functions.text import extension, trimmed
+from maskwright.functions.text import extension, trimmed
 
 # Extensions by kind, and why others are refused.
 TEXTS = ("txt", "md", "json", "log", "xml", "html", "htm", "eml", "yaml", "yml")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactory.functions.text import base_name, neutralised
-from redactory.operators.replace import key_csv
+from maskwright.functions.text import base_name, neutralised
+from maskwright.operators.replace import key_csv
 
 
 def redacted_name(df: DataFrame, name: str = "name") -> DataFrame:

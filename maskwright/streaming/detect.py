@@ -8,17 +8,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactory.api import active_spans
-from redactory.config import RedactionConfig
-from redactory.functions.text import normalised
-from redactory.operators.replace import spliced
+from maskwright.api import active_spans
+from maskwright.config import RedactionConfig
+from maskwright.functions.text import normalised
+from maskwright.operators.replace import spliced
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def redact_stream(stream: DataFrame, config: RedactionConfig | None = None, text: str = "text") -> DataFrame:
     """A stream with its texts redacted one by one; append mode, no shuffle, no state."""
-    from redactory.api import redact
+    from maskwright.api import redact
 
     return redact(stream, config=config, text=text)
 

@@ -5,10 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from redactory import api
-from redactory.config import RedactionConfig
-from redactory.functions import text as fx
-from redactory.operators import replace, rules, spans
+from maskwright import api
+from maskwright.config import RedactionConfig
+from maskwright.functions import text as fx
+from maskwright.operators import replace, rules, spans
 
 
 def found(spark, text, config=None):

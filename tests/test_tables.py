@@ -3,11 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from redactory import api
-from redactory.config import RedactionConfig
-from redactory.operators import layout, metrics, model, propagate, review, tables
-from redactory.sources import readers, writers
-from redactory.streaming import detect as streaming
+from maskwright import api
+from maskwright.config import RedactionConfig
+from maskwright.operators import layout, metrics, model, propagate, review, tables
+from maskwright.sources import readers, writers
+from maskwright.streaming import detect as streaming
 
 
 @pytest.mark.parametrize("header, type_", [("Email Address", "EMAIL"), ("firstName", "PERSON"), ("Date of Birth", "DATE"), ("user_name", "ID_NUMBER"), ("Company", "ORG"), ("street", "ADDRESS"), ("Postal Code", "ZIP"), ("Amount", None), ("c_name", None), ("", None)])
