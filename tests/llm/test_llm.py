@@ -395,3 +395,31 @@ def test_null_ids_and_repeated_rows(spark):
     empty = d.where("false")
     for f in (line_dedup.dedup, quality_rules.ledger_rows, jaccard_join.join, substring_dedup.dedup, maxent_lm.run, fuzzy_passages.passages):
         assert f(empty).count() == 0
+
+
+def test_t_occurrence_is_the_overlap():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        base = rng.integers(0, 40, 30)
+        sets = [[np.unique(np.where(rng.random(30) < 0.1, rng.integers(0, 1000, 30), base)) for _ in range(rng.integers(1, 12))] for _ in range(2)]
+        (x, fx), (y, fy) = ((np.concatenate(v), np.append(0, np.cumsum([len(s) for s in v]))) for v in sets)
+        need, asked = rng.integers(1, 30, (len(sets[1]), len(sets[0]))), rng.random((len(sets[1]), len(sets[0]))) < 0.8
+        want = np.array([[len(np.intersect1d(a, b)) for b in sets[0]] for a in sets[1]]) >= need
+        assert (jaccard_join.t_occurrence(x, fx, y, fy, need, asked) == (want & asked)).all()
+
+
+def test_jaccard_join_of_a_group_just_below(spark):
+    """300 texts of one group, most of them a little too far from each other to link."""
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    texts = []
+    for _ in range(300):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 2, 3, 3, 4])):
+            w[rng.randrange(120)] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.join(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(300)] == [c for _, c in brute_groups(texts, 3, 90)]
+    assert 20 < len(set(got.values())) < 300
