@@ -48,7 +48,7 @@ LOCAL_SHINGLES = 8_000_000
 #: One short list more for so many.
 SPARE = 4
 #: Nodes of a list that is paired as rows; longer ones are compared in blocks of so many nodes and shingles.
-FEW, BLOCK_NODES, BLOCK_SHINGLES = 16, 1024, 1 << 20
+FEW, BLOCK_NODES, BLOCK_SHINGLES = 16, 256, 1 << 20
 #: Weight of the longest list's logarithm in DivideSkip's number of long lists, and postings merged at once.
 MU, AT_ONCE = 0.1, 1 << 21
 
