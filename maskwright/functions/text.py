@@ -20,6 +20,38 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def mapped(items: Column, step: str) -> Column:
+    """transform of an array by a lambda in SQL ("x -> ..."): one call to the JVM where an expression built up from
+    Columns takes one for each node."""
+    return F.call_function("transform", items, F.expr(step))
+
+
+def let_sql(value: Column, body: str) -> Column:
+    """SQL over `v`, which is value, evaluated once."""
+    return F.element_at(mapped(F.array(value), f"v -> {body}"), 1)
+
+
+def bound(name: str, value: str, body: str) -> str:
+    """SQL of body with a name for the value of another SQL expression."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def running(values: str, add: Callable[[str, str], str], zero: str) -> str:
+    """SQL for what lies before each of an array's values, added up from the left (add must be associative, zero
+    its identity). In blocks of about the root of their number, as an array that grows by one is copied each time."""
+
+    def fold(items: str, of: str) -> str:
+        start = f"named_struct('sum', {zero}, 'before', slice(array({zero}), 1, 0))"
+        return f"aggregate({items}, {start}, (acc, x) -> named_struct('sum', {add('acc.sum', of)}, 'before', array_append(acc.before, acc.sum)))"
+
+    size = f"greatest(cast(ceil(sqrt(size({values}))) AS int), 1)"
+    blocks = bound("width", size, f"transform(sequence(0, cast(floor((size({values}) - 1) / width) AS int)), j -> slice({values}, j * width + 1, width))")
+    inner = f"transform({blocks}, block -> {fold('block', 'x')})"
+    shifted = f"flatten(transform(inner_, (y, j) -> transform(y.before, w -> {add('get(outer_, j)', 'w')})))"
+    whole = bound("inner_", inner, bound("outer_", fold("inner_", "x.sum") + ".before", shifted))
+    return f"CASE WHEN size({values}) = 0 THEN slice(array({zero}), 1, 0) ELSE {whole} END"
+
+
 def dialect(pattern: str, edge: str = WORD_EDGE, flags: str = "") -> str:
     r"""A pattern with \b, \s and \S as browsers read them, for Java; with edge=r"\b" for RE2."""
     out, in_class, i = [], False, 0
@@ -112,20 +144,20 @@ def cell_address(address: Column) -> Column:
 
 
 def excel_serial_date(serial: Column, date1904: Column) -> Column:
-    """ISO text of a day number, with the time if there is a fraction; 60 of the 1900 system is a day
+    """ISO text of a day number, with the time after a space if there is a fraction; 60 of the 1900 system is a day
     that never was, so days before it count one more."""
     days = F.floor(serial)
     first = F.when(date1904, F.to_date(F.lit("1904-01-01"))).otherwise(F.to_date(F.lit("1899-12-30")))
     day = F.date_add(first, (days + F.when(~date1904 & (days < 60), 1).otherwise(0)).cast("int"))
     seconds = F.round((serial - days) * 86400).cast("long")
-    clock = F.date_format(F.timestamp_seconds(F.unix_timestamp(day.cast("timestamp")) + seconds), "yyyy-MM-dd'T'HH:mm:ss")
+    clock = F.date_format(F.timestamp_seconds(F.unix_timestamp(day.cast("timestamp")) + seconds), "yyyy-MM-dd HH:mm:ss")
     return F.when(seconds == 0, day.cast("string")).otherwise(clock)
 
 
 def is_date_format(format_id: Column, code: Column) -> Column:
     """Whether a number format shows a date: the built-in ids, or a code with date letters outside quotes and brackets."""
     bare = F.regexp_replace(code, r'"[^"]*"|\[[^\]]*\]|\\.', "")
-    return format_id.between(14, 22) | format_id.between(45, 47) | F.coalesce(bare.rlike(r"(?i)[dmyhs]"), F.lit(False))
+    return format_id.between(14, 22) | format_id.between(45, 47) | F.coalesce(bare.rlike(r"(?i)[ymdhis]"), F.lit(False))
 
 
 def zero_pad(value: Column, code: Column) -> Column:
@@ -152,11 +184,27 @@ def escape_xml(text: Column) -> Column:
     return text
 
 
+# What is replaced in Office XML, and by what.
+SCRUBBED = (
+    (r'(w:author|w15:author)="[^"]*"', '$1="Redacted"'),
+    (r'(w:initials)="[^"]*"', '$1="R"'),
+    (r'(w15:userId)="[^"]*"', '$1=""'),
+    (r"<(dc:creator|cp:lastModifiedBy|dc:title|dc:subject|dc:description|cp:keywords|Company|Manager)>[^<]*</\1>", "<$1></$1>"),
+    (r"(<vt:lpwstr>)[^<]*(</vt:lpwstr>)", "$1$2"),
+)
+# End of fixed values.
+
+
 def scrub_office_xml(xml: Column) -> Column:
-    """Office XML without names of authors and editors, dates of edits and revision ids."""
-    xml = F.regexp_replace(xml, r'(w:(?:author|initials|date)|w15:(?:author|userId|providerId))="[^"]*"', '$1=""')
-    xml = F.regexp_replace(xml, r"(<(?:dc:creator|cp:lastModifiedBy|dc:title|dc:subject|dc:description|cp:keywords|cp:category|Manager|Company|HyperlinkBase)(?: [^>]*)?>)[^<]*(</)", "$1$2")
-    return F.regexp_replace(xml, r' w:rsid\w*="[^"]*"', "")
+    """Office XML without names of authors and editors, document properties and custom properties."""
+    for pattern, new in SCRUBBED:
+        xml = F.regexp_replace(xml, pattern, new)
+    return xml
+
+
+def rounded_score(score: Column) -> Column:
+    """A score as it is kept: four digits, halves up."""
+    return F.floor(score * 10_000 + 0.5) / 10_000
 
 
 def neutralised(value: Column) -> Column:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from maskwright.functions.text import running
+
 # Distances as shares of the font or line height, padding, and characters of a page with text.
-SAME_LINE, TAB_GAP, SPACE_GAP, SAME_ROW, BACK, PAD, FEW = 0.5, 1.5, 0.1, 0.6, 0.5, 3.0, 25
+SAME_LINE, TAB_GAP, SPACE_GAP, NUMBER_GAP, SAME_ROW, BACK, PAD, FEW = 0.5, 1.5, 0.1, -0.3, 0.6, 0.5, 3.0, 25
 # End of fixed values.
 
 PAGE = ["doc_id", "page"]
@@ -28,11 +30,12 @@ def lines(items: DataFrame) -> DataFrame:
 
 
 def page_text(items: DataFrame) -> DataFrame:
-    """doc_id, page, text: items of a line in order of x, with tabs and spaces for gaps, a newline after each line."""
+    """doc_id, page, text: items of a line in order of x, with tabs and spaces for gaps, a newline after each line.
+    A number beside a number or amount is parted even if they are almost flush."""
     by = Window.partitionBy(*PAGE, "line").orderBy("x")
     m = lines(items).withColumns({"reach": F.max(F.col("x") + F.col("w")).over(by.rowsBetween(Window.unboundedPreceding, -1)), "before": F.lag("text").over(by)})
     gap = F.col("x") - F.col("reach")
-    numbers = F.col("before").rlike(r"\d\z") & F.col("text").rlike(r"^\d")
+    numbers = F.col("before").rlike(r"\d\z") & F.col("text").rlike(r"^[-$(\d]") & (gap > NUMBER_GAP * F.col("h"))
     mark = F.when(F.col("reach").isNull(), "").when(gap > TAB_GAP * F.col("h"), "\t").when((gap > SPACE_GAP * F.col("h")) | numbers, " ").otherwise("")
     spaced = F.col("before").rlike(r"\s\z") | F.col("text").rlike(r"^\s")
     parts = m.withColumn("part", F.concat(F.when(spaced & (mark == " "), "").otherwise(mark), "text"))
@@ -41,13 +44,22 @@ def page_text(items: DataFrame) -> DataFrame:
 
 
 def char_boxes(runs: DataFrame) -> DataFrame:
-    """runs (doc_id, start, page, x, y, w, h, text, weights or null) as a box for each character: idx, page, x, y, w, h."""
+    """runs (doc_id, start, page, x, y, w, h, text, weights or null) as a box for each character: idx, page, x, y, w, h.
+    A run's weights are summed once, from the left."""
     n = F.length("text")
     weights = F.coalesce("weights", F.transform(F.sequence(F.lit(1), n), lambda _: F.lit(1.0)))
+    before = F.expr(running("__w", lambda a, b: f"{a} + {b}", "0D"))
     total = F.aggregate("__w", F.lit(0.0), lambda a, v: a + v)
-    e = runs.where(n > 0).withColumn("__w", weights).withColumn("__t", total).select("*", F.posexplode("__w").alias("k", "v"))
-    left = F.aggregate(F.slice("__w", F.lit(1), F.col("k")), F.lit(0.0), lambda a, v: a + v)
-    return e.select("doc_id", (F.col("start") + F.col("k")).alias("idx"), "page", (F.col("x") + F.col("w") * left / F.col("__t")).alias("x"), "y", (F.col("w") * F.col("v") / F.col("__t")).alias("w"), "h")
+    placed = runs.where(n > 0).withColumn("__w", weights).select("doc_id", "start", "page", "x", "y", "w", "h", "__w", before.alias("__b"), total.alias("__t"))
+    e = placed.select("doc_id", "start", "page", "x", "y", "w", "h", "__t", F.posexplode(F.arrays_zip(F.col("__w").alias("v"), F.col("__b").alias("b"))).alias("k", "z"))
+    x, w = F.col("x") + F.col("w") * F.col("z.b") / F.col("__t"), F.col("w") * F.col("z.v") / F.col("__t")
+    return e.select("doc_id", (F.col("start") + F.col("k")).alias("idx"), "page", x.alias("x"), "y", w.alias("w"), "h")
+
+
+def with_areas(found: DataFrame, areas: DataFrame) -> DataFrame:
+    """Rectangles of findings and those that people drew (doc_id, page, x, y, w, h), each once: what is blacked out."""
+    box = ["doc_id", "page", "x", "y", "w", "h"]
+    return found.select(box).unionByName(areas.select(box)).distinct()
 
 
 def symbols_text(symbols: DataFrame) -> DataFrame:

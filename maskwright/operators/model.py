@@ -8,13 +8,37 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from maskwright.config import MODEL
-
-# Chunk size and overlap, and how far a token may lie ahead.
-CHUNK, OVERLAP, AHEAD = 1200, 80, 40
+from maskwright.functions.text import WHITE_SPACE, needs_model, trimmed
+from maskwright.storage import write_table
+
+# Chunk size and overlap, the share by which a chunk with too many tokens shrinks, how far a token may
+# lie ahead, and what models' labels stand for (without B- or I-; others count for none).
+CHUNK, OVERLAP, SHRINK, AHEAD = 1200, 80, 0.9, 40
+PII_LABELS = {
+    "PERSON": ("first_name", "last_name"),
+    "ORG": ("company_name",),
+    "LOCATION": ("city", "county", "state", "country", "coordinate"),
+    "ADDRESS": ("street_address",),
+    "EMAIL": ("email",),
+    "PHONE": ("phone_number", "fax_number"),
+    "SSN": ("ssn",),
+    "CREDIT_CARD": ("credit_debit_card",),
+    "IP_ADDRESS": ("ipv4", "ipv6"),
+    "URL": ("url",),
+    "DATE": ("date", "date_of_birth", "date_time", "time"),
+    "ZIP": ("postcode",),
+    "ID_NUMBER": (
+        "medical_record_number", "health_plan_beneficiary_number", "account_number", "bank_routing_number", "swift_bic", "customer_id", "employee_id",
+        "certificate_license_number", "tax_id", "unique_id", "vehicle_identifier", "license_plate", "device_identifier", "biometric_identifier",
+        "user_name", "password", "pin", "api_key", "cvv", "mac_address", "http_cookie",
+    ),
+    "SENSITIVE": ("age", "gender", "race_ethnicity", "religious_belief", "sexuality", "political_view", "blood_type", "occupation", "employment_status", "education_level", "language",),
+}
+NAME_LABELS = {"PERSON": ("PER",), "ORG": ("ORG",), "LOCATION": ("LOC",)}
 # End of fixed values.
 
 #: (chunk texts) to, for each, a list of (start, end, type, score).
@@ -31,22 +55,37 @@ def count_words(text: str) -> int:
     return n
 
 
+def label_table(spark: SparkSession, labels: dict[str, tuple[str, ...]] = PII_LABELS) -> DataFrame:
+    """label, type: a registry of what a model's labels stand for, each with its B- and I- forms."""
+    rows = [(form + label, type_) for type_, names in labels.items() for label in names for form in ("", "B-", "I-")]
+    return spark.createDataFrame(rows, "label string, type string")
+
+
 def chunk(text: str, most_tokens: int = 512, count: Callable[[str], int] = count_words) -> list[tuple[int, str]]:
-    """(offset, text) pieces that cover the text: at most CHUNK characters and most_tokens tokens, ended at a
-    newline, sentence or space if one is past the half, each overlapping the one before."""
+    """(offset, text) pieces that cover the text: at most CHUNK characters and most_tokens tokens, each overlapping
+    the one before. A piece ends one character after the last newline, ". " or space, if that is past its half; one of too
+    many tokens shrinks in proportion and is broken again."""
     out, start, n = [], 0, len(text)
+
+    def broken(end: int) -> int:
+        if end == n:
+            return end
+        piece = text[start:end]
+        last = max(piece.rfind(mark) for mark in ("\n", ". ", " "))
+        return start + last + 1 if last > len(piece) / 2 else end
+
     while start < n:
-        end = min(n, start + CHUNK)
-        if end < n:
-            half = start + (end - start) // 2
-            found = [p + len(mark) for mark in ("\n", ". ", " ") if (p := text.rfind(mark, half, end)) >= 0]
-            end = found[0] if found else end
-        while end - start > 1 and count(text[start:end]) > most_tokens:
-            end = start + max(1, (end - start) * 3 // 4)
+        end = broken(min(n, start + CHUNK))
+        while (tokens := count(text[start:end])) > most_tokens:
+            size = end - start
+            if size <= 1:
+                raise ValueError("a character has more tokens than a model takes")
+            end = broken(start + max(1, min(size - 1, int(size * most_tokens / tokens * SHRINK))))
         out.append((start, text[start:end]))
-        if end >= n:
+        if end == n:
             break
-        start = max(start + 1, end - min(OVERLAP, (end - start) // 4))
+        after = end - min(OVERLAP, (end - start) // 4)
+        start = after if after > start else end
     return out
 
 
@@ -59,17 +98,33 @@ def chunks(df: DataFrame, id_col: str = "doc_id", text: str = "text", most_token
             rows = [(i, k, o, c) for i, t in zip(b["id"], b["text"], strict=True) for k, (o, c) in enumerate(chunk(t, most_tokens, count))]
             yield pd.DataFrame(rows, columns=["id", "chunk_no", "offset", "chunk"])
 
-    from maskwright.functions.text import needs_model
-
     some = df.where(needs_model(F.col(text))).select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     return some.mapInPandas(run, f"id {kind}, chunk_no int, offset int, chunk string").withColumnRenamed("id", id_col)
 
 
-def annotate(df: DataFrame, load: Callable[[], Annotator], id_col: str = "doc_id", text: str = "text", most_tokens: int = 512) -> tuple[DataFrame, DataFrame]:
-    """(spans, states). load is called once a Python worker. spans: id, start, end, type, text, source, score, ord;
-    states: id, ml_state (done or failed), ml_error."""
+def packed(samples: list[str], most: int = CHUNK) -> list[list[int]]:
+    """Which samples go to a model in one call: in order, up to `most` characters with two between each; a longer one
+    goes alone."""
+    out, size = [], 0
+    for k, s in enumerate(samples):
+        if not out or size + len(s) + 2 > most:
+            out.append([])
+            size = 0
+        out[-1].append(k)
+        size += len(s) + 2
+    return out
+
+
+def annotate(
+    df: DataFrame, load: Callable[[], Annotator], id_col: str = "doc_id", text: str = "text", most_tokens: int = 512, batch: int = 32
+) -> tuple[DataFrame, DataFrame]:
+    """(spans, states). load is called once a Python worker; the annotator gets up to `batch` chunks a call, and if a
+    call fails its chunks are tried one by one, so that a bad text costs only itself. spans: id, start, end, type,
+    text, source, score, ord; states: id, ml_state (done or failed), ml_error. The model's output is a written
+    table, so that it runs once for both."""
     pieces = chunks(df, id_col, text, most_tokens)
     kind = df.schema[id_col].dataType.simpleString()
+    columns = ["id", "start", "end", "type", "text", "score", "error"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, error = None, ""
@@ -77,24 +132,61 @@ def annotate(df: DataFrame, load: Callable[[], Annotator], id_col: str = "doc_id
             model = load()
         except Exception as e:
             error = repr(e)
+
+        def answers(texts: list[str]) -> list:
+            try:
+                if model is None:
+                    raise RuntimeError(error)
+                return model(texts)
+            except Exception as e:
+                return [str(e) or repr(e)] if len(texts) == 1 else [x for t in texts for x in answers([t])]
+
         for b in batches:
             rows = []
-            for i, offset, c in zip(b["id"], b["offset"], b["chunk"], strict=True):
-                try:
-                    if model is None:
-                        raise RuntimeError(error)
-                    rows += [(i, int(s) + offset, int(e) + offset, t, c[int(s) : int(e)], float(p), None) for s, e, t, p in model([c])[0]]
-                    rows.append((i, None, None, None, None, None, None))
-                except Exception as e:
-                    rows.append((i, None, None, None, None, None, str(e) or repr(e)))
-            yield pd.DataFrame(rows, columns=["id", "start", "end", "type", "text", "score", "error"]).astype({"start": "Int64", "end": "Int64"})
-
-    out = pieces.select(F.col(id_col).alias("id"), "offset", "chunk").mapInPandas(run, f"id {kind}, start int, end int, type string, text string, score double, error string")
-    states = out.groupBy(F.col("id").alias(id_col)).agg(F.max("error").alias("ml_error")).withColumn("ml_state", F.when(F.col("ml_error").isNull(), "done").otherwise("failed"))
+            for at in range(0, len(b), batch):
+                part = b.iloc[at : at + batch]
+                for i, offset, c, got in zip(part["id"], part["offset"], part["chunk"], answers(list(part["chunk"])), strict=True):
+                    bad = isinstance(got, str)
+                    rows.append((i, None, None, None, None, None, got if bad else None))
+                    rows += [] if bad else [(i, int(s) + offset, int(e) + offset, t, c[int(s) : int(e)], float(p), None) for s, e, t, p in got]
+            yield pd.DataFrame(rows, columns=columns).astype({"start": "Int64", "end": "Int64"})
+
+    shape = f"id {kind}, start int, end int, type string, text string, score double, error string"
+    out = write_table(pieces.select(F.col(id_col).alias("id"), "offset", "chunk").mapInPandas(run, shape), "annotated")
+    states = out.groupBy(F.col("id").alias(id_col)).agg(F.max("error").alias("ml_error"))
+    states = states.withColumn("ml_state", F.when(F.col("ml_error").isNull(), "done").otherwise("failed"))
     bad = states.where("ml_state = 'failed'").select(id_col)
-    spans = out.where("start is not null").groupBy(F.col("id").alias(id_col), "start", "end", "type").agg(F.first("text").alias("text"), F.max("score").alias("score")).join(bad, id_col, "left_anti")
-    spans = spans.select(id_col, "start", "end", "type", "text", F.lit("ml").alias("source"), "score", (F.lit(MODEL << 40) + F.col("start")).cast("bigint").alias("ord"))
-    return spans, states
+    spans = out.where("start is not null").groupBy(F.col("id").alias(id_col), "start", "end", "type").agg(F.first("text").alias("text"), F.max("score").alias("score"))
+    ord_ = (F.lit(MODEL << 40) + F.col("start")).cast("bigint").alias("ord")
+    return spans.join(bad, id_col, "left_anti").select(id_col, "start", "end", "type", "text", F.lit("ml").alias("source"), "score", ord_), states
+
+
+def annotate_samples(samples: DataFrame, load: Callable[[], Annotator], most: int = CHUNK) -> DataFrame:
+    """A scan's findings: the columns of samples (context, value, ...) with start, end, type, score of each finding, placed
+    in the value. Samples are read as "context: value", packed to `most` characters a call; findings are clipped to the
+    value, and blank ones dropped."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for b in batches:
+            heads = [f"{c}: " for c in b["context"]]
+            values = list(b["value"])
+            rows = []
+            for group in packed([h + v for h, v in zip(heads, values, strict=True)], most):
+                at, places = 0, []
+                for k in group:
+                    places.append(at + len(heads[k]))
+                    at = places[-1] + len(values[k]) + 2
+                for s, e, t, p in model(["".join(f"{heads[k]}{values[k]}\n\n" for k in group)])[0]:
+                    for k, place in zip(group, places, strict=True):
+                        lo, hi = max(s - place, 0), min(e - place, len(values[k]))
+                        if lo < hi and values[k][lo:hi].strip():
+                            rows.append((k, lo, hi, t, float(p)))
+            found = pd.DataFrame(rows, columns=["k", "start", "end", "type", "score"])
+            yield b.iloc[found["k"].astype(int)].reset_index(drop=True).assign(**{c: found[c] for c in ("start", "end", "type", "score")})
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in samples.schema.fields)
+    return samples.mapInPandas(run, f"{fields}, start int, end int, type string, score double")
 
 
 def dictionary_annotator(names: dict[str, str], score: float = 0.9) -> Annotator:
@@ -112,7 +204,7 @@ def type_scores(logits: DataFrame, labels: DataFrame) -> DataFrame:
     count for none); the best type where it beats none. logits: doc_id, token, label, logit; labels: label, type."""
     w = Window.partitionBy("doc_id", "token")
     e = logits.withColumn("e", F.exp(F.col("logit") - F.max("logit").over(w)))
-    by = e.join(F.broadcast(labels), "label", "left").groupBy("doc_id", "token", "type").agg(F.sum("e").alias("e"))
+    by = e.join(labels, "label", "left").groupBy("doc_id", "token", "type").agg(F.sum("e").alias("e"))
     best = by.groupBy("doc_id", "token").agg(
         F.sum("e").alias("total"), F.coalesce(F.sum(F.when(F.col("type").isNull(), F.col("e"))), F.lit(0.0)).alias("none"),
         F.max(F.when(F.col("type").isNotNull(), F.struct("e", "type"))).alias("best"),
@@ -121,12 +213,12 @@ def type_scores(logits: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def align_tokens(text: Column, tokens: Column) -> Column:
-    """array<struct<start, end>>: where each piece ("##" stripped, any case) lies, looking on from the one
+    """array<struct<start, end>>: where each piece ("##" and white space stripped, any case) lies, looking on from the one
     before; null if it is more than AHEAD characters away."""
     low = F.lower(text)
 
     def add(acc: Column, token: Column) -> Column:
-        piece = F.lower(F.regexp_replace(token, "^##", ""))
+        piece = F.lower(trimmed(F.regexp_replace(token, "^##", "")))
         at = F.call_function("locate", piece, low, acc["at"] + 1) - 1
         ok = (at >= 0) & (at - acc["at"] <= AHEAD) & (piece != "")
         end = at + F.length(piece)
@@ -138,10 +230,12 @@ def align_tokens(text: Column, tokens: Column) -> Column:
 
 
 def widen(text: Column, start: Column, end: Column) -> Column:
-    """struct<start, end>: a piece grown to the word around it, spaces at its ends cut."""
+    """struct<start, end>: a piece grown over the letters and digits on both sides, then cut by the white space
+    at its ends; null if nothing is left."""
     before = F.length(F.regexp_extract(text.substr(F.lit(1), start), r"[\p{L}\p{N}]*\z", 0))
-    inside = text.substr(start + 1, end - start)
     after = F.length(F.regexp_extract(text.substr(end + 1, F.length(text)), r"^[\p{L}\p{N}]*", 0))
-    s = start - F.when(inside.rlike(r"^[\p{L}\p{N}]"), before).otherwise(0) + F.length(F.regexp_extract(inside, r"^\s*", 0))
-    e = end + F.when(inside.rlike(r"[\p{L}\p{N}]\z"), after).otherwise(0) - F.length(F.regexp_extract(inside, r"\s*\z", 0))
-    return F.struct(s.alias("start"), e.alias("end"))
+    s, e = start - before, end + after
+    grown = text.substr(s + 1, e - s)
+    left = F.length(grown) - F.length(F.regexp_replace(grown, f"^[{WHITE_SPACE}]+", ""))
+    right = F.length(grown) - F.length(F.regexp_replace(grown, rf"[{WHITE_SPACE}]+\z", ""))
+    return F.when(s + left < e - right, F.struct((s + left).alias("start"), (e - right).alias("end")))

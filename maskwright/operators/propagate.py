@@ -1,11 +1,16 @@
 """Names found once, found again: variants, dictionary search and occurrences.
 
-The search is an equi-join of a document's words with the first word of each term, so its work is the
+A document's few terms are put beside its text by one join, so a text moves once at most and never once a hit.
+The search reads a text's words once and looks each up among the first words of the terms, so its work is the
 words and the hits, not terms times texts."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.config import DENY, MODEL
@@ -31,48 +36,85 @@ def name_variants(spans: DataFrame, doc: str = "doc_id") -> DataFrame:
     return terms.withColumn("n", F.row_number().over(first)).where("n = 1").select(doc, "type", "term", "score", "ord", "k")
 
 
-def words_of(df: DataFrame, doc: str, text: str) -> DataFrame:
-    """doc, word, at: where each run of letters, digits and underscores starts."""
-    return df.select(doc, F.inline(located(F.col(text), WORD))).select(doc, F.col("t").alias("word"), F.col("start").alias("at"))
-
-
-def occurrences_of(texts: DataFrame, terms: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """terms' columns, start, end: every case-sensitive whole-word occurrence in the term's document."""
-    first = F.regexp_extract("term", WORD, 0)
-    keyed = terms.withColumn("word", first).where("word <> ''").withColumn("__lead", F.instr("term", F.col("word")) - 1)
-    here = texts.join(terms.select(doc).distinct(), doc, "left_semi")
-    met = words_of(here, doc, text).join(keyed, [doc, "word"]).withColumn("start", F.col("at") - F.col("__lead")).where("start >= 0")
-    met = met.join(here.select(doc, F.col(text).alias("__text")), doc).withColumn("end", F.col("start") + F.length("term"))
-    around = lambda at: F.coalesce(F.col("__text").substr(at, F.lit(1)).rlike(rf"^{WORD}"), F.lit(False))
-    same = (F.col("__text").substr(F.col("start") + 1, F.length("term")) == F.col("term")) & ~((F.col("start") > 0) & around(F.col("start"))) & ~around(F.col("end") + 1)
-    return met.where(same).drop("word", "at", "__lead", "__text")
+def _is_word(c: str) -> bool:
+    return c == "_" or c.isalnum()
+
+
+def _hits(text: str, terms: list[dict], known: set[tuple[str, int, int]]) -> list[tuple[int, int, str, str, float, int]]:
+    """start, end, type, term, score and number of the term of every whole-word occurrence of terms that is not
+    known; of several terms at one place (and of one type) the first."""
+    by_word: dict[str, list[tuple[int, int]]] = {}
+    for k, term in enumerate(terms):
+        first = re.search(r"\w+", term["term"])
+        if first:
+            by_word.setdefault(first[0], []).append((first.start(), k))
+    out = []
+    for m in re.finditer(r"\w+", text):
+        for lead, k in by_word.get(m[0], ()):
+            term, start = terms[k]["term"], m.start() - lead
+            end = start + len(term)
+            if start < 0 or not text.startswith(term, start) or (terms[k]["type"], start, end) in known:
+                continue
+            if (start and _is_word(text[start - 1])) or (end < len(text) and _is_word(text[end])):
+                continue
+            known.add((terms[k]["type"], start, end))
+            out.append((start, end, terms[k]["type"], term, terms[k]["score"], k))
+    return out
 
 
 def with_propagation(texts: DataFrame, spans: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """Plausible model spans and, at a lower score, every repeat of their names not yet found."""
+    """Plausible model spans and, at a lower score, every case-sensitive whole-word repeat of their names that
+    was not found yet, overlapping ones included."""
     own = spans.where(plausible(F.col("type"), F.col("text")))
-    hits = occurrences_of(texts, name_variants(own, doc), doc, text)
-    new = hits.join(own.select(doc, "type", "start", "end"), [doc, "type", "start", "end"], "left_anti")
-    best = Window.partitionBy(doc, "type", "start", "end").orderBy("ord", "k")
-    new = new.withColumn("n", F.row_number().over(best)).where("n = 1")
-    repeats = new.select(doc, F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "type", F.col("term").alias("text"), F.lit("ml").alias("source"), (F.col("score") * REPEAT_SCORE).alias("score"), (F.lit((MODEL << 40) + (1 << 36)) + F.col("start")).cast("bigint").alias("ord"))
+    names = name_variants(own, doc).groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("ord", "k", "type", "term", "score"))).alias("terms"))
+    places = own.groupBy(doc).agg(F.collect_list(F.struct("type", "start", "end")).alias("known"))
+    kind = texts.schema[doc].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i, t, terms, known in zip(*(b.column(c) for c in ("doc", "text", "terms", "known")), strict=True):
+                if t.is_valid:
+                    have = {(x["type"], x["start"], x["end"]) for x in known.as_py() or ()}
+                    rows += [(i.as_py(), *hit) for hit in _hits(t.as_py(), terms.as_py(), have)]
+            columns = list(zip(*rows, strict=True)) or [()] * len(shape)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, shape, strict=True)], schema=shape)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    met = texts.select(F.col(doc).alias("doc"), F.col(text).alias("text")).join(names.withColumnRenamed(doc, "doc"), "doc").join(places.withColumnRenamed(doc, "doc"), "doc", "left")
+    found_schema = f"doc {kind}, start int, end int, type string, text string, score double, k int"
+    shape = to_arrow_schema(texts.sparkSession.createDataFrame([], found_schema).schema)
+    new = met.select("doc", "text", "terms", "known").mapInArrow(run, found_schema)
+    repeats = new.select(
+        F.col("doc").alias(doc), "start", "end", "type", "text", F.lit("ml").alias("source"), (F.col("score") * REPEAT_SCORE).alias("score"),
+        (F.lit((MODEL << 40) + (1 << 36)) + F.col("start")).cast("bigint").alias("ord"),
+    )
     return own.select(repeats.columns).unionByName(repeats)
 
 
 def occurrences(texts: DataFrame, terms: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every whole-word occurrence of terms in any case, as manual spans. terms (column term, and
-    doc if they belong to documents) is a list that people typed; each row pairs only with texts that hold it."""
+    """Every whole-word occurrence of terms in any case, as manual spans. terms: column term, and doc if they belong
+    to documents. Terms of a list meet the texts that hold their first word, in small letters, by an equi-join of
+    words; each text then gets its terms beside it and is searched for those alone. Terms without a letter,
+    digit or underscore are searched for in every text."""
     t = terms.withColumn("term", trimmed(F.col("term"))).where("term <> ''")
-    holds = F.contains(F.lower(F.col(text)), F.lower("term"))
-    met = texts.join(t, doc).where(holds) if doc in t.columns else texts.join(F.broadcast(t) if _few(t) else t, holds)
-    found = met.select(doc, "term", F.inline(located_by(F.col(text), term_pattern(F.col("term")))))
-    return found.select(doc, F.col("start").cast("int").alias("start"), (F.col("start") + F.length("t")).cast("int").alias("end"), F.lit("CUSTOM").alias("type"), F.col("t").alias("text"), F.lit("manual").alias("source"), F.lit(1.0).alias("score"), (F.lit(DENY << 40) + F.col("start")).cast("bigint").alias("ord")).distinct()
-
-
-def _few(terms: DataFrame, most: int = 10_000) -> bool:
-    return terms.limit(most + 1).count() <= most
-
-
-def located_by(text: Column, pattern: Column) -> Column:
-    """Matches of a pattern that is itself a column."""
-    return located(text, pattern)
+    if doc in t.columns:
+        per = t.select(doc, "term").distinct().groupBy(doc).agg(F.collect_list("term").alias("__terms"))
+    else:
+        folded = lambda c: F.lower(F.upper(c))
+        keyed = t.select("term", folded(F.regexp_extract("term", WORD, 0)).alias("__w")).distinct()
+        words = texts.select(doc, F.explode(F.array_distinct(F.split(folded(F.col(text)), r"[^\p{L}\p{N}_]+"))).alias("__w"))
+        met = words.join(keyed.where("__w <> ''"), "__w").select(doc, "term")
+        marks = keyed.where("__w = ''").groupBy().agg(F.collect_list("term").alias("m"))  # one row: a list that people typed
+        met = met.unionByName(texts.crossJoin(F.broadcast(marks)).select(doc, F.explode("m").alias("term")))
+        per = met.distinct().groupBy(doc).agg(F.collect_list("term").alias("__terms"))
+    here = texts.select(doc, F.col(text).alias("__text")).join(per, doc)
+    found = here.select(doc, "__text", F.explode("__terms").alias("term"))
+    hits = found.select(doc, F.inline(located(F.col("__text"), term_pattern(F.col("term")))))
+    start = F.col("start").cast("int")
+    made = hits.select(
+        doc, start.alias("start"), (start + F.length("t")).cast("int").alias("end"), F.lit("CUSTOM").alias("type"), F.col("t").alias("text"),
+        F.lit("manual").alias("source"), F.lit(1.0).alias("score"), (F.lit(DENY << 40) + F.col("start")).cast("bigint").alias("ord"),
+    )
+    return made.distinct()

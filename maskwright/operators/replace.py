@@ -64,22 +64,28 @@ def _put_in(text: Column, spans: Column, mode: str) -> Column:
 
 def label_map(active: DataFrame, doc: str = "doc_id", place: Column | None = None) -> DataFrame:
     """doc, type, value (normalised), n, first_text: values numbered by first appearance."""
+    return _numbered_values(active, doc, place).drop("__at")
+
+
+def _numbered_values(active: DataFrame, doc: str, place: Column | None = None) -> DataFrame:
     at = F.col("start") if place is None else place
     firsts = active.groupBy(doc, "type", normalised(F.col("text")).alias("value")).agg(F.min(at).alias("__at"), F.min_by("text", at).alias("first_text"))
     n = F.row_number().over(Window.partitionBy(doc, "type").orderBy("__at", "value"))
-    return firsts.select(doc, "type", "value", n.alias("n"), "first_text")
+    return firsts.select(doc, "type", "value", n.alias("n"), "first_text", "__at")
 
 
-def reid_key(active: DataFrame, mode: str = "label", doc: str = "doc_id") -> DataFrame:
-    """doc, type, original, replacement, first_text of every value; empty where nothing can be undone."""
-    key = label_map(active, doc)
-    out = key.select(doc, "type", F.col("value").alias("original"), replacement(F.col("type"), F.col("n"), mode).alias("replacement"), "first_text")
-    return out.where(F.lit(mode != "redact"))
+def reid_key(active: DataFrame, mode: str = "label", doc: str = "doc_id", place: Column | None = None) -> DataFrame:
+    """doc, position (from 1, in order of first appearance), type, original, replacement, first_text of every value; empty
+    where nothing can be undone."""
+    key = _numbered_values(active, doc, place)
+    position = F.row_number().over(Window.partitionBy(doc).orderBy("__at", "type", "value"))
+    new = replacement(F.col("type"), F.col("n"), mode).alias("replacement")
+    return key.where(F.lit(mode != "redact")).select(doc, position.alias("position"), "type", F.col("value").alias("original"), new, "first_text")
 
 
-def key_csv(key: DataFrame) -> DataFrame:
-    """The key as it is written: cells that could run as formulas neutralised."""
-    return key.select(*(neutralised(F.col(c)).alias(c) for c in ("type", "original", "replacement")))
+def key_csv(key: DataFrame) -> list[Column]:
+    """The key's columns as they are written: cells that could run as formulas neutralised."""
+    return [neutralised(F.col(c)).alias(c) for c in ("type", "original", "replacement")]
 
 
 def apply_spans(texts: DataFrame, active: DataFrame, mode: str, doc: str = "doc_id", text: str = "text") -> DataFrame:

@@ -96,3 +96,21 @@ def export_gate(docs: DataFrame, acknowledged: DataFrame) -> DataFrame:
 def fingerprint(*parts: Column) -> Column:
     """Of what an export was made from; a result whose fingerprint differs from today's is stale."""
     return F.sha2(F.to_json(F.struct(*(p.alias(f"p{i}") for i, p in enumerate(parts)))), 256)
+
+
+def current_exports(exports: DataFrame, today: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(fresh, rejected) of exports (doc_id, fingerprint, ...): one made from other findings, decisions or settings than
+    today's (doc_id, fingerprint), or of a document that is gone, is stale and rejected with a reason."""
+    t = today.select("doc_id", F.col("fingerprint").alias("__now")).dropDuplicates(["doc_id"])
+    both = exports.join(t, "doc_id", "left")
+    same = F.coalesce(F.col("fingerprint") == F.col("__now"), F.lit(False))
+    reason = F.when(F.col("__now").isNull(), "the document is gone").otherwise("review choices changed during the export")
+    return both.where(same).drop("__now"), both.where(~same).withColumn("reason", reason).drop("__now")
+
+
+def review_fingerprints(active: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """doc, fingerprint of what an export of each document would put in. Spans are summed as hashes, so that no
+    document's spans are gathered."""
+    h = F.xxhash64("start", "end", "type", "text")
+    made = active.groupBy(doc).agg(F.count("*").alias("n"), F.sum(F.shiftrightunsigned(h, 24)).alias("a"), F.bit_xor(h).alias("b"))
+    return made.select(doc, fingerprint(F.col("n"), F.col("a"), F.col("b")).alias("fingerprint"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.config import DENY, RULE, TYPES
-from maskwright.functions.text import NO_WORD_AFTER, NO_WORD_BEFORE, dialect, digits, let, without_end_marks
+from maskwright.functions.text import NO_WORD_AFTER, NO_WORD_BEFORE, WHITE_SPACE, bound, dialect, digits, let_sql, mapped, running
 
 # Patterns, scores and their order.
 MONTHS = "Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?"
@@ -82,6 +82,16 @@ class Rule:
     hint: str = r"\d"
 
 
+# What every match holds, as white space of any script counts: a month before or after a number, a number before a
+# capital or N, S, E or W, a state before five digits, and a label's word.
+MONTH_HINT = rf"(?i)\d(?:st|nd|rd|th)?[{WHITE_SPACE}]+(?:{{m}})|(?:{{m}})[a-z]*\.?[{WHITE_SPACE}]+\d".replace("{m}", "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec")
+STREET_HINT = rf"\d[{WHITE_SPACE}]+[A-Z]"
+ZIP_HINT = rf"[A-Z]{{2}}[{WHITE_SPACE}]+\d{{5}}"
+LABEL_HINT = (
+    r"(?i)mrn|medical record|patient id|ac(?:coun|c)t|policy|member|insurance|license|passport|employee id|dob"
+    r"|(?:web|ppd|ccd|ach|customer|client|trans|ref|conf|trace|case|claim|order|invoice)[a-z]*\.?[^a-z0-9]*(?:id|#|no|number)"
+)
+
 RULES = (
     Rule("EMAIL", EMAIL, 0.99, hint="@"),
     Rule("URL", URL, 0.95, flags="i", hint="(?i)www\\.|://"),
@@ -93,57 +103,60 @@ RULES = (
     Rule("PHONE", PHONE, 0.9, hint=r"\d{4}"),
     Rule("PHONE", PHONE_INTERNATIONAL, 0.8, hint=r"\+\d"),
     Rule("DATE", DATE, 0.85, hint=r"\d[/.-]\d"),
-    Rule("DATE", DATE_WORDS, 0.9, flags="i", hint=r"\d{4}"),
-    Rule("ADDRESS", ADDRESS, 0.85),
+    Rule("DATE", DATE_WORDS, 0.9, flags="i", hint=MONTH_HINT),
+    Rule("ADDRESS", ADDRESS, 0.85, hint=STREET_HINT),
     Rule("ADDRESS", PO_BOX, 0.85, flags="i", hint="(?i)box"),
-    Rule("ZIP", ZIP, 0.85, group=1, hint=r"\d{5}"),
-    Rule("ID_NUMBER", ID_NUMBER, 0.85, has_digit, group=1, flags="i", hint=r"\d"),
+    Rule("ZIP", ZIP, 0.85, group=1, hint=ZIP_HINT),
+    Rule("ID_NUMBER", ID_NUMBER, 0.85, has_digit, group=1, flags="i", hint=LABEL_HINT),
 )
 
 
-#: What every match of the rules above has one of; most texts have none and are scanned no further.
-MAY_MATCH = r"[0-9@]|://|[wW][wW][wW]\."
+#: Marks around a match; they are control characters that texts hardly hold, and no text with them takes that way.
+OPEN, BETWEEN, CLOSE = "\x01", "\x02", "\x03"
+_ADD = lambda a, b: f"{a} + {b}"
+_NONE = "cast(array() AS array<struct<start:int,t:string>>)"
+#: Pieces v (what lies between and matches, in turns) to places: sizes z, places at.
+_MARKED = bound("z", f"transform(v, p -> named_struct('n', length(split(p, '{BETWEEN}')[0]), 't', element_at(split(p, '{BETWEEN}'), -1)))", bound(
+    "at", running("transform(z, x -> x.n)", _ADD, "0"),
+    "transform(sequence(1, size(z) - 2, 2), i -> named_struct('start', at[i] + z[i].n - length(z[i].t), 't', z[i].t))",
+))
+#: The same of v.gap, v.m and v.t: what lies between, the matches and what is shown of them.
+_APART = bound("z", "transform(v.m, (m, i) -> named_struct('n', length(v.gap[i]) + length(m), 't', v.t[i]))", bound(
+    "at", running("transform(z, x -> x.n)", _ADD, "0"),
+    "transform(z, (x, i) -> named_struct('start', at[i] + x.n - length(x.t), 't', x.t))",
+))
 
 
 def located(text: Column, pattern: str | Column, group: int = 0) -> Column:
-    """array<struct<start, t>> of a pattern's matches (or their group, which ends the match)."""
-    re = F.lit(pattern) if isinstance(pattern, str) else pattern
-    whole, parts = F.regexp_extract_all(text, re, F.lit(0)), F.split(text, pattern, -1) if isinstance(pattern, str) else F.call_function("split", text, re, F.lit(-1))
-    shown = F.regexp_extract_all(text, re, F.lit(group)) if group else whole
-    steps = F.arrays_zip(F.transform(parts, F.length).alias("gap"), F.transform(whole, F.length).alias("size"), shown.alias("t"))
-    empty = F.array().cast("array<struct<start:int,t:string>>")
+    """array<struct<start, t>> of a pattern's matches (or their group, which ends the match).
 
-    def add(acc: Column, x: Column) -> Column:
-        end = acc["at"] + x["gap"] + x["size"]
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct((end - F.length(x["t"])).alias("start"), x["t"].alias("t"))).alias("out"))
-
-    found = F.filter(steps, lambda x: x["size"].isNotNull())  # the text after the last match has none
-    return F.aggregate(found, F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda acc: acc["out"])
+    The matches are marked in one pass over the text, which is then split at the marks. A text that holds
+    such marks itself is searched twice instead, for matches and for what lies between."""
+    re = F.lit(pattern) if isinstance(pattern, str) else pattern
+    marked = F.regexp_replace(text, re, F.lit(f"{OPEN}$0{BETWEEN}${group}{CLOSE}"))
+    fast = let_sql(F.split(marked, f"[{OPEN}{CLOSE}]", -1), f"CASE WHEN size(v) <= 1 THEN {_NONE} ELSE {_MARKED} END")
+    parts = F.call_function("split", text, re, F.lit(-1)).alias("gap")
+    slow = let_sql(F.struct(parts, F.regexp_extract_all(text, re, F.lit(0)).alias("m"), F.regexp_extract_all(text, re, F.lit(group)).alias("t")), _APART)
+    return F.when(text.rlike(f"[{OPEN}-{CLOSE}]"), slow).otherwise(fast)
 
 
-def _span(start: Column, text: Column, type_: str, source: str, score: float, ord_: Column) -> Column:
-    return F.struct(start.cast("int").alias("start"), (start + F.length(text)).cast("int").alias("end"), F.lit(type_).alias("type"), text.alias("text"), F.lit(source).alias("source"), F.lit(score).alias("score"), ord_.cast("bigint").alias("ord"))
+def _spans(found: Column, type_: str, source: str, score: float, stage: int, number: int) -> Column:
+    """Spans of places (start, t); candidates keep the order of stage, rule and place."""
+    made = f"'type', '{type_}', 'text', m.t, 'source', '{source}', 'score', {score}D, 'ord', {(stage << 40) + (number << 32)}L + m.start"
+    return mapped(found, f"m -> named_struct('start', m.start, 'end', m.start + length(m.t), {made})")
 
 
 def no_spans() -> Column:
     return F.array().cast("array<struct<start:int,end:int,type:string,text:string,source:string,score:double,ord:bigint>>")
 
 
-def order(stage: int, number: int, start: Column) -> Column:
-    """Candidates keep the order of stage, rule and place."""
-    return F.lit((stage << 40) + (number << 32)) + start.cast("bigint")
-
-
 def rule_spans(text: Column, rule: Rule, number: int) -> Column:
     """The spans of one rule."""
-    pattern = dialect(rule.pattern, flags=rule.flags)
-
-    def spans(matches: Column) -> Column:
-        cut = F.transform(F.filter(matches, lambda m: m["t"] != ""), lambda m: F.struct(m["start"].alias("start"), without_end_marks(m["t"]).alias("t")))
-        valid = F.filter(cut, lambda m: rule.valid(m["t"])) if rule.valid else cut
-        return F.transform(valid, lambda m: _span(m["start"], m["t"], rule.type, "rule", rule.score, order(RULE, number, m["start"])))
-
-    return F.when(text.rlike(rule.hint), let(located(text, pattern, rule.group), spans)).otherwise(no_spans())
+    found = located(text, dialect(rule.pattern, flags=rule.flags), rule.group)
+    end_marks = "m -> named_struct('start', m.start, 't', regexp_replace(m.t, r'[.,;:]+\\z', ''))"
+    cut = mapped(F.call_function("filter", found, F.expr("m -> m.t <> ''")), end_marks)
+    valid = F.filter(cut, lambda m: rule.valid(m["t"])) if rule.valid else cut
+    return F.when(text.rlike(rule.hint), _spans(valid, rule.type, "rule", rule.score, RULE, number)).otherwise(no_spans())
 
 
 def detect_rules(text: Column, enabled: Iterable[str] = TYPES, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -161,7 +174,7 @@ def term_pattern(term: Column) -> Column:
 def term_spans(text: Column, term: str, number: int) -> Column:
     """Every whole-word occurrence of a term, in any case."""
     pattern = rf"(?iu){NO_WORD_BEFORE}\Q{term}\E{NO_WORD_AFTER}"
-    found = F.transform(located(text, pattern), lambda m: _span(m["start"], m["t"], "CUSTOM", "manual", 1.0, order(DENY, number, m["start"])))
+    found = _spans(located(text, pattern), "CUSTOM", "manual", 1.0, DENY, number)
     return F.when(F.contains(F.lower(text), F.lit(term.lower())), found).otherwise(no_spans())
 
 

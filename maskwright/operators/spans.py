@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.config import RedactionConfig
-from maskwright.functions.text import digits, let, trimmed
+from maskwright.functions.text import WHITE_SPACE, bound, digits, let_sql, running, trimmed
 
 #: Manual before rule before model.
 SOURCE_RANK = {"manual": 3, "rule": 2, "ml": 1}
@@ -20,24 +20,30 @@ def rank_of(source: Column) -> Column:
     return F.when(source == "manual", 3).when(source == "rule", 2).otherwise(1)
 
 
-def resolve(spans: Column) -> Column:
-    """The greedy choice among an array of spans: by source, length, score and order; a span stays if
-    it overlaps none that stays (touching is no overlap). Sorted by start."""
-    return let(spans, _resolved)
-
-
-def _resolved(spans: Column) -> Column:
-    ranked = F.transform(
-        spans,
-        lambda s: F.struct((-rank_of(s["source"])).alias("a"), (s["start"] - s["end"]).alias("b"), (-s["score"]).alias("c"), s["ord"].alias("d"), s["start"].alias("e"), s.alias("s")),
+#: The greedy choice within an island `a` of spans.
+_RANKED = (
+    "transform(a, s -> named_struct('a', CASE s.source WHEN 'manual' THEN -3 WHEN 'rule' THEN -2 ELSE -1 END, 'b', s.start - s.`end`, "
+    "'c', -s.score, 'd', s.ord, 'e', s.start, 's', s))"
+)
+_CHOSEN = (
+    f"CASE WHEN size(a) <= 1 THEN a ELSE sort_array(aggregate(sort_array({_RANKED}), slice(a, 1, 0), (kept, r) -> "
+    "CASE WHEN exists(kept, k -> k.start < r.s.`end` AND r.s.start < k.`end`) THEN kept ELSE array_append(kept, r.s) END)) END"
+)
+#: Spans v, in order of start, cut where one starts at or after the greatest end before it.
+_BY_ISLANDS = bound("o", "array_sort(transform(v, s -> named_struct('start', s.start, 'end', s.`end`, 'ord', s.ord, 's', s)))", bound(
+    "reach", running("transform(o, x -> cast(x.`end` AS int))", lambda a, b: f"greatest({a}, {b})", "-1"), bound(
+        "heads", "filter(sequence(0, size(o) - 1), i -> o[i].start >= reach[i])",
+        "flatten(transform(heads, (h, n) -> " + bound("a", "transform(slice(o, h + 1, coalesce(get(heads, n + 1), size(o)) - h), x -> x.s)", _CHOSEN) + "))",
     )
+))
 
-    def add(kept: Column, x: Column) -> Column:
-        s = x["s"]
-        return F.when(F.exists(kept, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"])), kept).otherwise(F.array_append(kept, s))
 
-    empty = F.filter(spans, lambda s: F.lit(False))
-    return F.when(F.size(spans) <= 1, spans).otherwise(F.sort_array(F.aggregate(F.sort_array(ranked), empty, add)))
+def resolve(spans: Column) -> Column:
+    """The greedy choice among an array of spans: by source, length, score and order; a span stays if
+    it overlaps none that stays (touching is no overlap). Sorted by start.
+
+    Spans are cut into islands of overlapping ones first, so that the work is in proportion to spans."""
+    return let_sql(spans, f"CASE WHEN size(v) <= 1 THEN v ELSE {_BY_ISLANDS} END")
 
 
 def resolve_overlaps(spans: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -93,22 +99,36 @@ def without_overlap(a: DataFrame, b: DataFrame, doc: str = "doc_id") -> DataFram
     return a.join(other, (F.col(doc) == F.col("__doc")) & (F.col("start") < F.col("__e")) & (F.col("__s") < F.col("end")), "left_anti")
 
 
+# What may stand between two pieces of one name, and what is trimmed from its ends.
+JOINER = r"^[ \-./:@_]{1,2}\z"
+END_MARKS = rf"[{WHITE_SPACE}\-\x{{2013}}\x{{2014}}.,:;/]+"
+# End of fixed values.
+
+
 def merge_spans(spans: DataFrame, texts: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """Model pieces joined: a piece joins the one before it if they have a type in common and overlap,
-    or only a joiner of one or two characters stands between them (". " only after an initial)."""
-    by = Window.partitionBy(doc).orderBy("start", "end")
-    so_far = by.rowsBetween(Window.unboundedPreceding, 0)
-    t = texts.select(F.col(doc), F.col(text).alias("__text"))
-    s = spans.drop("text").join(t, doc)
-    reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    s = s.withColumns({"__reach": reach, "__type": F.lag("type").over(by), "__from": F.lag("start").over(by)})
+    """Model pieces joined, in order of start and end: a piece joins the one before it if that has its type
+    and reaches it, or only a joiner of one or two characters stands between (". " only after an initial). A
+    piece of another type in between parts them; what follows starts anew. Ends lose marks; what is left
+    of fewer than two characters goes."""
+    order = ["start", "end", "ord" if "ord" in spans.columns else "type"]
+    by = Window.partitionBy(doc).orderBy(*order)
+    s = spans.drop("text").withColumn("__turn", F.when(F.col("type") == F.lag("type").over(by), 0).otherwise(1))
+    s = s.withColumn("__run", F.sum("__turn").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    within = Window.partitionBy(doc, "__run").orderBy(*order)
+    s = s.withColumn("__reach", F.max("end").over(within.rowsBetween(Window.unboundedPreceding, -1)))
+    s = s.join(texts.select(F.col(doc), F.col(text).alias("__text")), doc)
     gap = F.col("__text").substr(F.col("__reach") + 1, F.col("start") - F.col("__reach"))
-    before = F.col("__text").substr(F.col("__from") + 1, F.col("__reach") - F.col("__from"))
-    joiner = gap.rlike(r"^[ \-./:@_]{1,2}\z") & ((gap != ". ") | before.rlike(r"(?:^|[^\p{L}\p{N}])\p{L}\z"))
-    joins = (F.col("type") == F.col("__type")) & ((F.col("start") <= F.col("__reach")) | joiner)
-    s = s.withColumn("__island", F.sum(F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).over(so_far))
-    out = s.groupBy(doc, "__island").agg(F.min("start").alias("a"), F.max("end").alias("b"), F.first("type").alias("type"), F.max("score").alias("score"), F.first("__text").alias("__text"))
+    before = F.col("__text").substr(F.greatest(F.col("__reach") - 1, F.lit(1)), F.least(F.col("__reach"), F.lit(2)))
+    joiner = gap.rlike(JOINER) & ((gap != ". ") | before.rlike(r"(?:^|[^\p{L}])\p{L}\z"))
+    joins = F.coalesce((F.col("start") <= F.col("__reach")) | joiner, F.lit(False))
+    so_far = within.rowsBetween(Window.unboundedPreceding, 0)
+    s = s.withColumn("__island", F.sum(F.when(joins, 0).otherwise(1)).over(so_far))
+    out = s.groupBy(doc, "__run", "__island").agg(
+        F.min("start").alias("a"), F.max("end").alias("b"), F.first("type").alias("type"), F.max("score").alias("score"), F.first("__text").alias("__text")
+    )
     raw = F.col("__text").substr(F.col("a") + 1, F.col("b") - F.col("a"))
-    left = F.length(raw) - F.length(F.regexp_replace(raw, r"^[\s\-./:@_,;]+", ""))
-    cut = F.regexp_replace(F.regexp_replace(raw, r"^[\s\-./:@_,;]+", ""), r"[\s\-./:@_,;]+\z", "")
-    return out.select(doc, (F.col("a") + left).cast("int").alias("start"), (F.col("a") + left + F.length(cut)).cast("int").alias("end"), "type", cut.alias("text"), "score").where(F.length("text") >= 2)
+    headless = F.regexp_replace(raw, f"^{END_MARKS}", "")
+    cut = F.regexp_replace(headless, rf"{END_MARKS}\z", "")
+    start = F.col("a") + F.length(raw) - F.length(headless)
+    made = out.select(doc, start.cast("int").alias("start"), (start + F.length(cut)).cast("int").alias("end"), "type", cut.alias("text"), "score")
+    return made.where(F.length("text") >= 2)

@@ -7,7 +7,10 @@ from maskwright.config import DENY, HEADER, MODEL, POOLS, TYPES
 from maskwright.functions.text import WHITE_SPACE, dialect
 from maskwright.operators.rules import RULES
 from maskwright.operators.tables import COLUMN_RULES, NUMERIC
-from maskwright.plans.queries import CUSTOMER, LABELS, SUPPLIER, TERMS
+from maskwright.plans.queries import CODES, CUSTOMER, LABELS, NAME, SUPPLIER, TERMS
+
+PIECES, LONG_WORD = "[A-Z][a-z]+|[0-9]+", r"[\p{L}\p{N}]{4,}"
+KIND = "CASE WHEN regexp_matches(g, '^[0-9]') THEN 'ID_NUMBER' ELSE 'PERSON' END"
 
 
 def q(s: str) -> str:
@@ -146,7 +149,11 @@ p AS (SELECT doc_id, "start", "end", {LABEL} AS new FROM (SELECT s.*, {norm('tex
 SELECT conv_id, turn, text FROM ({applied('SELECT * FROM t', 'SELECT * FROM p')})"""
 O["value_keys"] = f"""WITH {R} SELECT doc_id, "start", "start" || ':' || "end" AS occurrence_key, type || ':' || {norm('text')} AS value_key FROM r"""
 O["label_map"] = f"WITH {R} {numbered('SELECT * FROM r')}"
-O["reid_key"] = f"WITH {R} SELECT doc_id, type, value AS original, {LABEL} AS replacement, first_text FROM ({numbered('SELECT * FROM r')})"
+O["reid_key"] = f"""WITH {R}, first AS (SELECT doc_id, type, {norm('text')} AS value, min("start") AS first_place FROM r GROUP BY ALL)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first_place, type, value)::INT AS position, type, value AS original, {LABEL} AS replacement, first_text
+FROM ({numbered('SELECT * FROM r')}) JOIN first USING (doc_id, type, value)"""
+STRICT = "source = 'manual' OR (type <> 'ORG' AND score >= 0.9 AND lower(text) NOT IN ('10.0.0.1', 'gb82 west 1234 5698 7654 32'))"
+O["finalize"] = f"""WITH {R}, x AS MATERIALIZED (SELECT * FROM c WHERE {STRICT}) SELECT *, 'all' AS setting FROM r UNION ALL SELECT *, 'strict' FROM ({resolved('SELECT * FROM x')})"""
 O["reidentify"] = f"""WITH {R}, k AS ({numbered('SELECT * FROM r')}), p AS (SELECT doc_id, "start", "end", first_text AS new FROM (SELECT r.*, {norm('text')} AS value FROM r) JOIN k USING (doc_id, type, value)) {applied('SELECT * FROM t', 'SELECT * FROM p')}"""
 O["neutralise_cells"] = rf"""SELECT o_orderkey, CASE WHEN regexp_matches(v, '^[+-]?(\d[\d,]*)?(\.\d+)?([eE][+-]?\d+)?$') THEN v WHEN regexp_matches(v, {q(f'^{WS}*[=+@-]')}) THEN '''' || v ELSE v END AS cell
 FROM (SELECT o_orderkey, ['=', ' @', '-', ''][o_orderkey % 4 + 1] || CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority ELSE o_orderkey::VARCHAR END AS v FROM orders)"""
@@ -154,9 +161,9 @@ O["active_spans"] = f"WITH {A} SELECT * FROM a"
 O["decisions_asof"] = f"WITH {R}, {LOG} SELECT doc_id, arg_max(seq, seq) AS seq, kind, key, arg_max(value, seq) AS value FROM log WHERE seq <= 12 GROUP BY doc_id, kind, key"
 O["value_decisions"] = f"WITH {R}, {LOG}, {V} SELECT doc_id, key, excluded FROM v"
 FIRST = "SELECT doc_id, text, w, strpos(text, w) - 1 AS st FROM (SELECT doc_id, text, regexp_extract(text, '[A-Z][a-z]{5,}') AS w FROM documents) WHERE w <> ''"
-O["manual_terms"] = f"""WITH {words('SELECT doc_id, text FROM documents')}, f AS ({FIRST})
+O["manual_terms"] = f"""WITH {words('SELECT doc_id, text FROM documents')}, f AS MATERIALIZED (SELECT doc_id, st, g AS w FROM ({places('SELECT doc_id, text FROM documents', '[A-Z][a-z]{5,}')}) WHERE st % 5 = 0)
 SELECT DISTINCT ON (doc_id, "start", "end") * FROM (SELECT doc_id, st::INT AS "start", (st + length(w))::INT AS "end", 'CUSTOM' AS type, w AS text, 'manual' AS source, 1.0::DOUBLE AS score, ({DENY << 40} + st)::BIGINT AS ord FROM f
- UNION ALL SELECT doc_id, w.st, (w.st + length(g))::INT, 'CUSTOM', g, 'manual', 1.0, ({DENY << 40} + w.st)::BIGINT FROM w JOIN f USING (doc_id) WHERE lower(g) = lower(f.w))"""
+ UNION ALL SELECT w.doc_id, w.st, (w.st + length(g))::INT, 'CUSTOM', g, 'manual', 1.0, ({DENY << 40} + w.st)::BIGINT FROM w JOIN (SELECT DISTINCT doc_id, lower(w) AS l FROM f) f ON f.doc_id = w.doc_id AND lower(g) = f.l)"""
 O["anti_overlap"] = f"""WITH {R} SELECT * FROM c x WHERE type <> 'PHONE' AND NOT EXISTS (SELECT 1 FROM c y WHERE y.type = 'PHONE' AND y.doc_id = x.doc_id AND x."start" < y."end" AND y."start" < x."end")"""
 O["final_view"] = f"""WITH {R}, {LOG}, {V}, m AS (SELECT doc_id, "start", "end", 'CUSTOM' AS type, text, 'manual' AS source, 1.0::DOUBLE AS score, ord FROM r WHERE type = 'ZIP'),
 b AS (SELECT * FROM r x WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.doc_id = x.doc_id AND m."start" < x."end" AND x."start" < m."end") UNION ALL SELECT * FROM m)
@@ -173,18 +180,22 @@ O["needs_model"] = r"SELECT doc_id, coalesce(regexp_matches(text, '[\p{L}\p{N}]'
 O["normalise_caps"] = r"""WITH s AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^\n\t]+|[\n\t]+')) AS s, generate_subscripts(regexp_extract_all(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^\n\t]+|[\n\t]+'), 1) AS i FROM documents),
 x AS (SELECT doc_id, i, CASE WHEN length(regexp_replace(s, '[^\p{Lu}]', '', 'g')) >= 4 AND NOT regexp_matches(s, '\p{Ll}') THEN array_to_string(list_transform(regexp_extract_all(s, '\p{L}+|[^\p{L}]+'), lambda r: CASE WHEN regexp_matches(r, '^\p{L}') THEN r[1] || lower(r[2:]) ELSE r END), '') ELSE s END AS s FROM s)
 SELECT d.doc_id, coalesce(y.t, '') AS text FROM documents d LEFT JOIN (SELECT doc_id, string_agg(s, '' ORDER BY i) AS t FROM x GROUP BY doc_id) y USING (doc_id)"""
-O["name_variants"] = r"""WITH d AS (SELECT doc_id, regexp_extract(text, '[A-Z][a-z]+ [a-z]+') AS w FROM documents), n AS (SELECT doc_id, split_part(w, ' ', 1) AS a, upper(split_part(w, ' ', 2)[1]) || split_part(w, ' ', 2)[2:] AS b FROM d WHERE w <> '')
+O["name_variants"] = f"""WITH n AS (SELECT doc_id, split_part(g, ' ', 1) AS a, upper(split_part(g, ' ', 2)[1]) || split_part(g, ' ', 2)[2:] AS b FROM ({places('SELECT doc_id, text FROM documents', '[A-Z][a-z]+ [a-z]+')}))
 SELECT DISTINCT doc_id, 'PERSON' AS type, term, 0.9::DOUBLE AS score FROM (SELECT doc_id, a || ' ' || b AS term FROM n UNION ALL SELECT doc_id, a FROM n WHERE length(a) >= 3 UNION ALL SELECT doc_id, b FROM n WHERE length(b) >= 3)"""
-O["propagate_names"] = f"""WITH {words('SELECT doc_id, text FROM documents')}, f AS ({FIRST})
-SELECT doc_id, st::INT AS "start", (st + length(w))::INT AS "end", 'PERSON' AS type, w AS text, 'ml' AS source, 0.9::DOUBLE AS score FROM f
-UNION ALL SELECT doc_id, w.st, (w.st + length(g))::INT, 'PERSON', g, 'ml', 0.855::DOUBLE FROM w JOIN f USING (doc_id) WHERE g = f.w AND w.st <> f.st"""
+O["propagate_names"] = rf"""WITH {words('SELECT doc_id, text FROM documents')}, f AS MATERIALIZED (SELECT doc_id, st, g FROM ({places('SELECT doc_id, text FROM documents', NAME)}) WHERE st % 2 = 0),
+v AS MATERIALIZED (SELECT DISTINCT doc_id, unnest([g, split_part(g, ' ', 1)]) AS term FROM f),
+h AS (SELECT DISTINCT w.doc_id, w.st, v.term FROM w JOIN v ON v.doc_id = w.doc_id AND split_part(v.term, ' ', 1) = w.g JOIN documents d ON d.doc_id = w.doc_id
+ WHERE substr(d.text, w.st + 1, length(term)) = term AND NOT regexp_matches(substr(d.text, w.st + length(term) + 1, 1), '[\p{{L}}\p{{N}}_]'))
+SELECT doc_id, st::INT AS "start", (st + length(g))::INT AS "end", 'PERSON' AS type, g AS text, 'ml' AS source, 0.9::DOUBLE AS score FROM f
+UNION ALL SELECT doc_id, st::INT, (st + length(term))::INT, 'PERSON', term, 'ml', 0.855::DOUBLE FROM h WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.doc_id = h.doc_id AND f.st = h.st AND f.g = h.term)"""
 O["plausible_spans"] = rf"""WITH t AS MATERIALIZED ({TEXTS}), x AS (SELECT doc_id, "start", ['EMAIL', 'CREDIT_CARD', 'SSN', 'IBAN']["start" % 4 + 1] AS type, text, length(regexp_replace(text, '\D', '', 'g')) AS n FROM ({detected('SELECT * FROM t')}))
 SELECT doc_id, "start", type, text FROM x WHERE CASE type WHEN 'EMAIL' THEN contains(text, '@') WHEN 'CREDIT_CARD' THEN n >= 12 WHEN 'SSN' THEN n >= 9 ELSE n >= 4 END"""
-O["merge_spans"] = rf"""WITH p AS MATERIALIZED ({places('SELECT doc_id, text FROM documents', '[A-Z][a-z]+|[0-9]+')}),
-s AS (SELECT doc_id, i, st, st + length(g) AS e, g, regexp_matches(g, '^[0-9]') AS num, lag(st + length(g)) OVER w AS pe, lag(g) OVER w AS pg FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-j AS (SELECT s.*, d.text, CASE WHEN pe IS NOT NULL AND num = regexp_matches(pg, '^[0-9]') AND (st = pe OR (regexp_matches(substr(d.text, pe + 1, st - pe), '^[ \-./:@_]{{1,2}}$') AND substr(d.text, pe + 1, st - pe) <> '. ')) THEN 0 ELSE 1 END AS fresh FROM s JOIN documents d USING (doc_id)),
-k AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS isl FROM j)
-SELECT doc_id, "start", "end", type, text, score FROM (SELECT doc_id, min(st)::INT AS "start", max(e)::INT AS "end", CASE WHEN any_value(num) THEN 'ID_NUMBER' ELSE 'PERSON' END AS type, substr(any_value(text), min(st) + 1, max(e) - min(st)) AS text, 0.8::DOUBLE AS score FROM k GROUP BY doc_id, isl) WHERE length(text) >= 2"""
+O["merge_spans"] = rf"""WITH p AS MATERIALIZED ({places('SELECT doc_id, text FROM documents', PIECES)}),
+s AS (SELECT doc_id, i, st, st + length(g) AS e, {KIND} AS type, lag(st + length(g)) OVER w AS pe, lag({KIND}) OVER w AS pt FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+j AS (SELECT s.*, d.text, substr(d.text, pe + 1, st - pe) AS gap, substr(d.text, greatest(pe - 1, 1), least(pe, 2)) AS before FROM s JOIN documents d USING (doc_id)),
+k AS (SELECT *, sum(CASE WHEN pe IS NOT NULL AND type = pt AND (st <= pe OR (regexp_matches(gap, '^[ \-./:@_]{{1,2}}$') AND (gap <> '. ' OR regexp_matches(before, '(^|[^\p{{L}}])\p{{L}}$')))) THEN 0 ELSE 1 END)
+ OVER (PARTITION BY doc_id ORDER BY i) AS isl FROM j)
+SELECT doc_id, "start", "end", type, text, score FROM (SELECT doc_id, min(st)::INT AS "start", max(e)::INT AS "end", any_value(type) AS type, substr(any_value(text), min(st) + 1, max(e) - min(st)) AS text, 0.8::DOUBLE AS score FROM k GROUP BY doc_id, isl) WHERE length(text) >= 2"""
 O["type_scores"] = f"""WITH l(label, type, i) AS (VALUES {', '.join(f"({q(n)}, {q(t) if t else 'NULL'}, {i})" for i, (n, t) in enumerate(LABELS))}),
 x AS (SELECT user_id AS doc_id, event_id AS token, type, exp(floor(value)::BIGINT * (i + 3) % 11 / 2.0) AS e FROM events, l), s AS (SELECT doc_id, token, type, sum(e) AS e FROM x GROUP BY ALL),
 t AS (SELECT doc_id, token, sum(e) AS total, coalesce(sum(e) FILTER (type IS NULL), 0) AS none FROM s GROUP BY ALL),
@@ -221,7 +232,7 @@ CELL_RULES = f"""u AS MATERIALIZED (SELECT row_number() OVER () AS doc_id, conte
 cr AS MATERIALIZED (SELECT c.doc_id, c.sheet, c.row, c.col, greatest(d."start" - length(u.context) - 2, 0)::INT AS "start", least(d."end" - length(u.context) - 2, length(u.value))::INT AS "end", d.type, d.source, d.score, d.ord, u.value
  FROM ({detected('SELECT doc_id, text FROM u')}) d JOIN u USING (doc_id) JOIN ctx c USING (context, value)),
 both_ AS MATERIALIZED (SELECT doc_id, sheet, row, col, "start", "end", type, substr(value, "start" + 1, "end" - "start") AS text, source, score, ord FROM cr WHERE "start" < "end" UNION ALL SELECT * FROM st)"""
-O["classify_columns"] = f"""SELECT header, {classified('header')} AS type FROM (SELECT DISTINCT header FROM (SELECT concat_ws('_', regexp_split_to_array(text, '[ \\n]+')[1], ['name', 'Email', 'phoneNo', 'zip', 'user name', 'first_name', 'dateOfBirth'][doc_id % 7 + 1]) AS header FROM documents
+O["classify_columns"] = f"""SELECT header, {classified('header')} AS type FROM (SELECT DISTINCT header FROM (SELECT concat_ws('_', word, ['name', 'Email', 'phoneNo', 'zip', 'user name', 'first_name', 'dateOfBirth'][doc_id % 7 + 1]) AS header FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \\n]+')) AS word FROM documents)
  UNION ALL SELECT unnest([{', '.join(q(x) for x in (*CUSTOMER, *SUPPLIER, 'FirstName', 'E-mail', 'IBAN', 'city', 'Home Town', 'LinkedIn', 'web site', ''))}])))"""
 O["detect_header"] = f"WITH {CELLS}, {HEAD} SELECT * FROM head"
 O["unpivot_cells"] = f"WITH {CTX} SELECT * FROM ctx"
@@ -244,7 +255,7 @@ cc AS (SELECT id.doc_id, c.value, c.doc_id AS book, c.sheet, c.row, c.col FROM c
 done AS MATERIALIZED (SELECT book AS doc_id, sheet, row, col, value FROM ({applied('SELECT * FROM cc', 'SELECT * FROM p', 'doc_id', 'value')}))"""
 O["redact_table"] = f"WITH {TABLE} SELECT * FROM done"
 O["pivot_back"] = f"WITH {TABLE} SELECT doc_id, sheet, row, any_value(value) FILTER (col = 0) AS name, any_value(value) FILTER (col = 1) AS account, any_value(value) FILTER (col = 2) AS segment, any_value(value) FILTER (col = 3) AS balance FROM done WHERE sheet = 0 AND row > 0 GROUP BY ALL"
-O["apply_to_runs"] = f"""WITH t AS MATERIALIZED ({RARE}), r AS MATERIALIZED ({resolved(detected('SELECT * FROM t'))}),
+O["apply_to_runs"] = f"""WITH t AS MATERIALIZED (SELECT * FROM ({TEXTS}) WHERE text <> ''), r AS MATERIALIZED ({resolved(detected('SELECT * FROM t'))}),
 ch AS (SELECT doc_id, unnest(range(0, length(text))) AS i, unnest(string_split(text, '')) AS ch FROM t),
 m AS (SELECT ch.*, r."start" AS s, '[' || r.type || ']' AS new FROM ch LEFT JOIN r ON r.doc_id = ch.doc_id AND ch.i >= r."start" AND ch.i < r."end")
 SELECT doc_id, (i // 7)::INT AS run_no, string_agg(CASE WHEN s IS NULL THEN ch WHEN i = s THEN new ELSE '' END, '' ORDER BY i) AS text FROM m GROUP BY doc_id, i // 7"""
@@ -271,9 +282,30 @@ O["page_needs_ocr"] = f"SELECT doc_id, page, sum(length(text)) < 25 AS needs_ocr
 O["rectangles"] = """WITH c AS (SELECT c_custkey AS doc_id, length(c_name) AS n FROM customer), b AS (SELECT doc_id, n, unnest(range(2, n)) AS i FROM c)
 SELECT doc_id, 2 AS "start", n::INT AS "end", 1 AS page, round(100 + min(i % 10) * 6 - 3.0, 6)::DOUBLE AS x, round(i // 10 * 15 - 3.0, 6)::DOUBLE AS y, round(count(*) * 6 + 6.0, 6)::DOUBLE AS w, 18.0::DOUBLE AS h FROM b GROUP BY doc_id, n, i // 10"""
 O["excel_serial_date"] = """WITH o AS (SELECT o_orderkey, o_orderdate::DATE AS d, (o_orderkey % 4 * 6)::INT AS h FROM orders)
-SELECT o_orderkey, CASE WHEN h = 0 THEN d::VARCHAR ELSE d::VARCHAR || 'T' || lpad(h::VARCHAR, 2, '0') || ':00:00' END AS d1900, CASE WHEN h = 0 THEN d::VARCHAR ELSE d::VARCHAR || 'T' || lpad(h::VARCHAR, 2, '0') || ':00:00' END AS d1904 FROM o"""
+SELECT o_orderkey, CASE WHEN h = 0 THEN d::VARCHAR ELSE d::VARCHAR || ' ' || lpad(h::VARCHAR, 2, '0') || ':00:00' END AS d1900, CASE WHEN h = 0 THEN d::VARCHAR ELSE d::VARCHAR || ' ' || lpad(h::VARCHAR, 2, '0') || ':00:00' END AS d1904 FROM o"""
 O["zero_pad"] = "SELECT o_orderkey, lpad(o_orderkey::VARCHAR, greatest(8, length(o_orderkey::VARCHAR))::INT, '0') AS padded, ('9007199254' || lpad((o_orderkey % 1000000)::VARCHAR, 6, '0'))::HUGEINT > 9007199254740991 AS keeps_text FROM orders"
 O["cell_address"] = "SELECT p_partkey, p_partkey::INT AS row, (p_partkey % 17000)::INT AS col FROM part"
-O["scrub_office_xml"] = """SELECT c_custkey, '<w:ins w:author="" w:date=""><w:t>x</w:t></w:ins><dc:creator></dc:creator>' AS xml FROM customer"""
+O["scrub_office_xml"] = """SELECT c_custkey, '<w:ins w:author="Redacted" w:initials="R" w15:userId=""><w:t>x</w:t></w:ins><dc:creator></dc:creator><vt:lpwstr></vt:lpwstr>' AS xml FROM customer"""
+O["date_formats"] = f"SELECT o_orderkey, o_orderkey % 60 BETWEEN 14 AND 22 OR o_orderkey % 60 BETWEEN 45 AND 47 OR o_orderkey % {len(CODES)} IN (2, 5, 7) AS is_date FROM orders"
+O["xml_texts"] = """SELECT c_custkey, '<' || c_name || '&"é" _x00G0_>' AS decoded, '&lt;' || c_name || '&amp;&quot;é&quot; _x00G0_&gt;' AS escaped FROM customer"""
+O["score_digits"] = "SELECT event_id, floor(value / 64 * 10000 + 0.5) / 10000 AS score FROM events"
+NEUTRAL = rf"""CASE WHEN regexp_matches(value, '^[+-]?(\d[\d,]*)?(\.\d+)?([eE][+-]?\d+)?$') THEN value WHEN regexp_matches(value, {q(f'^{WS}*[=+@-]')}) THEN chr(39) || value ELSE value END"""
+O["csv_lines"] = f"""WITH {CELLS}, v AS (SELECT doc_id, sheet, row, col, {NEUTRAL} AS v FROM cells)
+SELECT doc_id, sheet, row, string_agg(CASE WHEN contains(v, ';') THEN '"' || v || '"' ELSE v END, ';' ORDER BY col) AS line FROM v GROUP BY doc_id, sheet, row"""
+O["csv_round_trip"] = f"""WITH {CELLS} SELECT doc_id, sheet, (dense_rank() OVER (PARTITION BY doc_id, sheet ORDER BY row) - 1)::INT AS row, col, {NEUTRAL} AS value FROM cells"""
+O["clean_table"] = rf"""WITH {TABLE} SELECT d.doc_id, 'Sheet ' || (d.sheet + 1) AS sheet, d.row, d.col, d.value,
+ CASE WHEN d.value = c.value AND regexp_matches(c.value, '^-?\d+\.\d\d$') THEN c.value::DOUBLE END AS scalar_num, NULL::BOOLEAN AS scalar_bool FROM done d JOIN cells c USING (doc_id, sheet, row, col)"""
+O["align_tokens"] = f"""SELECT doc_id, (i - 1)::INT AS i, st AS "start", (st + length(g))::INT AS "end" FROM ({places(RARE, '[A-Za-z]+')})"""
+O["widen_pieces"] = rf"""SELECT doc_id, st AS place, st AS "start", (st + length(g))::INT AS "end" FROM ({places(RARE, LONG_WORD)})"""
+O["symbols_text"] = """WITH w AS (SELECT c_nationkey AS doc_id, c_custkey % 5 AS paragraph, c_custkey AS line, unnest([0, 1]) AS word, unnest(string_split(c_name, '#')) AS w FROM customer),
+s AS (SELECT doc_id, paragraph, line, word, unnest(range(0, length(w)))::INT AS pos, unnest(string_split(w, '')) AS text FROM w),
+m AS (SELECT *, lag(paragraph) OVER o AS p, lag(line) OVER o AS l, lag(word) OVER o AS k FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY paragraph, line, word, pos)),
+x AS (SELECT *, CASE WHEN k IS NULL THEN '' WHEN p <> paragraph THEN chr(10) || chr(10) WHEN l <> line THEN chr(10) WHEN k <> word THEN ' ' ELSE '' END || text AS part FROM m)
+SELECT doc_id, 1 AS page, line, word, pos, part, (sum(length(part)) OVER (PARTITION BY doc_id ORDER BY paragraph, line, word, pos) - 1)::INT AS idx FROM x"""
+O["blacked_out"] = f"""SELECT doc_id, page, x, y, w, h FROM ({O['rectangles']}) UNION SELECT c_custkey, 1, 1.0, 2.0, 30.0, 4.0 FROM customer WHERE c_custkey % 3 = 0"""
+O["stale_exports"] = f"""WITH {R} SELECT doc_id, CASE WHEN bool_and(on_) THEN NULL WHEN bool_or(on_) THEN 'review choices changed during the export' ELSE 'the document is gone' END AS reason
+FROM (SELECT doc_id, doc_id % 3 <> 0 OR "start" % 2 = 0 AS on_ FROM r) GROUP BY doc_id"""
+O["scan_samples"] = f"""WITH {CTX}, {COVER}, {PLAN} SELECT doc_id, sheet, col, context, value, 0 AS "start", length(value)::INT AS "end", CASE value WHEN 'Total' THEN 'PERSON' ELSE 'ORG' END AS type, 0.9::DOUBLE AS score
+FROM plan WHERE value IN ('BUILDING', 'MACHINERY', 'Total')"""
 
 ORACLES = O

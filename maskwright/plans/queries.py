@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from maskwright import api
 from maskwright.config import MODEL, TYPES, RedactionConfig
 from maskwright.functions import text as fx
 from maskwright.operators import layout, metrics, model, propagate, replace, review, rules, spans, tables
+from maskwright.sources import readers, writers
+from maskwright.storage import shared_folder, write_table
 
 ALL = RedactionConfig(enabled=frozenset(TYPES))
 TERMS = ("that", "nicht", "mente", "Que")
@@ -21,7 +25,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """Rows dealt out over all cores where a table has fewer splits than that, as one small file has; larger
-    tables are left as they are read."""
+    tables are left as they are read. This changes the plan, never the result."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
 
@@ -83,6 +87,18 @@ def resolved(spark, sf) -> DataFrame:
     return api.detect(texts(spark, sf), ALL)
 
 
+def found_once(spark, sf) -> DataFrame:
+    """The resolved spans as a written table, for queries that read them several times: texts are scanned once."""
+    return write_table(resolved(spark, sf), "found")
+
+
+def finalize(spark, sf):
+    """Two settings over one written table of candidates, which are not searched for again."""
+    stored = write_table(rule_rows(texts(spark, sf)), "candidates")
+    one, two = (spans.finalize(stored, c).withColumn("setting", F.lit(n)) for n, c in (("all", ALL), ("strict", CONFIG)))
+    return one.unionByName(two)
+
+
 def resolve_overlaps(spark, sf):
     """From a table of candidates, by islands."""
     return spans.resolve_overlaps(rule_rows(texts(spark, sf)))
@@ -124,7 +140,7 @@ def reid_key(spark, sf):
 
 def reidentify(spark, sf):
     """Redacted, and back: each value in the writing of its first occurrence."""
-    t, active = texts(spark, sf), resolved(spark, sf)
+    t, active = texts(spark, sf), found_once(spark, sf)
     return replace.reidentify(replace.apply_spans(t, active, "label"), replace.reid_key(active))
 
 
@@ -145,33 +161,32 @@ def _log(found: DataFrame) -> DataFrame:
 
 
 def active(spark, sf) -> DataFrame:
-    found = resolved(spark, sf)
+    found = found_once(spark, sf)
     return review.active_spans(found, _log(found))
 
 
 def decisions_asof(spark, sf):
-    return review.as_of(_log(resolved(spark, sf)), 12)
+    return review.as_of(_log(found_once(spark, sf)), 12)
 
 
 def value_decisions(spark, sf):
-    return review.value_states(_log(resolved(spark, sf)))
+    return review.value_states(_log(found_once(spark, sf)))
 
 
 def manual_terms(spark, sf):
-    """The first capitalised word of each document, picked by hand."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    picked = docs.select("doc_id", F.regexp_extract("text", r"[A-Z][a-z]{5,}", 0).alias("w"), "text").where("w <> ''")
-    picked = picked.select("doc_id", (F.instr("text", F.col("w")) - 1).alias("start"), (F.instr("text", F.col("w")) - 1 + F.length("w")).alias("end"), F.col("w").alias("text"))
-    return review.manual_terms(docs, picked)
+    """Capitalised words picked by hand: those at places that five divides."""
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    picked = docs.select("doc_id", F.inline(rules.located(F.col("text"), r"[A-Z][a-z]{5,}"))).where("start % 5 = 0")
+    return review.manual_terms(docs, picked.select("doc_id", "start", (F.col("start") + F.length("t")).alias("end"), F.col("t").alias("text")))
 
 
 def anti_overlap(spark, sf):
-    found = rule_rows(texts(spark, sf))
+    found = write_table(rule_rows(texts(spark, sf)), "candidates")
     return spans.without_overlap(found.where("type <> 'PHONE'"), found.where("type = 'PHONE'"))
 
 
 def final_view(spark, sf):
-    found = resolved(spark, sf)
+    found = found_once(spark, sf)
     manual = found.where("type = 'ZIP'").withColumns({"source": F.lit("manual"), "type": F.lit("CUSTOM"), "score": F.lit(1.0)})
     return review.final_view(found, manual, _log(found))
 
@@ -214,21 +229,33 @@ def normalise_caps(spark, sf):
 # Names: an annotator that SQL can follow -----------------------------------------------------
 
 
+NAME = r"[A-Z][a-z]{3,}(?: [a-z]{2,})?"
+
+
 def names(spark, sf) -> DataFrame:
-    """The first capitalised word of six letters or more of each document is taken for a person."""
+    """Capitalised words of four letters or more, with a small word after them, are taken for persons at even
+    places; those at odd ones are left to propagation."""
+    d = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.inline(rules.located(F.col("text"), NAME))).where("start % 2 = 0")
+    place = [F.col("start").alias("start"), (F.col("start") + F.length("t")).alias("end"), F.lit("PERSON").alias("type"), F.col("t").alias("text")]
+    return d.select("doc_id", *place, F.lit("ml").alias("source"), F.lit(0.9).alias("score"), (F.lit(MODEL << 40) + F.col("start")).cast("bigint").alias("ord"))
+
+
+def first_names(spark, sf) -> DataFrame:
+    """The first capitalised word of six letters or more of each document."""
     d = table(spark, sf, "documents").select("doc_id", "text", F.regexp_extract("text", r"[A-Z][a-z]{5,}", 0).alias("w")).where("w <> ''")
     start = F.instr("text", F.col("w")) - 1
-    return d.select("doc_id", start.alias("start"), (start + F.length("w")).alias("end"), F.lit("PERSON").alias("type"), F.col("w").alias("text"), F.lit("ml").alias("source"), F.lit(0.9).alias("score"), (F.lit(MODEL << 40) + start).cast("bigint").alias("ord"))
+    return d.select("doc_id", start.alias("start"), (start + F.length("w")).alias("end"), F.lit("PERSON").alias("type"), F.col("w").alias("text"), F.lit(0.9).alias("score"))
 
 
 def name_variants(spark, sf):
-    two = table(spark, sf, "documents").select("doc_id", F.regexp_extract("text", r"[A-Z][a-z]+ [a-z]+", 0).alias("w")).where("w <> ''")
-    two = two.select("doc_id", F.lit("PERSON").alias("type"), F.initcap("w").alias("text"), F.lit(0.9).alias("score"), F.lit(0).cast("bigint").alias("ord"))
+    """Of every two words of which the first is capitalised, as names."""
+    two = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.inline(rules.located(F.col("text"), r"[A-Z][a-z]+ [a-z]+")))
+    two = two.select("doc_id", F.lit("PERSON").alias("type"), F.initcap("t").alias("text"), F.lit(0.9).alias("score"), F.col("start").cast("bigint").alias("ord"))
     return propagate.name_variants(two).select("doc_id", "type", "term", "score")
 
 
 def propagate_names(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
     return propagate.with_propagation(docs, names(spark, sf)).drop("ord").withColumn("score", F.round("score", 6))
 
 
@@ -253,8 +280,7 @@ def type_scores(spark, sf):
     e = table(spark, sf, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("token"), "value")
     made = F.explode(F.array(*(F.struct(F.lit(n).alias("label"), ((F.floor("value") * (i + 3)) % 11 / 2.0).alias("logit")) for i, (n, _) in enumerate(LABELS)))).alias("l")
     logits = e.select("doc_id", "token", made).select("doc_id", "token", "l.label", "l.logit")
-    labels = spark.createDataFrame(LABELS, "label string, type string")
-    return model.type_scores(logits, labels).withColumn("score", F.round("score", 6))
+    return model.type_scores(logits, model.label_table(spark, model.NAME_LABELS)).withColumn("score", F.round("score", 6))
 
 
 def dictionary_spans(spark, sf):
@@ -293,8 +319,9 @@ def _context(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 
 def classify_columns(spark, sf):
-    """Headers as data: two words of each document's beginning, and a header of every kind."""
-    d = table(spark, sf, "documents").select(F.concat_ws("_", F.get(F.split("text", "[ \n]+"), 0), F.get(F.array(*(F.lit(x) for x in ("name", "Email", "phoneNo", "zip", "user name", "first_name", "dateOfBirth"))), (F.col("doc_id") % 7).cast("int"))).alias("header"))
+    """Headers as data: every word of the documents with one that headers have, and a header of every kind."""
+    words = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(F.split("text", "[ \n]+"))).alias("word"))
+    d = words.select(F.concat_ws("_", "word", F.get(F.array(*(F.lit(x) for x in ("name", "Email", "phoneNo", "zip", "user name", "first_name", "dateOfBirth"))), (F.col("doc_id") % 7).cast("int"))).alias("header"))
     fixed = spark.createDataFrame([(x,) for x in (*CUSTOMER, *SUPPLIER, "FirstName", "E-mail", "IBAN", "city", "Home Town", "LinkedIn", "web site", "")], "header string")
     return d.unionByName(fixed).distinct().select("header", tables.classify_column(F.col("header")).alias("type"))
 
@@ -377,7 +404,7 @@ def pivot_back(spark, sf):
 
 def apply_to_runs(spark, sf):
     """Documents cut into runs of seven characters, with their findings put in."""
-    t = rare_texts(spark, sf)
+    t = texts(spark, sf).where("text <> ''")
     n = F.length("text")
     runs = t.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.ceil(n / 7).cast("int") - 1), lambda i: F.col("text").substr(i * 7 + 1, F.lit(7)))).alias("run_no", "text"))
     runs = runs.select("doc_id", "run_no", (F.col("run_no") * 7).alias("start"), (F.col("run_no") * 7 + F.length("text")).alias("end"), "text")
@@ -390,25 +417,25 @@ def apply_to_runs(spark, sf):
 
 def eval_spans(spark, sf):
     """All rules as truth, the rules without phones as prediction."""
-    gold = resolved(spark, sf)
+    gold = found_once(spark, sf)
     return metrics.eval_spans(gold, gold.where("type <> 'PHONE' and start % 7 <> 0")).withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1")})
 
 
 def eval_chars(spark, sf):
     t = texts(spark, sf)
-    gold = resolved(spark, sf)
+    gold = found_once(spark, sf)
     return metrics.eval_chars(t, gold, gold.where("start % 3 <> 0").withColumn("end", F.col("end") - 1))
 
 
 def name_coverage(spark, sf):
-    n = names(spark, sf)
+    n = first_names(spark, sf)
     cases = table(spark, sf, "documents").select(F.col("doc_id").alias("case_id"), "text").join(n.select(F.col("doc_id").alias("case_id"), F.array("text").alias("names")), "case_id")
     found = n.select(F.col("doc_id").alias("case_id"), (F.col("start") + (F.col("doc_id") % 2)).cast("int").alias("start"), "end", "type", "score")
     return metrics.name_coverage(cases, found)
 
 
 def passes_gate(spark, sf):
-    gold = resolved(spark, sf)
+    gold = found_once(spark, sf)
     base = metrics.eval_spans(gold, gold)
     return metrics.passes_gate(base, metrics.eval_spans(gold, gold.where("type <> 'PHONE'"))).withColumns({"base_f1": F.round("base_f1", 9), "f1": F.round("f1", 9)})
 
@@ -456,10 +483,98 @@ def cell_address(spark, sf):
 
 
 def scrub_office_xml(spark, sf):
-    c = table(spark, sf, "customer").select("c_custkey", F.concat(F.lit('<w:ins w:author="'), "c_name", F.lit('" w:date="2024-01-01" w:rsidR="00AB"><w:t>x</w:t></w:ins><dc:creator>'), "c_name", F.lit("</dc:creator>")).alias("xml"))
+    named = F.concat(F.lit('<w:ins w:author="'), "c_name", F.lit('" w:initials="CN" w15:userId="u1"><w:t>x</w:t></w:ins><dc:creator>'), "c_name")
+    c = table(spark, sf, "customer").select("c_custkey", F.concat(named, F.lit("</dc:creator><vt:lpwstr>"), "c_name", F.lit("</vt:lpwstr>")).alias("xml"))
     return c.select("c_custkey", fx.scrub_office_xml(F.col("xml")).alias("xml"))
 
 
+CODES = ("General", "0.00", "yyyy-mm-dd", '"day" 0', "[Red]0", "h:mm", "0\\d", "i", "@")
+
+
+def date_formats(spark, sf):
+    code = F.get(F.array(*map(F.lit, CODES)), (F.col("o_orderkey") % len(CODES)).cast("int"))
+    return table(spark, sf, "orders").select("o_orderkey", fx.is_date_format((F.col("o_orderkey") % 60).cast("int"), code).alias("is_date"))
+
+
+def xml_texts(spark, sf):
+    """Escapes of spreadsheets decoded, and what XML does not allow escaped."""
+    raw = F.concat(F.lit("<"), "c_name", F.lit('_x0026_"_x00E9_" _x00G0_>'))
+    return table(spark, sf, "customer").select("c_custkey", fx.decode_x(raw).alias("decoded"), fx.escape_xml(fx.decode_x(raw)).alias("escaped"))
+
+
+def score_digits(spark, sf):
+    return table(spark, sf, "events").select("event_id", fx.rounded_score(F.col("value") / 64).alias("score"))
+
+
+def csv_lines(spark, sf):
+    return writers.csv_lines(cells(spark, sf), ";")
+
+
+def csv_round_trip(spark, sf):
+    """Every sheet as a file, with a mark, and read again with its dialect found."""
+    path = f"{shared_folder(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
+    writers.write_csv(cells(spark, sf), path, ";", "\r\n", bom=True)
+    back = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    file = lambda k: F.regexp_extract("doc_id", rf"{k}=(\d+)", 1)
+    got, _ = readers.parsed_tables(back.where("length(content) > 0"))
+    return got.select(file("doc").cast("bigint").alias("doc_id"), file("sheet").cast("int").alias("sheet"), "row", "col", "value")
+
+
+def clean_table(spark, sf):
+    """Redacted cells as a clean workbook; balances that did not change stay numbers."""
+    c = cells(spark, sf).select(*AT, "value")
+    original = c.select(*AT, "value", F.when(F.col("value").rlike(r"^-?\d+\.\d\d$"), F.col("value").cast("double")).alias("scalar_num"), F.lit(None).cast("boolean").alias("scalar_bool"))
+    return writers.clean_table(redact_table(spark, sf), original)
+
+
+def align_tokens(spark, sf):
+    """The words of records, in small letters, put back in place."""
+    t = rare_texts(spark, sf)
+    found = t.select("doc_id", F.posexplode(model.align_tokens(F.col("text"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("i", "p"))
+    return found.select("doc_id", "i", "p.start", "p.end")
+
+
+def widen_pieces(spark, sf):
+    """The inner part of each word of four characters or more, grown to the word."""
+    w = rare_texts(spark, sf).select("doc_id", "text", F.inline(rules.located(F.col("text"), r"[\p{L}\p{N}]{4,}")))
+    grown = model.widen(F.col("text"), F.col("start") + 1, F.col("start") + F.length("t") - 1)
+    return w.select("doc_id", F.col("start").alias("place"), grown.alias("w")).select("doc_id", "place", "w.start", "w.end")
+
+
+def symbols_text(spark, sf):
+    """A page for each nation, a paragraph for each market segment's customers, a line each."""
+    c = table(spark, sf, "customer").select(
+        F.col("c_nationkey").alias("doc_id"), F.lit(1).alias("page"), (F.col("c_custkey") % 5).alias("paragraph"), F.col("c_custkey").alias("line"),
+        F.posexplode(F.split("c_name", "#")).alias("word", "w"),
+    )
+    s = c.select("doc_id", "page", "paragraph", "line", "word", F.posexplode(F.split("w", "")).alias("pos", "text")).where("text <> ''")
+    return layout.symbols_text(s).select("doc_id", "page", "line", "word", "pos", "part", "idx")
+
+
+def blacked_out(spark, sf):
+    areas = table(spark, sf, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("doc_id"), F.lit(1).alias("page"), *(F.lit(v).alias(c) for c, v in zip("xywh", (1.0, 2.0, 30.0, 4.0), strict=True)))
+    return layout.with_areas(rectangles(spark, sf), areas)
+
+
+def stale_exports(spark, sf):
+    """Exports of all findings, after some findings of every third document were switched off."""
+    found = found_once(spark, sf)
+    exports, today = review.review_fingerprints(found), review.review_fingerprints(found.where("doc_id % 3 <> 0 or start % 2 = 0"))
+    fresh, rejected = review.current_exports(exports, today)
+    return fresh.select("doc_id", F.lit(None).cast("string").alias("reason")).unionByName(rejected.select("doc_id", "reason"))
+
+
+def scan_samples(spark, sf):
+    """A model over the distinct values of tables, packed, with its findings placed in the values."""
+    c, types = _context(spark, sf)
+    plan = tables.scan_plan(c, tables.covered_cells(c, tables.structural_spans(c, types)))
+
+    def load():
+        return model.dictionary_annotator({"BUILDING": "ORG", "MACHINERY": "ORG", "Total": "PERSON"})
+
+    return model.annotate_samples(plan.select("doc_id", "sheet", "col", "context", "value"), load)
+
+
 QUERIES = {
     "detect_rules": _rule_query(),
     "rule_email": _rule_query("EMAIL"), "rule_card": _rule_query("CREDIT_CARD"), "rule_ip": _rule_query("IP_ADDRESS"), "rule_phone": _rule_query("PHONE"), "rule_url": rule_url,
@@ -468,9 +583,11 @@ QUERIES = {
 } | {
     f.__name__: f
     for f in (
-        rule_ipv6, candidates, deny_list, occurrences, filter_spans, resolve_overlaps, redact_conversations, value_keys, label_map, reid_key, reidentify, neutralise_cells, decisions_asof, value_decisions, manual_terms, anti_overlap,
+        rule_ipv6, candidates, finalize, deny_list, occurrences, filter_spans, resolve_overlaps, redact_conversations, value_keys, label_map, reid_key, reidentify, neutralise_cells, decisions_asof, value_decisions, manual_terms, anti_overlap,
         final_view, export_gate, findings_by_value, findings_rollup, top_values, doc_summary, findings_by_label, needs_model, normalise_caps, name_variants, propagate_names, plausible_spans, merge_spans, type_scores,
         dictionary_spans, chunk_cover, classify_columns, detect_header, unpivot_cells, column_label, structural_spans, covered_cells, scan_plan, scan_stats, project_findings, clip_to_cells, cell_decisions, column_decisions,
         redact_table, pivot_back, apply_to_runs, eval_spans, eval_chars, name_coverage, passes_gate, page_lines, page_text, page_needs_ocr, rectangles, excel_serial_date, zero_pad, cell_address, scrub_office_xml,
+        date_formats, xml_texts, score_digits, csv_lines, csv_round_trip, clean_table, align_tokens, widen_pieces, symbols_text, blacked_out, stale_exports,
+        scan_samples,
     )
 }

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,28 +56,56 @@ def dialect_of(name: Column, text: Column) -> Column:
     return F.struct(F.when(extension(name) == "tsv", "\t").otherwise(best).alias("delimiter"), newline.alias("newline"))
 
 
-def records(text: Column, delimiter: Column) -> Column:
-    """array<array<string>>: quoted cells, doubled quotes and newlines inside quotes, with blank lines kept;
-    null if a quote is never closed."""
-    rest = F.replace(text, F.lit('""'), F.lit("\x01"))
-    closed = (F.length(rest) - F.length(F.replace(rest, F.lit('"'), F.lit("")))) % 2 == 0
-    pieces = F.split(rest, '"')
-    masked = F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 0, p).otherwise(F.replace(F.replace(F.replace(F.replace(p, F.lit("\r"), F.lit("\x02")), F.lit("\n"), F.lit("\x03")), delimiter, F.lit("\x04")), F.lit("\x05"), F.lit("")))), "")
-    ended = F.regexp_replace(masked, r"(?:\r\n|\n|\r)\z", "")
-    cell = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("\x01"), F.lit('"')), F.lit("\x02"), F.lit("\r")), F.lit("\x03"), F.lit("\n")), F.lit("\x04"), delimiter)
-    rows = F.transform(F.split(ended, r"\r\n|\n|\r"), lambda line: F.transform(F.call_function("split", line, F.concat(F.lit(r"\Q"), delimiter, F.lit(r"\E")), F.lit(-1)), lambda c: F.when(c == "\x01", "").otherwise(cell(c))))
-    return F.when(closed, rows)
+def parsed(text: str, delimiter: str) -> Iterator[list[str]]:
+    """Records of delimited text: quoted cells, doubled quotes and newlines inside quotes, blank lines kept as one empty
+    cell. A quote that is never closed, or text between a closing quote and the next mark, is an error."""
+    csv.field_size_limit((1 << 31) - 1)
+    lines = io.StringIO(text, newline="")
+    for row in csv.reader(lines, delimiter=delimiter, strict=True):
+        yield row or [""]
 
 
 def read_tables(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """(cells, rejects) of delimited files, whatever their encoding and dialect. cells: doc_id (path), sheet,
-    row, col, value, all strings as they stand; rejects: path, reason."""
-    files = spark.read.format("binaryFile").load(paths).where(extension(F.col("path")).isin(*TABLES))
+    row, col, value, all strings as they stand; rejects: path, reason. A file is parsed by one task (quoted newlines allow
+    no cut), record by record, and is 2 GB at most, as Spark's binary source has it; `read_plain_table` splits larger ones."""
+    return parsed_tables(spark.read.format("binaryFile").load(paths).where(extension(F.col("path")).isin(*TABLES)))
+
+
+def parsed_tables(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same of files (path, content) that were chosen otherwise."""
     d = files.select("path", decoded(F.col("content")).alias("d")).select("path", "d.text").withColumn("s", dialect_of(F.col("path"), F.col("text")))
-    parsed = d.withColumn("rows", records(F.col("text"), F.col("s.delimiter")))
-    rejects = parsed.where("rows is null").select("path", F.lit("a quote is never closed").alias("reason"))
-    rows = parsed.where("rows is not null").select(F.col("path").alias("doc_id"), F.lit(0).alias("sheet"), F.posexplode("rows").alias("row", "cells"))
-    return rows.select("doc_id", "sheet", "row", F.posexplode("cells").alias("col", "value")), rejects
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, text, delimiter in zip(*(b.column(c).to_pylist() for c in ("path", "text", "delimiter")), strict=True):
+                error, rows = None, []
+                try:
+                    for k, cells in enumerate(parsed(text, delimiter)):
+                        rows.append((path, k, cells, None))
+                except csv.Error as e:
+                    error, rows = str(e), []
+                rows = rows if error is None else [(path, None, None, error)]
+                for at in range(0, len(rows), 10_000):
+                    part = list(zip(*rows[at : at + 10_000], strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, kinds, strict=True)], names=["path", "row", "cells", "error"])
+
+    kinds = (pa.string(), pa.int32(), pa.list_(pa.string()), pa.string())
+    flat = d.select("path", F.coalesce("text", F.lit("")).alias("text"), F.col("s.delimiter").alias("delimiter"))
+    got = flat.mapInArrow(run, "path string, row int, cells array<string>, error string")
+    rejects = got.where("error is not null").select("path", F.concat(F.lit("malformed quoting: "), "error").alias("reason"))
+    rows = got.where("error is null").select(F.col("path").alias("doc_id"), F.lit(0).alias("sheet"), "row", F.posexplode("cells").alias("col", "value"))
+    return rows, rejects
+
+
+def read_plain_table(spark: SparkSession, path: str, columns: int, delimiter: str = ",") -> DataFrame:
+    """doc_id (path), line (a number that rises within a split), col, value of UTF-8 files of any size without newlines in
+    quotes: splits are read by many tasks; blank lines are skipped."""
+    names = [f"c{k}" for k in range(columns)]
+    shape = ", ".join(f"{n} string" for n in names)
+    raw = spark.read.schema(shape).option("sep", delimiter).option("escape", '"').option("emptyValue", "").option("nullValue", "\x00").csv(path)
+    rows = raw.select(F.input_file_name().alias("doc_id"), F.monotonically_increasing_id().alias("line"), F.posexplode(F.array(*names)).alias("col", "value"))
+    return rows.where("value is not null")
 
 
 def read_terms(spark: SparkSession, paths: str | list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.functions.text import base_name, neutralised
@@ -28,15 +28,21 @@ def csv_lines(cells: DataFrame, delimiter: str = ",") -> DataFrame:
 
 
 def write_csv(cells: DataFrame, path: str, delimiter: str = ",", newline: str = "\n", bom: bool = False) -> None:
-    """Rows of cells as delimited text in row order; with bom, one file that starts with the mark."""
-    lines = csv_lines(cells, delimiter).orderBy("doc_id", "sheet", "row")
-    out = lines.select(F.when(F.lit(bom) & (F.col("row") == 0), F.concat(F.lit("﻿"), "line")).otherwise(F.col("line")).alias("value"))
-    (out.coalesce(1) if bom else out).write.option("lineSep", newline).text(path)
+    """Rows of cells as delimited text: a folder of path for each document and sheet (doc=.../sheet=...), written by
+    one task in row order, as the file of one table is; with bom each file starts with the byte order mark."""
+    lines = csv_lines(cells, delimiter).select(F.col("doc_id").alias("doc"), "sheet", "row", "line")
+    first = F.min("row").over(Window.partitionBy("doc", "sheet"))
+    marked = lines.withColumn("value", F.when(F.lit(bom) & (F.col("row") == first), F.concat(F.lit("\ufeff"), "line")).otherwise(F.col("line")))
+    dealt = marked.repartition("doc", "sheet").sortWithinPartitions("doc", "sheet", "row")
+    dealt.select("doc", "sheet", "value").write.partitionBy("doc", "sheet").option("lineSep", newline).text(path)
 
 
 def write_key(key: DataFrame, path: str) -> None:
-    """The re-identification key: type, original, replacement, every field quoted."""
-    key_csv(key).write.option("header", True).option("quoteAll", True).csv(path)
+    """The re-identification key: type, original, replacement, every field quoted, in order of first appearance; a
+    folder for each document (doc=...)."""
+    rows = key.select(F.col("doc_id").alias("doc"), "position", *key_csv(key))
+    dealt = rows.repartition("doc").sortWithinPartitions("doc", "position")
+    dealt.drop("position").write.partitionBy("doc").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
 def clean_table(cells: DataFrame, original: DataFrame) -> DataFrame:

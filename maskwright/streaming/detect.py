@@ -23,16 +23,26 @@ def redact_stream(stream: DataFrame, config: RedactionConfig | None = None, text
     return redact(stream, config=config, text=text)
 
 
-def labelled_stream(stream: DataFrame, config: RedactionConfig | None = None, key: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
+def labelled_stream(
+    stream: DataFrame, config: RedactionConfig | None = None, key: str = "conv_id", order: str = "turn", text: str = "text", idle_ms: int | None = None
+) -> DataFrame:
     """key, order, text of a stream, with labels that number each conversation's values by arrival. State:
-    for each conversation its values and counters; texts that come late get later numbers."""
+    for each conversation its values and a count for each type; texts that come late get later numbers. A stream of ever
+    new conversations needs idle_ms: a state that nothing has come for in that time is dropped (a later text starts anew)."""
     config = config or RedactionConfig()
     kinds = {c: stream.schema[c].dataType.simpleString() for c in (key, order)}
     found = stream.select(key, order, text, active_spans(F.col(text), config).alias("s"))
     shaped = found.select(key, order, text, F.transform("s", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["type"].alias("type"), normalised(s["text"]).alias("value"))).alias("s"))
 
     def label(group: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         known = dict(zip(*state.get, strict=True)) if state.exists else {}
+        last: dict[str, int] = {}
+        for name, n in known.items():
+            kind = name.split(":", 1)[0]
+            last[kind] = max(n, last.get(kind, 0))
         rows = pd.concat(list(batches)).sort_values(order)
         out = []
         for turn, t, spans in zip(rows[order], rows[text], rows["s"], strict=True):
@@ -40,12 +50,14 @@ def labelled_stream(stream: DataFrame, config: RedactionConfig | None = None, ke
             for s in spans if spans is not None else []:
                 name = f"{s['type']}:{s['value']}"
                 if name not in known:
-                    known[name] = 1 + sum(k.startswith(f"{s['type']}:") for k in known)
+                    last[s["type"]] = known[name] = last.get(s["type"], 0) + 1
                 new.append((int(s["start"]), int(s["end"]), f"[{s['type']}_{known[name]}]"))
             out.append((group[0], turn, t, [{"start": a, "end": b, "new": c} for a, b, c in new]))
         state.update((list(known), list(known.values())))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=[key, order, text, "p"])
 
     piece = "array<struct<start:int,end:int,new:string>>"
-    done = shaped.groupBy(key).applyInPandasWithState(label, f"{key} {kinds[key]}, {order} {kinds[order]}, {text} string, p {piece}", "names array<string>, numbers array<int>", "append", "NoTimeout")
+    done = shaped.groupBy(key).applyInPandasWithState(label, f"{key} {kinds[key]}, {order} {kinds[order]}, {text} string, p {piece}", "names array<string>, numbers array<int>", "append", "NoTimeout" if idle_ms is None else "ProcessingTimeTimeout")
     return done.select(key, order, spliced(F.col(text), F.col("p")).alias(text))

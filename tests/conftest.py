@@ -3,10 +3,11 @@ from pyspark.sql import SparkSession
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     s = (
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.legacy.javaCharsets", "true").config("spark.driver.memory", "4g").getOrCreate()
+        .config("spark.sql.legacy.javaCharsets", "true").config("spark.driver.memory", "4g")
+        .config("spark.checkpoint.dir", tmp_path_factory.mktemp("shared").as_uri()).getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s

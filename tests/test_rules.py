@@ -117,3 +117,77 @@ def test_scalars(spark):
     cells = ["=1+1", "-5", "+1,000.5e3", "  @x", "\tabc", "", "-x"]
     assert [val(fx.neutralised(F.lit(c))) for c in cells] == ["'=1+1", "-5", "+1,000.5e3", "'  @x", "'\tabc", "", "'-x"]
     assert val(fx.normalise_caps(F.lit("MARIA O'BRIEN-LÓPEZ\tsmall Text\nABC"))) == "Maria O'Brien-López\tsmall Text\nABC"
+
+
+def test_many_spans_and_matches_take_time_in_proportion(spark):
+    import time
+
+    rows = [(1, 3 * i, 3 * i + (4 if i % 5 == 0 else 3), "X", "t", "rule", 0.9, i) for i in range(50_000)]
+    df = spark.createDataFrame(rows, "doc_id long, start int, end int, type string, text string, source string, score double, ord long").coalesce(1)
+    packed = df.groupBy("doc_id").agg(F.collect_list(F.struct(*df.columns[1:])).alias("s")).cache()
+    text = spark.createDataFrame([(1, " ".join(f"w{i % 977}" for i in range(50_000)))], "doc_id long, text string")
+    assert packed.count() == 1
+    start = time.time()
+    assert packed.select(F.inline(spans.resolve(F.col("s")))).count() == 40_000
+    found = text.select(F.inline(rules.located(F.col("text"), r"\w+"))).agg(F.count("*"), F.max("start"), F.sum("start")).first()
+    assert time.time() - start < 30  # seconds; 10 on an idle machine
+    places = [0]
+    for i in range(50_000 - 1):
+        places.append(places[-1] + len(f"w{i % 977}") + 1)
+    assert tuple(found) == (50_000, places[-1], sum(places))
+
+
+def test_located_in_a_text_with_control_characters(spark):
+    text = "\x01ab \x02 ab\x03x ab"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = [tuple(r) for r in df.select(F.inline(rules.located(F.col("text"), "ab"))).collect()]
+    assert got == [(1, "ab"), (6, "ab"), (11, "ab")]
+    grouped = [tuple(r) for r in df.select(F.inline(rules.located(F.lit("CA 90210, NY 10001"), r"[A-Z]{2} (\d{5})", 1))).collect()]
+    assert grouped == [(3, "90210"), (13, "10001")]
+
+
+SPANS = "doc_id long, start int, end int, type string, text string, score double"
+
+
+@pytest.mark.parametrize(
+    "text, pieces, expected",
+    [
+        ("x" * 60, [(0, 50, "PERSON"), (10, 20, "ORG"), (40, 45, "ORG")], [(0, 50), (10, 20), (40, 45)]),
+        ("Ann Lee", [(0, 3, "PERSON"), (4, 7, "PERSON")], [(0, 7)]),
+        ("name– x", [(0, 5, "PERSON")], [(0, 4)]),
+        ("@ann_", [(0, 5, "PERSON")], [(0, 5)]),
+        ("3X. Smith", [(0, 2, "PERSON"), (4, 9, "PERSON")], [(0, 9)]),
+        ("4J. Smith", [(1, 2, "PERSON"), (4, 9, "PERSON")], [(1, 9)]),
+        ("AJ. Smith", [(0, 2, "PERSON"), (4, 9, "PERSON")], [(0, 2), (4, 9)]),
+        ("12 - x", [(0, 4, "ID_NUMBER")], [(0, 2)]),
+        ("a b", [(0, 1, "PERSON")], []),
+    ],
+)
+def test_merge_follows_the_piece_before(spark, text, pieces, expected):
+    df = spark.createDataFrame([(1, s, e, t, text[s:e], 0.5) for s, e, t in pieces], SPANS)
+    out = spans.merge_spans(df, spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    assert [(r["start"], r["end"]) for r in out.orderBy("start").collect()] == expected
+
+
+def test_scalars_of_spreadsheets_and_xml(spark):
+    val = lambda c: spark.range(1).select(c.alias("v")).first()["v"]
+    assert val(fx.excel_serial_date(F.lit(45292.5), F.lit(False))) == "2024-01-01 12:00:00"
+    assert [val(fx.is_date_format(F.lit(n), F.lit(c))) for n, c in ((14, "x"), (0, "i"), (0, '"day"0'), (0, "[Red]0"), (0, "h:mm"), (23, "0"))] == [True, True, False, False, True, False]
+    assert val(fx.escape_xml(F.lit('<a & "b">'))) == "&lt;a &amp; &quot;b&quot;&gt;"
+    xml = '<w:ins w:author="Ann" w:initials="A" w:date="d"/><w15:person w15:author="Ann" w15:userId="u"/><Company>X</Company><vt:lpwstr>secret</vt:lpwstr>'
+    want = '<w:ins w:author="Redacted" w:initials="R" w:date="d"/><w15:person w15:author="Redacted" w15:userId=""/><Company></Company><vt:lpwstr></vt:lpwstr>'
+    assert val(fx.scrub_office_xml(F.lit(xml))) == want
+    assert [val(fx.rounded_score(F.lit(x))) for x in (0.94999998, 0.12345, 0.5)] == [0.95, 0.1235, 0.5]
+
+
+def test_key_is_in_order_of_first_appearance(spark):
+    df = spark.createDataFrame([(1, "10.0.0.1 a@b.co 10.0.0.2 a@b.co")], "doc_id long, text string")
+    key = replace.reid_key(api.detect(df)).orderBy("position").collect()
+    assert [(r["type"], r["original"]) for r in key] == [("IP_ADDRESS", "10.0.0.1"), ("EMAIL", "a@b.co"), ("IP_ADDRESS", "10.0.0.2")]
+
+
+def test_finalize_reads_stored_candidates_again(spark):
+    df = spark.createDataFrame([(1, "+44 20 7946 0958 and a@b.co")], "doc_id long, text string")
+    stored = df.select("doc_id", F.inline(rules.detect_rules(F.col("text"))))
+    assert {r["type"] for r in spans.finalize(stored, RedactionConfig()).collect()} == {"PHONE", "EMAIL"}
+    assert {r["type"] for r in spans.finalize(stored, RedactionConfig(min_score=0.9)).collect()} == {"EMAIL"}

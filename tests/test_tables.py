@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from maskwright import api
 from maskwright.config import RedactionConfig
-from maskwright.operators import layout, metrics, model, propagate, review, tables
+from maskwright.operators import layout, metrics, model, propagate, replace, review, tables
 from maskwright.sources import readers, writers
 from maskwright.streaming import detect as streaming
 
@@ -91,7 +91,7 @@ def test_model_failure_keeps_the_rules(spark):
 def test_alignment_and_widening(spark):
     df = spark.createDataFrame([("Hello O'Brien", ["hel", "##lo", "o", "zzz"])], "t string, k array<string>")
     assert [tuple(x) if x else None for x in df.select(model.align_tokens(F.col("t"), F.col("k")).alias("a")).first()["a"]] == [(0, 3), (3, 5), (6, 7), None]
-    assert tuple(df.select(model.widen(F.col("t"), F.lit(2), F.lit(6)).alias("w")).first()["w"]) == (0, 5)
+    assert tuple(df.select(model.widen(F.col("t"), F.lit(2), F.lit(6)).alias("w")).first()["w"]) == (0, 7)  # grown over letters on both sides first, then trimmed
 
 
 def test_rectangles(spark):
@@ -147,3 +147,120 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r["text"] for r in spark.table("redacted").collect()} == {"[EMAIL_1]", "[EMAIL_1] and [EMAIL_2]"}
+
+
+def test_propagation_of_several_names(spark):
+    text = "José said José. Joséé left. A.B. Labs met A.B. Labs. Ana Ana Ana; Zyra met Zyra."
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    hit = lambda t, kind: (1, text.index(t), text.index(t) + len(t), kind, t, "ml", 0.99, text.index(t))
+    found = [hit("José", "PERSON"), hit("A.B. Labs", "ORG"), hit("Ana Ana", "PERSON"), hit("Zyra", "PERSON")]
+    df = spark.createDataFrame(found, "doc_id long, start int, end int, type string, text string, source string, score double, ord long")
+    out = {(r["start"], r["text"]) for r in propagate.with_propagation(docs, df).where("score < 0.99").collect()}
+    assert out == {(10, "José"), (42, "A.B. Labs"), (53, "Ana"), (57, "Ana"), (61, "Ana"), (57, "Ana Ana"), (75, "Zyra")}
+
+
+def test_occurrences_of_a_list_meet_by_words(spark):
+    docs = spark.createDataFrame([(1, "Falcon and FALCON nest, falconry; C++ c++"), (2, "none"), (3, None)], "doc_id long, text string")
+    terms = spark.createDataFrame([("falcon nest",), (" Falcon ",), ("c++",), ("++",)], "term string")
+    got = {(r["doc_id"], r["start"], r["text"]) for r in propagate.occurrences(docs, terms).collect()}
+    assert got == {(1, 0, "Falcon"), (1, 11, "FALCON"), (1, 11, "FALCON nest"), (1, 34, "C++"), (1, 38, "c++")}
+
+
+def test_chunks_break_where_they_should():
+    text = "a" * 700 + "\n" + "b" * 300 + ". " + "c" * 400
+    first = model.chunk(text, 10_000)[0][1]
+    assert len(first) == 1003 and first.endswith(". ")  # one character after the last mark, which is the space
+    assert model.chunk("x" * 1300, 10_000)[0][1] == "x" * 1200
+    assert [len(c) for _, c in model.chunk("word " * 40, 10)][0] == 45  # 200 characters, 40 tokens: 200 * 10 / 40 * 0.9
+    with pytest.raises(ValueError):
+        model.chunk("xy", 1, lambda t: 2)
+
+
+def test_samples_are_packed(spark):
+    assert model.packed(["a" * 500, "b" * 500, "c" * 300, "d" * 2000, "e"], 1200) == [[0, 1], [2], [3], [4]]
+    df = spark.createDataFrame([(k, "Name", v) for k, v in enumerate(["Ann Lee", "no one", "Bob x Ann"])], "id int, context string, value string")
+    calls = model.annotate_samples(df.coalesce(1), lambda: model.dictionary_annotator({"Ann": "PERSON", "Name": "ORG"}))
+    assert {(r["id"], r["start"], r["end"], r["type"]) for r in calls.collect()} == {(0, 0, 3, "PERSON"), (2, 6, 9, "PERSON")}
+
+
+def test_annotator_gets_batches_and_runs_once(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(10)], "doc_id long, text string").coalesce(1)
+    log = str(tmp_path / "calls")
+
+    def load():
+        def run(texts):
+            with open(log, "a") as f:
+                f.write(f"{len(texts)}\n")
+            return [[] for _ in texts]
+
+        return run
+
+    found, states = model.annotate(docs, load, batch=4)
+    assert found.count() == 0 and states.count() == 10
+    assert open(log).read().split() == ["4", "4", "2"]
+
+
+def test_number_columns(spark):
+    items = [(1, 1, 0.0, 10.0, 30.0, 10.0, "3,481"), (1, 1, 30.5, 10.0, 10.0, 10.0, "$5"), (1, 2, 0.0, 10.0, 30.0, 10.0, "12"), (1, 2, 20.0, 10.0, 10.0, 10.0, "34"), (1, 3, 0.0, 10.0, 30.0, 10.0, "12"), (1, 3, 30.5, 10.0, 5.0, 10.0, "x")]
+    df = spark.createDataFrame(items, "doc_id long, page int, x double, y double, w double, h double, text string")
+    assert {r["page"]: r["text"] for r in layout.page_text(df).collect()} == {1: "3,481 $5\n", 2: "1234\n", 3: "12x\n"}
+
+
+def test_weighted_boxes_and_areas(spark):
+    runs = spark.createDataFrame([(1, 5, 1, 10.0, 0.0, 60.0, 12.0, "abc", [1.0, 2.0, 3.0]), (1, 0, 1, 0.0, 0.0, 10.0, 12.0, "xy", None)], "doc_id long, start int, page int, x double, y double, w double, h double, text string, weights array<double>")
+    got = {r["idx"]: (r["x"], r["w"]) for r in layout.char_boxes(runs).collect()}
+    assert got == {5: (10.0, 10.0), 6: (20.0, 20.0), 7: (40.0, 30.0), 0: (0.0, 5.0), 1: (5.0, 5.0)}
+    boxes = spark.createDataFrame([(1, 1, 0.0, 0.0, 1.0, 1.0)], "doc_id long, page int, x double, y double, w double, h double")
+    assert layout.with_areas(boxes, boxes.unionByName(boxes.withColumn("page", F.lit(2)))).count() == 2
+
+
+def test_stale_exports_are_rejected(spark):
+    docs = spark.createDataFrame([(1, "a@b.co c@d.ee"), (2, "a@b.co"), (3, "10.0.0.1")], "doc_id long, text string")
+    active = api.detect(docs)
+    exports = review.review_fingerprints(active)
+    today = review.review_fingerprints(active.where("not (doc_id = 1 and start = 0) and doc_id <> 3"))
+    fresh, rejected = review.current_exports(exports, today)
+    assert [r["doc_id"] for r in fresh.collect()] == [2]
+    assert {r["doc_id"]: r["reason"] for r in rejected.collect()} == {1: "review choices changed during the export", 3: "the document is gone"}
+
+
+def test_control_characters_and_malformed_quotes(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b'x,"a\x02b"\n"\x05",y\n')
+    (tmp_path / "b.csv").write_bytes(b'"a"b,c\n')
+    got, rejects = readers.read_tables(spark, str(tmp_path))
+    assert sorted((r["row"], r["col"], r["value"]) for r in got.collect()) == [(0, 0, "x"), (0, 1, "a\x02b"), (1, 0, "\x05"), (1, 1, "y")]
+    assert [r["path"][-5:] for r in rejects.collect()] == ["b.csv"]
+
+
+def test_csv_of_several_documents(spark, tmp_path):
+    one = cells(spark, [["a", "=1"], ["b", "2"]])
+    both = one.unionByName(one.withColumn("doc_id", F.lit(2).cast("long")))
+    writers.write_csv(both, str(tmp_path / "out"), bom=True)
+    files = spark.read.option("recursiveFileLookup", "true").text(str(tmp_path / "out"), wholetext=True).collect()
+    assert [r["value"] for r in files if r["value"]] == ["﻿a,'=1\nb,2\n"] * 2
+    key = replace.reid_key(api.detect(spark.createDataFrame([(1, "10.0.0.1 a@b.co")], "doc_id long, text string")))
+    writers.write_key(key, str(tmp_path / "key"))
+    lines = [r["value"] for r in spark.read.option("recursiveFileLookup", "true").text(str(tmp_path / "key")).collect()]
+    assert lines == ['"type","original","replacement"', '"IP_ADDRESS","10.0.0.1","[IP_ADDRESS_1]"', '"EMAIL","a@b.co","[EMAIL_1]"']
+
+
+def test_other_sources_and_sinks(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one\ntwo")
+    (tmp_path / "b.bin").write_text("no")
+    assert [r["text"] for r in readers.read_texts(spark, str(tmp_path)).collect()] == ["one\ntwo"]
+    (tmp_path / "terms").write_text(" x \n\ny\nx\n")
+    assert {r["term"] for r in readers.read_terms(spark, str(tmp_path / "terms")).collect()} == {"x", "y"}
+    (tmp_path / "gold").write_text('{"text": "Ann", "spans": [{"start": 0, "end": 3, "label": "PERSON"}]}\n')
+    texts, gold = readers.read_annotated(spark, str(tmp_path / "gold"))
+    assert texts.join(gold, "doc_id").first()["type"] == "PERSON"
+    c = cells(spark, [["1", "x"]])
+    assert readers.union_sheets(c, c).groupBy("sheet").count().count() == 2
+    writers.write_texts(spark.createDataFrame([("d/a.txt", "t")], "name string, text string"), str(tmp_path / "texts"))
+    assert spark.read.parquet(str(tmp_path / "texts")).first()["name"] == "d/a.redacted.txt"
+    original = c.withColumns({"scalar_num": F.lit(1.0), "scalar_bool": F.lit(None).cast("boolean")})
+    clean = {r["col"]: (r["sheet"], r["scalar_num"]) for r in writers.clean_table(c.withColumn("value", F.regexp_replace("value", "x", "y")), original).collect()}
+    assert clean == {0: ("Sheet 1", 1.0), 1: ("Sheet 1", None)}
+    notes = readers.coverage_notes(spark.createDataFrame([("p", "windows-1252", False)], "path string, encoding string, bom boolean")).first()["notes"]
+    assert notes == ["read as Windows-1252"]
+    headers = review.header_flags(spark.createDataFrame([(1, 0, True)], "doc_id long, sheet int, has_header boolean"), spark.createDataFrame([(1, 0, False)], "doc_id long, sheet int, has_header boolean"))
+    assert headers.first()["has_header"] is False
