@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from maskwright.config import RedactionConfig
 from maskwright.operators.replace import apply_spans, redacted, reid_key
-from maskwright.operators.rules import RULES, Rule, deny_spans, detect_rules
+from maskwright.operators.rules import RULES, Rule, deny_spans, detect_rules, span_rows
 from maskwright.operators.spans import filter_spans, keep_span, resolve, resolve_overlaps
 
 
@@ -33,8 +33,8 @@ def detect(df: DataFrame, config: RedactionConfig | None = None, id_col: str = "
     operators.model), widened to repeats of its names; extra: more candidates, such as header spans."""
     config = config or RedactionConfig()
     if ner is None and extra is None:
-        return df.select(id_col, F.inline(active_spans(F.col(text), config)))
-    found = df.select(id_col, F.inline(candidate_spans(F.col(text), config)))
+        return span_rows(df, active_spans(F.col(text), config), id_col)
+    found = span_rows(df, candidate_spans(F.col(text), config), id_col)
     if extra is not None:
         found = found.unionByName(extra)
     if ner is not None:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from maskwright.config import DENY, MODEL
 from maskwright.functions.text import trimmed
-from maskwright.operators.rules import located, term_pattern
+from maskwright.operators.rules import located, span_rows, term_pattern
 from maskwright.operators.spans import plausible
 
 # Which types spread, what a part of a name looks like, and how much score a repeat keeps.
@@ -111,7 +111,7 @@ def occurrences(texts: DataFrame, terms: DataFrame, doc: str = "doc_id", text: s
         per = met.distinct().groupBy(doc).agg(F.collect_list("term").alias("__terms"))
     here = texts.select(doc, F.col(text).alias("__text")).join(per, doc)
     found = here.select(doc, "__text", F.explode("__terms").alias("term"))
-    hits = found.select(doc, F.inline(located(F.col("__text"), term_pattern(F.col("term")))))
+    hits = span_rows(found, located(F.col("__text"), term_pattern(F.col("term"))), doc)
     start = F.col("start").cast("int")
     made = hits.select(
         doc, start.alias("start"), (start + F.length("t")).cast("int").alias("end"), F.lit("CUSTOM").alias("type"), F.col("t").alias("text"),

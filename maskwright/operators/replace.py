@@ -98,9 +98,9 @@ def apply_spans(texts: DataFrame, active: DataFrame, mode: str, doc: str = "doc_
 
 def reidentify(texts: DataFrame, key: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """The inverse of label mode: labels found in the texts become the originals of the key."""
-    from maskwright.operators.rules import located
+    from maskwright.operators.rules import located, span_rows
 
-    labels = texts.where(F.contains(F.col(text), F.lit("["))).select(doc, F.inline(located(F.col(text), r"\[[A-Z_]+_\d+\]")))
+    labels = span_rows(texts.where(F.contains(F.col(text), F.lit("["))), located(F.col(text), r"\[[A-Z_]+_\d+\]"), doc)
     found = labels.join(key.select(doc, F.col("replacement").alias("t"), F.col("first_text").alias("new")), [doc, "t"])
     pieces = found.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.length("t")).alias("end"), "new"))).alias("__p"))
     return texts.join(pieces, doc, "left").withColumn(text, F.when(F.col("__p").isNull(), F.col(text)).otherwise(spliced(F.col(text), F.col("__p")))).drop("__p")

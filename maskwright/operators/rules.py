@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.config import DENY, RULE, TYPES
-from maskwright.functions.text import NO_WORD_AFTER, NO_WORD_BEFORE, WHITE_SPACE, bound, dialect, digits, let_sql, mapped, running
+from maskwright.functions.text import NO_WORD_AFTER, NO_WORD_BEFORE, WHITE_SPACE, bound, dialect, digits, let, let_sql, mapped, running
 
 # Patterns, scores and their order.
 MONTHS = "Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?"
@@ -160,10 +160,12 @@ def rule_spans(text: Column, rule: Rule, number: int) -> Column:
 
 
 def detect_rules(text: Column, enabled: Iterable[str] = TYPES, rules: tuple[Rule, ...] = RULES) -> Column:
-    """The spans of all rules of enabled types, rule after rule; others are not even scanned for."""
-    on = set(enabled)
-    found = [rule_spans(text, r, k) for k, r in enumerate(rules) if r.type in on]
-    return F.coalesce(F.concat(*found), no_spans()) if found else no_spans()
+    """The spans of all rules of enabled types, rule after rule; others are not even scanned for. A text that is itself
+    computed is computed once, not for each rule."""
+    on = [(k, r) for k, r in enumerate(rules) if r.type in set(enabled)]
+    if not on:
+        return no_spans()
+    return F.coalesce(let(text, lambda t: F.concat(*(rule_spans(t, r, k) for k, r in on))), no_spans())
 
 
 def term_pattern(term: Column) -> Column:
@@ -184,6 +186,7 @@ def deny_spans(text: Column, terms: Iterable[str]) -> Column:
     return F.coalesce(F.concat(*found), no_spans()) if found else no_spans()
 
 
-def explode_spans(df: DataFrame, spans: str, *keys: str) -> DataFrame:
-    """One row a span, after the key columns."""
-    return df.select(*keys, F.inline(spans))
+def span_rows(df: DataFrame, spans: Column, *keys: str | Column) -> DataFrame:
+    """One row a span (or place), after the key columns. The outer form with a filter on its rows, as the plain
+    one makes Spark evaluate the spans once more, in a filter before it."""
+    return df.select(*keys, F.inline_outer(spans)).where(F.col("start").isNotNull())

@@ -32,7 +32,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 def rare_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Texts with what the documents hardly have: a record for each customer."""
-    return table(spark, sf, "customer").selectExpr(
+    return spread(table(spark, sf, "customer")).selectExpr(
         "c_custkey + 10000000 AS doc_id",
         """concat('Customer ', c_name, ', SSN ', lpad(c_custkey % 900, 3, '0'), '-', lpad(c_custkey % 97, 2, '0'), '-', lpad(c_custkey * 7 % 9999, 4, '0'),
         ', born March ', c_custkey % 28 + 1, ', 19', c_custkey % 90 + 10, ' or ', c_custkey % 12 + 1, '/', c_custkey % 28 + 1, '/2001. Lives at ', c_custkey % 9000 + 1, ' Oak Street, CA ', lpad(c_custkey * 13 % 99999, 5, '0'),
@@ -47,7 +47,7 @@ def texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rule_rows(df: DataFrame, *types: str) -> DataFrame:
-    return df.select("doc_id", F.inline(rules.detect_rules(F.col("text"), types or TYPES)))
+    return rules.span_rows(df, rules.detect_rules(F.col("text"), types or TYPES), "doc_id")
 
 
 def _rule_query(*types: str):
@@ -64,11 +64,11 @@ def rule_ipv6(spark, sf):
 
 
 def candidates(spark, sf):
-    return texts(spark, sf).select("doc_id", F.inline(api.candidate_spans(F.col("text"), RedactionConfig(deny=TERMS))))
+    return rules.span_rows(texts(spark, sf), api.candidate_spans(F.col("text"), RedactionConfig(deny=TERMS)), "doc_id")
 
 
 def deny_list(spark, sf):
-    return texts(spark, sf).select("doc_id", F.inline(rules.deny_spans(F.col("text"), TERMS)))
+    return rules.span_rows(texts(spark, sf), rules.deny_spans(F.col("text"), TERMS), "doc_id")
 
 
 def occurrences(spark, sf):
@@ -119,7 +119,7 @@ def redact_fake(spark, sf):
 def redact_conversations(spark, sf):
     """A conversation is a document: its values are numbered over all its turns."""
     turns = spread(table(spark, sf, "conversations").select("conv_id", "turn", "text"))
-    found = turns.select("conv_id", "turn", F.inline(api.active_spans(F.col("text"), ALL)))
+    found = rules.span_rows(turns, api.active_spans(F.col("text"), ALL), "conv_id", "turn")
     key = replace.label_map(found, "conv_id", F.struct("turn", "start")).drop("first_text")
     named = found.withColumn("value", fx.normalised(F.col("text"))).join(key, ["conv_id", "type", "value"])
     pieces = named.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct("start", "end", replace.replacement(F.col("type"), F.col("n"), "label").alias("new")))).alias("p"))
@@ -176,7 +176,7 @@ def value_decisions(spark, sf):
 def manual_terms(spark, sf):
     """Capitalised words picked by hand: those at places that five divides."""
     docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
-    picked = docs.select("doc_id", F.inline(rules.located(F.col("text"), r"[A-Z][a-z]{5,}"))).where("start % 5 = 0")
+    picked = rules.span_rows(docs, rules.located(F.col("text"), r"[A-Z][a-z]{5,}"), "doc_id").where("start % 5 = 0")
     return review.manual_terms(docs, picked.select("doc_id", "start", (F.col("start") + F.length("t")).alias("end"), F.col("t").alias("text")))
 
 
@@ -235,7 +235,7 @@ NAME = r"[A-Z][a-z]{3,}(?: [a-z]{2,})?"
 def names(spark, sf) -> DataFrame:
     """Capitalised words of four letters or more, with a small word after them, are taken for persons at even
     places; those at odd ones are left to propagation."""
-    d = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.inline(rules.located(F.col("text"), NAME))).where("start % 2 = 0")
+    d = rules.span_rows(spread(table(spark, sf, "documents").select("doc_id", "text")), rules.located(F.col("text"), NAME), "doc_id").where("start % 2 = 0")
     place = [F.col("start").alias("start"), (F.col("start") + F.length("t")).alias("end"), F.lit("PERSON").alias("type"), F.col("t").alias("text")]
     return d.select("doc_id", *place, F.lit("ml").alias("source"), F.lit(0.9).alias("score"), (F.lit(MODEL << 40) + F.col("start")).cast("bigint").alias("ord"))
 
@@ -249,7 +249,7 @@ def first_names(spark, sf) -> DataFrame:
 
 def name_variants(spark, sf):
     """Of every two words of which the first is capitalised, as names."""
-    two = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.inline(rules.located(F.col("text"), r"[A-Z][a-z]+ [a-z]+")))
+    two = rules.span_rows(spread(table(spark, sf, "documents").select("doc_id", "text")), rules.located(F.col("text"), r"[A-Z][a-z]+ [a-z]+"), "doc_id")
     two = two.select("doc_id", F.lit("PERSON").alias("type"), F.initcap("t").alias("text"), F.lit(0.9).alias("score"), F.col("start").cast("bigint").alias("ord"))
     return propagate.name_variants(two).select("doc_id", "type", "term", "score")
 
@@ -268,7 +268,7 @@ def plausible_spans(spark, sf):
 def merge_spans(spark, sf):
     """Every capitalised or numbered word a piece; pieces next to each other join."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    pieces = docs.select("doc_id", F.inline(rules.located(F.col("text"), r"[A-Z][a-z]+|[0-9]+"))).select("doc_id", "start", (F.col("start") + F.length("t")).alias("end"), F.when(F.col("t").rlike("^[0-9]"), "ID_NUMBER").otherwise("PERSON").alias("type"), F.col("t").alias("text"), F.lit(0.8).alias("score"))
+    pieces = rules.span_rows(docs, rules.located(F.col("text"), r"[A-Z][a-z]+|[0-9]+"), "doc_id").select("doc_id", "start", (F.col("start") + F.length("t")).alias("end"), F.when(F.col("t").rlike("^[0-9]"), "ID_NUMBER").otherwise("PERSON").alias("type"), F.col("t").alias("text"), F.lit(0.8).alias("score"))
     return spans.merge_spans(pieces, docs)
 
 
@@ -305,7 +305,7 @@ SUPPLIER = ["Company Name", "supplier_no", "Total"]
 
 def cells(spark, sf) -> DataFrame:
     """A workbook for each nation: a sheet of customers and one of suppliers."""
-    c = table(spark, sf, "customer").select("c_nationkey", "c_custkey", "c_name", F.concat(F.lit("A-"), "c_custkey").alias("acct"), "c_mktsegment", F.col("c_acctbal").cast("decimal(12,2)").cast("string").alias("bal"))
+    c = spread(table(spark, sf, "customer")).select("c_nationkey", "c_custkey", "c_name", F.concat(F.lit("A-"), "c_custkey").alias("acct"), "c_mktsegment", F.col("c_acctbal").cast("decimal(12,2)").cast("string").alias("bal"))
     s = table(spark, sf, "supplier").select("s_nationkey", "s_suppkey", "s_name", F.col("s_suppkey").cast("string").alias("no"), F.col("s_acctbal").cast("decimal(12,2)").cast("string").alias("bal"))
     one = tables.unpivot(c, ["c_name", "acct", "c_mktsegment", "bal"], F.col("c_nationkey").cast("bigint"), F.lit(0), (F.col("c_custkey") + 1).cast("int"))
     two = tables.unpivot(s, ["s_name", "no", "bal"], F.col("s_nationkey").cast("bigint"), F.lit(1), (F.col("s_suppkey") + 1).cast("int"))
@@ -536,7 +536,7 @@ def align_tokens(spark, sf):
 
 def widen_pieces(spark, sf):
     """The inner part of each word of four characters or more, grown to the word."""
-    w = rare_texts(spark, sf).select("doc_id", "text", F.inline(rules.located(F.col("text"), r"[\p{L}\p{N}]{4,}")))
+    w = rules.span_rows(rare_texts(spark, sf), rules.located(F.col("text"), r"[\p{L}\p{N}]{4,}"), "doc_id", "text")
     grown = model.widen(F.col("text"), F.col("start") + 1, F.col("start") + F.length("t") - 1)
     return w.select("doc_id", F.col("start").alias("place"), grown.alias("w")).select("doc_id", "place", "w.start", "w.end")
 
