@@ -8,7 +8,8 @@ once and remembered in a dictionary of bounded size.
 Row-local: no shuffle. The vocabulary (its size is checked) is read once by the driver and
 broadcast, so executors need no file. Null texts count as empty and give no ids; ids and texts of
 any length are whole; repeated rows give repeated results; other columns are dropped by
-`encode`, which returns only the id, the token ids and the decoded text.
+`encode`, which returns only the id, the token ids and the decoded text; null ids stay null, and an empty table gives
+no rows.
 """
 
 from __future__ import annotations

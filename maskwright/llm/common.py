@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,47 +10,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskwright import storage
+from maskwright.storage import drop_tables, shared_folder
+
+__all__ = ["Words", "drop_tables", "shared_folder", "write_table"]
+
 #: Bytes that separate words: space and tab to carriage return.
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 
-_own_folder: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a folder of this machine only where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", "")
-    if folder:
-        return folder
-    if not _own_folder:
-        _own_folder.append("file://" + tempfile.mkdtemp(prefix="maskwright-"))
-    return _own_folder[0]
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now, not when the driver happens to collect
     its garbage; a long operator would else keep all of them on the executors' disks."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if getattr(spark, "_jvm", None) is not None:  # not so for a session over Connect
+        spark._jvm.System.gc()
 
 
 def write_table(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and fixes values that a
-    recomputation could change. The table is all that later stages need, so lost executors only
-    cost the tasks they were running."""
-    spark = df.sparkSession
-    release(spark)
-    path = f"{shared_folder(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_tables(*tables: DataFrame) -> None:
-    """Delete tables of write_table, once all that was made of them is written itself."""
-    for df in tables:
-        for path in df.inputFiles()[:1]:
-            folder = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
-            folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    """A table of the shared folder in df's place; see `storage.write_table`."""
+    release(df.sparkSession)
+    return storage.write_table(df, tag)
 
 
 def text_column(name: str = "text") -> Column:

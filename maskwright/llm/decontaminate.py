@@ -14,7 +14,8 @@ shuffle). Only pairs that meet a sketch are shuffled, counted map-side first.
 Defined results: null or empty texts and items have no shingles and match nothing; of fewer than five
 words all are one shingle, so such an item is found only in a document of just these words;
 rows of one doc_id (or item_id) count as one document (item); rows with a null id are not reported.
-Columns other than the ids and texts are not touched.
+an empty table of documents or items gives no pairs; texts of any length are whole. Columns other than the ids and texts
+are not touched. Whether sketches are broadcast changes the plan alone, never the result.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ Nothing is gathered but Spark's range samples.
 Defined results: lines are compared without white space at their ends; blank lines are never
 compared, and go only inside a deleted run; null texts stay null and empty ones empty; rows of the same
 id and text count as one document and fare alike; rows with a null id come first in the order and
-are handled like others; other columns stay as they are.
+are handled like others; an empty table gives no rows; texts of any length are split whole; other columns stay as they
+are, but for one named `__removed`, which is an error, as the report has that name.
 """
 
 from __future__ import annotations
@@ -93,6 +94,8 @@ def runs(lines: DataFrame, copies: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame, min_chars: int = 120) -> DataFrame:
     """docs with the later copies of repeated runs deleted from `text`, and a struct column
     __removed (n_lines, n_removed, n_runs, longest_run)."""
+    if "__removed" in docs.columns:
+        raise ValueError("a column is named __removed")
     lines, copies = repeated(docs, min_chars)
     spans = runs(lines, copies).groupBy(*KEY).agg(
         F.collect_list(F.struct(F.col("first_line").alias("s"), F.col("last_line").alias("e"))).alias("spans"), F.sum("n_lines").alias("n_removed"), F.count("*").alias("n_runs"), F.max("n_lines").alias("longest_run")

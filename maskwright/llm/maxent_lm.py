@@ -14,7 +14,9 @@ the input) and averaged over the tasks that touched a row. Words frequent enough
 others are joined by shuffle, a document's rare words with their frequency.
 
 Defined results: null and empty texts have one token, the end; scores are log10. Repeated rows and
-ids are scored row by row (rows carry their own key). An empty table gives no rows.
+ids are scored row by row (rows carry their own key); a row with a null id is not held out. An empty table gives no
+rows. Very long texts are read whole, by the slice; other columns, whatever their names, are ignored. The weights, and so
+`score`, depend on how rows are dealt to tasks; counts and `base_score` do not.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ partial count for each distinct mask.
 
 Defined results: a null or empty text has no words and fails `few_words`; null ids and repeated
 rows pass through as they are; other columns of the input are kept, also with names used here,
-as the ledger is one struct column.
+as the ledger is one struct column; one named `__ledger` is an error. An empty table gives no rows, and texts of any
+length are measured whole.
 """
 
 from __future__ import annotations
@@ -67,6 +68,8 @@ def _repeat_words(words: Column) -> Column:
 
 def evaluate_rules(docs: DataFrame, text: str = "text", min_words: int = 50, min_mean_chars: float = 2.5, max_mean_chars: float = 12.0) -> DataFrame:
     """docs with a struct column LEDGER: measurements and fail_bits (bit k: RULES[k] failed)."""
+    if LEDGER in docs.columns:
+        raise ValueError(f"a column is named {LEDGER}")
     body = text_column(text)
     w = f"{LEDGER}_w"
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))

@@ -19,7 +19,9 @@ no group is gathered. Windows are compared by 64-bit hashes.
 
 Defined results: null and empty texts have no bytes; matches never cross documents but may overlap
 and lie in one document; rows of the same id and text count as one text, and fare alike; rows with a
-null id are handled like others.
+null id are handled like others; an empty table gives no rows; texts of any length are whole, read by the slice; other
+columns, whatever their names, are ignored. Two rows of the same id and text are one document stored twice, so
+they do not repeat each other; rows of different ids do.
 """
 
 from __future__ import annotations

@@ -8,7 +8,11 @@ text is scored, whole.
 The sample is drawn by a top-k of hashes and its ids are joined by broadcast, bounded by
 `most_labelled`; scoring is row-local with a model of fixed size. Texts are never shuffled.
 
-Defined results: null or empty texts get the model's intercept; null or missing labels are not
+Kept are at most `features` hashed terms (3,000: half by the z-score of their presence in toxic rows, half by
+frequency); other terms score nothing. That bounds the model, not the rows that are scored.
+
+Defined results: an empty table gives no rows; a null id is scored, counts as not held out, and has no label; very long
+texts are read whole, by the slice; other columns, whatever their names, are ignored; null or empty texts get the model's intercept; null or missing labels are not
 learnt from; of several labels of a document the highest counts; repeated rows are scored row by
 row; without labels every score is 0.5 less a hair, thus predicted 0.
 """

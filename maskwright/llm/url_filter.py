@@ -5,6 +5,10 @@ ask for: level 1 holds the listed keys, level 2 the unlisted keys of the univers
 pass, level 3 the listed keys that level 2 lets pass, and so on until nothing passes wrongly. Over
 that universe the answer is exact, and asking needs no join: a page tests its own candidate keys.
 
+A level is sized by its own keys and by those it is meant to stop: the more unlisted keys there are for each listed one,
+the more bits and hashes a listed key gets, so that about half as many pass wrongly as are listed, whatever the corpus
+holds, and levels shrink from the first.
+
 The universe is one `distinct` over (host suffix, path prefix) keys. A level's filter is built by
 `bit_or` over 64-bit words, so what reaches the driver is the filter, whose size is checked
 against `most_bits`. Judging pages is row-local.
@@ -13,7 +17,8 @@ A page that no rule fits gets its verdict from a third cascade: the listed hosts
 LISTED_WORDS in a label) over all hosts of the corpus; listed ones are blocked, others allowed.
 
 Defined results: a null url, or one without "://", has an empty host and path, no rule and the
-default verdict; repeated urls and ids are judged row by row; an empty table gives no rows.
+default verdict; repeated urls and ids are judged row by row, and null ids stay null; an empty table gives no rows; urls
+of any length are read whole; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -60,14 +65,16 @@ def candidate_keys(host: Column, path: Column, lengths: list[int]) -> Column:
 
 @dataclass
 class Cascade:
-    """Bit words of each level, asked by two 64-bit hashes of a key."""
+    """Bit words of each level, asked by two 64-bit hashes of a key; `more` is the number of hashes of levels that have
+    other than `hashes`."""
 
     hashes: int
     levels: list[np.ndarray] = field(default_factory=list)
+    more: dict[int, int] = field(default_factory=dict)
 
     def positions(self, level: int, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         m = np.uint64(len(self.levels[level]) * 64)
-        j = np.arange(1, self.hashes + 1, dtype=np.uint64)[:, None]
+        j = np.arange(1, self.more.get(level, self.hashes) + 1, dtype=np.uint64)[:, None]
         salt = np.uint64((level + 1) * _SALT % 2**64)  # small filters see few bits of a hash: other ones at each level
         return (mix(unsigned(h1) + salt) + j * (mix(unsigned(h2) ^ salt) | np.uint64(1))) % m
 
@@ -105,6 +112,7 @@ def _filter_words(keys: DataFrame, n: int, bits: int, hashes: int, level: int) -
 def build_cascade(universe: DataFrame, bits: int = 12, hashes: int = 4, most_bits: int = 1 << 28, most_levels: int = 40) -> Cascade:
     """universe: h1, h2, listed. Levels alternate between the two sides until no key passes wrongly."""
     cascade = Cascade(hashes)
+    sides = {r["listed"]: r["count"] for r in universe.groupBy("listed").count().collect()}
     for level in range(most_levels):
         inside = universe.where(F.col("listed") if level % 2 == 0 else ~F.col("listed"))
         for i in range(level):  # a key gets here only through all levels before
@@ -112,14 +120,20 @@ def build_cascade(universe: DataFrame, bits: int = 12, hashes: int = 4, most_bit
         n = inside.count()
         if n == 0:
             return cascade
-        if n * bits > most_bits:
-            raise ValueError(f"{n} keys at level {level + 1} need {n * bits} bits; the limit is {most_bits}")
-        cascade.levels.append(_filter_words(inside, n, bits, hashes, level))
+        size, asked = bits, hashes
+        if level == 0 and sides.get(False, 0) > n:
+            wrong = n / (2 * sides[False])  # the share of unlisted keys that may pass
+            asked = max(hashes, int(np.ceil(-np.log2(wrong))))
+            size = max(bits, int(np.ceil(-asked / np.log(1 - wrong ** (1 / asked)))))
+        if n * size > most_bits:
+            raise ValueError(f"{n} keys at level {level + 1} need {n * size} bits; the limit is {most_bits}")
+        cascade.more[level] = asked
+        cascade.levels.append(_filter_words(inside, n, size, asked, level))
     raise ValueError(f"no end after {most_levels} levels: two keys share both hashes")
 
 
 def _passes(cascade: Cascade, level: int):
-    frozen = Cascade(cascade.hashes, list(cascade.levels))
+    frozen = Cascade(cascade.hashes, list(cascade.levels), dict(cascade.more))
 
     @F.pandas_udf("boolean")
     def passes(h1, h2):

@@ -423,3 +423,58 @@ def test_jaccard_join_of_a_group_just_below(spark):
     got = {r["doc_id"]: r["component_id"] for r in jaccard_join.join(docs(spark, texts)).collect()}
     assert [got[i] for i in range(300)] == [c for _, c in brute_groups(texts, 3, 90)]
     assert 20 < len(set(got.values())) < 300
+
+
+def test_toxicity_learns_what_only_pairs_tell(spark):
+    """Toxic where a text has both of two terms: linear weights cannot tell, as each term alone is harmless."""
+    rng = random.Random(40)
+    texts, labels = [], []
+    for i in range(1600):
+        w, a, b = prose(rng, 30, 200).split(), i % 2, (i // 2) % 2
+        w[4], w[9] = "groupname" if a else "weather", "dreadful" if b else "sunny"
+        texts.append(" ".join(w))
+        labels.append((i, a & b))
+    d = docs(spark, texts)
+    rows = toxicity.score(d, toxicity.train(d, spark.createDataFrame(labels, "doc_id long, toxic int"))).collect()
+    held = [r for r in rows if r["held_out"]]
+    assert sum(r["predicted"] == labels[r["doc_id"]][1] for r in held) >= 0.9 * len(held)
+
+
+def test_machine_is_the_sum_over_all_pairs():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    m = toxicity.Machine(np.arange(6, dtype=np.int32), 0.3, rng.normal(size=6), rng.normal(size=(6, 3)))
+    rows = [[0, 1, 2], [3], [], [1, 4, 5, 0]]
+    got = m.scores(np.repeat(np.arange(4), [len(r) for r in rows]), np.array(sum(rows, []), np.int64), 4)
+    for r, p in zip(rows, got, strict=True):
+        z = 0.3 + sum(m.w[i] for i in r) + sum(m.v[i] @ m.v[j] for k, i in enumerate(r) for j in r[:k])
+        assert math.isclose(p, 1 / (1 + math.exp(-z)), rel_tol=1e-9)
+
+
+def test_odd_rows_of_toxicity_urls_and_benchmark(spark):
+    rng = random.Random(41)
+    d = docs(spark, ["you moron scum", "good day", "tie", "tie", "x " * 40_000]).withColumns({"score": F.lit("mine"), "toxic": F.lit(2)})
+    d = d.unionByName(d.where("doc_id < 2").withColumn("doc_id", F.lit(None).cast("long"))).unionByName(d.where("doc_id = 1"))
+    model = toxicity.train(d, spark.createDataFrame([(0, 1), (1, 0), (None, 1), (2, 0)], "doc_id long, toxic int"))
+    rows = toxicity.score(d, model).collect()
+    assert len(rows) == 8 and len({r["score"] for r in rows if r["doc_id"] in (2, 3)}) == 1
+    assert toxicity.score(d.where("false"), model).count() == 0
+    pages = spark.createDataFrame([(1, "http://a.net/x", "h"), (1, "http://a.net/x", "h"), (None, "http://" + "b" * 50_000 + ".net/", "h")], "page_id long, url string, host string")
+    out = url_filter.judge(pages).collect()
+    assert [r["verdict"] for r in out] == ["block"] * 3 and sum(r["page_id"] is None for r in out) == 1
+    items = spark.createDataFrame([(0, prose(rng, 20))], "item_id long, text string")
+    assert decontaminate.leaks(d.where("false"), items).count() == 0 and decontaminate.leaks(d, items.where("false")).count() == 0
+    assert bpe.encode(docs(spark, []), vocabulary_path()).count() == 0
+    for f, name in ((line_dedup.dedup, "__removed"), (quality_rules.evaluate_rules, "__ledger")):
+        with pytest.raises(ValueError):
+            f(d.withColumn(name, F.lit(1)))
+
+
+def test_first_level_is_sized_by_both_sides(spark):
+    """A thousandth of the keys is listed; the filter stays small and the second level takes about half of these."""
+    keys = spark.range(200_000).select(F.xxhash64("id").alias("h1"), F.xxhash64("id", "id").alias("h2"), (F.col("id") % 1000 == 0).alias("listed"))
+    c = url_filter.build_cascade(keys, most_bits=1 << 13)
+    p = keys.toPandas()
+    assert (c.member(p["h1"].to_numpy(), p["h2"].to_numpy()) == p["listed"].to_numpy()).all()
+    assert len(c.levels[1]) * 64 < 12 * 400
