@@ -356,12 +356,11 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     several = posted.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     lists = write_table(posted.join(several, "h").join(size, "node"), "jaccard-lists")
     links, tested, label = None, None, size.where("false").select("node", F.col("node").alias("component"))
-    finished: list[DataFrame] = []
+    finished: list[DataFrame] = []  # dropped at the end
+    used: list[DataFrame] = []  # dropped with the next pairs
 
     def sets_of(node_ids: DataFrame) -> DataFrame:
-        made = write_table(_sets(docs, nodes.join(node_ids.distinct(), "node", "left_semi"), k), "jaccard-sets")
-        finished.append(made)
-        return made
+        return write_table(_sets(docs, nodes.join(node_ids.distinct(), "node", "left_semi"), k), "jaccard-sets")
 
     def add(found: DataFrame) -> None:
         nonlocal links, label
@@ -377,9 +376,13 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
         new = write_table(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
         tested = new if tested is None else tested.unionByName(new)
         finished.append(new)
+        drop_tables(*used)
+        used.clear()
         if not new.isEmpty():
             sets = sets_of(new.select(F.col("a").alias("node")).unionByName(new.select(F.col("b").alias("node"))))
-            add(write_table(_linked(new, sets, percent), "jaccard-links"))
+            found = write_table(_linked(new, sets, percent), "jaccard-links")
+            drop_tables(sets)
+            add(found)
 
     def met(pairs: DataFrame, part: int) -> DataFrame:
         """Of pairs (a, n, b, m), a row for each list they meet in, those that meet in 1 / part of what they must."""
@@ -392,7 +395,7 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
         known = write_table(some.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "jaccard-known")
         of = known.groupBy("h").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count("*").alias("length"))
         of = write_table(of.where("c <> d").drop("d"), "jaccard-mixed")
-        finished.extend([known, of])
+        used.extend([known, of])
         return known.join(of, "h")
 
     heads = lists.groupBy("h").agg(F.min("node").alias("a"), F.min_by("n", "node").alias("n"))
@@ -436,13 +439,14 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
         sets = sets_of(dealt.join(groups, ["h", "g"], "left_semi").select("node"))
         full = met_in.join(sets.select("node", "words"), "node").join(nodes.select("node", "short"), "node")
         full = full.withColumn("early", F.slice("short", F.lit(1), F.col("at"))).drop("short")
-        finished.extend([dealt, groups])
-        add(write_table(_block_links(full, percent).distinct(), "jaccard-links"))
+        found = write_table(_block_links(full, percent).distinct(), "jaccard-links")
+        drop_tables(sets, dealt, groups)
+        add(found)
 
     placed = nodes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = write_table(placed.join(smallest, "component").select("n", "s1", "s2", "component_id"), "jaccard-named")
-    drop_tables(nodes, lists, *finished)
+    drop_tables(nodes, lists, *used, *finished)
     out = rows.select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
