@@ -11,7 +11,8 @@ nodes are what T-occurrence search has to tell apart:
    the first's. A group of linked copies costs one test a member and list, not one a pair.
 3. Lists that still hold several components are searched whole. One of up to FEW nodes gives its pairs, less
    those that cannot reach T after they first meet or meet too seldom. A longer one is dealt in blocks of
-   sets (by length and salt), and each two blocks meet in one task, which runs DivideSkip (`t_occurrence`): the
+   sets (by length and salt), and each two blocks meet in one task. A first pass takes the sets' short lists alone and
+   tells the nodes that meet some other often enough; for these, whole sets are read, and the task runs DivideSkip (`t_occurrence`): the
    inverted lists of one block are divided for each set of the other; short ones are merged with a
    count, and sets that are met often enough are probed in the long ones by binary search, until T is reached or out
    of reach. Pairs below T end there; of the links a block finds, only a spanning forest leaves the task.
@@ -48,7 +49,7 @@ LOCAL_SHINGLES = 8_000_000
 #: One short list more for so many.
 SPARE = 4
 #: Nodes of a list that is paired as rows; longer ones are compared in blocks of so many nodes and shingles.
-FEW, BLOCK_NODES, BLOCK_SHINGLES = 16, 256, 1 << 20
+FEW, BLOCK_NODES, BLOCK_SHINGLES = 32, 256, 1 << 20
 #: Weight of the longest list's logarithm in DivideSkip's number of long lists, and postings merged at once.
 MU, AT_ONCE = 0.1, 1 << 21
 
@@ -301,9 +302,15 @@ def forest(a: np.ndarray, b: np.ndarray, group: np.ndarray) -> np.ndarray:
     return kept
 
 
-def _block_links(rows: DataFrame, percent: int) -> DataFrame:
+def least_meetings(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """must_meet of each two sets."""
+    return 1 + np.minimum(*(spare(x, least_overlap(x, percent)) for x in (n, m)))
+
+
+def _block_links(rows: DataFrame, percent: int, short: bool = False) -> DataFrame:
     """(a, b): links found among two blocks of a list. rows: h, g, i, j, salt, node, n, at, lower, component,
-    early (the node's lists before h), words (its set)."""
+    early (the node's lists before h), words (its set). With `short`, words are the nodes' short lists, and what is
+    found are nodes (a; b is null) that meet another one often enough to link."""
 
     def run(table: pa.Table) -> pa.Table:
         node, n, at, group, salt = (table.column(c).to_numpy().astype(np.int64) for c in ("node", "n", "at", "component", "salt"))
@@ -325,14 +332,19 @@ def _block_links(rows: DataFrame, percent: int) -> DataFrame:
                 asked &= y[:, None] < xs[None, :]
             if not asked.any():
                 continue
-            if len(ex):  # pairs that share an earlier list are compared there
+            if len(ex) and not short:  # pairs that share an earlier list are compared there
                 wy, fy = _some(early, early_first, y)
                 asked &= ~t_occurrence(ex, gx, wy, fy, np.ones_like(need), asked)
             wy, fy = _some(words, first, y)
+            if short:
+                need = least_meetings(n[y][:, None], n[xs][None, :], percent)
             p, q = np.nonzero(t_occurrence(wx, fx, wy, fy, need, asked))
             a.append(y[p])
             b.append(xs[q])
         a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
+        if short:
+            some = np.unique(np.concatenate([node[a], node[b]]))
+            return pa.table({"a": some, "b": pa.nulls(len(some), pa.int64())})
         kept = forest(a, b, group)
         a, b = node[a[kept]], node[b[kept]]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
@@ -436,9 +448,11 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
         met_in = dealt.join(groups, ["h", "g"]).withColumn("salt", salt).withColumn("other", other)
         met_in = met_in.select("h", "g", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "node", "n", "at", "lower", "component")
-        sets = sets_of(dealt.join(groups, ["h", "g"], "left_semi").select("node"))
-        full = met_in.join(sets.select("node", "words"), "node").join(nodes.select("node", "short"), "node")
-        full = full.withColumn("early", F.slice("short", F.lit(1), F.col("at"))).drop("short")
+        known = met_in.join(nodes.select("node", "short"), "node").withColumn("early", F.slice("short", F.lit(1), F.col("at")))
+        near = write_table(_block_links(known.withColumnRenamed("short", "words"), percent, short=True).select(F.col("a").alias("node")).distinct(), "jaccard-near")
+        finished.append(near)
+        sets = sets_of(near)
+        full = known.drop("short").join(sets.select("node", "words"), "node")
         found = write_table(_block_links(full, percent).distinct(), "jaccard-links")
         drop_tables(sets, dealt, groups)
         add(found)
