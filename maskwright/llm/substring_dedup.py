@@ -6,16 +6,18 @@ length-byte window the suffix that starts with the smallest 32-byte gram (leftmo
 Equal windows choose the same suffix at the same place, so whatever repeats meets in the sample,
 which is about one suffix in 85 bytes.
 
-The sample is range-partitioned by its leading tokens (the gram) with sampled splitters, and each
-bucket is sorted by gram and then by the hash of its whole stretch of windows, key after key, as
-multikey quicksort does; equal leading tokens never straddle a boundary but for buckets that the
-counts join. A stretch that occurs twice is repeated whole. Where leading tokens repeat but stretches
+The sample is range-partitioned by sampled splitters over its leading bytes (then gram, stretch and place, so
+a hot gram is cut into several buckets). A bucket is sorted in its task by a multikey quicksort, and
+neighbours are compared: suffixes next to each other with equal gram have equal leading bytes, and a stretch that
+equals its neighbour's is repeated whole. What lies at a bucket's first or last suffix is compared across the
+boundary, by a summary of at most two rows a bucket. Where leading bytes repeat but stretches
 differ, the ends of a match lie inside; there blocks of 16 windows are compared: a block whose bytes
 all repeat is removed, one whose common core does not repeat stays, and only in the few between is each
 window compared on its own.
 
-All steps are counts (map-side first) and joins on hashes, which adaptive execution splits where hot;
-no group is gathered. Windows are compared by 64-bit hashes.
+Blocks and windows are counted (map-side first) and joined on hashes, which adaptive execution splits where hot;
+no group is gathered. A bucket is held by its task (40 bytes a suffix, a suffix in about 85 bytes of text), so
+spark.sql.shuffle.partitions bounds memory. Grams, stretches and windows are compared by 64-bit hashes.
 
 Defined results: null and empty texts have no bytes; matches never cross documents but may overlap
 and lie in one document; rows of the same id and text count as one text, and fare alike; rows with a
@@ -36,6 +38,7 @@ from pyspark.sql import functions as F
 from maskwright.llm.common import _BASE, _BYTE, drop_tables, mix, release, signed, slices, utf8, write_table
 
 GRAM = 32
+BUCKET = pa.schema([(name, pa.int64()) for name in ("key", "at", "lead", "g", "c")])
 _MASK = (1 << 64) - 1
 
 
@@ -85,10 +88,17 @@ class Windows:
         whole = mix(mix(self.window[first] + (last - first).astype(np.uint64)) * np.uint64(_BASE) + self.window[last])
         return whole, mix(mix(self.large[core] + number.astype(np.uint64)) * np.uint64(_BASE) + self.large[end])
 
+    def leading(self, at: np.ndarray) -> np.ndarray:
+        """The suffixes' first eight bytes as numbers of the same order."""
+        value = np.zeros(len(at), np.uint64)
+        for j in range(8):
+            value = value << np.uint64(8) | self.buf[at + j].astype(np.uint64)
+        return value ^ np.uint64(1 << 63)  # stored as signed
+
     def stretches(self) -> tuple[np.ndarray, ...]:
         """Runs of windows that choose the same suffix: row, first and last window start and the
-        suffix's (in the text), gram and stretch hash."""
-        none = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
+        suffix's (in the text), leading bytes, gram and stretch hash."""
+        none = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 3
         if not self.count or not len(self.start):
             return none
         reach = self.length - GRAM + 1
@@ -111,7 +121,7 @@ class Windows:
         g = self.gram[chosen[heads]]
         c = mix(self.window[s1] * np.uint64(_BASE) + mix(self.window[s2] ^ (s2 - s1).astype(np.uint64)))
         base = self.offsets[self.row[heads]]
-        return self.row[heads], s1 - base, s2 - base, chosen[heads] - base, g, c
+        return self.row[heads], s1 - base, s2 - base, chosen[heads] - base, self.leading(chosen[heads]), g, c
 
 
 BLOCK = 16
@@ -124,18 +134,86 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def stretch_table(docs: DataFrame, length: int) -> DataFrame:
-    """key, at, g, c: the sampled suffixes of all texts. at packs the first window's start and, from it, the
+    """key, at, lead, g, c: the sampled suffixes of all texts. at packs the first window's start and, from it, the
     last window's and the suffix's (under length, thus of 16 bits), as rows of the large shuffle are dear."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
-                row, s1, s2, p, g, c = Windows(part.column("text"), length).stretches()
-                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(row)), pa.array(s1 << 32 | (s2 - s1) << 16 | (p - s1)), pa.array(signed(g)), pa.array(signed(c))], names=["key", "at", "g", "c"])
+                row, s1, s2, p, *hashes = Windows(part.column("text"), length).stretches()
+                at = pa.array(s1 << 32 | (s2 - s1) << 16 | (p - s1))
+                columns = [part.column("key").take(pa.array(row)), at, *(pa.array(signed(x)) for x in hashes)]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "at", "lead", "g", "c"])
 
     if length >= 1 << 16:
         raise ValueError("length is below 65536")
-    return _texts(docs).select("key", "text").mapInArrow(run, "key long, at long, g long, c long")
+    return _texts(docs).select("key", "text").mapInArrow(run, "key long, at long, lead long, g long, c long")
+
+
+def multikey_order(keys: list[np.ndarray]) -> np.ndarray:
+    """The order of rows by the first key, then the next: each key is sorted only among rows that those
+    before leave tied."""
+    order = np.argsort(keys[0], kind="quicksort")
+    new = np.ones(len(order), bool)
+    new[1:] = keys[0][order[1:]] != keys[0][order[:-1]]
+    for key in keys[1:]:
+        group = np.cumsum(new) - 1
+        tied = np.flatnonzero(np.bincount(group)[group] > 1) if len(group) else group
+        if not len(tied):
+            break
+        order[tied] = order[tied][np.lexsort((key[order[tied]], group[tied]))]
+        new[1:] |= key[order[1:]] != key[order[:-1]]
+    return order
+
+
+def compare_neighbours(key: np.ndarray, at: np.ndarray, lead: np.ndarray, g: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorts a bucket and compares neighbours. Returns, of suffixes whose gram is a neighbour's or at the
+    bucket's edge: row, whether their gram has several stretches, whether their stretch is met twice,
+    whether they are its first; whether gram and stretch reach the bucket's edge."""
+    order = multikey_order([lead, g, c, key, at])
+    if len(order):  # rows stored twice are neighbours in one bucket
+        again = np.zeros(len(order), bool)
+        again[1:] = np.all([x[order[1:]] == x[order[:-1]] for x in (g, c, key, at)], axis=0)
+        order = order[~again]
+    new_g = np.ones(len(order), bool)
+    new_g[1:] = (g[order[1:]] != g[order[:-1]]) | (lead[order[1:]] != lead[order[:-1]])
+    new_c = new_g.copy()
+    new_c[1:] |= c[order[1:]] != c[order[:-1]]
+    gram, stretch = np.cumsum(new_g) - 1, np.cumsum(new_c) - 1
+    mixed = np.bincount(gram, new_c)[gram] > 1
+    twice = np.bincount(stretch)[stretch] > 1
+    edge_g = (gram == 0) | (gram == gram[-1:].sum())
+    edge_c = (stretch == 0) | (stretch == stretch[-1:].sum())
+    some = mixed | twice | edge_g
+    return tuple(x[some] for x in (order, mixed, twice, new_c, edge_g, edge_c))
+
+
+def repeated_suffixes(stretches: DataFrame) -> DataFrame:
+    """key, at, mixed, twice, leads of suffixes whose gram is met again: whether the gram has several stretches, whether
+    theirs is met twice, whether they are its first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches, BUCKET)
+        key, at, lead, g, c = (table.column(x).to_numpy() for x in BUCKET.names)
+        order, mixed, twice, leads, edge_g, edge_c = compare_neighbours(key, at, lead, g, c)
+        columns = [pa.array(key[order]), pa.array(at[order]), pa.array(g[order], mask=~edge_g), pa.array(c[order], mask=~edge_c)]
+        out = pa.table([*columns, pa.array(mixed), pa.array(twice), pa.array(leads)], ["key", "at", "g", "c", "mixed", "twice", "leads"])
+        yield from out.to_batches(1 << 16)
+
+    schema = "key long, at long, g long, c long, mixed boolean, twice boolean, leads boolean"
+    buckets = stretches.select(*BUCKET.names).repartitionByRange("lead", "g", "c", "key", "at")
+    met = write_table(buckets.mapInArrow(run, schema), "suffixes")
+    # Across boundaries: a bucket has one gram and one stretch at each end, so these have two rows a bucket at most.
+    place = F.struct("key", "at")
+    several = F.coalesce(F.min("c") != F.max("c"), F.lit(False)) | F.max("mixed")
+    grams = met.where("g is not null").groupBy("g").agg(several.alias("mixed_g"))
+    ends = met.where("c is not null").groupBy("g", "c").agg(F.min(place).alias("first"), (F.min(place) != F.max(place)).alias("twice_c"))
+    joined = met.join(F.broadcast(grams), "g", "left").join(F.broadcast(ends), ["g", "c"], "left")
+    judged = joined.select(
+        "key", "at", F.coalesce("mixed_g", "mixed").alias("mixed"), F.coalesce("twice_c", "twice").alias("twice"),
+        F.coalesce(F.col("first") == place, "leads").alias("leads"),
+    )
+    return judged.where("mixed or twice")
 
 
 def _spread(part: pa.RecordBatch, step: int) -> tuple[np.ndarray, ...]:
@@ -191,20 +269,13 @@ def _with_texts(docs: DataFrame, spots: DataFrame) -> DataFrame:
 def removed_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     """key, s1, s2: stretches of window starts that repeat."""
     all_ = write_table(stretch_table(docs, length), "stretches")
-    grams = all_.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
-    # Suffixes whose leading tokens repeat, in buckets by sampled splitters, each sorted by its keys.
-    met = write_table(all_.join(grams, "g").repartitionByRange("g", "c", "key", "at").sortWithinPartitions("g", "c", "key", "at"), "suffixes")
-    drop_tables(all_)
-    place = F.struct("key", "at")
-    mixed = met.groupBy("g").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).select("g", F.expr("c1 <> c2").alias("mixed"))
-    same = met.groupBy("g", "c").agg(F.min(place).alias("first"), F.max(place).alias("last")).select("g", "c", "first", F.expr("first <> last").alias("twice"))
-    judged = met.join(same.join(mixed, "g").where("twice or mixed"), ["g", "c"])
+    judged = repeated_suffixes(all_)
     # 0: repeated whole; 1: windows to ask for; 2: windows to compare with, of one copy
-    kind = F.when(~F.col("twice"), 1).when(F.col("mixed") & (F.col("first") == place), 2).otherwise(0)
+    kind = F.when(~F.col("twice"), 1).when(F.col("mixed") & F.col("leads"), 2).otherwise(0)
     s1 = F.shiftright("at", 32)
     spots = judged.select("key", s1.cast("int").alias("s1"), (s1 + F.shiftright("at", 16).bitwiseAND(0xFFFF)).cast("int").alias("s2"), (s1 + F.col("at").bitwiseAND(0xFFFF)).cast("int").alias("p"), kind.alias("kind"))
     spots = write_table(spots, "spots")
-    drop_tables(met)
+    drop_tables(all_)
     place = F.struct("key", "s1")
 
     blocks = write_table(_blocks(_with_texts(docs, spots.where("kind > 0")), length), "blocks")

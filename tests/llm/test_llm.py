@@ -198,6 +198,45 @@ def test_substring_dedup(spark, family, k):
     assert [got[i] for i in range(len(texts))] == brute_substrings(texts, k)
 
 
+def test_suffix_buckets_meet_across_boundaries(spark):
+    """One gram holds half of all suffixes and one stretch a third, so both lie in several buckets."""
+    rng = random.Random(8)
+    rows = [(rng.randrange(400), rng.randrange(50), 1, rng.choice([7, 7, 8, 9])) for _ in range(1500)]
+    rows += [(rng.randrange(400), rng.randrange(50), 2 + rng.randrange(900), rng.randrange(2)) for _ in range(1500)]
+    rows += rows[:20]
+    table = spark.createDataFrame([(k, a, g // 3, g, c) for k, a, g, c in rows], "key long, at long, lead long, g long, c long").repartition(5)
+    stretches, places = {}, {}
+    for k, a, g, c in rows:
+        stretches.setdefault(g, set()).add(c)
+        places.setdefault((g, c), set()).add((k, a))
+    want = Counter()
+    for k, a, g, c in set(rows):
+        mixed, twice = len(stretches[g]) > 1, len(places[g, c]) > 1
+        if mixed or twice:
+            want[k, a, mixed, twice, min(places[g, c]) == (k, a)] += 1
+    before = {name: spark.conf.get(name) for name in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = substring_dedup.repeated_suffixes(table).select("key", "at", "mixed", "twice", "leads").collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert Counter(tuple(r) for r in found) == want
+    assert substring_dedup.repeated_suffixes(table.where("false")).count() == 0
+
+
+def test_multikey_order_is_the_sorted_one():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 700):
+        keys = [rng.integers(0, 4, n) for _ in range(5)]
+        order = substring_dedup.multikey_order(keys)
+        rows = list(zip(*(x[order].tolist() for x in keys), strict=True))
+        assert rows == sorted(rows)
+
+
 def brute_groups(texts, k, percent):
     sets = []
     for t in texts:
