@@ -1,22 +1,25 @@
 """Language-model scoring by a hashed maximum-entropy model with class-factored softmax.
 
-P(word | context) = P(class | context) * P(word | class). The first factor is a softmax over a few
-dozen classes, whose scores are sums of weight rows found by hashing the context's features: the
-word before, the word before that (skip) and both together (n-gram). The second is the word's
-add-one share of its class, from counts over the whole training text; one unseen word a class keeps
+P(word | context) = P(class | context) * P(cell | class, context) * P(word | cell). The first factor is a
+softmax over a few dozen classes, whose scores are sums of weight rows found by hashing the context's features:
+the word before, the word before that (skip) and both together (n-gram). The second is a softmax over the
+class's CELLS cells (words are dealt to them by hash), whose weight rows are found by hashing the same features with the
+class; the most frequent words have a class, and so a cell, of their own. The third is the word's
+add-one share of its cell, from counts over the whole training text; one unseen word a cell keeps
 it a distribution.
 
 Counts are one aggregation over all training texts. Weights are learnt in rounds; each training
 text belongs to one round. In a round every task walks from the shared weights over its texts by
 Adagrad steps and returns its change; changes are added up by a tree reduce (fixed size, whatever
-the input) and averaged over the tasks that touched a row. Words frequent enough for a proven bound
+the input) and averaged over the tasks that touched a row. They are added as whole numbers, so the order in which tasks end
+does not matter. Words frequent enough for a proven bound
 (count >= N / 2^18, so 2^18 words at most) are looked up in a broadcast array; the counts of all
 others are joined by shuffle, a document's rare words with their frequency.
 
 Defined results: null and empty texts have one token, the end; scores are log10. Repeated rows and
 ids are scored row by row (rows carry their own key); a row with a null id is not held out. An empty table gives no
 rows. Very long texts are read whole, by the slice; other columns, whatever their names, are ignored. The weights, and so
-`score`, depend on how rows are dealt to tasks; counts and `base_score` do not.
+`score`, depend on how files are cut into tasks, not on the run; counts and `base_score` on neither.
 """
 
 from __future__ import annotations
@@ -35,7 +38,13 @@ HEAVY_BITS = 18
 TOP_WORDS, TOP_SUFFIXES, OTHER = 20, 24, 4
 CLASSES = TOP_WORDS + TOP_SUFFIXES + OTHER
 FEATURE_BITS = 13
-FEATURES = 3
+#: Cells of a class, and rows of their weights.
+CELL_BITS, CELL_FEATURE_BITS = 5, 14
+CELLS = 1 << CELL_BITS
+#: Tokens of a weight row that are added up rank by rank; those beyond as one sum.
+RANKS = 16
+#: A change of one in the whole numbers that tasks return.
+UNIT = float(1 << 30)
 STEP_TOKENS = 16_384
 END = np.uint64(0x5DEECE66D1234567)
 START = np.uint64(0x1234567089ABCDEF)
@@ -80,7 +89,7 @@ class Stream:
         return Stream(h, s, first)
 
     def contexts(self) -> np.ndarray:
-        """Buckets of each token's features."""
+        """Hashes of each token's features."""
         one = np.concatenate([[START], self.hash[:-1]])
         two = np.concatenate([[START, START], self.hash[:-2]])[: len(self.hash)]
         head = self.first[:-1]
@@ -88,8 +97,27 @@ class Stream:
         two[head] = START
         second = head + 1
         two[second[second < len(two)]] = START
-        top = np.uint64(64 - FEATURE_BITS)
-        return np.stack([mix(one ^ _MIX[0]) >> top, mix(two ^ _MIX[1]) >> top, mix(one * _MIX[1] + two * _MIX[2]) >> top], 1).astype(np.int32)
+        return np.stack([mix(one ^ _MIX[0]), mix(two ^ _MIX[1]), mix(one * _MIX[1] + two * _MIX[2])], 1)
+
+
+def class_rows(contexts: np.ndarray) -> np.ndarray:
+    """Weight rows of the classes' softmax: one for each feature, and the bias row."""
+    rows = np.full((len(contexts), contexts.shape[1] + 1), 1 << FEATURE_BITS, np.int32)
+    rows[:, :-1] = contexts >> np.uint64(64 - FEATURE_BITS)
+    return rows
+
+
+def cell_rows(contexts: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """Weight rows of the cells' softmax: one for each feature with the class, and the class's bias row."""
+    rows = np.empty((len(contexts), contexts.shape[1] + 1), np.int32)
+    rows[:, :-1] = mix(contexts + (cls.astype(np.uint64) * _MIX[2])[:, None]) >> np.uint64(64 - CELL_FEATURE_BITS)
+    rows[:, -1] = (1 << CELL_FEATURE_BITS) + cls
+    return rows
+
+
+def cell_of(hash_: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """The word's cell in its class; classes of one word have one cell."""
+    return np.where(cls < TOP_WORDS, 0, (mix(hash_ ^ _MIX[1]) >> np.uint64(64 - CELL_BITS)).astype(np.int64))
 
 
 @dataclass
@@ -102,8 +130,9 @@ class Vocabulary:
     heavy_log: np.ndarray
     top: np.ndarray
     suffix: np.ndarray
-    class_log: np.ndarray
+    cell_log: np.ndarray
     prior: np.ndarray
+    cell_prior: np.ndarray
 
     def classes(self, hash_: np.ndarray, suffix: np.ndarray) -> np.ndarray:
         return classes(self.top, self.suffix, hash_, suffix)
@@ -171,97 +200,150 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     top_u = unsigned(top)
 
     @F.pandas_udf("int")
-    def class_of(word, suf):
+    def place_of(word, suf):
         import pandas as pd
 
-        return pd.Series(classes(top_u, suffix, unsigned(word.to_numpy(np.int64)), suf.to_numpy(np.int64)).astype(np.int32))
+        h = unsigned(word.to_numpy(np.int64))
+        cls = classes(top_u, suffix, h, suf.to_numpy(np.int64))
+        return pd.Series((cls * CELLS + cell_of(h, cls)).astype(np.int32))
+
+    cells = counts.groupBy(place_of("word", "suffix").alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()
+    size, tokens = np.ones(CLASSES * CELLS), np.ones(CLASSES * CELLS)
+    tokens[cells["c"].to_numpy(int)] += cells["n"].to_numpy(float)
+    size[cells["c"].to_numpy(int)] += (cells["n"] + cells["v"]).to_numpy(float)
+    tokens = tokens.reshape(CLASSES, CELLS)
+    per_class = tokens.sum(axis=1)
+    prior, cell_prior = np.log(per_class / per_class.sum()), np.log(tokens / per_class[:, None])
+    return Vocabulary(int(n), int(v), h[order], np.log10(heavy["n"].to_numpy(float)[order] + 1), top_u, suffix, np.log10(size), prior, cell_prior)
+
+
+def _scores(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of the given weight rows, shifted so that the greatest of each token is 0."""
+    s = np.take(weights, rows[:, 0], axis=0)
+    for f in range(1, rows.shape[1]):
+        s += np.take(weights, rows[:, f], axis=0)
+    s -= s.max(axis=1, keepdims=True)
+    return s
+
 
-    per_class = counts.groupBy(class_of("word", "suffix").alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()
-    size, tokens = np.ones(CLASSES), np.ones(CLASSES)
-    tokens[per_class["c"].to_numpy(int)] += per_class["n"].to_numpy(float)
-    size[per_class["c"].to_numpy(int)] += (per_class["n"] + per_class["v"]).to_numpy(float)
-    return Vocabulary(int(n), int(v), h[order], np.log10(heavy["n"].to_numpy(float)[order] + 1), top_u, suffix, np.log10(size), np.log(tokens / tokens.sum()))
+def log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    s = _scores(weights, rows)
+    return s - np.log(np.exp(s).sum(axis=1, keepdims=True))
 
 
-def log_softmax(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
-    s = weights[features[:, 0]]
-    for f in range(1, FEATURES):
-        s += weights[features[:, f]]
-    s += weights[-1]  # the bias row
-    s -= s.max(axis=1, keepdims=True)
-    s -= np.log(np.exp(s).sum(axis=1, keepdims=True))
-    return s
+def log_share(weights: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The targets' entries of log_softmax."""
+    out = np.empty(len(target))
+    for i in range(0, len(target), STEP_TOKENS):
+        s = _scores(weights, rows[i : i + STEP_TOKENS])
+        asked = s[np.arange(len(s)), target[i : i + STEP_TOKENS]]
+        out[i : i + STEP_TOKENS] = asked - np.log(np.exp(s, out=s).sum(axis=1))
+    return out
 
 
-def _gradient_steps(weights: np.ndarray, features: np.ndarray, target: np.ndarray, squares: np.ndarray, rate: float) -> None:
-    """One Adagrad step, in place, on tokens; a row's gradient is the mean of its tokens'."""
-    g = np.exp(log_softmax(weights, features))
+def row_sums(rows: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct weight rows, how many (token, feature) name each, and the sum of those tokens' g.
+
+    The first token of every row is taken at once, then the second of those that have one, and so on; few
+    rows have more than RANKS, and what they have beyond is one sum each."""
+    flat = rows.T.ravel().astype(np.uint16)
+    order = np.argsort(flat, kind="stable")
+    sorted_rows, token = flat[order], order % len(g)
+    heads = np.flatnonzero(np.append(True, sorted_rows[1:] != sorted_rows[:-1]))
+    size = np.diff(np.append(heads, len(order)))
+    largest = np.argsort(-size, kind="stable")
+    heads, size = heads[largest], size[largest]
+    total = np.take(g, token[heads], axis=0)
+    for rank in range(1, RANKS):
+        n = int(np.searchsorted(-size, -rank))  # rows with more than `rank` tokens
+        if n == 0:
+            break
+        total[:n] += np.take(g, token[heads[:n] + rank], axis=0)
+    for i in range(int(np.searchsorted(-size, -RANKS))):
+        total[i] += g[token[heads[i] + RANKS : heads[i] + size[i]]].sum(axis=0)
+    return sorted_rows[heads].astype(np.int64), size, total
+
+
+def _gradient_step(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, target: np.ndarray, rate: float) -> None:
+    """One Adagrad step, in place, on tokens; a row's gradient is the sum of its tokens' by the root of their number."""
+    g = _scores(weights, rows)
+    np.exp(g, out=g)
+    g /= g.sum(axis=1, keepdims=True)
     g[np.arange(len(target)), target] -= 1
-    for f in range(FEATURES):
-        order = np.argsort(features[:, f], kind="stable")
-        b = features[order, f]
-        heads = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
-        rows = b[heads]
-        total = np.add.reduceat(g[order], heads, axis=0) / np.sqrt(np.diff(np.append(heads, len(b))))[:, None].astype(np.float32)
-        squares[rows] += total * total
-        weights[rows] -= rate * total / np.sqrt(squares[rows])
-    bias = g.sum(axis=0) / np.float32(np.sqrt(len(target)))
-    squares[-1] += bias * bias
-    weights[-1] -= rate * bias / np.sqrt(squares[-1])
-
-
-def train(docs: DataFrame, v: Vocabulary, rounds: int = 3, rate: float = 0.15) -> np.ndarray:
-    """Weights: a row of CLASSES numbers for each feature bucket, and the bias row."""
+    named, size, total = row_sums(rows, g)
+    total /= np.sqrt(size, dtype=np.float32)[:, None]
+    seen = squares[named] + total * total
+    squares[named] = seen
+    weights[named] -= rate * total / np.sqrt(seen)
+
+
+def first_weights(v: Vocabulary) -> list[np.ndarray]:
+    """The classes' and the cells' weights before training: the features have to say only what differs from the plain shares."""
+    of_classes = np.zeros(((1 << FEATURE_BITS) + 1, CLASSES), np.float32)
+    of_classes[-1] = v.prior
+    of_cells = np.zeros(((1 << CELL_FEATURE_BITS) + CLASSES, CELLS), np.float32)
+    of_cells[1 << CELL_FEATURE_BITS :] = v.cell_prior
+    return [of_classes, of_cells]
+
+
+def train(docs: DataFrame, v: Vocabulary, rounds: int = 3, rate: float = 0.15) -> list[np.ndarray]:
+    """Weights of the classes' and of the cells' softmax."""
     sc = docs.sparkSession.sparkContext
-    weights = np.zeros(((1 << FEATURE_BITS) + 1, CLASSES), np.float32)
-    weights[-1] = v.prior  # the features have to say only what differs from the plain shares
+    weights = first_weights(v)
     for k in range(rounds):
         shared = sc.broadcast((weights, v))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             start, vocab = shared.value
-            own, squares = start.copy(), np.full(start.shape, 1.0, np.float32)
-            touched = np.zeros(len(start), bool)
+            own, squares = [w.copy() for w in start], [np.full(w.shape, 1.0, np.float32) for w in start]
+            touched = [np.zeros(len(w), bool) for w in start]
             for batch in batches:
                 for part in slices(batch, "text"):
                     t = Stream.of(part.column("text"))
-                    features, target = t.contexts(), vocab.classes(t.hash, t.suffix)
-                    for i in range(0, len(target), STEP_TOKENS):
-                        _gradient_steps(own, features[i : i + STEP_TOKENS], target[i : i + STEP_TOKENS], squares, rate)
-                    touched[features.ravel()] = True
-                    touched[-1] = True
-            if touched.any():
-                yield pa.RecordBatch.from_arrays([pa.array([(own - start).tobytes()], pa.binary()), pa.array([touched.astype(np.float32).tobytes()], pa.binary())], names=["change", "touched"])
+                    contexts, cls = t.contexts(), vocab.classes(t.hash, t.suffix)
+                    inside = np.flatnonzero(cls >= TOP_WORDS)
+                    to_do = ((class_rows(contexts), cls), (cell_rows(contexts[inside], cls[inside]), cell_of(t.hash[inside], cls[inside])))
+                    for head, (rows, target) in enumerate(to_do):
+                        for i in range(0, len(target), STEP_TOKENS):
+                            _gradient_step(own[head], squares[head], rows[i : i + STEP_TOKENS], target[i : i + STEP_TOKENS], rate)
+                        touched[head][rows.ravel()] = True
+            if touched[0].any():
+                change = [np.round((a.astype(np.float64) - b) * UNIT).astype(np.int64).ravel() for a, b in zip(own, start, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([*change, *touched]).tobytes()], pa.binary())], names=["change"])
 
         part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k)
-        changes = part.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "change binary, touched binary")
-        found = changes.rdd.map(lambda r: (np.frombuffer(bytes(r[0]), np.float32), np.frombuffer(bytes(r[1]), np.float32)))
-        zero = (np.zeros(weights.size, np.float32), np.zeros(len(weights), np.float32))
-        add = lambda a, b: (a[0] + b[0], a[1] + b[1])
-        change, touched = found.treeAggregate(zero, add, add, depth=2)
-        weights = weights + change.reshape(weights.shape) / np.maximum(touched, 1)[:, None]
+        changes = part.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "change binary")
+        zero = np.zeros(sum(w.size + len(w) for w in weights), np.int64)
+        add = lambda a, b: a + b
+        found = changes.rdd.map(lambda r: np.frombuffer(bytes(r[0]), np.int64)).treeAggregate(zero, add, add, depth=3)
+        at, tasks = 0, len(found) - sum(map(len, weights))
+        for head, w in enumerate(weights):
+            change, touched = found[at : at + w.size].reshape(w.shape) / UNIT, found[tasks : tasks + len(w)]
+            weights[head] = (w + change / np.maximum(touched, 1)[:, None]).astype(np.float32)
+            at, tasks = at + w.size, tasks + len(w)
     return weights
 
 
-def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, weights: np.ndarray, is_held_out=None) -> DataFrame:
+def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, weights: list[np.ndarray], is_held_out=None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast((weights, v))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, vocab = shared.value
+        (of_classes, of_cells), vocab = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
                 t, rows = Stream.of(part.column("text")), part.num_rows
                 doc = np.repeat(np.arange(rows), np.diff(t.first))
-                features = t.contexts()
+                contexts = t.contexts()
                 words, at, inv = np.unique(t.hash, return_index=True, return_inverse=True)
-                cls, (log, heavy) = vocab.classes(words, t.suffix[at])[inv], vocab.lookup(words)
-                p = np.empty(len(cls))
-                for i in range(0, len(cls), STEP_TOKENS):
-                    s = log_softmax(w, features[i : i + STEP_TOKENS])
-                    p[i : i + STEP_TOKENS] = s[np.arange(len(s)), cls[i : i + STEP_TOKENS]]
-                model = np.bincount(doc, p * _LOG10E - vocab.class_log[cls], rows)
+                cls = vocab.classes(words, t.suffix[at])
+                cell, (log, heavy) = cell_of(words, cls)[inv], vocab.lookup(words)
+                cls = cls[inv]
+                p = log_share(of_classes, class_rows(contexts), cls)
+                inside = np.flatnonzero(cls >= TOP_WORDS)
+                p[inside] += log_share(of_cells, cell_rows(contexts[inside], cls[inside]), cell[inside])
+                model = np.bincount(doc, p * _LOG10E - vocab.cell_log[cls * CELLS + cell], rows)
                 rare = ~heavy[inv]
                 pair, tf = np.unique(doc[rare].astype(np.int64) << 32 | inv[rare], return_counts=True)
                 offsets = np.searchsorted(pair >> 32, np.arange(rows + 1))

@@ -151,6 +151,69 @@ def test_class_probabilities_add_up(spark):
     assert np.allclose(p.sum(axis=1), 1, atol=1e-5)
 
 
+def test_lm_score_by_hand(spark, family):
+    """The whole score, each token's three factors in plain Python, with weights that are anything."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    texts = [*family, *(prose(rng, 60) for _ in range(20)), "", "one", "never seen zzqx zzqy", None]
+    d = docs(spark, texts)
+    counts = maxent_lm.count_words(d.where("doc_id % 3 <> 1"))
+    v = maxent_lm.vocabulary(counts)
+    draw = np.random.default_rng(1)
+    weights = [draw.normal(size=w.shape).astype(np.float32) for w in maxent_lm.first_weights(v)]
+    got = {r["doc_id"]: r["score"] for r in maxent_lm.score(d, counts, v, weights).collect()}
+    seen = {int(np.int64(r["word"]).view(np.uint64)): r["n"] for r in counts.collect()}
+
+    streams = [maxent_lm.Stream.of(pa.array([t], pa.string())) for t in texts]
+    place = {}  # word -> class, cell
+    for t in streams:
+        cls = v.classes(t.hash, t.suffix)
+        place.update(zip(t.hash.tolist(), zip(cls.tolist(), maxent_lm.cell_of(t.hash, cls).tolist(), strict=True), strict=True))
+    size = Counter({p: 1 for p in place.values()})
+    for w, n in seen.items():
+        size[place[w]] += n + 1
+
+    def share(table, rows, target):
+        s = [sum(float(table[r][c]) for r in rows) for c in range(table.shape[1])]
+        return s[target] - math.log(sum(map(math.exp, s)))
+
+    for i, t in enumerate(streams):
+        total, ctx = 0.0, t.contexts()
+        for j, w in enumerate(t.hash.tolist()):
+            c, cell = place[w]
+            total += share(weights[0], maxent_lm.class_rows(ctx[j : j + 1])[0], c)
+            if c >= maxent_lm.TOP_WORDS:
+                total += share(weights[1], maxent_lm.cell_rows(ctx[j : j + 1], np.array([c]))[0], cell)
+            total += math.log((seen.get(w, 0) + 1) / size[c, cell])
+        assert math.isclose(got[i], total / math.log(10), rel_tol=1e-4), i
+
+
+def test_lm_row_sums():
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    rows = np.stack([draw.integers(0, 4, 500), draw.integers(0, 300, 500), np.full(500, 9)], 1).astype(np.int32)
+    g = draw.normal(size=(500, 5)).astype(np.float32)
+    plain, number = {}, Counter()
+    for r, x in zip(rows, g, strict=True):
+        for q in r.tolist():
+            plain[q] = plain.get(q, 0) + x.astype(float)
+            number[q] += 1
+    named, size, total = maxent_lm.row_sums(rows, g)
+    assert dict(zip(named.tolist(), size.tolist(), strict=True)) == number
+    assert all(np.allclose(plain[q], t, atol=1e-3) for q, t in zip(named.tolist(), total, strict=True))
+
+
+def test_lm_learns_the_same_in_every_run(spark, tmp_path):
+    rng = random.Random(4)
+    docs(spark, [prose(rng, 80) for _ in range(60)]).write.parquet(str(tmp_path / "d"))
+    d = spark.read.parquet(str(tmp_path / "d"))
+    scores = [{r["doc_id"]: r["score"] for r in maxent_lm.run(d).collect()} for _ in range(2)]
+    assert scores[0].keys() == scores[1].keys() and all(math.isclose(scores[0][i], scores[1][i], rel_tol=1e-9) for i in scores[0])
+
+
 def test_decontamination(spark, family):
     rng = random.Random(9)
     item = prose(rng, 30)
