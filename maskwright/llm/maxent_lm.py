@@ -9,7 +9,7 @@ add-one share of its cell, from counts over the whole training text; one unseen
 it a distribution.
 
 Counts are one aggregation over all training texts. Weights are learnt in rounds; each training
-text belongs to one round. In a round every task walks from the shared weights over its texts by
+text belongs to one round. In a round every task (of TASK_TOKENS or more, so that answers stay small beside texts) walks from the shared weights over its texts by
 Adagrad steps and returns its change; changes are added up by a tree reduce (fixed size, whatever
 the input) and averaged over the tasks that touched a row. They are added as whole numbers, so the order in which tasks end
 does not matter. Words frequent enough for a proven bound
@@ -32,19 +32,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import _MIX, Words, held_out, list_array, mix, signed, slices, unsigned, write_table
+from maskwright.llm.common import _MIX, Words, held_out, list_array, mix, release, signed, slices, unsigned, write_table
 
 HEAVY_BITS = 18
 TOP_WORDS, TOP_SUFFIXES, OTHER = 20, 24, 4
 CLASSES = TOP_WORDS + TOP_SUFFIXES + OTHER
 FEATURE_BITS = 13
 #: Cells of a class, and rows of their weights.
-CELL_BITS, CELL_FEATURE_BITS = 5, 14
+CELL_BITS, CELL_FEATURE_BITS = 4, 14
 CELLS = 1 << CELL_BITS
 #: Tokens of a weight row that are added up rank by rank; those beyond as one sum.
 RANKS = 16
 #: A change of one in the whole numbers that tasks return.
-UNIT = float(1 << 30)
+UNIT = float(1 << 20)
+#: Training tokens of a round that a task takes at least, where there are so many; its answer is of a fixed size.
+TASK_TOKENS = 1 << 20
 STEP_TOKENS = 16_384
 END = np.uint64(0x5DEECE66D1234567)
 START = np.uint64(0x1234567089ABCDEF)
@@ -265,12 +267,13 @@ def row_sums(rows: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _gradient_step(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, target: np.ndarray, rate: float) -> None:
-    """One Adagrad step, in place, on tokens; a row's gradient is the sum of its tokens' by the root of their number."""
+    """One Adagrad step, in place, on tokens; a row's gradient is the sum of its tokens' by the root of their number.
+    The bias rows (the last column) stay as they are: the plain shares, from exact counts."""
     g = _scores(weights, rows)
     np.exp(g, out=g)
     g /= g.sum(axis=1, keepdims=True)
     g[np.arange(len(target)), target] -= 1
-    named, size, total = row_sums(rows, g)
+    named, size, total = row_sums(rows[:, :-1], g)
     total /= np.sqrt(size, dtype=np.float32)[:, None]
     seen = squares[named] + total * total
     squares[named] = seen
@@ -306,16 +309,19 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int = 3, rate: float = 0.15) -
                     for head, (rows, target) in enumerate(to_do):
                         for i in range(0, len(target), STEP_TOKENS):
                             _gradient_step(own[head], squares[head], rows[i : i + STEP_TOKENS], target[i : i + STEP_TOKENS], rate)
-                        touched[head][rows.ravel()] = True
+                        touched[head][rows[:, :-1].ravel()] = True
             if touched[0].any():
-                change = [np.round((a.astype(np.float64) - b) * UNIT).astype(np.int64).ravel() for a, b in zip(own, start, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([*change, *touched]).tobytes()], pa.binary())], names=["change"])
+                change = [np.round((a - b) * UNIT).astype(np.int32).ravel() for a, b in zip(own, start, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([*change, *(x.astype(np.int32) for x in touched)]).tobytes()], pa.binary())], names=["change"])
 
-        part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k)
-        changes = part.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "change binary")
+        part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k).coalesce(max(1, -(-v.n // (rounds * TASK_TOKENS))))
+        changes = part.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "change binary").rdd
         zero = np.zeros(sum(w.size + len(w) for w in weights), np.int64)
         add = lambda a, b: a + b
-        found = changes.rdd.map(lambda r: np.frombuffer(bytes(r[0]), np.int64)).treeAggregate(zero, add, add, depth=3)
+        depth = max(2, int(np.ceil(np.log(max(2, changes.getNumPartitions())) / np.log(16))))  # 16 sums or fewer reach the driver
+        found = changes.map(lambda r: np.frombuffer(bytes(r[0]), np.int32)).treeAggregate(zero, add, add, depth=depth)
+        del changes
+        release(docs.sparkSession)  # the round's shuffle files
         at, tasks = 0, len(found) - sum(map(len, weights))
         for head, w in enumerate(weights):
             change, touched = found[at : at + w.size].reshape(w.shape) / UNIT, found[tasks : tasks + len(w)]
