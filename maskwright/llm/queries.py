@@ -80,7 +80,19 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(_table(spark, sf_dir, "documents"), vocabulary_path()))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_fuzzy_passages, op3_lm_scoring, op4_decontamination, op5_suffix_array_dedup, op6_url_filter, op7_jaccard_join, op8_line_dedup, op9_quality_rules, op10_bpe)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskwright.llm import filter_audit
+
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity, op2_fuzzy_passages, op3_lm_scoring, op4_decontamination, op5_suffix_array_dedup, op6_url_filter,
+        op7_jaccard_join, op8_line_dedup, op9_quality_rules, op10_bpe, op11_filter_audit,
+    )
+}
 
 ORACLES: dict[str, str] = {}
 
@@ -144,3 +156,32 @@ x AS (SELECT doc_id, sum(n) AS n_removed FROM r GROUP BY doc_id)
 SELECT d.doc_id, coalesce(c.n_lines, 0)::BIGINT AS n_lines, coalesce(x.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
 FROM documents d LEFT JOIN c USING (doc_id) LEFT JOIN x USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+ORACLES["op11_filter_audit"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(l.toxic, 0) AS toxic,
+             (CASE WHEN len(w) < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END)
+             + (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t) THEN 4 ELSE 0 END)
+             + (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END) + (CASE WHEN w.doc_id > first THEN 16 ELSE 0 END) AS mask
+      FROM w LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+f(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+p(prefix, before, bit, step) AS (
+  SELECT '', 0, 0, 0
+  UNION ALL
+  SELECT prefix || f.letter, before | p.bit, f.bit, step + 1 FROM p, f WHERE (before | p.bit) & f.bit = 0),
+x AS (SELECT part, prefix, p.bit, step, sum(CASE WHEN mask & (before | p.bit) = 0 THEN n ELSE 0 END) AS kept,
+             sum(CASE WHEN mask & before = 0 AND mask & p.bit <> 0 THEN n ELSE 0 END) AS removed,
+             sum(CASE WHEN mask & before <> 0 AND mask & p.bit <> 0 THEN n ELSE 0 END) AS redundant,
+             sum(CASE WHEN mask = p.bit THEN n ELSE 0 END) AS unique_fails,
+             sum(CASE WHEN mask & before = 0 AND mask & p.bit <> 0 THEN good ELSE 0 END) AS good_lost,
+             sum(CASE WHEN mask & before = 0 AND mask & p.bit <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+      FROM c, p WHERE step > 0 GROUP BY part, prefix, p.bit, step),
+o AS (SELECT x.*, full_order.prefix AS filter_order FROM x JOIN p AS full_order ON full_order.step = 5 AND starts_with(full_order.prefix, x.prefix)),
+s AS (SELECT part, bit, sum(removed) AS shapley FROM o GROUP BY part, bit)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, shapley::BIGINT AS shapley
+FROM o JOIN s USING (part, bit)
+"""
