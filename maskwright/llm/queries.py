@@ -86,11 +86,26 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from maskwright.llm import byte_bpe
+
+    return byte_bpe.digests(byte_bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskwright.llm import resample
+
+    done = resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return done.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_fuzzy_passages, op3_lm_scoring, op4_decontamination, op5_suffix_array_dedup, op6_url_filter,
-        op7_jaccard_join, op8_line_dedup, op9_quality_rules, op10_bpe, op11_filter_audit,
+        op7_jaccard_join, op8_line_dedup, op9_quality_rules, op10_bpe, op11_filter_audit, op12_byte_bpe, op13_importance_resampling,
     )
 }
 
