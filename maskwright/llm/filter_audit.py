@@ -118,7 +118,7 @@ def prefixes(cells: DataFrame, letters: str = FILTERS) -> DataFrame:
     spark = cells.sparkSession
     cells = write_table(cells, "audit-cells")
     a_part = sum(factorial(len(letters)) // factorial(len(letters) - k) for k in range(len(letters) + 1))
-    with _recursion_rows(spark, cells.count() * a_part):
+    with _recursion_rows(spark, cells.count() * a_part + 1):  # it ends where a level adds no row below the bound
         return write_table(spark.sql(_PREFIXES.replace("<letters>", letters).replace("<last>", str(len(letters) - 1)), cells=cells), "audit-prefixes")
 
 
