@@ -293,6 +293,8 @@ NEUTRAL = rf"""CASE WHEN regexp_matches(value, '^[+-]?(\d[\d,]*)?(\.\d+)?([eE][+
 O["csv_lines"] = f"""WITH {CELLS}, v AS (SELECT doc_id, sheet, row, col, {NEUTRAL} AS v FROM cells)
 SELECT doc_id, sheet, row, string_agg(CASE WHEN contains(v, ';') THEN '"' || v || '"' ELSE v END, ';' ORDER BY col) AS line FROM v GROUP BY doc_id, sheet, row"""
 O["csv_round_trip"] = f"""WITH {CELLS} SELECT doc_id, sheet, (dense_rank() OVER (PARTITION BY doc_id, sheet ORDER BY row) - 1)::INT AS row, col, {NEUTRAL} AS value FROM cells"""
+O["redacted_files"] = O["redact_label"]
+O["key_files"] = f"""SELECT doc_id, position, type, {NEUTRAL.replace('value', 'original')} AS original, replacement FROM ({O['reid_key']})"""
 O["clean_table"] = rf"""WITH {TABLE} SELECT d.doc_id, 'Sheet ' || (d.sheet + 1) AS sheet, d.row, d.col, d.value,
  CASE WHEN d.value = c.value AND regexp_matches(c.value, '^-?\d+\.\d\d$') THEN c.value::DOUBLE END AS scalar_num, NULL::BOOLEAN AS scalar_bool FROM done d JOIN cells c USING (doc_id, sheet, row, col)"""
 O["align_tokens"] = f"""SELECT doc_id, (i - 1)::INT AS i, st AS "start", (st + length(g))::INT AS "end" FROM ({places(RARE, '[A-Za-z]+')})"""

@@ -11,7 +11,7 @@ from maskwright import api
 from maskwright.config import MODEL, TYPES, RedactionConfig
 from maskwright.functions import text as fx
 from maskwright.operators import layout, metrics, model, propagate, replace, review, rules, spans, tables
-from maskwright.sources import readers, writers
+from maskwright.sources import delimited, readers, writers
 from maskwright.storage import shared_folder, write_table
 
 ALL = RedactionConfig(enabled=frozenset(TYPES))
@@ -511,13 +511,29 @@ def csv_lines(spark, sf):
 
 
 def csv_round_trip(spark, sf):
-    """Every sheet as a file, with a mark, and read again with its dialect found."""
+    """Every sheet as a file, with a mark, and read again in ranges of a kilobyte, with its dialect found."""
     path = f"{shared_folder(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
     writers.write_csv(cells(spark, sf), path, ";", "\r\n", bom=True)
-    back = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    file = lambda k: F.regexp_extract("doc_id", rf"{k}=(\d+)", 1)
-    got, _ = readers.parsed_tables(back.where("length(content) > 0"))
-    return got.select(file("doc").cast("bigint").alias("doc_id"), file("sheet").cast("int").alias("sheet"), "row", "col", "value")
+    file = lambda k: F.regexp_extract("doc_id", r"(\d+)-(\d+)\.redacted-data", k)
+    got, _ = delimited.read_large_tables(spark, path, range_bytes=1 << 10)
+    return got.select(file(1).cast("bigint").alias("doc_id"), file(2).cast("int").alias("sheet"), F.col("row").cast("int").alias("row"), "col", "value")
+
+
+def redacted_files(spark, sf):
+    """Every text redacted into a file of its own, `<base>.redacted.txt`, and the files read again."""
+    path = f"{shared_folder(spark).rstrip('/')}/texts-{uuid.uuid4().hex}"
+    writers.write_texts(api.redact(texts(spark, sf), config=ALL).withColumn("name", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))), path)
+    back = readers.read_texts(spark, path)
+    return back.select(F.regexp_extract("name", r"(\d+)\.redacted\.txt$", 1).cast("bigint").alias("doc_id"), "text")
+
+
+def key_files(spark, sf):
+    """The key of every document as a file, read again in ranges of a kilobyte."""
+    path = f"{shared_folder(spark).rstrip('/')}/keys-{uuid.uuid4().hex}"
+    writers.write_key(replace.reid_key(found_once(spark, sf)), path)
+    got, _ = delimited.read_large_tables(spark, path, range_bytes=1 << 10)
+    wide = got.groupBy("doc_id", "row").agg(*(F.max(F.when(F.col("col") == k, F.col("value"))).alias(c) for k, c in enumerate(("type", "original", "replacement"))))
+    return wide.where("row > 0").select(F.regexp_extract("doc_id", r"(\d+)\.key\.csv$", 1).cast("bigint").alias("doc_id"), F.col("row").cast("int").alias("position"), "type", "original", "replacement")
 
 
 def clean_table(spark, sf):
@@ -587,7 +603,7 @@ QUERIES = {
         final_view, export_gate, findings_by_value, findings_rollup, top_values, doc_summary, findings_by_label, needs_model, normalise_caps, name_variants, propagate_names, plausible_spans, merge_spans, type_scores,
         dictionary_spans, chunk_cover, classify_columns, detect_header, unpivot_cells, column_label, structural_spans, covered_cells, scan_plan, scan_stats, project_findings, clip_to_cells, cell_decisions, column_decisions,
         redact_table, pivot_back, apply_to_runs, eval_spans, eval_chars, name_coverage, passes_gate, page_lines, page_text, page_needs_ocr, rectangles, excel_serial_date, zero_pad, cell_address, scrub_office_xml,
-        date_formats, xml_texts, score_digits, csv_lines, csv_round_trip, clean_table, align_tokens, widen_pieces, symbols_text, blacked_out, stale_exports,
+        date_formats, xml_texts, score_digits, csv_lines, csv_round_trip, redacted_files, key_files, clean_table, align_tokens, widen_pieces, symbols_text, blacked_out, stale_exports,
         scan_samples,
     )
 }

@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions.text import base_name, neutralised
 from maskwright.operators.replace import key_csv
+from maskwright.sources.files import write_named_files
 
 
 def redacted_name(df: DataFrame, name: str = "name") -> DataFrame:
     return df.withColumn(name, F.concat(base_name(F.col(name)), F.lit(".redacted.txt")))
 
 
-def write_texts(df: DataFrame, path: str) -> None:
-    """name, text as Parquet; a file for each text would not last at scale."""
+def write_texts(df: DataFrame, path: str, doc: str = "doc_id", overwrite: bool = False) -> None:
+    """name, text (and doc) as files `<base>.redacted.txt` of a folder. Of texts with one base name each has its document's
+    id behind the base."""
+    named = df.select(F.col(doc).alias("doc"), base_name(F.col("name")).alias("base"), F.col("text"))
+    several = named.groupBy("base").agg(F.count("*").alias("n")).where("n > 1").drop("n").withColumn("several", F.lit(True))
+    told = named.join(several, "base", "left")
+    name = F.concat("base", F.when(F.col("several"), F.concat(F.lit("."), F.col("doc").cast("string"))).otherwise(""), F.lit(".redacted.txt"))
+    write_named_files(told.select(name.alias("name"), F.lit(0).alias("part"), F.coalesce("text", F.lit("")).alias("content")), path, overwrite)
+
+
+def write_texts_table(df: DataFrame, path: str) -> None:
+    """name, text as Parquet, where a file for each text would be too many."""
     redacted_name(df).write.mode("errorifexists").parquet(path)
 
 
@@ -27,22 +38,27 @@ def csv_lines(cells: DataFrame, delimiter: str = ",") -> DataFrame:
     return rows.select("doc_id", "sheet", "row", F.array_join(F.transform("c", lambda x: x["q"]), delimiter).alias("line"))
 
 
-def write_csv(cells: DataFrame, path: str, delimiter: str = ",", newline: str = "\n", bom: bool = False) -> None:
-    """Rows of cells as delimited text: a folder of path for each document and sheet (doc=.../sheet=...), written by
-    one task in row order, as the file of one table is; with bom each file starts with the byte order mark."""
-    lines = csv_lines(cells, delimiter).select(F.col("doc_id").alias("doc"), "sheet", "row", "line")
-    first = F.min("row").over(Window.partitionBy("doc", "sheet"))
-    marked = lines.withColumn("value", F.when(F.lit(bom) & (F.col("row") == first), F.concat(F.lit("\ufeff"), "line")).otherwise(F.col("line")))
-    dealt = marked.repartition("doc", "sheet").sortWithinPartitions("doc", "sheet", "row")
-    dealt.select("doc", "sheet", "value").write.partitionBy("doc", "sheet").option("lineSep", newline).text(path)
+def write_csv(cells: DataFrame, path: str, delimiter: str = ",", newline: str = "\n", bom: bool = False, name: Column | None = None, parts: int | None = None) -> None:
+    """Rows of cells as delimited files of a folder, one for each name (of the columns doc_id and sheet; by default
+    `<doc_id>-<sheet>.redacted-data.csv`, .tsv with tabs). A large table is written by many tasks, as numbered parts in
+    order of the rows; with bom the first of them alone starts with the byte order mark."""
+    ending = "tsv" if delimiter == "\t" else "csv"
+    name = F.format_string(f"%s-%s.redacted-data.{ending}", F.col("doc_id").cast("string"), F.col("sheet").cast("string")) if name is None else name
+    lines = csv_lines(cells, delimiter).select(name.alias("name"), F.col("row").cast("long").alias("part"), F.concat("line", F.lit(newline)).alias("content"))
+    if bom:
+        first = lines.groupBy("name").agg(F.min("part").alias("part")).withColumn("mark", F.lit("\ufeff"))
+        marked = lines.join(first, ["name", "part"], "left")
+        lines = marked.select("name", "part", F.concat(F.coalesce("mark", F.lit("")), "content").alias("content"))
+    write_named_files(lines, path, parts=parts)
 
 
-def write_key(key: DataFrame, path: str) -> None:
-    """The re-identification key: type, original, replacement, every field quoted, in order of first appearance; a
-    folder for each document (doc=...)."""
-    rows = key.select(F.col("doc_id").alias("doc"), "position", *key_csv(key))
-    dealt = rows.repartition("doc").sortWithinPartitions("doc", "position")
-    dealt.drop("position").write.partitionBy("doc").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+def write_key(key: DataFrame, path: str, name: Column | None = None) -> None:
+    """The re-identification key of each document as a file of a folder (`<doc_id>.key.csv` by default): type, original,
+    replacement, values quoted, in order of first appearance."""
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".key.csv")) if name is None else name
+    quoted = [F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')) for c in key_csv(key)]
+    rows = key.select(name.alias("name"), F.col("position").alias("part"), F.concat(F.when(F.col("position") == 1, "type,original,replacement").otherwise(""), F.lit("\n"), F.concat_ws(",", *quoted)).alias("content"))
+    write_named_files(rows, path)
 
 
 def clean_table(cells: DataFrame, original: DataFrame) -> DataFrame:

@@ -241,7 +241,7 @@ def test_csv_of_several_documents(spark, tmp_path):
     key = replace.reid_key(api.detect(spark.createDataFrame([(1, "10.0.0.1 a@b.co")], "doc_id long, text string")))
     writers.write_key(key, str(tmp_path / "key"))
     lines = [r["value"] for r in spark.read.option("recursiveFileLookup", "true").text(str(tmp_path / "key")).collect()]
-    assert lines == ['"type","original","replacement"', '"IP_ADDRESS","10.0.0.1","[IP_ADDRESS_1]"', '"EMAIL","a@b.co","[EMAIL_1]"']
+    assert lines == ["type,original,replacement", '"IP_ADDRESS","10.0.0.1","[IP_ADDRESS_1]"', '"EMAIL","a@b.co","[EMAIL_1]"']
 
 
 def test_other_sources_and_sinks(spark, tmp_path):
@@ -255,7 +255,7 @@ def test_other_sources_and_sinks(spark, tmp_path):
     assert texts.join(gold, "doc_id").first()["type"] == "PERSON"
     c = cells(spark, [["1", "x"]])
     assert readers.union_sheets(c, c).groupBy("sheet").count().count() == 2
-    writers.write_texts(spark.createDataFrame([("d/a.txt", "t")], "name string, text string"), str(tmp_path / "texts"))
+    writers.write_texts_table(spark.createDataFrame([("d/a.txt", "t")], "name string, text string"), str(tmp_path / "texts"))
     assert spark.read.parquet(str(tmp_path / "texts")).first()["name"] == "d/a.redacted.txt"
     original = c.withColumns({"scalar_num": F.lit(1.0), "scalar_bool": F.lit(None).cast("boolean")})
     clean = {r["col"]: (r["sheet"], r["scalar_num"]) for r in writers.clean_table(c.withColumn("value", F.regexp_replace("value", "x", "y")), original).collect()}
