@@ -52,6 +52,23 @@ def running(values: str, add: Callable[[str, str], str], zero: str) -> str:
     return f"CASE WHEN size({values}) = 0 THEN slice(array({zero}), 1, 0) ELSE {whole} END"
 
 
+#: Texts are cut into blocks of 2^8 characters where many places of one are read: a place is then found without a walk
+#: through all that stands before it.
+_BLOCK_BITS = 8
+
+
+def blocks(text: str) -> str:
+    """SQL for the blocks of a text."""
+    return f"regexp_extract_all({text}, r'(?s).{{1,{1 << _BLOCK_BITS}}}', 0)"
+
+
+def cut(start: str, end: str, of: str = "b") -> str:
+    """SQL for the characters from start to end, of the blocks of a text."""
+    first = f"shiftright({start}, {_BLOCK_BITS})"
+    some = f"array_join(slice({of}, {first} + 1, shiftright({end}, {_BLOCK_BITS}) - {first} + 1), '')"
+    return f"substr({some}, {start} - shiftleft({first}, {_BLOCK_BITS}) + 1, {end} - {start})"
+
+
 def dialect(pattern: str, edge: str = WORD_EDGE, flags: str = "") -> str:
     r"""A pattern with \b, \s and \S as browsers read them, for Java; with edge=r"\b" for RE2."""
     out, in_class, i = [], False, 0
@@ -144,14 +161,13 @@ def cell_address(address: Column) -> Column:
 
 
 def excel_serial_date(serial: Column, date1904: Column) -> Column:
-    """ISO text of a day number, with the time after a space if there is a fraction; 60 of the 1900 system is a day
-    that never was, so days before it count one more."""
-    days = F.floor(serial)
-    first = F.when(date1904, F.to_date(F.lit("1904-01-01"))).otherwise(F.to_date(F.lit("1899-12-30")))
-    day = F.date_add(first, (days + F.when(~date1904 & (days < 60), 1).otherwise(0)).cast("int"))
-    seconds = F.round((serial - days) * 86400).cast("long")
-    clock = F.date_format(F.timestamp_seconds(F.unix_timestamp(day.cast("timestamp")) + seconds), "yyyy-MM-dd HH:mm:ss")
-    return F.when(seconds == 0, day.cast("string")).otherwise(clock)
+    """ISO text of a day number, with the time after a space if it is no whole number. A time is rounded to milliseconds, and
+    what is left of a second is cut off; 60 of the 1900 system is a day that never was, so numbers from it on count one less."""
+    days = serial - F.when(~date1904 & (serial >= 60), 1).otherwise(0)
+    epoch = F.when(date1904, F.unix_date(F.to_date(F.lit("1904-01-01")))).otherwise(F.unix_date(F.to_date(F.lit("1899-12-31"))))
+    ms = epoch.cast("long") * 86_400_000 + F.floor(days * 86_400_000 + 0.5)
+    moment = F.make_timestamp_ntz(F.lit(1970), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)) + F.make_dt_interval(secs=F.floor(ms / 1000).cast("decimal(18,6)"))
+    return F.when(serial == F.floor(serial), F.date_format(moment, "yyyy-MM-dd")).otherwise(F.date_format(moment, "yyyy-MM-dd HH:mm:ss"))
 
 
 def is_date_format(format_id: Column, code: Column) -> Column:

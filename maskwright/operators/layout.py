@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.functions.text import running
+from maskwright.operators.intervals import overlap_join
 
 # Distances as shares of the font or line height, padding, and characters of a page with text.
 SAME_LINE, TAB_GAP, SPACE_GAP, NUMBER_GAP, SAME_ROW, BACK, PAD, FEW = 0.5, 1.5, 0.1, -0.3, 0.6, 0.5, 3.0, 25
@@ -73,23 +74,58 @@ def symbols_text(symbols: DataFrame) -> DataFrame:
     return s.withColumn("idx", (F.sum(F.length("part")).over(so_far) - F.length("text")).cast("int")).drop("paragraph_", "line_", "word_")
 
 
-def rectangles(spans: DataFrame, boxes: DataFrame) -> DataFrame:
-    """doc_id, start, end, page, x, y, w, h: the padded rectangles that cover each span's characters."""
+def _joined_boxes(boxes: Column) -> Column:
+    """Boxes of characters in order (page, x, y, w, h), one after another, as the rectangles that cover them."""
 
     def add(acc: Column, b: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
         low, high = F.greatest(last["y"], b["y"]), F.least(last["y"] + last["h"], b["y"] + b["h"])
-        joins = F.coalesce((last["page"] == b["page"]) & (high - low > SAME_ROW * F.least(last["h"], b["h"])) & (b["x"] >= last["x"] - BACK * b["h"]) & (b["x"] <= last["x"] + last["w"] + b["h"]), F.lit(False))
+        beside = (b["x"] >= last["x"] - BACK * b["h"]) & (b["x"] <= last["x"] + last["w"] + b["h"])
+        joins = F.coalesce((last["page"] == b["page"]) & (high - low > SAME_ROW * F.least(last["h"], b["h"])) & beside, F.lit(False))
         x, y = F.least(last["x"], b["x"]), F.least(last["y"], b["y"])
-        grown = F.struct(last["page"].alias("page"), x.alias("x"), y.alias("y"), (F.greatest(last["x"] + last["w"], b["x"] + b["w"]) - x).alias("w"), (F.greatest(last["y"] + last["h"], b["y"] + b["h"]) - y).alias("h"))
+        w, h = (F.greatest(last[p] + last[q], b[p] + b[q]) - least for p, q, least in (("x", "w", x), ("y", "h", y)))
+        grown = F.struct(last["page"].alias("page"), x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"))
         new = F.struct(b["page"].alias("page"), b["x"].alias("x"), b["y"].alias("y"), b["w"].alias("w"), b["h"].alias("h"))
         return F.when(joins, F.array_append(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), grown)).otherwise(F.array_append(acc, new))
 
-    at = spans.select("doc_id", "start", "end", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("idx"))
-    per = at.join(boxes, ["doc_id", "idx"]).groupBy("doc_id", "start", "end").agg(F.array_sort(F.collect_list(F.struct("idx", "page", "x", "y", "w", "h"))).alias("b"))
     empty = F.array().cast("array<struct<page:int,x:double,y:double,w:double,h:double>>")
-    r = per.select("doc_id", "start", "end", F.inline(F.aggregate(F.transform("b", lambda b: F.struct(b["page"].cast("int").alias("page"), *(b[c].cast("double").alias(c) for c in ("x", "y", "w", "h")))), empty, add)))
-    return r.select("doc_id", "start", "end", "page", (F.col("x") - PAD).alias("x"), (F.col("y") - PAD).alias("y"), (F.col("w") + 2 * PAD).alias("w"), (F.col("h") + 2 * PAD).alias("h"))
+    shaped = F.transform(boxes, lambda b: F.struct(b["page"].cast("int").alias("page"), *(b[c].cast("double").alias(c) for c in ("x", "y", "w", "h"))))
+    return F.aggregate(shaped, empty, add)
+
+
+def _padded(joined: DataFrame) -> DataFrame:
+    grown = [(F.col(c) - PAD).alias(c) for c in ("x", "y")] + [(F.col(c) + 2 * PAD).alias(c) for c in ("w", "h")]
+    return joined.select("doc_id", "start", "end", "page", *grown)
+
+
+def rectangles(spans: DataFrame, boxes: DataFrame) -> DataFrame:
+    """doc_id, start, end, page, x, y, w, h: the padded rectangles that cover each span's characters. boxes: a row for each
+    character (idx), as of recognised symbols; see rectangles_of_runs for runs of text."""
+    points = boxes.select("doc_id", "idx", (F.col("idx") + 1).alias("__after"), "page", "x", "y", "w", "h")
+    met = overlap_join(points, spans.select("doc_id", F.col("start").alias("__s"), F.col("end").alias("__e")).distinct(), ["doc_id"], ("idx", "__after"))
+    per = met.groupBy("doc_id", F.col("__s").alias("start"), F.col("__e").alias("end")).agg(F.array_sort(F.collect_list(F.struct("idx", "page", "x", "y", "w", "h"))).alias("b"))
+    return _padded(per.select("doc_id", "start", "end", F.inline(_joined_boxes(F.col("b")))))
+
+
+#: The boxes of the characters of a run that a span covers: x and w of each by the weights before it.
+_BOXES_IN_RUN = """transform(sequence(greatest(__s - start, 0), least(__e, __end) - start - 1), k -> named_struct('page', page,
+  'x', x + w * get(__before, k) / __total, 'y', y, 'w', w * get(__weights, k) / __total, 'h', h))"""
+
+
+def rectangles_of_runs(spans: DataFrame, runs: DataFrame) -> DataFrame:
+    """The same for runs of text (as char_boxes takes them): spans meet runs, not characters, and a run's boxes are made
+    beside it for those alone that a span covers."""
+    n = F.length("text")
+    weighed = runs.where(n > 0).select(
+        "doc_id", F.col("start").cast("int").alias("start"), (F.col("start") + n).cast("int").alias("__end"), "page", "x", "y", "w", "h",
+        F.coalesce("weights", F.transform(F.sequence(F.lit(1), n), lambda _: F.lit(1.0))).alias("__weights"),
+    )
+    summed = weighed.select("*", F.expr(running("__weights", lambda a, b: f"{a} + {b}", "0D")).alias("__before"), F.aggregate("__weights", F.lit(0.0), lambda a, v: a + v).alias("__total"))
+    met = overlap_join(summed, spans.select("doc_id", F.col("start").cast("int").alias("__s"), F.col("end").cast("int").alias("__e")).distinct(), ["doc_id"], ("start", "__end"))
+    own = met.select("doc_id", F.col("__s").alias("s"), F.col("__e").alias("e"), "start", F.expr(_BOXES_IN_RUN).alias("b"))
+    per = own.groupBy("doc_id", F.col("s").alias("start"), F.col("e").alias("end")).agg(F.array_sort(F.collect_list(F.struct(F.col("start").alias("at"), "b"))).alias("r"))
+    boxes = F.flatten(F.transform("r", lambda r: r["b"]))
+    return _padded(per.select("doc_id", "start", "end", F.inline(_joined_boxes(boxes))))
 
 
 def needs_ocr(items: DataFrame, forced: bool = False) -> DataFrame:

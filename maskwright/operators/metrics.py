@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskwright.functions.text import normalised
+from maskwright.functions.text import let_sql, normalised
 
 #: A candidate model is rejected if it loses more F1 than this.
 MOST_F1_LOSS = 0.005
@@ -44,26 +44,60 @@ def eval_spans(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     return n.withColumn("f1", f1).drop("__all")
 
 
-def _characters(spans: DataFrame) -> DataFrame:
-    return spans.where("start < end").select("doc_id", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("at")).distinct()
+#: The sweep over a text's events e, in order: how many characters but white space gold (g), predicted (p) and both cover. At
+#: one place spans start and end before a white space there (w) is taken off.
+_SWEEP = """aggregate(array_sort(v), named_struct('at', 0, 'g', 0, 'p', 0, 'n_gold', 0L, 'n_covered', 0L, 'n_predicted', 0L), (a, e) -> named_struct(
+  'at', e.at, 'g', a.g + e.g, 'p', a.p + e.p,
+  'n_gold', a.n_gold + IF(a.g > 0, e.at - a.at, 0) - IF(a.g > 0, e.w, 0),
+  'n_covered', a.n_covered + IF(a.g > 0 AND a.p > 0, e.at - a.at, 0) - IF(a.g > 0 AND a.p > 0, e.w, 0),
+  'n_predicted', a.n_predicted + IF(a.p > 0, e.at - a.at, 0) - IF(a.p > 0, e.w, 0)))"""
+
+
+def _events(spans: str, g: int, p: int) -> str:
+    """SQL for the starts and ends of an array of spans."""
+    made = lambda at, sign: f"named_struct('at', s.{at}, 'w', 0, 'g', {sign * g}, 'p', {sign * p})"
+    return f"flatten(transform(coalesce({spans}, array()), s -> array({made('start', 1)}, {made('`end`', -1)})))"
 
 
 def eval_chars(texts: DataFrame, gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """doc_id, n_gold, n_covered, n_predicted: characters other than white space."""
-    g, p = _characters(gold).withColumn("g", F.lit(1)), _characters(predicted).withColumn("p", F.lit(1))
-    met = g.join(p, ["doc_id", "at"], "full_outer").join(texts.select("doc_id", "text"), "doc_id")
-    solid = met.where(~F.col("text").substr(F.col("at") + 1, F.lit(1)).rlike(r"\s"))
-    return solid.groupBy("doc_id").agg(F.count("g").alias("n_gold"), F.count_if(F.col("g").isNotNull() & F.col("p").isNotNull()).alias("n_covered"), F.count("p").alias("n_predicted"))
+    """doc_id, n_gold, n_covered, n_predicted: characters other than white space, of documents with any in a span.
+
+    A document's spans are put beside its text, and one sweep over starts, ends and white space adds up lengths, so no
+    row stands for a character."""
+    from maskwright.operators.rules import located
+
+    def beside(spans: DataFrame, name: str) -> DataFrame:
+        place = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
+        return spans.where("start < end").groupBy("doc_id").agg(F.collect_set(place).alias(name))
+
+    both = beside(gold, "__g").join(beside(predicted, "__p"), "doc_id", "full_outer")
+    met = texts.select("doc_id", "text").join(both, "doc_id")
+    spaces = F.call_function("transform", located(F.col("text"), r"\s"), F.expr("s -> named_struct('at', s.start, 'w', 1, 'g', 0, 'p', 0)"))
+    events = F.concat(F.expr(_events("__g", 1, 0)), F.expr(_events("__p", 0, 1)), spaces)
+    done = met.select("doc_id", let_sql(events, _SWEEP).alias("n"))
+    return done.select("doc_id", "n.n_gold", "n.n_covered", "n.n_predicted").where("n_gold + n_predicted > 0")
+
+
+#: Whether spans v.s, in order, leave nothing of the name x (from its first place v.at on) but spaces and dots.
+_LEFT_OVER = r"""aggregate(v.s, named_struct('at', v.at, 'ok', true), (a, s) -> named_struct(
+  'at', greatest(a.at, s.`end`),
+  'ok', a.ok AND (s.start <= a.at OR substr(v.name, a.at - v.at + 1, least(s.start - a.at, length(v.name))) RLIKE r'^[ .]*\z')),
+  a -> a.ok AND (a.at >= v.at + length(v.name) OR substr(v.name, a.at - v.at + 1) RLIKE r'^[ .]*\z'))"""
 
 
 def name_coverage(cases: DataFrame, spans: DataFrame, min_score: float = 0.5) -> DataFrame:
-    """case_id, name, covered: whether persons found cover every character of the name but spaces and dots.
-    cases: case_id, text, names; spans: case_id, start, end, type, score."""
-    people = spans.where((F.col("type") == "PERSON") & (F.col("score") >= min_score))
-    seen = people.select("case_id", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("at")).distinct().withColumn("hit", F.lit(True))
-    names = cases.select("case_id", "text", F.explode("names").alias("name")).withColumn("from", F.instr("text", F.col("name")) - 1)
-    chars = names.select("case_id", "name", F.explode(F.sequence(F.col("from"), F.col("from") + F.length("name") - 1)).alias("at"), "text").where(~F.col("text").substr(F.col("at") + 1, F.lit(1)).isin(" ", "."))
-    return chars.join(seen, ["case_id", "at"], "left").groupBy("case_id", "name").agg(F.min(F.coalesce("hit", F.lit(False))).alias("covered"))
+    """case_id, name, covered: whether persons found cover every character of the name, where it first stands, but spaces
+    and dots; a name that the text lacks is not covered, one without other characters is left out. cases: case_id, text, names;
+    spans: case_id, start, end, type, score. A case's spans are put beside its text."""
+    people = spans.where((F.col("type") == "PERSON") & (F.col("score") >= min_score) & (F.col("start") < F.col("end")))
+    beside = people.groupBy("case_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("s"))
+    met = cases.select("case_id", "text", F.filter(F.array_distinct("names"), lambda n: n.rlike("[^ .]")).alias("names")).join(beside, "case_id", "left")
+    each = F.expr("transform(names, n -> named_struct('name', n, 'at', instr(text, n) - 1))")
+    named = met.select("case_id", F.coalesce("s", F.expr("array()")).alias("s"), F.inline(each))
+    # Spans before and after the name tell nothing about it.
+    near = F.expr("filter(s, x -> x.start < at + length(name) AND x.`end` > at)")
+    covered = (F.col("at") >= 0) & let_sql(F.struct("name", "at", near.alias("s")), _LEFT_OVER)
+    return named.select("case_id", "name", covered.alias("covered")).groupBy("case_id", "name").agg(F.min("covered").alias("covered"))
 
 
 def passes_gate(base: DataFrame, candidate: DataFrame, most_loss: float = MOST_F1_LOSS) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from maskwright.config import POOLS
-from maskwright.functions.text import let, neutralised, normalised
+from maskwright.functions.text import blocks, bound, cut, let, let_sql, neutralised, normalised
+from maskwright.operators.intervals import Ranged
 
 MASK = "[REDACTED]"
 
@@ -27,26 +28,36 @@ def replacement(type_: Column, n: Column, mode: str) -> Column:
     return F.lit(MASK) if mode == "redact" else F.coalesce(_pool(type_, n), label) if mode == "pseudonymize" else label
 
 
+#: Of keyed spans v (s, type, key): sorted by key (o), the first of each key (at), those in order of appearance by type (h), and
+#: their numbers, in the order of at again. Sorts in place of searches, so thousands of values take their time only once.
+_NUMBERED = bound("o", "sort_array(transform(v, (x, i) -> named_struct('type', x.type, 'key', x.key, 'i', i)))", bound(
+    "at", "filter(sequence(0, size(o) - 1), j -> j = 0 OR o[j - 1].key <> o[j].key OR o[j - 1].type <> o[j].type)", bound(
+        "h", "sort_array(transform(at, j -> named_struct('type', o[j].type, 'i', o[j].i, 'key', o[j].key)))", bound(
+            "first", "filter(transform(h, (x, j) -> named_struct('type', x.type, 'j', j)), (x, j) -> j = 0 OR h[j - 1].type <> x.type)", bound(  # one for each type
+                "n", "sort_array(transform(h, (x, j) -> named_struct('type', x.type, 'key', x.key, 'n', j + 1 - aggregate(first, 0, (a, f) -> IF(f.type = x.type, f.j, a)))))", bound(
+                    "back", "sort_array(flatten(transform(at, (j, m) -> transform(slice(o, j + 1, coalesce(get(at, m + 1), size(o)) - j), x -> named_struct('i', x.i, 'n', n[m].n)))))",
+                    "transform(v, (x, i) -> named_struct('s', x.s, 'key', x.key, 'n', back[i].n))",
+                ))))))
+_ONE = "transform(v, x -> named_struct('s', x.s, 'key', x.key, 'n', 1))"
+
+
 def numbered(spans: Column) -> Column:
     """Spans (sorted, disjoint) as structs s, key, n: n counts the values of a type by first appearance."""
     keyed = F.transform(spans, lambda s: F.struct(s.alias("s"), s["type"].alias("type"), F.concat(s["type"], F.lit(":"), normalised(s["text"])).alias("key")))
+    return let_sql(keyed, f"CASE WHEN size(v) <= 1 THEN {_ONE} ELSE {_NUMBERED} END")
 
-    def count(k: Column) -> Column:
-        values = F.transform(F.array_distinct(F.transform(k, lambda x: F.struct(x["type"], x["key"]))), lambda v: v)
-        return let(values, lambda v: F.transform(k, lambda x: F.struct(x["s"].alias("s"), x["key"].alias("key"), F.array_position(F.transform(F.filter(v, lambda y: y["type"] == x["type"]), lambda y: y["key"]), x["key"]).cast("int").alias("n"))))
 
-    return let(keyed, count)
+_BEFORE = "IF(i = 0, 0, get(v.p, i - 1).`end`)"
+_SPLICED = "concat(array_join(transform(v.p, (x, i) -> concat({gap}, x.new)), ''), {tail})"
+#: Few pieces are cut from the text itself, many from its blocks.
+_FEW_PIECES = _SPLICED.format(gap=f"substr(v.t, {_BEFORE} + 1, x.start - {_BEFORE})", tail="substr(v.t, get(v.p, size(v.p) - 1).`end` + 1)")
+_MANY_PIECES = bound("b", blocks("v.t"), _SPLICED.format(gap=cut(_BEFORE, "x.start"), tail=cut("get(v.p, size(v.p) - 1).`end`", "length(v.t)")))
 
 
 def spliced(text: Column, pieces: Column) -> Column:
     """text with array<struct<start, end, new>> put in; pieces are sorted and disjoint."""
-
-    def build(p: Column) -> Column:
-        parts = F.transform(p, lambda x, i: F.concat(text.substr(F.when(i == 0, 1).otherwise(F.get(p, i - 1)["end"] + 1), x["start"] - F.when(i == 0, 0).otherwise(F.get(p, i - 1)["end"])), x["new"]))
-        tail = text.substr(F.get(p, F.size(p) - 1)["end"] + 1, F.length(text))
-        return F.concat(F.array_join(parts, ""), tail)
-
-    return let(pieces, lambda p: F.when(F.size(p) == 0, text).otherwise(build(p)))
+    both = F.struct(text.alias("t"), pieces.alias("p"))
+    return let_sql(both, f"CASE WHEN size(v.p) = 0 THEN v.t WHEN size(v.p) <= 16 THEN {_FEW_PIECES} ELSE {_MANY_PIECES} END")
 
 
 def redacted(text: Column, spans: Column, mode: str) -> Column:
@@ -74,6 +85,14 @@ def _numbered_values(active: DataFrame, doc: str, place: Column | None = None) -
     return firsts.select(doc, "type", "value", n.alias("n"), "first_text", "__at")
 
 
+def label_map_in_ranges(active: DataFrame, doc: str = "doc_id", parts: int | None = None) -> DataFrame:
+    """The same where one document may hold more values than a task should: counts are carried from range to range."""
+    firsts = active.groupBy(doc, "type", normalised(F.col("text")).alias("value")).agg(F.min("start").alias("__first"), F.min_by("text", "start").alias("first_text"))
+    ranged = Ranged(firsts, [doc, "type"], [F.col("__first"), F.col("value")], parts)
+    numbered_ = ranged.sum_before(ranged.rows, "__n", F.lit(1))
+    return numbered_.select(doc, "type", "value", (F.col("__n") + 1).cast("int").alias("n"), "first_text")
+
+
 def reid_key(active: DataFrame, mode: str = "label", doc: str = "doc_id", place: Column | None = None) -> DataFrame:
     """doc, position (from 1, in order of first appearance), type, original, replacement, first_text of every value; empty
     where nothing can be undone."""

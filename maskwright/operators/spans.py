@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.config import RedactionConfig
-from maskwright.functions.text import WHITE_SPACE, bound, digits, let_sql, running, trimmed
+from maskwright.functions.text import WHITE_SPACE, blocks, bound, cut, digits, let_sql, mapped, running, trimmed
+from maskwright.operators.intervals import Ranged, overlap_join
+from maskwright.storage import write_table
 
 #: Manual before rule before model.
 SOURCE_RANK = {"manual": 3, "rule": 2, "ml": 1}
@@ -31,7 +33,7 @@ _CHOSEN = (
 )
 #: Spans v, in order of start, cut where one starts at or after the greatest end before it.
 _BY_ISLANDS = bound("o", "array_sort(transform(v, s -> named_struct('start', s.start, 'end', s.`end`, 'ord', s.ord, 's', s)))", bound(
-    "reach", running("transform(o, x -> cast(x.`end` AS int))", lambda a, b: f"greatest({a}, {b})", "-1"), bound(
+    "reach", running("transform(o, x -> cast(x.`end` AS bigint))", lambda a, b: f"greatest({a}, {b})", "-1L"), bound(
         "heads", "filter(sequence(0, size(o) - 1), i -> o[i].start >= reach[i])",
         "flatten(transform(heads, (h, n) -> " + bound("a", "transform(slice(o, h + 1, coalesce(get(heads, n + 1), size(o)) - h), x -> x.s)", _CHOSEN) + "))",
     )
@@ -52,10 +54,24 @@ def resolve_overlaps(spans: DataFrame, doc: str = "doc_id") -> DataFrame:
     so_far = Window.partitionBy(doc).orderBy("start", "end", "ord").rowsBetween(Window.unboundedPreceding, 0)
     fields = [c for c in spans.columns if c != doc]
     marked = spans.withColumn("__new", F.when(F.col("start") < F.max("end").over(before), 0).otherwise(1)).withColumn("__island", F.sum("__new").over(so_far))
+    return _by_island(marked, doc, fields)
+
+
+def _by_island(marked: DataFrame, doc: str, fields: list[str]) -> DataFrame:
     islands = marked.groupBy(doc, "__island").agg(F.collect_list(F.struct(*fields)).alias("s"))
     return islands.select(doc, F.inline(resolve(F.col("s"))))
 
 
+def resolve_overlaps_in_ranges(spans: DataFrame, doc: str = "doc_id", parts: int | None = None) -> DataFrame:
+    """The same where one document may hold more spans than a task should: ends and islands are carried from range to
+    range, so that no task holds a document."""
+    ranged = Ranged(spans, [doc], [F.col("start"), F.col("end"), F.col("ord")], parts)
+    reached = ranged.greatest_before(ranged.rows, "__reach", F.col("end"))
+    new = write_table(reached.withColumn("__new", F.when(F.col("start") < F.col("__reach"), 0).otherwise(1)), "islands")
+    marked = ranged.sum_before(new, "__earlier", F.col("__new")).withColumn("__island", F.col("__earlier") + F.col("__new"))
+    return _by_island(marked, doc, [c for c in spans.columns if c != doc])
+
+
 def keep_span(config: RedactionConfig, s: Column) -> Column:
     """Whether the settings keep a span: manual ones always; others by type, score and allow list."""
     allowed = [t.strip().lower() for t in config.allow if t.strip()]
@@ -95,8 +111,10 @@ def plausible(type_: Column, text: Column) -> Column:
 
 def without_overlap(a: DataFrame, b: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Spans of a that overlap no span of b in their document."""
-    other = b.select(F.col(doc).alias("__doc"), F.col("start").alias("__s"), F.col("end").alias("__e"))
-    return a.join(other, (F.col(doc) == F.col("__doc")) & (F.col("start") < F.col("__e")) & (F.col("__s") < F.col("end")), "left_anti")
+    place = [doc, "start", "end"]
+    other = b.select(doc, F.col("start").alias("__s"), F.col("end").alias("__e")).distinct()
+    hit = overlap_join(a.select(*place).distinct(), other, [doc]).select(*place).distinct()
+    return a.join(hit, place, "left_anti")
 
 
 # What may stand between two pieces of one name, and what is trimmed from its ends.
@@ -104,31 +122,41 @@ JOINER = r"^[ \-./:@_]{1,2}\z"
 END_MARKS = rf"[{WHITE_SPACE}\-\x{{2013}}\x{{2014}}.,:;/]+"
 # End of fixed values.
 
+#: Whether a piece x (start, reach: the end of what stands before it in its run) joins that, by what stands between them in the
+#: blocks b of the text.
+_JOINS = (
+    "CASE WHEN x.reach IS NULL THEN false WHEN x.start <= x.reach THEN true WHEN x.start - x.reach > 2 THEN false ELSE "
+    + bound("gap", cut("x.reach", "x.start"), f"gap RLIKE r'{JOINER}' AND (gap <> '. ' OR {cut('greatest(x.reach - 2, 0)', 'x.reach')} RLIKE r'(?:^|[^\\p{{L}}])\\p{{L}}\\z')")
+    + " END"
+)
+
 
 def merge_spans(spans: DataFrame, texts: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Model pieces joined, in order of start and end: a piece joins the one before it if that has its type
     and reaches it, or only a joiner of one or two characters stands between (". " only after an initial). A
     piece of another type in between parts them; what follows starts anew. Ends lose marks; what is left
-    of fewer than two characters goes."""
+    of fewer than two characters goes.
+
+    A document's pieces are put beside its text by one join, and what stands between them is cut there, from blocks of
+    the text, so that neither is copied for each piece."""
     order = ["start", "end", "ord" if "ord" in spans.columns else "type"]
     by = Window.partitionBy(doc).orderBy(*order)
     s = spans.drop("text").withColumn("__turn", F.when(F.col("type") == F.lag("type").over(by), 0).otherwise(1))
     s = s.withColumn("__run", F.sum("__turn").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     within = Window.partitionBy(doc, "__run").orderBy(*order)
     s = s.withColumn("__reach", F.max("end").over(within.rowsBetween(Window.unboundedPreceding, -1)))
-    s = s.join(texts.select(F.col(doc), F.col(text).alias("__text")), doc)
-    gap = F.col("__text").substr(F.col("__reach") + 1, F.col("start") - F.col("__reach"))
-    before = F.col("__text").substr(F.greatest(F.col("__reach") - 1, F.lit(1)), F.least(F.col("__reach"), F.lit(2)))
-    joiner = gap.rlike(JOINER) & ((gap != ". ") | before.rlike(r"(?:^|[^\p{L}])\p{L}\z"))
-    joins = F.coalesce((F.col("start") <= F.col("__reach")) | joiner, F.lit(False))
-    so_far = within.rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumn("__island", F.sum(F.when(joins, 0).otherwise(1)).over(so_far))
-    out = s.groupBy(doc, "__run", "__island").agg(
-        F.min("start").alias("a"), F.max("end").alias("b"), F.first("type").alias("type"), F.max("score").alias("score"), F.first("__text").alias("__text")
-    )
-    raw = F.col("__text").substr(F.col("a") + 1, F.col("b") - F.col("a"))
-    headless = F.regexp_replace(raw, f"^{END_MARKS}", "")
-    cut = F.regexp_replace(headless, rf"{END_MARKS}\z", "")
-    start = F.col("a") + F.length(raw) - F.length(headless)
-    made = out.select(doc, start.cast("int").alias("start"), (start + F.length(cut)).cast("int").alias("end"), "type", cut.alias("text"), "score")
+    pieces = F.struct(*(F.col(c) for c in order), F.col("type").alias("t"), "score", F.col("end").alias("e"), F.col("__run").alias("run"), F.col("__reach").alias("reach"))
+    beside = s.groupBy(doc).agg(F.array_sort(F.collect_list(pieces)).alias("__o")).join(texts.select(F.col(doc), F.col(text).alias("__text")), doc)
+    cut_up = F.expr(blocks("__text"))
+    # islands: where a piece does not join, a new one starts
+    marked = let_sql(F.struct(F.col("__o").alias("o"), cut_up.alias("b")), bound("b", "v.b", f"transform(v.o, x -> named_struct('x', x, 'joins', {_JOINS}))"))
+    parted = "transform(heads, (h, n) -> slice(v, h + 1, coalesce(get(heads, n + 1), size(v)) - h))"
+    islands = let_sql(marked, bound("heads", "filter(sequence(0, size(v) - 1), i -> NOT v[i].joins)", parted))
+    ends = mapped(islands, "g -> named_struct('a', array_min(transform(g, y -> y.x.start)), 'b', array_max(transform(g, y -> y.x.e)), 'type', g[0].x.t, 'score', array_max(transform(g, y -> y.x.score)))")
+    raw = let_sql(F.struct(ends.alias("g"), cut_up.alias("b")), bound("b", "v.b", f"transform(v.g, g -> named_struct('a', g.a, 'type', g.type, 'score', g.score, 'raw', {cut('g.a', 'g.b')}))"))
+    out = beside.select(doc, F.inline(raw))
+    headless = F.regexp_replace("raw", f"^{END_MARKS}", "")
+    cut_off = F.regexp_replace(headless, rf"{END_MARKS}\z", "")
+    start = F.col("a") + F.length("raw") - F.length(headless)
+    made = out.select(doc, start.cast("int").alias("start"), (start + F.length(cut_off)).cast("int").alias("end"), "type", cut_off.alias("text"), "score")
     return made.where(F.length("text") >= 2)

@@ -7,7 +7,7 @@ from maskwright.config import DENY, HEADER, MODEL, POOLS, TYPES
 from maskwright.functions.text import WHITE_SPACE, dialect
 from maskwright.operators.rules import RULES
 from maskwright.operators.tables import COLUMN_RULES, NUMERIC
-from maskwright.plans.queries import CODES, CUSTOMER, LABELS, NAME, SUPPLIER, TERMS
+from maskwright.plans.queries import CODES, CUSTOMER, FRACTIONS, LABELS, NAME, SUPPLIER, TERMS
 
 PIECES, LONG_WORD = "[A-Z][a-z]+|[0-9]+", r"[\p{L}\p{N}]{4,}"
 KIND = "CASE WHEN regexp_matches(g, '^[0-9]') THEN 'ID_NUMBER' ELSE 'PERSON' END"
@@ -153,6 +153,10 @@ O["reid_key"] = f"""WITH {R}, first AS (SELECT doc_id, type, {norm('text')} AS v
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first_place, type, value)::INT AS position, type, value AS original, {LABEL} AS replacement, first_text
 FROM ({numbered('SELECT * FROM r')}) JOIN first USING (doc_id, type, value)"""
 STRICT = "source = 'manual' OR (type <> 'ORG' AND score >= 0.9 AND lower(text) NOT IN ('10.0.0.1', 'gb82 west 1234 5698 7654 32'))"
+OFFSETS = "off AS (SELECT doc_id, coalesce(sum(length(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM t)"
+MOVED = 'SELECT 0 AS doc_id, o + "start" AS "start", o + "end" AS "end", type, text, source, score'
+O["resolve_one_document"] = f"""WITH {R}, {OFFSETS} {MOVED} FROM r JOIN off USING (doc_id)"""
+O["label_one_document"] = f"""WITH {R}, {OFFSETS} {numbered(f'{MOVED} FROM c JOIN off USING (doc_id)')}"""
 O["finalize"] = f"""WITH {R}, x AS MATERIALIZED (SELECT * FROM c WHERE {STRICT}) SELECT *, 'all' AS setting FROM r UNION ALL SELECT *, 'strict' FROM ({resolved('SELECT * FROM x')})"""
 O["reidentify"] = f"""WITH {R}, k AS ({numbered('SELECT * FROM r')}), p AS (SELECT doc_id, "start", "end", first_text AS new FROM (SELECT r.*, {norm('text')} AS value FROM r) JOIN k USING (doc_id, type, value)) {applied('SELECT * FROM t', 'SELECT * FROM p')}"""
 O["neutralise_cells"] = rf"""SELECT o_orderkey, CASE WHEN regexp_matches(v, '^[+-]?(\d[\d,]*)?(\.\d+)?([eE][+-]?\d+)?$') THEN v WHEN regexp_matches(v, {q(f'^{WS}*[=+@-]')}) THEN '''' || v ELSE v END AS cell
@@ -160,7 +164,6 @@ FROM (SELECT o_orderkey, ['=', ' @', '-', ''][o_orderkey % 4 + 1] || CASE WHEN o
 O["active_spans"] = f"WITH {A} SELECT * FROM a"
 O["decisions_asof"] = f"WITH {R}, {LOG} SELECT doc_id, arg_max(seq, seq) AS seq, kind, key, arg_max(value, seq) AS value FROM log WHERE seq <= 12 GROUP BY doc_id, kind, key"
 O["value_decisions"] = f"WITH {R}, {LOG}, {V} SELECT doc_id, key, excluded FROM v"
-FIRST = "SELECT doc_id, text, w, strpos(text, w) - 1 AS st FROM (SELECT doc_id, text, regexp_extract(text, '[A-Z][a-z]{5,}') AS w FROM documents) WHERE w <> ''"
 O["manual_terms"] = f"""WITH {words('SELECT doc_id, text FROM documents')}, f AS MATERIALIZED (SELECT doc_id, st, g AS w FROM ({places('SELECT doc_id, text FROM documents', '[A-Z][a-z]{5,}')}) WHERE st % 5 = 0)
 SELECT DISTINCT ON (doc_id, "start", "end") * FROM (SELECT doc_id, st::INT AS "start", (st + length(w))::INT AS "end", 'CUSTOM' AS type, w AS text, 'manual' AS source, 1.0::DOUBLE AS score, ({DENY << 40} + st)::BIGINT AS ord FROM f
  UNION ALL SELECT w.doc_id, w.st, (w.st + length(g))::INT, 'CUSTOM', g, 'manual', 1.0, ({DENY << 40} + w.st)::BIGINT FROM w JOIN (SELECT DISTINCT doc_id, lower(w) AS l FROM f) f ON f.doc_id = w.doc_id AND lower(g) = f.l)"""
@@ -272,7 +275,11 @@ O["eval_spans"] = f"""WITH {R} {evaluated("type <> 'PHONE' AND " + '"start" % 7
 O["passes_gate"] = f"""WITH {R}, e AS ({evaluated("type <> 'PHONE'")}) SELECT coalesce(type, '*') AS type, 1.0::DOUBLE AS base_f1, CASE WHEN n_predicted = 0 AND type = 'PHONE' THEN f1 ELSE f1 END AS f1, 1 - f1 <= 0.005 AS accepted FROM e"""
 O["eval_chars"] = rf"""WITH {R}, g AS (SELECT DISTINCT doc_id, unnest(range("start", "end")) AS i FROM r), p AS (SELECT DISTINCT doc_id, unnest(range("start", "end" - 1)) AS i FROM r WHERE "start" % 3 <> 0)
 SELECT doc_id, count(*) AS n_gold, count(*) FILTER (p.hit) AS n_covered, count(*) FILTER (p.hit) AS n_predicted FROM g LEFT JOIN (SELECT *, true AS hit FROM p) p USING (doc_id, i) JOIN t USING (doc_id) WHERE NOT regexp_matches(substr(text, i + 1, 1), '\s') GROUP BY doc_id"""
-O["name_coverage"] = f"SELECT doc_id AS case_id, w AS name, doc_id % 2 = 0 AS covered FROM ({FIRST})"
+CAPITAL = places("SELECT doc_id, text FROM documents", "[A-Z][a-z]{5,}")
+O["name_coverage"] = f"""WITH o AS MATERIALIZED ({CAPITAL}), n AS (SELECT DISTINCT doc_id, g AS name FROM o),
+ch AS (SELECT doc_id, name, unnest(range(strpos(text, name) - 1, strpos(text, name) - 1 + length(name))) AS i FROM n JOIN documents USING (doc_id)),
+hit AS (SELECT DISTINCT doc_id, unnest(range(st + st % 2, st + length(g))) AS i FROM o)
+SELECT ch.doc_id AS case_id, name, bool_and(hit.i IS NOT NULL) AS covered FROM ch LEFT JOIN hit ON hit.doc_id = ch.doc_id AND hit.i = ch.i GROUP BY ch.doc_id, name"""
 ITEMS = "SELECT l_orderkey AS doc_id, 1 AS page, (l_linenumber - 1) % 4 * 50.0 AS x, (l_linenumber - 1) // 4 AS line, 'p' || l_partkey AS text, l_linenumber - 1 AS k FROM lineitem"
 O["page_lines"] = f"SELECT doc_id, page, (dense_rank() OVER (PARTITION BY doc_id ORDER BY line) - 1)::INT AS line, x::DOUBLE AS x, text FROM ({ITEMS})"
 O["page_text"] = f"""WITH i AS ({ITEMS}), b AS (SELECT *, lag(k) OVER w AS pk, max(x + CASE WHEN k % 2 = 0 THEN 49.5 ELSE 20 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i WINDOW w AS (PARTITION BY doc_id, line ORDER BY x, text)),
@@ -281,8 +288,18 @@ SELECT doc_id, 1 AS page, string_agg(t, '' ORDER BY line) AS text FROM l GROUP B
 O["page_needs_ocr"] = f"SELECT doc_id, page, sum(length(text)) < 25 AS needs_ocr FROM ({ITEMS}) GROUP BY doc_id, page"
 O["rectangles"] = """WITH c AS (SELECT c_custkey AS doc_id, length(c_name) AS n FROM customer), b AS (SELECT doc_id, n, unnest(range(2, n)) AS i FROM c)
 SELECT doc_id, 2 AS "start", n::INT AS "end", 1 AS page, round(100 + min(i % 10) * 6 - 3.0, 6)::DOUBLE AS x, round(i // 10 * 15 - 3.0, 6)::DOUBLE AS y, round(count(*) * 6 + 6.0, 6)::DOUBLE AS w, 18.0::DOUBLE AS h FROM b GROUP BY doc_id, n, i // 10"""
-O["excel_serial_date"] = """WITH o AS (SELECT o_orderkey, o_orderdate::DATE AS d, (o_orderkey % 4 * 6)::INT AS h FROM orders)
-SELECT o_orderkey, CASE WHEN h = 0 THEN d::VARCHAR ELSE d::VARCHAR || ' ' || lpad(h::VARCHAR, 2, '0') || ':00:00' END AS d1900, CASE WHEN h = 0 THEN d::VARCHAR ELSE d::VARCHAR || ' ' || lpad(h::VARCHAR, 2, '0') || ':00:00' END AS d1904 FROM o"""
+O["rectangles_of_characters"] = O["rectangles"]
+
+
+def serial_text(serial: str, date1904: bool) -> str:
+    epoch, days = ("1904-01-01", serial) if date1904 else ("1899-12-31", f"{serial} - CASE WHEN {serial} >= 60 THEN 1 ELSE 0 END")
+    moment = f"TIMESTAMP '{epoch}' + to_seconds(floor(floor(({days}) * 86400000 + 0.5) / 1000)::BIGINT)"
+    return f"CASE WHEN {serial} = floor({serial}) THEN strftime({moment}, '%Y-%m-%d') ELSE strftime({moment}, '%Y-%m-%d %H:%M:%S') END"
+
+
+O["excel_serial_date"] = f"""WITH f AS (SELECT o_orderkey, ([{', '.join(f'{x}::DOUBLE' for x in FRACTIONS)}])[o_orderkey % {len(FRACTIONS)} + 1] AS part, o_orderdate::DATE AS d FROM orders),
+o AS (SELECT o_orderkey, date_diff('day', DATE '1899-12-30', d) + part AS serial, (o_orderkey % 120)::DOUBLE + part AS early FROM f)
+SELECT o_orderkey, {serial_text('serial', False)} AS d1900, {serial_text('(serial - 1462)', True)} AS d1904, {serial_text('early', False)} AS early FROM o"""
 O["zero_pad"] = "SELECT o_orderkey, lpad(o_orderkey::VARCHAR, greatest(8, length(o_orderkey::VARCHAR))::INT, '0') AS padded, ('9007199254' || lpad((o_orderkey % 1000000)::VARCHAR, 6, '0'))::HUGEINT > 9007199254740991 AS keeps_text FROM orders"
 O["cell_address"] = "SELECT p_partkey, p_partkey::INT AS row, (p_partkey % 17000)::INT AS col FROM part"
 O["scrub_office_xml"] = """SELECT c_custkey, '<w:ins w:author="Redacted" w:initials="R" w15:userId=""><w:t>x</w:t></w:ins><dc:creator></dc:creator><vt:lpwstr></vt:lpwstr>' AS xml FROM customer"""

@@ -11,6 +11,7 @@ from maskwright import api
 from maskwright.config import MODEL, TYPES, RedactionConfig
 from maskwright.functions import text as fx
 from maskwright.operators import layout, metrics, model, propagate, replace, review, rules, spans, tables
+from maskwright.operators.intervals import Ranged
 from maskwright.sources import delimited, readers, writers
 from maskwright.storage import shared_folder, write_table
 
@@ -104,6 +105,25 @@ def resolve_overlaps(spark, sf):
     return spans.resolve_overlaps(rule_rows(texts(spark, sf)))
 
 
+def _one_document(spark, sf) -> DataFrame:
+    """Candidates of all texts, as if these were one document, text after text in order of their ids."""
+    t = texts(spark, sf).withColumn("all", F.lit(0))
+    ranged = Ranged(t.select("all", "doc_id", F.length("text").cast("long").alias("n")), ["all"], [F.col("doc_id")], 20)
+    offsets = ranged.sum_before(ranged.rows, "offset", F.col("n")).select("doc_id", "offset")
+    moved = rule_rows(t).join(offsets, "doc_id").withColumns({"start": F.col("offset") + F.col("start"), "end": F.col("offset") + F.col("end")})
+    return moved.select(F.lit(0).alias("doc_id"), "start", "end", "type", "text", "source", "score", (F.col("offset") + F.col("ord")).alias("ord"))
+
+
+def resolve_one_document(spark, sf):
+    """Overlaps of one document that spans twenty partitions."""
+    return spans.resolve_overlaps_in_ranges(_one_document(spark, sf), parts=20).drop("ord")
+
+
+def label_one_document(spark, sf):
+    """Its values numbered, over twenty partitions too."""
+    return replace.label_map_in_ranges(_one_document(spark, sf), parts=20)
+
+
 def redact_label(spark, sf):
     return api.redact(texts(spark, sf), config=ALL)
 
@@ -240,13 +260,6 @@ def names(spark, sf) -> DataFrame:
     return d.select("doc_id", *place, F.lit("ml").alias("source"), F.lit(0.9).alias("score"), (F.lit(MODEL << 40) + F.col("start")).cast("bigint").alias("ord"))
 
 
-def first_names(spark, sf) -> DataFrame:
-    """The first capitalised word of six letters or more of each document."""
-    d = table(spark, sf, "documents").select("doc_id", "text", F.regexp_extract("text", r"[A-Z][a-z]{5,}", 0).alias("w")).where("w <> ''")
-    start = F.instr("text", F.col("w")) - 1
-    return d.select("doc_id", start.alias("start"), (start + F.length("w")).alias("end"), F.lit("PERSON").alias("type"), F.col("w").alias("text"), F.lit(0.9).alias("score"))
-
-
 def name_variants(spark, sf):
     """Of every two words of which the first is capitalised, as names."""
     two = rules.span_rows(spread(table(spark, sf, "documents").select("doc_id", "text")), rules.located(F.col("text"), r"[A-Z][a-z]+ [a-z]+"), "doc_id")
@@ -428,9 +441,12 @@ def eval_chars(spark, sf):
 
 
 def name_coverage(spark, sf):
-    n = first_names(spark, sf)
-    cases = table(spark, sf, "documents").select(F.col("doc_id").alias("case_id"), "text").join(n.select(F.col("doc_id").alias("case_id"), F.array("text").alias("names")), "case_id")
-    found = n.select(F.col("doc_id").alias("case_id"), (F.col("start") + (F.col("doc_id") % 2)).cast("int").alias("start"), "end", "type", "score")
+    """Every capitalised word of six letters or more a name, and every place of one found, without its first letter at odd places."""
+    d = spread(table(spark, sf, "documents").select(F.col("doc_id").alias("case_id"), "text"))
+    word = r"[A-Z][a-z]{5,}"
+    cases = d.withColumn("names", F.regexp_extract_all("text", F.lit(word), F.lit(0)))
+    found = rules.span_rows(d, rules.located(F.col("text"), word), "case_id")
+    found = found.select("case_id", (F.col("start") + F.col("start") % 2).alias("start"), (F.col("start") + F.length("t")).alias("end"), F.lit("PERSON").alias("type"), F.lit(0.9).alias("score"))
     return metrics.name_coverage(cases, found)
 
 
@@ -458,19 +474,35 @@ def page_needs_ocr(spark, sf):
     return layout.needs_ocr(_items(spark, sf))
 
 
-def rectangles(spark, sf):
-    """Boxes of every customer's name on lines of ten characters, and a span over it."""
+def _name_runs(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Runs of every customer's name on lines of ten characters, and a span over it."""
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), "c_name")
     runs = c.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length("c_name") - 1) / 10).cast("int")), lambda i: F.col("c_name").substr(i * 10 + 1, F.lit(10)))).alias("k", "text"))
     runs = runs.select("doc_id", (F.col("k") * 10).alias("start"), F.lit(1).alias("page"), F.lit(100.0).alias("x"), (F.col("k") * 15.0).alias("y"), (F.length("text") * 6.0).alias("w"), F.lit(12.0).alias("h"), "text", F.lit(None).cast("array<double>").alias("weights"))
-    found = c.select("doc_id", F.lit(2).alias("start"), F.length("c_name").alias("end"))
+    return runs, c.select("doc_id", F.lit(2).alias("start"), F.length("c_name").alias("end"))
+
+
+def rectangles(spark, sf):
+    runs, found = _name_runs(spark, sf)
+    return layout.rectangles_of_runs(found, runs).withColumns({x: F.round(x, 6) for x in ("x", "y", "w", "h")})
+
+
+def rectangles_of_characters(spark, sf):
+    """The same from a box for each character."""
+    runs, found = _name_runs(spark, sf)
     return layout.rectangles(found, layout.char_boxes(runs)).withColumns({x: F.round(x, 6) for x in ("x", "y", "w", "h")})
 
 
+FRACTIONS = (0.0, 0.25, 0.5, 0.1234567, 0.999999, 0.000001, 0.99999999, 0.75)
+
+
 def excel_serial_date(spark, sf):
+    """Days of both systems and days of the first months, whole, with odd fractions, and with some that round up."""
     o = table(spark, sf, "orders")
-    serial = (F.datediff(F.col("o_orderdate").cast("date"), F.to_date(F.lit("1899-12-30"))) + F.col("o_orderkey") % 4 / 4.0).cast("double")
-    return o.select("o_orderkey", fx.excel_serial_date(serial, F.lit(False)).alias("d1900"), fx.excel_serial_date(serial - 1462, F.lit(True)).alias("d1904"))
+    part = F.get(F.array(*map(F.lit, FRACTIONS)), (F.col("o_orderkey") % len(FRACTIONS)).cast("int"))
+    serial = F.datediff(F.col("o_orderdate").cast("date"), F.to_date(F.lit("1899-12-30"))) + part
+    early = (F.col("o_orderkey") % 120).cast("double") + part
+    return o.select("o_orderkey", fx.excel_serial_date(serial, F.lit(False)).alias("d1900"), fx.excel_serial_date(serial - 1462, F.lit(True)).alias("d1904"), fx.excel_serial_date(early, F.lit(False)).alias("early"))
 
 
 def zero_pad(spark, sf):
@@ -599,10 +631,10 @@ QUERIES = {
 } | {
     f.__name__: f
     for f in (
-        rule_ipv6, candidates, finalize, deny_list, occurrences, filter_spans, resolve_overlaps, redact_conversations, value_keys, label_map, reid_key, reidentify, neutralise_cells, decisions_asof, value_decisions, manual_terms, anti_overlap,
+        rule_ipv6, candidates, finalize, deny_list, occurrences, filter_spans, resolve_overlaps, resolve_one_document, label_one_document, redact_conversations, value_keys, label_map, reid_key, reidentify, neutralise_cells, decisions_asof, value_decisions, manual_terms, anti_overlap,
         final_view, export_gate, findings_by_value, findings_rollup, top_values, doc_summary, findings_by_label, needs_model, normalise_caps, name_variants, propagate_names, plausible_spans, merge_spans, type_scores,
         dictionary_spans, chunk_cover, classify_columns, detect_header, unpivot_cells, column_label, structural_spans, covered_cells, scan_plan, scan_stats, project_findings, clip_to_cells, cell_decisions, column_decisions,
-        redact_table, pivot_back, apply_to_runs, eval_spans, eval_chars, name_coverage, passes_gate, page_lines, page_text, page_needs_ocr, rectangles, excel_serial_date, zero_pad, cell_address, scrub_office_xml,
+        redact_table, pivot_back, apply_to_runs, eval_spans, eval_chars, name_coverage, passes_gate, page_lines, page_text, page_needs_ocr, rectangles, rectangles_of_characters, excel_serial_date, zero_pad, cell_address, scrub_office_xml,
         date_formats, xml_texts, score_digits, csv_lines, csv_round_trip, redacted_files, key_files, clean_table, align_tokens, widen_pieces, symbols_text, blacked_out, stale_exports,
         scan_samples,
     )
