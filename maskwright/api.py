@@ -28,13 +28,19 @@ def with_spans(df: DataFrame, config: RedactionConfig | None = None, text: str =
     return df.withColumn(into, active_spans(F.col(text), config or RedactionConfig()))
 
 
-def detect(df: DataFrame, config: RedactionConfig | None = None, id_col: str = "doc_id", text: str = "text", ner: Callable[[DataFrame], DataFrame] | None = None, extra: DataFrame | None = None) -> DataFrame:
-    """The resolved spans of every text as a table. ner: texts to spans of a model (see
-    operators.model), widened to repeats of its names; extra: more candidates, such as header spans."""
+def rules_spans(df: DataFrame, rules: tuple[Rule, ...], id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Every match of some rules as a table, before settings and overlaps."""
+    return span_rows(df, detect_rules(F.col(text), {r.type for r in rules}, rules), id_col)
+
+
+def detect(df: DataFrame, config: RedactionConfig | None = None, id_col: str = "doc_id", text: str = "text", ner: Callable[[DataFrame], DataFrame] | None = None, extra: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The resolved spans of every text as a table. ner: texts to spans of a model (see operators.model), widened to repeats of
+    its names; extra: more candidates, such as header spans; rules: other rules than the built-in ones, or those and more
+    (operators.table_functions.rules_of takes them from a table)."""
     config = config or RedactionConfig()
     if ner is None and extra is None:
-        return span_rows(df, active_spans(F.col(text), config), id_col)
-    found = span_rows(df, candidate_spans(F.col(text), config), id_col)
+        return span_rows(df, active_spans(F.col(text), config, rules), id_col)
+    found = span_rows(df, candidate_spans(F.col(text), config, rules), id_col)
     if extra is not None:
         found = found.unionByName(extra)
     if ner is not None:
@@ -53,4 +59,4 @@ def redact(df: DataFrame, active: DataFrame | None = None, config: RedactionConf
     return with_spans(df, config, text, spans).withColumn(text, redacted(F.col(text), F.col(spans), config.mode)).drop(spans)
 
 
-__all__ = ["RedactionConfig", "active_spans", "candidate_spans", "detect", "redact", "reid_key", "with_spans"]
+__all__ = ["RULES", "RedactionConfig", "Rule", "active_spans", "candidate_spans", "detect", "redact", "reid_key", "rules_spans", "with_spans"]

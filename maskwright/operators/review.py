@@ -1,10 +1,14 @@
 """Review decisions as tables: keys, manual terms, keep or redact, cells, undo, export gate.
 
-Decisions are a log (doc_id, seq, kind, key, value); the state is the latest of what still counts, and
-undo is reading the log up to an earlier seq."""
+Decisions are a log (doc_id, seq, kind, key, value); rows of one seq are one action. Undo and redo are actions of the log
+too; `in_force` leaves what they leave, and the state is the latest of that."""
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +29,50 @@ def as_of(log: DataFrame, seq: int | None = None, doc: str = "doc_id") -> DataFr
     return some.withColumn("__n", F.row_number().over(latest)).where("__n = 1").drop("__n")
 
 
+#: Actions that can be undone, counted back from the last.
+UNDO_STEPS = 20
+
+
+def in_force(log: DataFrame, doc: str = "doc_id", steps: int = UNDO_STEPS) -> DataFrame:
+    """The decisions that undo and redo (kind) leave: an undo takes back the last action in force, of the last `steps` at
+    most; a redo brings back the last one taken back; a new decision forgets those. An undo or redo of nothing does nothing.
+
+    A document's actions, one small row each, are read in order of seq; what is kept of them meanwhile are the last `steps`."""
+    step = F.max(F.when(F.col("kind") == "undo", 1).when(F.col("kind") == "redo", 2).otherwise(0)).cast("int")
+    actions = log.groupBy(doc, "seq").agg(step.alias("step"))
+    kinds = {c: log.schema[c].dataType.simpleString() for c in (doc, "seq")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, past, undone = None, deque(), deque()
+        for b in batches:
+            kept: list[tuple] = []
+            for d, seq, what in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if d != of:
+                    kept += [(of, s) for s in past]
+                    of, past, undone = d, deque(), deque()
+                if what == 0:
+                    past.append(seq)
+                    undone.clear()
+                elif what == 1 and past:
+                    undone.append(past.pop())
+                elif what == 2 and undone:
+                    past.append(undone.pop())
+                if len(past) > steps:
+                    kept.append((of, past.popleft()))
+            yield batch(kept, b.schema)
+        if past:
+            yield batch([(of, s) for s in past], b.schema)
+
+    def batch(rows: list[tuple], like: pa.Schema) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [(), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, like.field(k).type) for k, c in enumerate(columns)], names=["doc", "seq"])
+
+    # An action without a document belongs to none.
+    ordered = actions.where(F.col(doc).isNotNull()).repartition(doc).sortWithinPartitions(doc, "seq").select(doc, "seq", "step")
+    left = ordered.mapInArrow(run, f"doc {kinds[doc]}, seq {kinds['seq']}").withColumnRenamed("doc", doc)
+    return log.where(~F.col("kind").isin("undo", "redo")).join(left, [doc, "seq"], "left_semi")
+
+
 def flips(log: DataFrame, spans: DataFrame, doc: str = "doc_id") -> DataFrame:
     """doc, start, end, flipped: occurrences toggled an odd number of times since the last decision on
     their value, which resets them."""

@@ -7,13 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from maskwright.config import HEADER, RedactionConfig
 from maskwright.functions.text import column_label, dialect, normalised, trimmed
 from maskwright.operators.intervals import overlap_join
 from maskwright.operators.replace import label_map, replacement, spliced
+from maskwright.storage import write_table
 
 # What a header says about its column; the first that matches wins.
 COLUMN_RULES = (
@@ -151,6 +152,25 @@ def scan_stats(cells: DataFrame, covered: DataFrame, plan: DataFrame) -> DataFra
     return some.join(p, "doc_id", "left").join(c, "doc_id", "left").select("doc_id", "cells", zero("unique_values"), zero("reused_cells"), zero("rule_covered_cells"))
 
 
+def observed_scan_plan(cells: DataFrame, covered: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """scan_plan as a written table, and the sums of scan_stats over all documents, observed while it is written: no second
+    pass over the cells."""
+    from maskwright.functions.text import needs_model
+
+    seen = Observation("scan")
+    flagged = cells.join(covered.select(*AT, F.lit(True).alias("__covered")).distinct(), AT, "left").withColumn("__covered", F.coalesce("__covered", F.lit(False)))
+    samples = flagged.groupBy("doc_id", "sheet", "col", "context", "value").agg(
+        F.count_if(trimmed(F.col("value")) != "").alias("__cells"), F.count_if("__covered").alias("__rules"), F.count_if(~F.col("__covered") & needs_model(F.col("value"))).alias("targets")
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    counted = samples.observe(
+        seen, zero(F.sum("__cells")).alias("cells"), F.count_if(F.col("targets") > 0).alias("unique_values"),
+        zero(F.sum(F.greatest(F.col("targets") - 1, F.lit(0)))).alias("reused_cells"), zero(F.sum("__rules")).alias("rule_covered_cells"),
+    )
+    plan = write_table(counted.where("targets > 0").drop("__cells", "__rules"), "scan-plan")
+    return plan, dict(seen.get)
+
+
 def project_findings(cells: DataFrame, findings: DataFrame) -> DataFrame:
     """A model's findings on samples (doc_id, sheet, col, context, value, start, end, type, score; offsets in
     the value) at every cell that holds the value, clipped to it; blank slices are dropped."""
