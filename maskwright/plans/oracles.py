@@ -7,7 +7,7 @@ from maskwright.config import DENY, HEADER, MODEL, POOLS, TYPES
 from maskwright.functions.text import WHITE_SPACE, dialect
 from maskwright.operators.rules import RULES
 from maskwright.operators.tables import COLUMN_RULES, NUMERIC
-from maskwright.plans.queries import CODES, CUSTOMER, FRACTIONS, LABELS, NAME, SUPPLIER, TERMS
+from maskwright.plans.queries import CODES, CUSTOM_RULES, CUSTOMER, FRACTIONS, LABELS, NAME, SUPPLIER, TERMS
 
 PIECES, LONG_WORD = "[A-Z][a-z]+|[0-9]+", r"[\p{L}\p{N}]{4,}"
 KIND = "CASE WHEN regexp_matches(g, '^[0-9]') THEN 'ID_NUMBER' ELSE 'PERSON' END"
@@ -138,6 +138,12 @@ O["rule_ipv6"] = f"WITH t AS MATERIALIZED ({TEXTS}) SELECT * FROM ({detected('SE
 O["candidates"] = f"WITH t AS MATERIALIZED ({TEXTS}), {words('SELECT * FROM t')} {detected('SELECT * FROM t', tuple(t for t in TYPES if t != 'ORG'))} UNION ALL {denied('t')}"
 O["deny_list"] = f"WITH {words(TEXTS)} {denied('t')}"
 O["occurrences"] = f"""WITH {words('SELECT doc_id, text FROM documents')} SELECT DISTINCT doc_id, "start", "end", type, text, source, score, ({DENY << 40} + "start")::BIGINT AS ord FROM ({denied('d')})"""
+O["custom_rules"] = f"WITH t AS MATERIALIZED ({TEXTS}) " + " UNION ALL ".join(
+    f"""SELECT doc_id, st AS "start", (st + length(t))::INT AS "end", '{type_}' AS type, t AS text, {score}::DOUBLE AS score
+FROM (SELECT doc_id, st, regexp_replace(g, '[.,;:]+$', '') AS t FROM ({places('SELECT * FROM t', dialect(pattern, edge=chr(92) + 'b', flags=flags), group)}) WHERE g <> '') WHERE {VALID['luhn_valid'] if valid else 'true'}"""
+    for type_, pattern, score, group, flags, valid in CUSTOM_RULES
+)
+O["custom_rules_sql"] = O["custom_rules"]
 O["filter_spans"] = f"""WITH t AS MATERIALIZED ({TEXTS}) SELECT * FROM ({detected('SELECT * FROM t')}) WHERE type <> 'ORG' AND score >= 0.9 AND lower(text) NOT IN ('10.0.0.1', 'gb82 west 1234 5698 7654 32')"""
 O["resolve_overlaps"] = f"WITH {R} SELECT * FROM r"
 O["redact_label"] = redacted(LABEL)
@@ -157,6 +163,15 @@ OFFSETS = "off AS (SELECT doc_id, coalesce(sum(length(text)) OVER (ORDER BY doc_
 MOVED = 'SELECT 0 AS doc_id, o + "start" AS "start", o + "end" AS "end", type, text, source, score'
 O["resolve_one_document"] = f"""WITH {R}, {OFFSETS} {MOVED} FROM r JOIN off USING (doc_id)"""
 O["label_one_document"] = f"""WITH {R}, {OFFSETS} {numbered(f'{MOVED} FROM c JOIN off USING (doc_id)')}"""
+GROWN = "CASE y.step WHEN 0 THEN list_append(x.p, y.seq) WHEN 1 THEN x.p[1:len(x.p) - 1] ELSE CASE WHEN len(x.f) > 0 THEN list_append(x.p, x.f[len(x.f)]) ELSE x.p END END"
+O["decisions_in_force"] = f"""WITH {R}, log AS (SELECT doc_id, "start" AS seq, CASE WHEN "start" % 4 = 0 THEN 'undo' WHEN "start" % 7 = 0 THEN 'redo' ELSE 'value' END AS kind,
+ type || ':' || {norm('text')} AS key, length(text) % 2 = 0 AS value FROM r),
+a AS (SELECT doc_id, list(struct_pack(k := []::BIGINT[], p := []::BIGINT[], f := []::BIGINT[], step := CASE kind WHEN 'undo' THEN 1 WHEN 'redo' THEN 2 ELSE 0 END, seq := seq::BIGINT) ORDER BY seq) AS a FROM log GROUP BY doc_id),
+d AS (SELECT doc_id, list_reduce(list_concat([struct_pack(k := []::BIGINT[], p := []::BIGINT[], f := []::BIGINT[], step := 0, seq := -1::BIGINT)], a), lambda x, y: struct_pack(
+ k := CASE WHEN len({GROWN}) > 20 THEN list_append(x.k, ({GROWN})[1]) ELSE x.k END, p := CASE WHEN len({GROWN}) > 20 THEN ({GROWN})[2:] ELSE {GROWN} END,
+ f := CASE y.step WHEN 0 THEN []::BIGINT[] WHEN 1 THEN CASE WHEN len(x.p) > 0 THEN list_append(x.f, x.p[len(x.p)]) ELSE x.f END ELSE x.f[1:len(x.f) - 1] END, step := y.step, seq := y.seq)) AS s FROM a),
+e AS (SELECT doc_id, unnest(list_concat(s.k, s.p)) AS seq FROM d)
+SELECT log.* FROM log JOIN e USING (doc_id, seq)"""
 O["finalize"] = f"""WITH {R}, x AS MATERIALIZED (SELECT * FROM c WHERE {STRICT}) SELECT *, 'all' AS setting FROM r UNION ALL SELECT *, 'strict' FROM ({resolved('SELECT * FROM x')})"""
 O["reidentify"] = f"""WITH {R}, k AS ({numbered('SELECT * FROM r')}), p AS (SELECT doc_id, "start", "end", first_text AS new FROM (SELECT r.*, {norm('text')} AS value FROM r) JOIN k USING (doc_id, type, value)) {applied('SELECT * FROM t', 'SELECT * FROM p')}"""
 O["neutralise_cells"] = rf"""SELECT o_orderkey, CASE WHEN regexp_matches(v, '^[+-]?(\d[\d,]*)?(\.\d+)?([eE][+-]?\d+)?$') THEN v WHEN regexp_matches(v, {q(f'^{WS}*[=+@-]')}) THEN '''' || v ELSE v END AS cell
@@ -312,6 +327,7 @@ SELECT doc_id, sheet, row, string_agg(CASE WHEN contains(v, ';') THEN '"' || v |
 O["csv_round_trip"] = f"""WITH {CELLS} SELECT doc_id, sheet, (dense_rank() OVER (PARTITION BY doc_id, sheet ORDER BY row) - 1)::INT AS row, col, {NEUTRAL} AS value FROM cells"""
 O["redacted_files"] = O["redact_label"]
 O["key_files"] = f"""SELECT doc_id, position, type, {NEUTRAL.replace('value', 'original')} AS original, replacement FROM ({O['reid_key']})"""
+O["scan_observed"] = f"SELECT {', '.join(f'sum({c})::BIGINT AS {c}' for c in ('cells', 'unique_values', 'reused_cells', 'rule_covered_cells'))} FROM ({O['scan_stats']})"
 O["clean_table"] = rf"""WITH {TABLE} SELECT d.doc_id, 'Sheet ' || (d.sheet + 1) AS sheet, d.row, d.col, d.value,
  CASE WHEN d.value = c.value AND regexp_matches(c.value, '^-?\d+\.\d\d$') THEN c.value::DOUBLE END AS scalar_num, NULL::BOOLEAN AS scalar_bool FROM done d JOIN cells c USING (doc_id, sheet, row, col)"""
 O["align_tokens"] = f"""SELECT doc_id, (i - 1)::INT AS i, st AS "start", (st + length(g))::INT AS "end" FROM ({places(RARE, '[A-Za-z]+')})"""

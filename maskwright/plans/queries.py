@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from maskwright import api
 from maskwright.config import MODEL, TYPES, RedactionConfig
 from maskwright.functions import text as fx
-from maskwright.operators import layout, metrics, model, propagate, replace, review, rules, spans, tables
+from maskwright.operators import layout, metrics, model, propagate, replace, review, rules, spans, table_functions, tables
 from maskwright.operators.intervals import Ranged
 from maskwright.sources import delimited, readers, writers
 from maskwright.storage import shared_folder, write_table
@@ -64,6 +64,29 @@ def rule_ipv6(spark, sf):
     return rule_rows(texts(spark, sf), "IP_ADDRESS").where(F.contains("text", F.lit(":")))
 
 
+CUSTOM_RULES = (
+    ("ID_NUMBER", r"\bAccount Number: ([A-Z]\d+)", 0.8, 1, "", None),
+    ("CREDIT_CARD", r"\b(?:\d[ -]?){12,18}\d\b", 0.95, 0, "", "luhn"),
+    ("CUSTOM", r"\bcustomer#\d+\b", 0.7, 0, "i", None),
+)
+
+
+def _custom_rules(spark) -> DataFrame:
+    return spark.createDataFrame(CUSTOM_RULES, "type string, pattern string, score double, group int, flags string, valid string")
+
+
+def custom_rules(spark, sf):
+    """Rules that are rows of a table, as Column expressions."""
+    return api.rules_spans(texts(spark, sf), table_functions.rules_of(_custom_rules(spark))).select("doc_id", "start", "end", "type", "text", "score")
+
+
+def custom_rules_sql(spark, sf):
+    """The same rules by the table function, from SQL."""
+    table_functions.register(spark)
+    beside = texts(spark, sf).crossJoin(F.broadcast(table_functions.one_row(_custom_rules(spark))))  # one row of rules
+    return spark.sql("SELECT * FROM find_by_rules(TABLE({texts}))", texts=beside)
+
+
 def candidates(spark, sf):
     return rules.span_rows(texts(spark, sf), api.candidate_spans(F.col("text"), RedactionConfig(deny=TERMS)), "doc_id")
 
@@ -193,6 +216,13 @@ def value_decisions(spark, sf):
     return review.value_states(_log(found_once(spark, sf)))
 
 
+def decisions_in_force(spark, sf):
+    """A log of a decision for each finding, with undo and redo between."""
+    found = found_once(spark, sf)
+    kind = F.when(F.col("start") % 4 == 0, "undo").when(F.col("start") % 7 == 0, "redo").otherwise("value")
+    return review.in_force(found.select("doc_id", F.col("start").alias("seq"), kind.alias("kind"), fx.value_key(F.col("type"), F.col("text")).alias("key"), (F.length("text") % 2 == 0).alias("value")))
+
+
 def manual_terms(spark, sf):
     """Capitalised words picked by hand: those at places that five divides."""
     docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
@@ -326,9 +356,11 @@ def cells(spark, sf) -> DataFrame:
 
 
 def _context(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Cells with their context and the typed columns, each written once, as the steps after them read both several times."""
     all_ = cells(spark, sf)
-    headers = tables.detect_header(all_)
-    return tables.with_context(all_, headers), tables.column_types(all_, headers)
+    headers = write_table(tables.detect_header(all_), "headers")
+    c = write_table(tables.with_context(all_, headers), "cells")
+    return c, write_table(tables.column_types(c, headers), "column-types")
 
 
 def classify_columns(spark, sf):
@@ -376,6 +408,13 @@ def scan_stats(spark, sf):
     return tables.scan_stats(c, covered, tables.scan_plan(c, covered))
 
 
+def scan_observed(spark, sf):
+    """The same sums over all documents, observed while the plan is written."""
+    c, types = _context(spark, sf)
+    _, stats = tables.observed_scan_plan(c, tables.covered_cells(c, tables.structural_spans(c, types)))
+    return spark.createDataFrame([stats], ", ".join(f"{k} long" for k in stats))
+
+
 def project_findings(spark, sf):
     """A model that takes the first five characters of each sample for a place."""
     c, types = _context(spark, sf)
@@ -406,7 +445,7 @@ def column_decisions(spark, sf):
 
 def redact_table(spark, sf):
     c, types = _context(spark, sf)
-    live = tables.resolve_cells(_cell_candidates(c, types), ALL)
+    live = write_table(tables.resolve_cells(_cell_candidates(c, types), ALL), "cell-spans")
     return tables.redact_cells(c.select(*AT, "value"), live)
 
 
@@ -631,9 +670,9 @@ QUERIES = {
 } | {
     f.__name__: f
     for f in (
-        rule_ipv6, candidates, finalize, deny_list, occurrences, filter_spans, resolve_overlaps, resolve_one_document, label_one_document, redact_conversations, value_keys, label_map, reid_key, reidentify, neutralise_cells, decisions_asof, value_decisions, manual_terms, anti_overlap,
+        rule_ipv6, candidates, custom_rules, custom_rules_sql, finalize, deny_list, occurrences, filter_spans, resolve_overlaps, resolve_one_document, label_one_document, redact_conversations, value_keys, label_map, reid_key, reidentify, neutralise_cells, decisions_asof, decisions_in_force, value_decisions, manual_terms, anti_overlap,
         final_view, export_gate, findings_by_value, findings_rollup, top_values, doc_summary, findings_by_label, needs_model, normalise_caps, name_variants, propagate_names, plausible_spans, merge_spans, type_scores,
-        dictionary_spans, chunk_cover, classify_columns, detect_header, unpivot_cells, column_label, structural_spans, covered_cells, scan_plan, scan_stats, project_findings, clip_to_cells, cell_decisions, column_decisions,
+        dictionary_spans, chunk_cover, classify_columns, detect_header, unpivot_cells, column_label, structural_spans, covered_cells, scan_plan, scan_stats, scan_observed, project_findings, clip_to_cells, cell_decisions, column_decisions,
         redact_table, pivot_back, apply_to_runs, eval_spans, eval_chars, name_coverage, passes_gate, page_lines, page_text, page_needs_ocr, rectangles, rectangles_of_characters, excel_serial_date, zero_pad, cell_address, scrub_office_xml,
         date_formats, xml_texts, score_digits, csv_lines, csv_round_trip, redacted_files, key_files, clean_table, align_tokens, widen_pieces, symbols_text, blacked_out, stale_exports,
         scan_samples,

@@ -73,18 +73,26 @@ class Conversations:
     """A folder that a stream reads, run after run, with one checkpoint."""
 
     def __init__(self, spark, folder, **options):
-        self.spark, self.folder, self.options = spark, folder, options
+        self.spark, self.folder, self.options, self.new = spark, folder, options, 0
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", streaming.ROCKSDB)
         (folder / "in").mkdir()
 
     def add(self, *rows):
+        self.new += len(rows)
         self.spark.createDataFrame(list(rows), TURNS).coalesce(1).write.mode("append").parquet(str(self.folder / "in"))
 
     def run(self):
         stream = self.spark.readStream.schema(TURNS).parquet(str(self.folder / "in"))
         done = streaming.labelled_stream(stream, **self.options).writeStream.format("parquet").option("path", str(self.folder / "out")).option("checkpointLocation", str(self.folder / "cp"))
-        q = done.outputMode("append").trigger(availableNow=True).start()
-        q.awaitTermination(120)
+        q = done.outputMode("append").trigger(processingTime="1 second").start()  # with timers it never ends by itself
+        try:
+            until = time.time() + 60
+            while sum(p["numInputRows"] for p in q.recentProgress) < self.new:
+                assert time.time() < until and q.exception() is None
+                time.sleep(0.2)
+        finally:
+            q.stop()
+        self.new = 0
         return {(r["conv_id"], r["turn"]): r["text"] for r in self.spark.read.parquet(str(self.folder / "out")).collect()}
 
 
