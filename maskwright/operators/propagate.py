@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.config import DENY, MODEL
+from maskwright.functions.terms import TermIndex, is_word
 from maskwright.functions.text import trimmed
-from maskwright.operators.rules import located, span_rows, term_pattern
 from maskwright.operators.spans import plausible
 
 # Which types spread, what a part of a name looks like, and how much score a repeat keeps.
@@ -36,10 +36,6 @@ def name_variants(spans: DataFrame, doc: str = "doc_id") -> DataFrame:
     return terms.withColumn("n", F.row_number().over(first)).where("n = 1").select(doc, "type", "term", "score", "ord", "k")
 
 
-def _is_word(c: str) -> bool:
-    return c == "_" or c.isalnum()
-
-
 def _hits(text: str, terms: list[dict], known: set[tuple[str, int, int]]) -> list[tuple[int, int, str, str, float, int]]:
     """start, end, type, term, score and number of the term of every whole-word occurrence of terms that is not
     known; of several terms at one place (and of one type) the first."""
@@ -55,7 +51,7 @@ def _hits(text: str, terms: list[dict], known: set[tuple[str, int, int]]) -> lis
             end = start + len(term)
             if start < 0 or not text.startswith(term, start) or (terms[k]["type"], start, end) in known:
                 continue
-            if (start and _is_word(text[start - 1])) or (end < len(text) and _is_word(text[end])):
+            if (start and is_word(text[start - 1])) or (end < len(text) and is_word(text[end])):
                 continue
             known.add((terms[k]["type"], start, end))
             out.append((start, end, terms[k]["type"], term, terms[k]["score"], k))
@@ -96,8 +92,8 @@ def with_propagation(texts: DataFrame, spans: DataFrame, doc: str = "doc_id", te
 def occurrences(texts: DataFrame, terms: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Every whole-word occurrence of terms in any case, as manual spans. terms: column term, and doc if they belong
     to documents. Terms of a list meet the texts that hold their first word, in small letters, by an equi-join of
-    words; each text then gets its terms beside it and is searched for those alone. Terms without a letter,
-    digit or underscore are searched for in every text."""
+    words; each text then gets its terms beside it and is searched for all of those in one pass over its words. Terms without
+    a letter, digit or underscore are searched for in every text."""
     t = terms.withColumn("term", trimmed(F.col("term"))).where("term <> ''")
     if doc in t.columns:
         per = t.select(doc, "term").distinct().groupBy(doc).agg(F.collect_list("term").alias("__terms"))
@@ -109,12 +105,26 @@ def occurrences(texts: DataFrame, terms: DataFrame, doc: str = "doc_id", text: s
         marks = keyed.where("__w = ''").groupBy().agg(F.collect_list("term").alias("m"))  # one row: a list that people typed
         met = met.unionByName(texts.crossJoin(F.broadcast(marks)).select(doc, F.explode("m").alias("term")))
         per = met.distinct().groupBy(doc).agg(F.collect_list("term").alias("__terms"))
-    here = texts.select(doc, F.col(text).alias("__text")).join(per, doc)
-    found = here.select(doc, "__text", F.explode("__terms").alias("term"))
-    hits = span_rows(found, located(F.col("__text"), term_pattern(F.col("term"))), doc)
-    start = F.col("start").cast("int")
+    kind = texts.schema[doc].dataType.simpleString()
+    here = texts.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where("text IS NOT NULL").join(per.select(F.col(doc).alias("doc"), F.array_sort("__terms").alias("terms")), "doc")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, of = TermIndex([]), None
+        for b in batches:
+            rows = []
+            for i, t, some in zip(*(b.column(c) for c in ("doc", "text", "terms")), strict=True):
+                own = some.as_py()
+                if own != of:  # texts with the same terms share their index
+                    index, of = TermIndex(own), own
+                whole = t.as_py()
+                rows += [(i.as_py(), start, end, whole[start:end]) for start, end, _ in index.hits(whole)]
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            kinds = [b.schema.field("doc").type, pa.int32(), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc", "start", "end", "text"])
+
+    hits = here.mapInArrow(run, f"doc {kind}, start int, end int, text string")
     made = hits.select(
-        doc, start.alias("start"), (start + F.length("t")).cast("int").alias("end"), F.lit("CUSTOM").alias("type"), F.col("t").alias("text"),
+        F.col("doc").alias(doc), "start", "end", F.lit("CUSTOM").alias("type"), "text",
         F.lit("manual").alias("source"), F.lit(1.0).alias("score"), (F.lit(DENY << 40) + F.col("start")).cast("bigint").alias("ord"),
     )
     return made.distinct()

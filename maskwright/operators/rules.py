@@ -9,10 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.config import DENY, RULE, TYPES
+from maskwright.functions.terms import TermIndex
 from maskwright.functions.text import NO_WORD_AFTER, NO_WORD_BEFORE, WHITE_SPACE, bound, dialect, digits, let, let_sql, mapped, running
 
 # Patterns, scores and their order.
@@ -168,11 +170,6 @@ def detect_rules(text: Column, enabled: Iterable[str] = TYPES, rules: tuple[Rule
     return F.coalesce(let(text, lambda t: F.concat(*(rule_spans(t, r, k) for k, r in on))), no_spans())
 
 
-def term_pattern(term: Column) -> Column:
-    """Whole-word and case-insensitive, with word edges of any script."""
-    return F.concat(F.lit(rf"(?iu){NO_WORD_BEFORE}\Q"), term, F.lit(rf"\E{NO_WORD_AFTER}"))
-
-
 def term_spans(text: Column, term: str, number: int) -> Column:
     """Every whole-word occurrence of a term, in any case."""
     pattern = rf"(?iu){NO_WORD_BEFORE}\Q{term}\E{NO_WORD_AFTER}"
@@ -180,9 +177,30 @@ def term_spans(text: Column, term: str, number: int) -> Column:
     return F.when(F.contains(F.lower(text), F.lit(term.lower())), found).otherwise(no_spans())
 
 
+#: Lists of more terms are searched for in one pass over a text's words, in Python; shorter ones by a pattern each.
+FEW_TERMS = 16
+
+
+def _many_term_spans(text: Column, terms: list[tuple[int, str]]) -> Column:
+    shape = pa.list_(pa.struct([("start", pa.int32()), ("t", pa.string()), ("k", pa.int32())]))
+
+    @F.arrow_udf("array<struct<start:int,t:string,k:int>>")
+    def find(texts: pa.Array) -> pa.Array:
+        index = TermIndex([t for _, t in terms])
+        hits = ((t, index.hits(t)) if t is not None else None for t in texts.to_pylist())
+        return pa.array([None if h is None else [{"start": s, "t": h[0][s:e], "k": terms[k][0]} for s, e, k in h[1]] for h in hits], shape)
+
+    made = "'type', 'CUSTOM', 'text', m.t, 'source', 'manual', 'score', 1D"
+    ord_ = f"'ord', {DENY << 40}L + shiftleft(cast(m.k AS bigint), 32) + m.start"
+    return mapped(find(text), f"m -> named_struct('start', m.start, 'end', m.start + length(m.t), {made}, {ord_})")
+
+
 def deny_spans(text: Column, terms: Iterable[str]) -> Column:
     """Spans of terms that are always redacted."""
-    found = [term_spans(text, t.strip(), k) for k, t in enumerate(terms) if t.strip()]
+    some = [(k, t.strip()) for k, t in enumerate(terms) if t.strip()]
+    if len(some) > FEW_TERMS:
+        return F.coalesce(_many_term_spans(text, some), no_spans())
+    found = [term_spans(text, t, k) for k, t in some]
     return F.coalesce(F.concat(*found), no_spans()) if found else no_spans()
 
 
