@@ -5,6 +5,8 @@ merged. A failing annotator costs its document the model's findings, never the r
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -19,26 +21,62 @@ from maskwright.storage import write_table
 # lie ahead, and what models' labels stand for (without B- or I-; others count for none).
 CHUNK, OVERLAP, SHRINK, AHEAD = 1200, 80, 0.9, 40
 PII_LABELS = {
-    "PERSON": ("first_name", "last_name"),
-    "ORG": ("company_name",),
-    "LOCATION": ("city", "county", "state", "country", "coordinate"),
-    "ADDRESS": ("street_address",),
-    "EMAIL": ("email",),
-    "PHONE": ("phone_number", "fax_number"),
-    "SSN": ("ssn",),
-    "CREDIT_CARD": ("credit_debit_card",),
-    "IP_ADDRESS": ("ipv4", "ipv6"),
-    "URL": ("url",),
-    "DATE": ("date", "date_of_birth", "date_time", "time"),
-    "ZIP": ("postcode",),
-    "ID_NUMBER": (
-        "medical_record_number", "health_plan_beneficiary_number", "account_number", "bank_routing_number", "swift_bic", "customer_id", "employee_id",
-        "certificate_license_number", "tax_id", "unique_id", "vehicle_identifier", "license_plate", "device_identifier", "biometric_identifier",
-        "user_name", "password", "pin", "api_key", "cvv", "mac_address", "http_cookie",
-    ),
-    "SENSITIVE": ("age", "gender", "race_ethnicity", "religious_belief", "sexuality", "political_view", "blood_type", "occupation", "employment_status", "education_level", "language",),
+    "first_name": "PERSON",
+    "last_name": "PERSON",
+    "company_name": "ORG",
+    "city": "LOCATION",
+    "county": "LOCATION",
+    "state": "LOCATION",
+    "country": "LOCATION",
+    "coordinate": "LOCATION",
+    "street_address": "ADDRESS",
+    "email": "EMAIL",
+    "phone_number": "PHONE",
+    "fax_number": "PHONE",
+    "ssn": "SSN",
+    "credit_debit_card": "CREDIT_CARD",
+    "ipv4": "IP_ADDRESS",
+    "ipv6": "IP_ADDRESS",
+    "url": "URL",
+    "date": "DATE",
+    "date_of_birth": "DATE",
+    "date_time": "DATE",
+    "time": "DATE",
+    "postcode": "ZIP",
+    "medical_record_number": "ID_NUMBER",
+    "health_plan_beneficiary_number": "ID_NUMBER",
+    "account_number": "ID_NUMBER",
+    "bank_routing_number": "ID_NUMBER",
+    "swift_bic": "ID_NUMBER",
+    "customer_id": "ID_NUMBER",
+    "employee_id": "ID_NUMBER",
+    "certificate_license_number": "ID_NUMBER",
+    "tax_id": "ID_NUMBER",
+    "unique_id": "ID_NUMBER",
+    "vehicle_identifier": "ID_NUMBER",
+    "license_plate": "ID_NUMBER",
+    "device_identifier": "ID_NUMBER",
+    "biometric_identifier": "ID_NUMBER",
+    "user_name": "ID_NUMBER",
+    "password": "ID_NUMBER",
+    "pin": "ID_NUMBER",
+    "api_key": "ID_NUMBER",
+    "cvv": "ID_NUMBER",
+    "mac_address": "ID_NUMBER",
+    "http_cookie": "ID_NUMBER",
+    "age": "SENSITIVE",
+    "gender": "SENSITIVE",
+    "race_ethnicity": "SENSITIVE",
+    "religious_belief": "SENSITIVE",
+    "sexuality": "SENSITIVE",
+    "political_view": "SENSITIVE",
+    "blood_type": "SENSITIVE",
+    "occupation": "SENSITIVE",
+    "employment_status": "SENSITIVE",
+    "education_level": "SENSITIVE",
+    "language": "SENSITIVE",
 }
-NAME_LABELS = {"PERSON": ("PER",), "ORG": ("ORG",), "LOCATION": ("LOC",)}
+NAME_LABELS = {"PER": "PERSON", "ORG": "ORG", "LOC": "LOCATION"}
 # End of fixed values.
 
 #: (chunk texts) to, for each, a list of (start, end, type, score).
@@ -55,37 +93,49 @@ def count_words(text: str) -> int:
     return n
 
 
-def label_table(spark: SparkSession, labels: dict[str, tuple[str, ...]] = PII_LABELS) -> DataFrame:
+def label_table(spark: SparkSession, labels: dict[str, str] = PII_LABELS) -> DataFrame:
     """label, type: a registry of what a model's labels stand for, each with its B- and I- forms."""
-    rows = [(form + label, type_) for type_, names in labels.items() for label in names for form in ("", "B-", "I-")]
+    rows = [(form + label, type_) for label, type_ in labels.items() for form in ("", "B-", "I-")]
     return spark.createDataFrame(rows, "label string, type string")
 
 
+class _Breaks:
+    """The places of a text where a chunk had better end: after each space and newline (the space of ". " included)."""
+
+    def __init__(self, text: str):
+        self.at, self.length = [m.end() for m in re.finditer("[ \n]", text)], len(text)
+
+    def before(self, start: int, limit: int) -> int:
+        """The last such place up to limit, if more than half of what lies between start and limit stands before its mark; else
+        limit, as at the end of the text."""
+        k = bisect_right(self.at, limit) - 1
+        if limit < self.length and k >= 0 and 2 * (self.at[k] - 1 - start) > limit - start:
+            return self.at[k]
+        return limit
+
+
 def chunk(text: str, most_tokens: int = 512, count: Callable[[str], int] = count_words) -> list[tuple[int, str]]:
     """(offset, text) pieces that cover the text: at most CHUNK characters and most_tokens tokens, each overlapping
-    the one before. A piece ends one character after the last newline, ". " or space, if that is past its half; one of too
-    many tokens shrinks in proportion and is broken again."""
-    out, start, n = [], 0, len(text)
-
-    def broken(end: int) -> int:
-        if end == n:
-            return end
-        piece = text[start:end]
-        last = max(piece.rfind(mark) for mark in ("\n", ". ", " "))
-        return start + last + 1 if last > len(piece) / 2 else end
-
-    while start < n:
-        end = broken(min(n, start + CHUNK))
-        while (tokens := count(text[start:end])) > most_tokens:
-            size = end - start
-            if size <= 1:
+    the one before by OVERLAP characters or a quarter of it. A piece of too many tokens shrinks in proportion, and by SHRINK,
+    and is broken again; a single character of too many is an error."""
+    breaks = _Breaks(text)
+
+    def fitting(start: int) -> str:
+        piece = text[start : breaks.before(start, min(len(text), start + CHUNK))]
+        while (tokens := count(piece)) > most_tokens:
+            if len(piece) == 1:
                 raise ValueError("a character has more tokens than a model takes")
-            end = broken(start + max(1, min(size - 1, int(size * most_tokens / tokens * SHRINK))))
-        out.append((start, text[start:end]))
-        if end == n:
-            break
-        after = end - min(OVERLAP, (end - start) // 4)
-        start = after if after > start else end
+            fewer = int(len(piece) * most_tokens / tokens * SHRINK)
+            piece = text[start : breaks.before(start, start + min(max(fewer, 1), len(piece) - 1))]
+        return piece
+
+    out: list[tuple[int, str]] = []
+    start = 0
+    while start < len(text):
+        piece = fitting(start)
+        out.append((start, piece))
+        end = start + len(piece)
+        start = end if end == len(text) else end - min(OVERLAP, len(piece) // 4)
     return out
 
 

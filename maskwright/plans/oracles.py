@@ -7,7 +7,7 @@ from maskwright.config import DENY, HEADER, MODEL, POOLS, TYPES
 from maskwright.functions.text import WHITE_SPACE, dialect
 from maskwright.operators.rules import RULES
 from maskwright.operators.tables import COLUMN_RULES, NUMERIC
-from maskwright.plans.queries import CODES, CUSTOM_RULES, CUSTOMER, FRACTIONS, LABELS, NAME, SUPPLIER, TERMS
+from maskwright.plans.queries import CHUNK_TOKENS, CODES, CUSTOM_RULES, CUSTOMER, FRACTIONS, LABELS, NAME, SUPPLIER, TERMS
 
 PIECES, LONG_WORD = "[A-Z][a-z]+|[0-9]+", r"[\p{L}\p{N}]{4,}"
 KIND = "CASE WHEN regexp_matches(g, '^[0-9]') THEN 'ID_NUMBER' ELSE 'PERSON' END"
@@ -163,6 +163,29 @@ OFFSETS = "off AS (SELECT doc_id, coalesce(sum(length(text)) OVER (ORDER BY doc_
 MOVED = 'SELECT 0 AS doc_id, o + "start" AS "start", o + "end" AS "end", type, text, source, score'
 O["resolve_one_document"] = f"""WITH {R}, {OFFSETS} {MOVED} FROM r JOIN off USING (doc_id)"""
 O["label_one_document"] = f"""WITH {R}, {OFFSETS} {numbered(f'{MOVED} FROM c JOIN off USING (doc_id)')}"""
+
+
+def broken(start: str, limit: str) -> str:
+    """Where a chunk from start, of limit at most, ends."""
+    piece = f"substr(text, {start} + 1, {limit} - {start})"
+    last = f"(length({piece}) - length(regexp_extract({piece}, '[^ ' || chr(10) || ']*$')))"
+    return f"(CASE WHEN {limit} < n AND 2 * ({last} - 1) > {limit} - {start} THEN {start} + {last} ELSE {limit} END)"
+
+
+def chunked(most: int) -> str:
+    """Chunk after chunk, and shrinking step after shrinking step, as rows of a recursion."""
+    shrunk = f"(s + greatest(1, least(e - s - 1, floor((e - s) * {most} / tokens * 0.9)::INT)))"
+    after = "(e - least(80, (e - s) // 4))"
+    step = f"SELECT doc_id, text, n, CASE WHEN tokens > {most} THEN k ELSE k + 1 END AS k, CASE WHEN tokens > {most} THEN s ELSE {after} END AS s, CASE WHEN tokens > {most} THEN {shrunk} ELSE least(n, {after} + 1200) END AS l FROM r WHERE tokens > {most} OR e < n"
+    state = lambda rows: f"""SELECT doc_id, text, n, k, s, e, len(regexp_extract_all(substr(text, s + 1, e - s), '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}\\s]')) AS tokens FROM (
+  SELECT doc_id, text, n, k, s, {broken('s', 'l')} AS e FROM ({rows}))"""
+    first = "SELECT doc_id, text, length(text) AS n, 0 AS k, 0 AS s, least(length(text), 1200) AS l FROM documents WHERE regexp_matches(text, '[\\p{L}\\p{N}]')"
+    return f"""WITH RECURSIVE r AS ({state(first)} UNION ALL {state(step)})
+SELECT doc_id, k::INT AS chunk_no, s::INT AS "offset", substr(text, s + 1, e - s) AS chunk FROM r WHERE tokens <= {most}"""
+
+
+O["chunk_rows"] = chunked(CHUNK_TOKENS)
+O["chunk_cover"] = f"""SELECT doc_id, count(*) AS n, sum(length(chunk))::BIGINT AS chars, max("offset" + length(chunk))::INT AS covered FROM ({chunked(512)}) GROUP BY doc_id"""
 GROWN = "CASE y.step WHEN 0 THEN list_append(x.p, y.seq) WHEN 1 THEN x.p[1:len(x.p) - 1] ELSE CASE WHEN len(x.f) > 0 THEN list_append(x.p, x.f[len(x.f)]) ELSE x.p END END"
 O["decisions_in_force"] = f"""WITH {R}, log AS (SELECT doc_id, "start" AS seq, CASE WHEN "start" % 4 = 0 THEN 'undo' WHEN "start" % 7 = 0 THEN 'redo' ELSE 'value' END AS kind,
  type || ':' || {norm('text')} AS key, length(text) % 2 = 0 AS value FROM r),

@@ -340,6 +340,14 @@ def chunk_cover(spark, sf):
     return c.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("chunk")).alias("chars"), F.max(F.col("offset") + F.length("chunk")).alias("covered"))
 
 
+def chunk_rows(spark, sf):
+    """Every chunk of every document, of 200 tokens at most, so that some shrink."""
+    return model.chunks(table(spark, sf, "documents").select("doc_id", "text"), most_tokens=CHUNK_TOKENS)
+
+
+CHUNK_TOKENS = 200
+
+
 # Tables ----------------------------------------------------------------------------------------
 
 CUSTOMER = ["Customer Name", "Account Number", "Market Segment", "Balance"]
@@ -672,7 +680,7 @@ QUERIES = {
     for f in (
         rule_ipv6, candidates, custom_rules, custom_rules_sql, finalize, deny_list, occurrences, filter_spans, resolve_overlaps, resolve_one_document, label_one_document, redact_conversations, value_keys, label_map, reid_key, reidentify, neutralise_cells, decisions_asof, decisions_in_force, value_decisions, manual_terms, anti_overlap,
         final_view, export_gate, findings_by_value, findings_rollup, top_values, doc_summary, findings_by_label, needs_model, normalise_caps, name_variants, propagate_names, plausible_spans, merge_spans, type_scores,
-        dictionary_spans, chunk_cover, classify_columns, detect_header, unpivot_cells, column_label, structural_spans, covered_cells, scan_plan, scan_stats, scan_observed, project_findings, clip_to_cells, cell_decisions, column_decisions,
+        dictionary_spans, chunk_cover, chunk_rows, classify_columns, detect_header, unpivot_cells, column_label, structural_spans, covered_cells, scan_plan, scan_stats, scan_observed, project_findings, clip_to_cells, cell_decisions, column_decisions,
         redact_table, pivot_back, apply_to_runs, eval_spans, eval_chars, name_coverage, passes_gate, page_lines, page_text, page_needs_ocr, rectangles, rectangles_of_characters, excel_serial_date, zero_pad, cell_address, scrub_office_xml,
         date_formats, xml_texts, score_digits, csv_lines, csv_round_trip, redacted_files, key_files, clean_table, align_tokens, widen_pieces, symbols_text, blacked_out, stale_exports,
         scan_samples,
