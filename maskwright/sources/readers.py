@@ -36,14 +36,23 @@ def read_texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return df.where(extension(F.col("name")).isin(*TEXTS))
 
 
+def whole_units(body: Column, little: bool) -> Column:
+    """Whether UTF-16 bytes are whole units, with each high surrogate before a low one and no other low ones."""
+    byte = "[0-9A-F]{2}"
+    unit = (lambda high: byte + high) if little else (lambda high: high + byte)
+    plain, high, low = unit("(?:[0-9A-CEF][0-9A-F]|D[0-7])"), unit("D[89AB]"), unit("D[C-F]")
+    return F.hex(body).rlike(f"^(?:{plain}|{high}{low})*+\\z")
+
+
 def decoded(content: Column) -> Column:
     """struct<text, encoding, bom>: by the byte order mark, else UTF-8, else Windows-1252. The last needs
-    spark.sql.legacy.javaCharsets=true in the session."""
+    spark.sql.legacy.javaCharsets=true in the session. UTF-16 with odd or unpaired units has a null text."""
     head2, head3 = F.hex(F.substring(content, 1, 2)), F.hex(F.substring(content, 1, 3))
     encoding = F.when(head2 == "FFFE", "UTF-16LE").when(head2 == "FEFF", "UTF-16BE").when(head3 == "EFBBBF", "UTF-8").when(F.is_valid_utf8(content.cast("string")), "UTF-8").otherwise("windows-1252")
     skip = F.when(head2.isin("FFFE", "FEFF"), 3).when(head3 == "EFBBBF", 4).otherwise(1)
     body = F.substring(content, skip, F.length(content))
-    text = F.when(encoding == "UTF-16LE", F.decode(body, "UTF-16LE")).when(encoding == "UTF-16BE", F.decode(body, "UTF-16BE")).when(encoding == "UTF-8", body.cast("string")).otherwise(F.decode(body, "windows-1252"))
+    wide = lambda e: F.when(whole_units(body, e == "UTF-16LE"), F.decode(body, e))
+    text = F.when(encoding == "UTF-16LE", wide("UTF-16LE")).when(encoding == "UTF-16BE", wide("UTF-16BE")).when(encoding == "UTF-8", body.cast("string")).otherwise(F.decode(body, "windows-1252"))
     return F.struct(text.alias("text"), encoding.alias("encoding"), (skip > 1).alias("bom"))
 
 
@@ -74,7 +83,9 @@ def read_tables(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame,
 
 def parsed_tables(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The same of files (path, content) that were chosen otherwise."""
-    d = files.select("path", decoded(F.col("content")).alias("d")).select("path", "d.text").withColumn("s", dialect_of(F.col("path"), F.col("text")))
+    raw = files.select("path", decoded(F.col("content")).alias("d")).select("path", "d.text", "d.encoding")
+    broken = F.col("text").isNull() & F.col("encoding").startswith("UTF-16")
+    d = raw.where(~broken).withColumn("s", dialect_of(F.col("path"), F.col("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -94,6 +105,7 @@ def parsed_tables(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     flat = d.select("path", F.coalesce("text", F.lit("")).alias("text"), F.col("s.delimiter").alias("delimiter"))
     got = flat.mapInArrow(run, "path string, row int, cells array<string>, error string")
     rejects = got.where("error is not null").select("path", F.concat(F.lit("malformed quoting: "), "error").alias("reason"))
+    rejects = rejects.unionByName(raw.where(broken).select("path", F.lit("broken UTF-16").alias("reason")))
     rows = got.where("error is null").select(F.col("path").alias("doc_id"), F.lit(0).alias("sheet"), "row", F.posexplode("cells").alias("col", "value"))
     return rows, rejects
 

@@ -84,12 +84,19 @@ def test_ranges_in_spark(spark, tmp_path):
     for name, text in CASES.items():
         (tmp_path / name).write_bytes(text.encode())
     (tmp_path / "bad.csv").write_text('a,b\n"never closed\n')
+    for name, data in (("odd.csv", b"a,b"), ("lone.csv", "x,".encode("utf-16-le") + b"\x00\xd8" + "y\n".encode("utf-16-le")), ("pair.csv", "x,😀\n".encode("utf-16-le"))):
+        (tmp_path / name).write_bytes(b"\xff\xfe" + data)
+    (tmp_path / "big.csv").write_bytes(b"\xfe\xff" + "x,😀\n".encode("utf-16-be"))
+    (tmp_path / "swapped.csv").write_bytes(b"\xfe\xff" + b"\xdc\x00\xd8\x00")
     (tmp_path / "note.txt").write_text("no table")
     cells, rejects = delimited.read_large_tables(spark, tmp_path.as_uri(), range_bytes=6)
     small, small_rejects = readers.read_tables(spark, str(tmp_path))
     rows = lambda df: sorted((r["doc_id"].rsplit("/", 1)[1], r["row"], r["col"], r["value"]) for r in df.collect())
     assert rows(cells) == rows(small) and rows(cells)
-    assert [r["path"].rsplit("/", 1)[1] for r in rejects.collect()] == [r["path"].rsplit("/", 1)[1] for r in small_rejects.collect()] == ["bad.csv"]
+    reasons = lambda df: sorted((r["path"].rsplit("/", 1)[1], r["reason"].split(":")[0]) for r in df.collect())
+    broken = [("bad.csv", "malformed quoting"), ("lone.csv", "broken UTF-16"), ("odd.csv", "broken UTF-16"), ("swapped.csv", "broken UTF-16")]
+    assert reasons(rejects) == reasons(small_rejects) == broken
+    assert {r[3] for r in rows(cells) if r[0] in ("pair.csv", "big.csv")} == {"x", "😀"}
 
 
 # Named files --------------------------------------------------------------------------------------
