@@ -59,4 +59,18 @@ def redact(df: DataFrame, active: DataFrame | None = None, config: RedactionConf
     return with_spans(df, config, text, spans).withColumn(text, redacted(F.col(text), F.col(spans), config.mode)).drop(spans)
 
 
-__all__ = ["RULES", "RedactionConfig", "Rule", "active_spans", "candidate_spans", "detect", "redact", "reid_key", "rules_spans", "with_spans"]
+def preview(df: DataFrame, found: DataFrame, doc: object, log: DataFrame | None = None, manual: DataFrame | None = None, config: RedactionConfig | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The text of one document as its current choices leave it: found (all candidates) by today's settings, manual spans and
+    the decisions of the log that undo and redo leave. The id reaches every scan as a filter."""
+    from maskwright.operators.review import final_view, in_force
+
+    config = config or RedactionConfig()
+    only = lambda t: t.where(F.col(id_col) == F.lit(doc))
+    spans = resolve_overlaps(filter_spans(only(found), config), id_col)
+    if manual is None:
+        manual = found.limit(0)
+    decided = df.sparkSession.createDataFrame([], f"{id_col} {df.schema[id_col].dataType.simpleString()}, seq int, kind string, key string, value boolean") if log is None else in_force(only(log), id_col)
+    return apply_spans(only(df), final_view(spans, only(manual), decided, id_col), config.mode, id_col, text)
+
+
+__all__ = ["RULES", "RedactionConfig", "Rule", "active_spans", "candidate_spans", "detect", "preview", "redact", "reid_key", "rules_spans", "with_spans"]

@@ -16,18 +16,21 @@ PAGE = ["doc_id", "page"]
 
 
 def lines(items: DataFrame) -> DataFrame:
-    """items (doc_id, page, x, y, w, h, text) with `line`: from the top, by the first item of each line."""
+    """items (doc_id, page, x, y, w, h, text) with `line`: from the top, by the first item of each line.
+
+    A fold over a page's items, from the top, notes where lines start; items then get their line's number by slices."""
 
     def add(acc: Column, i: Column) -> Column:
-        same = (acc["n"] >= 0) & (F.abs(i["y"] - acc["y"]) <= SAME_LINE * F.least(i["h"], acc["h"]))
-        n = F.when(same, acc["n"]).otherwise(acc["n"] + 1)
-        placed = F.struct(i["x"].alias("x"), i["y"].alias("y"), i["w"].alias("w"), i["h"].alias("h"), i["text"].alias("text"), n.alias("line"))
-        return F.struct(n.alias("n"), F.when(same, acc["y"]).otherwise(i["y"]).alias("y"), F.when(same, acc["h"]).otherwise(i["h"]).alias("h"), F.array_append(acc["out"], placed).alias("out"))
+        same = (acc["n"] > 0) & (F.abs(i["y"] - acc["y"]) <= SAME_LINE * F.least(i["h"], acc["h"]))
+        first = lambda c: F.when(same, acc[c]).otherwise(i[c]).alias(c)
+        return F.struct((acc["n"] + 1).alias("n"), first("y"), first("h"), F.when(same, acc["starts"]).otherwise(F.array_append(acc["starts"], acc["n"])).alias("starts"))
 
-    empty = F.array().cast("array<struct<x:double,y:double,w:double,h:double,text:string,line:int>>")
     ordered = items.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("k"), "x", "y", "w", "h", "text"))).alias("i"))
-    start = F.struct(F.lit(-1).alias("n"), F.lit(0.0).alias("y"), F.lit(0.0).alias("h"), empty.alias("out"))
-    return ordered.select(*PAGE, F.inline(F.aggregate("i", start, add, lambda a: a["out"])))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("y"), F.lit(0.0).alias("h"), F.array().cast("array<int>").alias("starts"))
+    found = ordered.withColumn("starts", F.aggregate("i", start, add, lambda a: a["starts"]))
+    numbered = """flatten(transform(starts, (s, n) -> transform(slice(i, s + 1, coalesce(get(starts, n + 1), size(i)) - s),
+      t -> named_struct('x', t.x, 'y', t.y, 'w', t.w, 'h', t.h, 'text', t.text, 'line', n))))"""
+    return found.select(*PAGE, F.inline(F.expr(numbered)))
 
 
 def page_text(items: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from maskwright import api
-from maskwright.config import RedactionConfig
+from maskwright.config import TYPES, RedactionConfig
 from maskwright.operators import review, tables
 from maskwright.operators import table_functions as tf
 from maskwright.streaming import detect as streaming
@@ -202,3 +202,14 @@ def test_custom_rules_in_the_row(spark):
     assert found == {("CUSTOM", "Project Falcon"), ("ID_NUMBER", "1234")}
     both = {(r["type"], r["text"]) for r in api.detect(docs, RedactionConfig(), rules=api.RULES + own).collect()}
     assert both == found | {("EMAIL", "a@b.co")}
+
+
+def test_preview_of_one_document_with_its_choices(spark):
+    docs = spark.createDataFrame([(1, "a@b.co, 10.0.0.1 and Falcon; a@b.co"), (2, "a@b.co")], "doc_id long, text string")
+    found = api.detect(docs, RedactionConfig(enabled=frozenset(TYPES)))
+    log = [(1, 1, "value", "EMAIL:a@b.co", True), (1, 2, "value", "IP_ADDRESS:10.0.0.1", True), (1, 3, "undo", None, None), (2, 1, "value", "EMAIL:a@b.co", False)]
+    manual = [(1, 21, 27, "CUSTOM", "Falcon", "manual", 1.0, 0)]
+    decided, own = spark.createDataFrame(log, LOG), spark.createDataFrame(manual, "doc_id long, start int, end int, type string, text string, source string, score double, ord long")
+    assert api.preview(docs, found, 1, decided, own).first()["text"] == "a@b.co, [IP_ADDRESS_1] and [CUSTOM_1]; a@b.co"
+    assert api.preview(docs, found, 2).first()["text"] == "[EMAIL_1]" and api.preview(docs, found, 3).count() == 0
+    assert api.preview(docs, found, 1, config=RedactionConfig(enabled=frozenset({"EMAIL"}))).first()["text"] == "[EMAIL_1], 10.0.0.1 and Falcon; [EMAIL_1]"
