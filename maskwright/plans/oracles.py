@@ -366,4 +366,19 @@ FROM (SELECT doc_id, doc_id % 3 <> 0 OR "start" % 2 = 0 AS on_ FROM r) GROUP BY
 O["scan_samples"] = f"""WITH {CTX}, {COVER}, {PLAN} SELECT doc_id, sheet, col, context, value, 0 AS "start", length(value)::INT AS "end", CASE value WHEN 'Total' THEN 'PERSON' ELSE 'ORG' END AS type, 0.9::DOUBLE AS score
 FROM plan WHERE value IN ('BUILDING', 'MACHINERY', 'Total')"""
 
+O["model_states"] = r"""SELECT doc_id, CASE WHEN contains(text, 'Que') THEN 'failed' ELSE 'done' END AS ml_state, CASE WHEN contains(text, 'Que') THEN 'no such language' END AS ml_error
+FROM documents WHERE regexp_matches(text, '[\p{L}\p{N}]')"""
+O["file_kinds"] = """WITH f AS (SELECT doc_id, ['txt', 'MD', 'csv', 'tsv', 'xls', 'xlsm', 'doc', 'pdf', 'JSON', 'tar.gz'][doc_id % 10 + 1] AS e FROM documents)
+SELECT doc_id, 'in/' || doc_id || '.' || e AS path, CASE WHEN e IN ('csv', 'tsv') THEN 'table' WHEN e IN ('txt', 'MD', 'JSON') THEN 'text' END AS kind,
+ CASE e WHEN 'xls' THEN 'old workbook: save it as .xlsx' WHEN 'xlsm' THEN 'workbook with macros: save it as .xlsx' WHEN 'doc' THEN 'old document: save it as .docx'
+  WHEN 'pdf' THEN 'unsupported type' WHEN 'tar.gz' THEN 'unsupported type' END AS reason FROM f"""
+O["file_notes"] = """SELECT doc_id::VARCHAR AS path, concat_ws('; ', CASE doc_id % 3 WHEN 1 THEN 'read as Windows-1252' WHEN 2 THEN 'saved again as UTF-8' END,
+ CASE WHEN doc_id % 2 = 0 THEN 'byte order mark kept' END) AS notes FROM documents"""
+O["sheets_union"] = f"WITH {CELLS} SELECT doc_id, (1 - sheet)::INT AS sheet, row, col, value FROM cells"
+O["header_choices"] = f"WITH {CELLS}, {HEAD} SELECT doc_id, sheet, CASE WHEN doc_id % 3 = 0 THEN doc_id % 2 = 0 ELSE has_header END AS has_header FROM head"
+O["stream_redacted"] = f"""WITH t AS MATERIALIZED (SELECT doc_id, text FROM documents), r AS MATERIALIZED ({resolved(detected('SELECT * FROM t'))}), k AS ({numbered('SELECT * FROM r')}),
+p AS (SELECT doc_id, "start", "end", {LABEL} AS new FROM (SELECT r.*, {norm('text')} AS value FROM r) JOIN k USING (doc_id, type, value))
+{applied('SELECT * FROM t', 'SELECT * FROM p')}"""
+O["stream_labelled"] = O["redact_conversations"]
+
 ORACLES = O

@@ -14,6 +14,7 @@ from maskwright.operators import layout, metrics, model, propagate, replace, rev
 from maskwright.operators.intervals import Ranged
 from maskwright.sources import delimited, readers, writers
 from maskwright.storage import shared_folder, write_table
+from maskwright.streaming import detect as streams
 
 ALL = RedactionConfig(enabled=frozenset(TYPES))
 TERMS = ("that", "nicht", "mente", "Que")
@@ -670,6 +671,74 @@ def scan_samples(spark, sf):
     return model.annotate_samples(plan.select("doc_id", "sheet", "col", "context", "value"), load)
 
 
+def model_states(spark, sf):
+    """A model that fails on some texts: the others are done, and these say so."""
+    def load():
+        def run(texts_):
+            if any("Que" in t for t in texts_):
+                raise ValueError("no such language")
+            return [[] for _ in texts_]
+
+        return run
+
+    return model.annotate(table(spark, sf, "documents").select("doc_id", "text"), load)[1].select("doc_id", "ml_state", "ml_error")
+
+
+def file_kinds(spark, sf):
+    """Names with endings of every kind, some in capitals, and what is said of them."""
+    endings = F.array(*map(F.lit, ("txt", "MD", "csv", "tsv", "xls", "xlsm", "doc", "pdf", "JSON", "tar.gz")))
+    name = F.concat(F.lit("in/"), F.col("doc_id").cast("string"), F.lit("."), F.get(endings, (F.col("doc_id") % 10).cast("int")))
+    return readers.dispatch(table(spark, sf, "documents").select("doc_id", name.alias("path")))
+
+
+def file_notes(spark, sf):
+    """What is said of files by their encoding and mark."""
+    encoding = F.get(F.array(*map(F.lit, ("UTF-8", "windows-1252", "UTF-16LE"))), (F.col("doc_id") % 3).cast("int"))
+    files = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), encoding.alias("encoding"), (F.col("doc_id") % 2 == 0).alias("bom"))
+    return readers.coverage_notes(files).select("path", F.array_join("notes", "; ").alias("notes"))
+
+
+def sheets_union(spark, sf):
+    """Customers and suppliers as sheets of one document each, in the order given."""
+    c = cells(spark, sf)
+    one, two = (c.where(F.col("sheet") == k).drop("sheet") for k in (0, 1))
+    return readers.union_sheets(two, one).select(*AT, "value")
+
+
+def header_choices(spark, sf):
+    """Header rows as detected, but where people chose otherwise."""
+    found = tables.detect_header(cells(spark, sf))
+    return review.header_flags(found, found.where("doc_id % 3 = 0").select("doc_id", "sheet", (F.col("doc_id") % 2 == 0).alias("has_header")))
+
+
+def _through(stream: DataFrame, spark: SparkSession) -> DataFrame:
+    """What a stream gives of all that is there now."""
+    path = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+def _stream(spark, sf, name: str) -> DataFrame:
+    """A table as a stream of its files."""
+    return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name}.parquet*")
+
+
+def stream_redacted(spark, sf):
+    return _through(streams.redact_stream(_stream(spark, sf, "documents").select("doc_id", "text"), ALL), spark)
+
+
+def stream_labelled(spark, sf):
+    """Conversations, each with its own numbers, kept in state."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, streams.ROCKSDB)
+    try:
+        return _through(streams.labelled_stream(_stream(spark, sf, "conversations"), ALL), spark)
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 QUERIES = {
     "detect_rules": _rule_query(),
     "rule_email": _rule_query("EMAIL"), "rule_card": _rule_query("CREDIT_CARD"), "rule_ip": _rule_query("IP_ADDRESS"), "rule_phone": _rule_query("PHONE"), "rule_url": rule_url,
@@ -683,6 +752,6 @@ QUERIES = {
         dictionary_spans, chunk_cover, chunk_rows, classify_columns, detect_header, unpivot_cells, column_label, structural_spans, covered_cells, scan_plan, scan_stats, scan_observed, project_findings, clip_to_cells, cell_decisions, column_decisions,
         redact_table, pivot_back, apply_to_runs, eval_spans, eval_chars, name_coverage, passes_gate, page_lines, page_text, page_needs_ocr, rectangles, rectangles_of_characters, excel_serial_date, zero_pad, cell_address, scrub_office_xml,
         date_formats, xml_texts, score_digits, csv_lines, csv_round_trip, redacted_files, key_files, clean_table, align_tokens, widen_pieces, symbols_text, blacked_out, stale_exports,
-        scan_samples,
+        scan_samples, model_states, file_kinds, file_notes, sheets_union, header_choices, stream_redacted, stream_labelled,
     )
 }

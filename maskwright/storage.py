@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -19,16 +21,19 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_folder:
-        _own_folder.append("file://" + tempfile.mkdtemp(prefix="maskwright-"))
+        own = tempfile.mkdtemp(prefix="maskwright-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _own_folder.append("file://" + own)
     return _own_folder[0]
 
 
 def write_table(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and fixes values that a
     recomputation could change. The table is all that later stages need, so lost executors only
-    cost the tasks they were running."""
+    cost the tasks they were running. An application's tables are in a folder of its own, maskwright-<application>, which
+    can go when it has ended."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/maskwright-{spark.conf.get('spark.app.id', 'session')}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
