@@ -72,7 +72,10 @@ class Ranged:
         totals = rows.groupBy("__part", *self.by).agg(add(value).alias("__total"))
         # Of a partition's groups only the first can have begun in an earlier one: a row a partition.
         carried = totals.withColumn("__carried", add(F.col("__total")).over(across)).where("__carried IS NOT NULL").drop("__total")
-        met = rows.withColumn("__here", add(value).over(here)).join(F.broadcast(carried), ["__part", *self.by], "left")
+        keys = ["__part", *self.by]
+        side = carried.select(*(F.col(c).alias(f"__key{k}") for k, c in enumerate(keys)), "__carried")
+        same = [F.col(c).eqNullSafe(F.col(f"__key{k}")) for k, c in enumerate(keys)]  # rows without a group are a group
+        met = rows.withColumn("__here", add(value).over(here)).join(F.broadcast(side), same, "left").drop(*(f"__key{k}" for k in range(len(keys))))
         return met.withColumn(name, both(F.col("__carried"), F.col("__here"))).drop("__carried", "__here")
 
     def greatest_before(self, rows: DataFrame, name: str, value: Column) -> DataFrame:
