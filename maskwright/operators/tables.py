@@ -69,10 +69,9 @@ def detect_header(cells: DataFrame) -> DataFrame:
     """doc_id, sheet, has_header: whether row 0 names the columns. True if one of its values names a type;
     else it needs two filled values, all different, short, starting with a letter, without "@" or three digits
     in a row, and one without digits above a number in rows 1 to 20."""
-    v = trimmed(F.col("value"))
-    top = cells.where("row = 0").select("doc_id", "sheet", "col", v.alias("h"))
-    numbers = cells.where("row between 1 and 20").groupBy("doc_id", "sheet", "col").agg(F.max(F.when(F.col("value").rlike(dialect(NUMERIC)), 1).otherwise(0)).alias("num"))
-    m = top.join(numbers, ["doc_id", "sheet", "col"], "left")
+    top = F.max(F.when(F.col("row") == 0, trimmed(F.col("value")))).alias("h")
+    number = F.max(F.when((F.col("row") > 0) & F.col("value").rlike(dialect(NUMERIC)), 1).otherwise(0)).alias("num")
+    m = cells.where("row between 0 and 20").groupBy("doc_id", "sheet", "col").agg(top, number).where("h is not null")
     filled = F.col("h") != ""
     odd = filled & ~((F.length("h") <= 40) & F.col("h").rlike(r"^\p{L}") & ~F.contains("h", F.lit("@")) & ~F.col("h").rlike(r"\d{3}"))
     g = m.groupBy("doc_id", "sheet").agg(
@@ -80,7 +79,7 @@ def detect_header(cells: DataFrame) -> DataFrame:
         F.count_if(filled).alias("n"),
         F.countDistinct(F.when(filled, F.lower("h"))).alias("d"),
         F.count_if(odd).alias("odd"),
-        F.max(filled & ~F.col("h").rlike(r"\d") & (F.coalesce("num", F.lit(0)) == 1)).alias("over_number"),
+        F.max(filled & ~F.col("h").rlike(r"\d") & (F.col("num") == 1)).alias("over_number"),
     )
     return g.select("doc_id", "sheet", (F.col("named") | ((F.col("n") >= 2) & (F.col("d") == F.col("n")) & (F.col("odd") == 0) & F.col("over_number"))).alias("has_header"))
 

@@ -366,7 +366,7 @@ def cells(spark, sf) -> DataFrame:
 
 def _context(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Cells with their context and the typed columns, each written once, as the steps after them read both several times."""
-    all_ = cells(spark, sf)
+    all_ = write_table(cells(spark, sf), "raw-cells")
     headers = write_table(tables.detect_header(all_), "headers")
     c = write_table(tables.with_context(all_, headers), "cells")
     return c, write_table(tables.column_types(c, headers), "column-types")
