@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskwright.functions.text import let_sql, normalised
+from maskwright.functions.text import blocks, bound, cut, let_sql, normalised
 
 #: A candidate model is rejected if it loses more F1 than this.
 MOST_F1_LOSS = 0.005
@@ -44,27 +44,28 @@ def eval_spans(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     return n.withColumn("f1", f1).drop("__all")
 
 
-#: The sweep over a text's events e, in order: how many characters but white space gold (g), predicted (p) and both cover. At
-#: one place spans start and end before a white space there (w) is taken off.
-_SWEEP = """aggregate(array_sort(v), named_struct('at', 0, 'g', 0, 'p', 0, 'n_gold', 0L, 'n_covered', 0L, 'n_predicted', 0L), (a, e) -> named_struct(
-  'at', e.at, 'g', a.g + e.g, 'p', a.p + e.p,
-  'n_gold', a.n_gold + IF(a.g > 0, e.at - a.at, 0) - IF(a.g > 0, e.w, 0),
-  'n_covered', a.n_covered + IF(a.g > 0 AND a.p > 0, e.at - a.at, 0) - IF(a.g > 0 AND a.p > 0, e.w, 0),
-  'n_predicted', a.n_predicted + IF(a.p > 0, e.at - a.at, 0) - IF(a.p > 0, e.w, 0)))"""
+#: The sweep over the starts and ends v.e of a text's spans, in order: how many characters but white space gold (g), predicted (p)
+#: and both cover. What lies between two events is cut from the text v.t, or from its blocks v.b where there are many.
+_SWEEP = "aggregate(sort_array(v.e), named_struct('at', 0, 'g', 0, 'p', 0, 'n_gold', 0L, 'n_covered', 0L, 'n_predicted', 0L), (a, e) -> {body})".format(
+    body=bound(
+        "n", f"IF(e.at > a.at AND (a.g > 0 OR a.p > 0), length(regexp_replace(IF(v.b IS NULL, substr(v.t, a.at + 1, e.at - a.at), {cut('a.at', 'e.at', 'v.b')}), r'\\s+', '')), 0)",
+        """named_struct('at', e.at, 'g', a.g + e.g, 'p', a.p + e.p, 'n_gold', a.n_gold + IF(a.g > 0, n, 0),
+           'n_covered', a.n_covered + IF(a.g > 0 AND a.p > 0, n, 0), 'n_predicted', a.n_predicted + IF(a.p > 0, n, 0))""",
+    )
+)
 
 
 def _events(spans: str, g: int, p: int) -> str:
     """SQL for the starts and ends of an array of spans."""
-    made = lambda at, sign: f"named_struct('at', s.{at}, 'w', 0, 'g', {sign * g}, 'p', {sign * p})"
+    made = lambda at, sign: f"named_struct('at', s.{at}, 'g', {sign * g}, 'p', {sign * p})"
     return f"flatten(transform(coalesce({spans}, array()), s -> array({made('start', 1)}, {made('`end`', -1)})))"
 
 
 def eval_chars(texts: DataFrame, gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """doc_id, n_gold, n_covered, n_predicted: characters other than white space, of documents with any in a span.
 
-    A document's spans are put beside its text, and one sweep over starts, ends and white space adds up lengths, so no
-    row stands for a character."""
-    from maskwright.operators.rules import located
+    A document's spans are put beside its text, and one sweep over their starts and ends counts what lies between them, so no
+    row stands for a character and text that no span covers is not looked at."""
 
     def beside(spans: DataFrame, name: str) -> DataFrame:
         place = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
@@ -72,9 +73,9 @@ def eval_chars(texts: DataFrame, gold: DataFrame, predicted: DataFrame) -> DataF
 
     both = beside(gold, "__g").join(beside(predicted, "__p"), "doc_id", "full_outer")
     met = texts.select("doc_id", "text").join(both, "doc_id")
-    spaces = F.call_function("transform", located(F.col("text"), r"\s"), F.expr("s -> named_struct('at', s.start, 'w', 1, 'g', 0, 'p', 0)"))
-    events = F.concat(F.expr(_events("__g", 1, 0)), F.expr(_events("__p", 0, 1)), spaces)
-    done = met.select("doc_id", let_sql(events, _SWEEP).alias("n"))
+    swept = met.withColumn("__e", F.concat(F.expr(_events("__g", 1, 0)), F.expr(_events("__p", 0, 1))))
+    many = F.when(F.size("__e") > 32, F.expr(blocks("text")))
+    done = swept.select("doc_id", let_sql(F.struct(F.col("text").alias("t"), many.alias("b"), F.col("__e").alias("e")), _SWEEP).alias("n"))
     return done.select("doc_id", "n.n_gold", "n.n_covered", "n.n_predicted").where("n_gold + n_predicted > 0")
 
 

@@ -117,8 +117,8 @@ def test_running_values(spark, crowded):
 
 def test_sweep_counts_characters(spark):
     rng = random.Random(4)
-    texts = [(i, "".join(rng.choice("ab \n\té😀") for _ in range(rng.randrange(0, 80)))) for i in range(60)]
-    some = lambda: [(i, s, min(len(t), s + rng.randrange(0, 12))) for i, t in texts for s in (rng.randrange(0, len(t) + 1) for _ in range(rng.randrange(4)))]
+    texts = [(i, "".join(rng.choice("ab \n\té😀") for _ in range(2000 if i == 9 else rng.randrange(0, 80)))) for i in range(60)]
+    some = lambda: [(i, s, min(len(t), s + rng.randrange(0, 12))) for i, t in texts for s in (rng.randrange(0, len(t) + 1) for _ in range(90 if i == 9 else rng.randrange(4)))]
     gold, found = some(), some()
     gold += gold[:5]
     shape = "doc_id int, start int, end int"
