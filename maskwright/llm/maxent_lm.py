@@ -9,17 +9,19 @@ add-one share of its cell, from counts over the whole training text; one unseen
 it a distribution.
 
 Counts are one aggregation over all training texts. Weights are learnt in rounds; each training
-text belongs to one round. In a round every task (of TASK_TOKENS or more, so that answers stay small beside texts) walks from the shared weights over its texts by
-Adagrad steps and returns its change; changes are added up by a tree reduce (fixed size, whatever
-the input) and averaged over the tasks that touched a row. They are added as whole numbers, so the order in which tasks end
+text belongs to one round and, by a hash of its id and text, to one of the round's learners, whose number follows
+the training tokens (TASK_TOKENS or more each, so that answers stay small beside texts). A learner is a task that walks from the
+shared weights over its texts, in the order of their hashes, by
+Adagrad steps and returns its change; changes are added up by a tree reduce (of the weights' size, which is bounded) and
+averaged over the learners that touched a row. They are added as whole numbers, so the order in which tasks end
 does not matter. Words frequent enough for a proven bound
 (count >= N / 2^18, so 2^18 words at most) are looked up in a broadcast array; the counts of all
 others are joined by shuffle, a document's rare words with their frequency.
 
 Defined results: null and empty texts have one token, the end; scores are log10. Repeated rows and
 ids are scored row by row (rows carry their own key); a row with a null id is not held out. An empty table gives no
-rows. Very long texts are read whole, by the slice; other columns, whatever their names, are ignored. The weights, and so
-`score`, depend on how files are cut into tasks, not on the run; counts and `base_score` on neither.
+rows. Very long texts are read whole, by the slice; other columns, whatever their names, are ignored. The
+weights, and so `score`, are a function of the table's ids and texts: not of how files are cut, nor of the run.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ TOP_WORDS, TOP_SUFFIXES, OTHER = 20, 24, 4
 CLASSES = TOP_WORDS + TOP_SUFFIXES + OTHER
 FEATURE_BITS = 13
 #: Cells of a class, and rows of their weights.
-CELL_BITS, CELL_FEATURE_BITS = 4, 14
+CELL_BITS, CELL_FEATURE_BITS = 5, 14
 CELLS = 1 << CELL_BITS
 #: Tokens of a weight row that are added up rank by rank; those beyond as one sum.
 RANKS = 16
@@ -266,14 +268,21 @@ def row_sums(rows: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return sorted_rows[heads].astype(np.int64), size, total
 
 
+def bias_sums(rows: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As row_sums, for the few bias rows, which hold many tokens each."""
+    order = np.argsort(rows, kind="stable")
+    heads = np.flatnonzero(np.append(True, np.diff(rows[order]) != 0))
+    return rows[order][heads].astype(np.int64), np.diff(np.append(heads, len(order))), np.add.reduceat(g[order], heads, axis=0)
+
+
 def _gradient_step(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, target: np.ndarray, rate: float) -> None:
     """One Adagrad step, in place, on tokens; a row's gradient is the sum of its tokens' by the root of their number.
-    The bias rows (the last column) stay as they are: the plain shares, from exact counts."""
+    The bias rows (the last column) are named by every token, so their sums are taken apart."""
     g = _scores(weights, rows)
     np.exp(g, out=g)
     g /= g.sum(axis=1, keepdims=True)
     g[np.arange(len(target)), target] -= 1
-    named, size, total = row_sums(rows[:, :-1], g)
+    named, size, total = (np.concatenate(x) for x in zip(row_sums(rows[:, :-1], g), bias_sums(rows[:, -1], g), strict=True))
     total /= np.sqrt(size, dtype=np.float32)[:, None]
     seen = squares[named] + total * total
     squares[named] = seen
@@ -289,10 +298,13 @@ def first_weights(v: Vocabulary) -> list[np.ndarray]:
     return [of_classes, of_cells]
 
 
-def train(docs: DataFrame, v: Vocabulary, rounds: int = 3, rate: float = 0.15) -> list[np.ndarray]:
+def train(docs: DataFrame, v: Vocabulary, rounds: int = 3, rate: float = 0.3) -> list[np.ndarray]:
     """Weights of the classes' and of the cells' softmax."""
     sc = docs.sparkSession.sparkContext
     weights = first_weights(v)
+    text = F.col("text").cast("string")
+    dealt = docs.select("doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("deal"))
+    learners = max(1, -(-v.n // (rounds * TASK_TOKENS)))
     for k in range(rounds):
         shared = sc.broadcast((weights, v))
 
@@ -309,13 +321,13 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int = 3, rate: float = 0.15) -
                     for head, (rows, target) in enumerate(to_do):
                         for i in range(0, len(target), STEP_TOKENS):
                             _gradient_step(own[head], squares[head], rows[i : i + STEP_TOKENS], target[i : i + STEP_TOKENS], rate)
-                        touched[head][rows[:, :-1].ravel()] = True
+                        touched[head][rows.ravel()] = True
             if touched[0].any():
                 change = [np.round((a - b) * UNIT).astype(np.int32).ravel() for a, b in zip(own, start, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([*change, *(x.astype(np.int32) for x in touched)]).tobytes()], pa.binary())], names=["change"])
 
-        part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k).coalesce(max(1, -(-v.n // (rounds * TASK_TOKENS))))
-        changes = part.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "change binary").rdd
+        part = dealt.where(F.pmod("deal", F.lit(rounds)) == k).repartition(learners, "deal").sortWithinPartitions("deal", "doc_id", "text")
+        changes = part.select("text").mapInArrow(run, "change binary").rdd
         zero = np.zeros(sum(w.size + len(w) for w in weights), np.int64)
         add = lambda a, b: a + b
         depth = max(2, int(np.ceil(np.log(max(2, changes.getNumPartitions())) / np.log(16))))  # 16 sums or fewer reach the driver

@@ -214,6 +214,18 @@ def test_lm_learns_the_same_in_every_run(spark, tmp_path):
     assert scores[0].keys() == scores[1].keys() and all(math.isclose(scores[0][i], scores[1][i], rel_tol=1e-9) for i in scores[0])
 
 
+def test_lm_scores_do_not_follow_the_files(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    monkeypatch.setattr(maxent_lm, "TASK_TOKENS", 1000)  # several learners a round
+    d = docs(spark, [*ODD, *(prose(rng, 80) for _ in range(120))])
+    scores = []
+    for name, laid in (("one", d.coalesce(1)), ("seven", d.repartition(7)), ("turned", d.orderBy(F.desc("doc_id")))):
+        laid.write.parquet(str(tmp_path / name))
+        scores.append({r["doc_id"]: r["score"] for r in maxent_lm.run(spark.read.parquet(str(tmp_path / name))).collect()})
+    assert all(s.keys() == scores[0].keys() for s in scores)
+    assert all(math.isclose(s[i], scores[0][i], rel_tol=1e-9) for s in scores[1:] for i in s)
+
+
 def test_decontamination(spark, family):
     rng = random.Random(9)
     item = prose(rng, 30)
