@@ -303,8 +303,9 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int = 3, rate: float = 0.3) ->
     sc = docs.sparkSession.sparkContext
     weights = first_weights(v)
     text = F.col("text").cast("string")
-    dealt = docs.select("doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("deal"))
     learners = max(1, -(-v.n // (rounds * TASK_TOKENS)))
+    dealt = docs.select("doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("deal"))
+    dealt = dealt.withColumn("learner", F.pmod(F.xxhash64("deal"), F.lit(learners)).cast("int"))
     for k in range(rounds):
         shared = sc.broadcast((weights, v))
 
@@ -326,7 +327,7 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int = 3, rate: float = 0.3) ->
                 change = [np.round((a - b) * UNIT).astype(np.int32).ravel() for a, b in zip(own, start, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([*change, *(x.astype(np.int32) for x in touched)]).tobytes()], pa.binary())], names=["change"])
 
-        part = dealt.where(F.pmod("deal", F.lit(rounds)) == k).repartition(learners, "deal").sortWithinPartitions("deal", "doc_id", "text")
+        part = dealt.where(F.pmod("deal", F.lit(rounds)) == k).repartitionById(learners, "learner").sortWithinPartitions("deal", "doc_id", "text")
         changes = part.select("text").mapInArrow(run, "change binary").rdd
         zero = np.zeros(sum(w.size + len(w) for w in weights), np.int64)
         add = lambda a, b: a + b
