@@ -448,6 +448,20 @@ def test_fuzzy_passages_with_parts_in_earlier_texts(spark):
     assert (7, 80, 110, 50) in [(r["doc_id"], r["start_word"], r["end_word"], r["match_start"]) for r in rows]
 
 
+def test_far_pairs_are_the_next_chosen_seed_of_the_text():
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    row = np.sort(rng.integers(0, 4, 400))
+    word, h = np.arange(400) * 2, rng.integers(0, 2**63, 400).astype(np.uint64)
+    _, step = fuzzy_passages.far_pairs(row, word, h)
+    chosen = [i for i in range(400) if h[i] % fuzzy_passages.FAR_SHARE == 0]
+    for i in range(400):
+        after = [j for j in chosen if word[j] - word[i] >= fuzzy_passages.FAR][:1] if i in chosen else []
+        ok = [j for j in after if row[j] == row[i] and word[j] - word[i] <= fuzzy_passages.MOST_STEP]
+        assert step[i] == (word[ok[0]] - word[i] if ok else 0)
+
+
 @pytest.mark.parametrize("gap", [100, 300, 800, 1200])
 def test_chaining_links_later_passages_of_a_pair(gap):
     import numpy as np
