@@ -448,6 +448,64 @@ def test_fuzzy_passages_with_parts_in_earlier_texts(spark):
     assert (7, 80, 110, 50) in [(r["doc_id"], r["start_word"], r["end_word"], r["match_start"]) for r in rows]
 
 
+def brute_passages(texts, min_words=30, min_identity=0.8):
+    """Pairs (later, earlier) of texts with a passage: all equal seeds of each two texts, chained and aligned."""
+    import numpy as np
+    import pyarrow as pa
+
+    w = fuzzy_passages.Words(pa.array(texts, pa.string()))
+    row, word, h = w.shingles(fuzzy_passages.K)
+    own = [w.hash[w.first[i] : w.first[i + 1]].view(np.int64) for i in range(len(texts))]
+    at = [dict() for _ in texts]
+    for r, p, x in zip(row.tolist(), word.tolist(), h.tolist(), strict=True):
+        at[r].setdefault(x, []).append(p - int(w.first[r]))
+    found = set()
+    for i in range(len(texts)):
+        for j in range(i):
+            met = np.array([(p, q) for x in at[i].keys() & at[j].keys() for p in at[i][x] for q in at[j][x]], np.int64).reshape(-1, 2)
+            for path in fuzzy_passages.chains(met[:, 0], met[:, 1]) if len(met) else []:
+                s, e, t, f, same = fuzzy_passages.align(own[i], own[j], met[path])
+                if max(e - s, f - t) >= min_words and same >= min_identity * max(e - s, f - t):
+                    found.add((i, j))
+    return found
+
+
+def edited_family(rng, n, share):
+    """Texts that hold two of five passages, each with a share of its words replaced, among words of their own."""
+    passages = [prose(rng, rng.choice([40, 60, 90]), 50_000).split() for _ in range(5)]
+    texts = []
+    for _ in range(n):
+        parts = []
+        for p in rng.sample(passages, 2):
+            parts += prose(rng, rng.randint(10, 60), 50_000).split() + [f"odd{rng.randrange(10**6)}" if rng.random() < share else w for w in p]
+        texts.append(" ".join(parts))
+    return texts
+
+
+def test_fuzzy_passages_link_every_two_texts_that_brute_force_links(spark):
+    """Each of many edited forms of a passage with each other, not with the first and the previous alone."""
+    rng = random.Random(31)
+    texts = edited_family(rng, 30, 0.08)
+    want = brute_passages(texts)
+    found = {(r["doc_id"], r["match_doc_id"]) for r in fuzzy_passages.passages(docs(spark, texts)).collect()}
+    assert len(want) > 100 and want - found == set() and {p for p in found if p[0] != p[1]} == want
+
+
+def test_fuzzy_passages_made_of_hot_seeds_alone(spark, monkeypatch):
+    """With few occurrences matched each with each, texts still meet through pairs of hot seeds."""
+    rng = random.Random(33)
+    new = lambda n: prose(rng, n, 50_000).split()
+    phrases = [new(7) for _ in range(8)]  # each stands in many texts
+    link = lambda gap: [w for p in phrases for w in [*p, *new(gap)]]
+    texts = [" ".join(new(20) + rng.choice(phrases) + new(40)) for _ in range(60)]
+    texts += [" ".join(new(30) + link(1) + new(30)) for _ in range(3)]
+    monkeypatch.setattr(fuzzy_passages, "MOST", 4)
+    monkeypatch.setattr(fuzzy_passages, "HELD", 5)
+    monkeypatch.setattr(fuzzy_passages, "ROWS", 3)
+    found = {(r["doc_id"], r["match_doc_id"]) for r in fuzzy_passages.passages(docs(spark, texts)).collect()}
+    assert found == brute_passages(texts) == {(61, 60), (62, 60), (62, 61)}
+
+
 def test_far_pairs_are_the_next_chosen_seed_of_the_text():
     import numpy as np
 
