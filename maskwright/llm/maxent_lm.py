@@ -50,6 +50,8 @@ UNIT = float(1 << 20)
 #: Training tokens of a round that a task takes at least, where there are so many; its answer is of a fixed size.
 TASK_TOKENS = 1 << 20
 STEP_TOKENS = 16_384
+#: Scores whose greatest is within this of 0 need no shift before exp.
+MOST_POWER = 60.0
 END = np.uint64(0x5DEECE66D1234567)
 START = np.uint64(0x1234567089ABCDEF)
 _LOG10E = float(np.log10(np.e))
@@ -221,12 +223,22 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(int(n), int(v), h[order], np.log10(heavy["n"].to_numpy(float)[order] + 1), top_u, suffix, np.log10(size), prior, cell_prior)
 
 
+def _far_from_zero(weights: np.ndarray, columns: int) -> bool:
+    """Whether sums of so many feature rows and a bias row may be beyond the powers of e that floats hold; by the weights alone,
+    so that scores do not follow the slices."""
+    n = 1 << ((len(weights) - 1).bit_length() - 1)
+    features, bias = columns * max(weights[:n].max(), -weights[:n].min()), weights[n:]
+    return bool(bias.max() + features > MOST_POWER or bias.max(axis=1).min() - features < -MOST_POWER)
+
+
 def _scores(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sums of the given weight rows, shifted so that the greatest of each token is 0."""
+    """Sums of the given weight rows; if need be, shifted so that the greatest of each token is 0."""
     s = np.take(weights, rows[:, 0], axis=0)
+    more = np.empty_like(s)
     for f in range(1, rows.shape[1]):
-        s += np.take(weights, rows[:, f], axis=0)
-    s -= s.max(axis=1, keepdims=True)
+        s += np.take(weights, rows[:, f], axis=0, out=more, mode="clip")
+    if _far_from_zero(weights, rows.shape[1]):
+        s -= s.max(axis=1, keepdims=True)
     return s
 
 
@@ -270,7 +282,10 @@ def row_sums(rows: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 def bias_sums(rows: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """As row_sums, for the few bias rows, which hold many tokens each."""
-    order = np.argsort(rows, kind="stable")
+    least = rows.min()
+    if least == rows.max():
+        return rows[:1].astype(np.int64), np.array([len(rows)]), g.sum(axis=0, keepdims=True)
+    order = np.argsort((rows - least).astype(np.uint16), kind="stable")  # sorted by radix
     heads = np.flatnonzero(np.append(True, np.diff(rows[order]) != 0))
     return rows[order][heads].astype(np.int64), np.diff(np.append(heads, len(order))), np.add.reduceat(g[order], heads, axis=0)
 

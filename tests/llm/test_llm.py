@@ -206,6 +206,23 @@ def test_lm_row_sums():
     assert all(np.allclose(plain[q], t, atol=1e-3) for q, t in zip(named.tolist(), total, strict=True))
 
 
+def test_lm_shares_of_small_and_large_weights():
+    """Scores are shifted only where powers of e would leave the range of floats; shares are the same, and finite, in both cases."""
+    import numpy as np
+
+    draw = np.random.default_rng(8)
+    n = 1 << maxent_lm.FEATURE_BITS
+    rows = np.append(draw.integers(0, n, (300, 3)), np.full((300, 1), n), 1).astype(np.int32)
+    target = draw.integers(0, maxent_lm.CLASSES, 300)
+    for size, far in ((0.5, False), (40, True)):
+        w = (draw.normal(size=(n + 1, maxent_lm.CLASSES)) * size).astype(np.float32)
+        assert maxent_lm._far_from_zero(w, 4) == far
+        s = w.astype(float)[rows].sum(axis=1)
+        s -= s.max(axis=1, keepdims=True)
+        want = s - np.log(np.exp(s).sum(axis=1, keepdims=True))
+        assert np.allclose(maxent_lm.log_share(w, rows, target), want[np.arange(300), target], atol=1e-3)
+
+
 def test_lm_learns_the_same_in_every_run(spark, tmp_path):
     rng = random.Random(4)
     docs(spark, [prose(rng, 80) for _ in range(60)]).write.parquet(str(tmp_path / "d"))
