@@ -50,6 +50,8 @@ UNIT = float(1 << 20)
 #: Training tokens of a round that a task takes at least, where there are so many; its answer is of a fixed size.
 TASK_TOKENS = 1 << 20
 STEP_TOKENS = 16_384
+#: Tokens, and bytes of text, whose arrays stay in a core's cache; results do not depend on them.
+NEAR_TOKENS, NEAR_BYTES = 2_048, 1 << 19
 #: Scores whose greatest is within this of 0 need no shift before exp.
 MOST_POWER = 60.0
 END = np.uint64(0x5DEECE66D1234567)
@@ -181,11 +183,11 @@ def count_words(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(s), pa.array(c)], names=["word", "suffix", "n"])
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", NEAR_BYTES):
                 t = Stream.of(part.column("text"))
                 h, at, c = np.unique(t.hash, return_index=True, return_counts=True)
                 parts.append((h, t.suffix[at], c))
-                if len(parts) >= 8:
+                if len(parts) >= 64:
                     parts[:] = [_merged(parts)]
                     if len(parts[0][0]) > 1_500_000:
                         yield out()
@@ -231,29 +233,30 @@ def _far_from_zero(weights: np.ndarray, columns: int) -> bool:
     return bool(bias.max() + features > MOST_POWER or bias.max(axis=1).min() - features < -MOST_POWER)
 
 
-def _scores(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sums of the given weight rows; if need be, shifted so that the greatest of each token is 0."""
+def _scores(weights: np.ndarray, rows: np.ndarray, far: bool) -> np.ndarray:
+    """Sums of the given weight rows; if far from 0, shifted so that the greatest of each token is 0."""
     s = np.take(weights, rows[:, 0], axis=0)
     more = np.empty_like(s)
     for f in range(1, rows.shape[1]):
         s += np.take(weights, rows[:, f], axis=0, out=more, mode="clip")
-    if _far_from_zero(weights, rows.shape[1]):
+    if far:
         s -= s.max(axis=1, keepdims=True)
     return s
 
 
 def log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    s = _scores(weights, rows)
+    s = _scores(weights, rows, _far_from_zero(weights, rows.shape[1]))
     return s - np.log(np.exp(s).sum(axis=1, keepdims=True))
 
 
 def log_share(weights: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
     """The targets' entries of log_softmax."""
     out = np.empty(len(target))
-    for i in range(0, len(target), STEP_TOKENS):
-        s = _scores(weights, rows[i : i + STEP_TOKENS])
-        asked = s[np.arange(len(s)), target[i : i + STEP_TOKENS]]
-        out[i : i + STEP_TOKENS] = asked - np.log(np.exp(s, out=s).sum(axis=1))
+    far = _far_from_zero(weights, rows.shape[1])
+    for i in range(0, len(target), NEAR_TOKENS):
+        s = _scores(weights, rows[i : i + NEAR_TOKENS], far)
+        asked = s[np.arange(len(s)), target[i : i + NEAR_TOKENS]]
+        out[i : i + NEAR_TOKENS] = asked - np.log(np.exp(s, out=s).sum(axis=1))
     return out
 
 
@@ -293,9 +296,12 @@ def bias_sums(rows: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def _gradient_step(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, target: np.ndarray, rate: float) -> None:
     """One Adagrad step, in place, on tokens; a row's gradient is the sum of its tokens' by the root of their number.
     The bias rows (the last column) are named by every token, so their sums are taken apart."""
-    g = _scores(weights, rows)
-    np.exp(g, out=g)
-    g /= g.sum(axis=1, keepdims=True)
+    g = np.empty((len(rows), weights.shape[1]), np.float32)
+    far = _far_from_zero(weights, rows.shape[1])
+    for i in range(0, len(rows), NEAR_TOKENS):
+        s = _scores(weights, rows[i : i + NEAR_TOKENS], far)
+        np.exp(s, out=s)
+        np.divide(s, s.sum(axis=1, keepdims=True), out=g[i : i + NEAR_TOKENS])
     g[np.arange(len(target)), target] -= 1
     named, size, total = (np.concatenate(x) for x in zip(row_sums(rows[:, :-1], g), bias_sums(rows[:, -1], g), strict=True))
     total /= np.sqrt(size, dtype=np.float32)[:, None]
@@ -366,7 +372,7 @@ def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, weights: list[np.nd
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (of_classes, of_cells), vocab = shared.value
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", NEAR_BYTES):
                 t, rows = Stream.of(part.column("text")), part.num_rows
                 doc = np.repeat(np.arange(rows), np.diff(t.first))
                 contexts = t.contexts()
