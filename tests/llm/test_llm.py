@@ -523,6 +523,25 @@ def test_fuzzy_passages_made_of_hot_seeds_alone(spark, monkeypatch):
     assert found == brute_passages(texts) == {(61, 60), (62, 60), (62, 61)}
 
 
+def test_fuzzy_passages_around_a_single_seed(spark):
+    """Five equal words in the middle, on either side of them four equal words and another one in turn."""
+    rng = random.Random(35)
+    new = lambda n: prose(rng, n, 50_000).split()
+    passage = new(45)
+    fuzzy = [f"odd{i}" if i in (4, 9, 14, 19, 25, 30, 35, 40) else w for i, w in enumerate(passage)]
+    texts = [" ".join([*new(50), *passage, *new(50)]), " ".join([*new(80), *fuzzy, *new(20)])]
+    found = {(r["doc_id"], r["match_doc_id"]) for r in fuzzy_passages.passages(docs(spark, texts)).collect()}
+    assert found == brute_passages(texts) == {(1, 0)}
+
+
+def test_seeds_move_in_packed_rows_and_whole(spark):
+    rng = random.Random(36)
+    texts = [prose(rng, 200, 50_000) for _ in range(50)]
+    rows = [r for share in range(2) for r in fuzzy_passages.seeds(docs(spark, texts).coalesce(1), 30, share, 2).collect()]
+    assert len(rows) <= 2 * 4  # of one slice of texts, a row for each share and bucket
+    assert sorted((d, a) for r in rows for d, a in zip(r["doc_id"], r["at"], strict=True)) == [(d, a) for d in range(50) for a in range(196)]
+
+
 def test_far_pairs_are_the_next_chosen_seed_of_the_text():
     import numpy as np
 
