@@ -3,7 +3,10 @@
 Two intervals overlap where the later start lies in the other one. So an overlap join is two joins of points with
 intervals, each pair found once. Positions are put into bins; an interval goes to the bins of its own level, whose
 width is its length or more (two bins at most), and a point to one bin of each level. The rows made grow with the
-intervals and the hits, and a document of any length is spread by its bins.
+intervals and the hits, and a document of any length is spread by its bins. Where one side has a row for each character
+(`points_in`), a point goes to one bin and an interval to all that it touches: these are fewer than the characters it
+covers. All such joins are by shuffles: Spark guesses a side's size before its rows are copied to bins, and would
+broadcast millions of rows.
 
 `Ranged` does what a window does, for groups that no task should hold alone: rows are range partitioned by group and
 order, running values are taken within each partition, and what lies before is carried from partition to partition.
@@ -20,6 +23,8 @@ from maskwright.storage import write_table
 
 #: The narrowest bins are 2^SHIFT characters wide; each level is 2^STEP times as wide as the one before.
 SHIFT, STEP, LEVELS = 5, 3, 10
+#: Bins of points are 2^POINTS characters wide.
+POINTS = 7
 
 
 def _level(start: Column, end: Column) -> Column:
@@ -50,11 +55,20 @@ def overlap_join(a: DataFrame, b: DataFrame, by: Sequence[str], a_at: tuple[str,
     on = [*by, "__level", "__bin"]
     met = (F.col(a_s) < F.col(b_e)) & (F.col(b_s) < F.col(a_e))
     columns = [*by, *(c for c in a.columns if c not in by), *(c for c in b.columns if c not in by)]
-    a_later = _as_points(a, quote(a_s)).join(_in_bins(b, quote(b_s), quote(b_e)), on).where((F.col(a_s) >= F.col(b_s)) & met)
-    b_later = _in_bins(a, quote(a_s), quote(a_e)).join(_as_points(b, quote(b_s)), on).where((F.col(b_s) > F.col(a_s)) & met)
+    a_later = _as_points(a, quote(a_s)).join(_in_bins(b, quote(b_s), quote(b_e)).hint("merge"), on).where((F.col(a_s) >= F.col(b_s)) & met)
+    b_later = _in_bins(a, quote(a_s), quote(a_e)).join(_as_points(b, quote(b_s)).hint("merge"), on).where((F.col(b_s) > F.col(a_s)) & met)
     return a_later.select(*map(quote, columns)).unionByName(b_later.select(*map(quote, columns)))
 
 
+def points_in(points: DataFrame, intervals: DataFrame, by: Sequence[str], at: str, ends: tuple[str, str] = ("__s", "__e")) -> DataFrame:
+    """Pairs of a point and an interval of one group (equal columns `by`) that it lies in (start <= at < end), each once.
+    Meant for points that stand close together, as characters do: an interval is copied once for 2^POINTS places."""
+    s, e = ends
+    dealt = points.withColumn("__bin", F.expr(f"shiftright(cast(`{at}` AS bigint), {POINTS})"))
+    bins = intervals.where(F.col(s) < F.col(e)).withColumn("__bin", F.expr(f"explode(sequence(shiftright(cast(`{s}` AS bigint), {POINTS}), shiftright(cast(`{e}` AS bigint) - 1, {POINTS})))"))
+    return dealt.join(bins.hint("merge"), [*by, "__bin"]).where((F.col(at) >= F.col(s)) & (F.col(at) < F.col(e))).drop("__bin")
+
+
 class Ranged:
     """Rows sorted by group and order over range partitions, written once so that their places are fixed."""
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.functions.text import running
-from maskwright.operators.intervals import overlap_join
+from maskwright.operators.intervals import overlap_join, points_in
 
 # Distances as shares of the font or line height, padding, and characters of a page with text.
 SAME_LINE, TAB_GAP, SPACE_GAP, NUMBER_GAP, SAME_ROW, BACK, PAD, FEW = 0.5, 1.5, 0.1, -0.3, 0.6, 0.5, 3.0, 25
@@ -104,8 +104,8 @@ def _padded(joined: DataFrame) -> DataFrame:
 def rectangles(spans: DataFrame, boxes: DataFrame) -> DataFrame:
     """doc_id, start, end, page, x, y, w, h: the padded rectangles that cover each span's characters. boxes: a row for each
     character (idx), as of recognised symbols; see rectangles_of_runs for runs of text."""
-    points = boxes.select("doc_id", "idx", (F.col("idx") + 1).alias("__after"), "page", "x", "y", "w", "h")
-    met = overlap_join(points, spans.select("doc_id", F.col("start").alias("__s"), F.col("end").alias("__e")).distinct(), ["doc_id"], ("idx", "__after"))
+    points = boxes.select("doc_id", "idx", "page", "x", "y", "w", "h")
+    met = points_in(points, spans.select("doc_id", F.col("start").alias("__s"), F.col("end").alias("__e")).distinct(), ["doc_id"], "idx")
     per = met.groupBy("doc_id", F.col("__s").alias("start"), F.col("__e").alias("end")).agg(F.array_sort(F.collect_list(F.struct("idx", "page", "x", "y", "w", "h"))).alias("b"))
     return _padded(per.select("doc_id", "start", "end", F.inline(_joined_boxes(F.col("b")))))
 
