@@ -117,15 +117,12 @@ _BOXES_IN_RUN = """transform(sequence(greatest(__s - start, 0), least(__e, __end
 
 def rectangles_of_runs(spans: DataFrame, runs: DataFrame) -> DataFrame:
     """The same for runs of text (as char_boxes takes them): spans meet runs, not characters, and a run's boxes are made
-    beside it for those alone that a span covers."""
-    n = F.length("text")
-    weighed = runs.where(n > 0).select(
-        "doc_id", F.col("start").cast("int").alias("start"), (F.col("start") + n).cast("int").alias("__end"), "page", "x", "y", "w", "h",
-        F.coalesce("weights", F.transform(F.sequence(F.lit(1), n), lambda _: F.lit(1.0))).alias("__weights"),
-    )
+    once they have met, for those alone that a span covers."""
+    placed = runs.where(F.length("text") > 0).select("doc_id", F.col("start").cast("int").alias("start"), (F.col("start") + F.length("text")).cast("int").alias("__end"), "page", "x", "y", "w", "h", F.col("weights").alias("__own"))
+    met = overlap_join(placed, spans.select("doc_id", F.col("start").cast("int").alias("__s"), F.col("end").cast("int").alias("__e")).distinct(), ["doc_id"], ("start", "__end"))
+    weighed = met.withColumn("__weights", F.coalesce("__own", F.transform(F.sequence(F.lit(1), F.col("__end") - F.col("start")), lambda _: F.lit(1.0)))).drop("__own")
     summed = weighed.select("*", F.expr(running("__weights", lambda a, b: f"{a} + {b}", "0D")).alias("__before"), F.aggregate("__weights", F.lit(0.0), lambda a, v: a + v).alias("__total"))
-    met = overlap_join(summed, spans.select("doc_id", F.col("start").cast("int").alias("__s"), F.col("end").cast("int").alias("__e")).distinct(), ["doc_id"], ("start", "__end"))
-    own = met.select("doc_id", F.col("__s").alias("s"), F.col("__e").alias("e"), "start", F.expr(_BOXES_IN_RUN).alias("b"))
+    own = summed.select("doc_id", F.col("__s").alias("s"), F.col("__e").alias("e"), "start", F.expr(_BOXES_IN_RUN).alias("b"))
     per = own.groupBy("doc_id", F.col("s").alias("start"), F.col("e").alias("end")).agg(F.array_sort(F.collect_list(F.struct(F.col("start").alias("at"), "b"))).alias("r"))
     boxes = F.flatten(F.transform("r", lambda r: r["b"]))
     return _padded(per.select("doc_id", "start", "end", F.inline(_joined_boxes(boxes))))

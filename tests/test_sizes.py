@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from maskwright.operators import layout
-from maskwright.operators.intervals import points_in
+from maskwright.operators.intervals import overlap_join, points_in
 
 
 def broadcasts(df):
@@ -35,3 +35,12 @@ def test_points_in_intervals(spark):
     ends = [(rng.randrange(2), s, s + rng.choice([0, 1, 5, 127, 128, 129, 900])) for s in [0, 127, 128, 255, *(rng.randrange(2000) for _ in range(40))]]
     got = points_in(spark.createDataFrame(points, "d int, at int, k int"), spark.createDataFrame(ends, "d int, __s int, __e int"), ["d"], "at")
     assert sorted(map(tuple, got.select("d", "at", "k", "__s", "__e").collect())) == sorted((d, a, k, s, e) for d, a, k in points for f, s, e in ends if d == f and s <= a < e)
+
+
+def test_rectangles_of_runs_are_never_broadcast(spark):
+    runs, found = name_runs(spark, 50)
+    df = layout.rectangles_of_runs(found, runs)
+    assert not broadcasts(df)
+    assert sorted((r["doc_id"], r["x"], r["y"], r["w"]) for r in df.collect())[:2] == [(0, 97.0, 12.0, 42.0), (0, 109.0, -3.0, 54.0)]
+    a = spark.range(3).selectExpr("id AS d", "1 AS start", "5 AS end")
+    assert not broadcasts(overlap_join(a, a.selectExpr("d", "start AS __s", "end AS __e"), ["d"]))
