@@ -44,3 +44,14 @@ def test_rectangles_of_runs_are_never_broadcast(spark):
     assert sorted((r["doc_id"], r["x"], r["y"], r["w"]) for r in df.collect())[:2] == [(0, 97.0, 12.0, 42.0), (0, 109.0, -3.0, 54.0)]
     a = spark.range(3).selectExpr("id AS d", "1 AS start", "5 AS end")
     assert not broadcasts(overlap_join(a, a.selectExpr("d", "start AS __s", "end AS __e"), ["d"]))
+
+
+def test_blacked_out_is_never_broadcast(spark, tmp_path):
+    """The query as it is registered, over a table whose size Spark guesses as small."""
+    from maskwright.plans.queries import QUERIES
+
+    names = spark.range(50).selectExpr("id AS c_custkey", "concat('Customer#', lpad(id, 9, '0')) AS c_name")
+    names.write.parquet((tmp_path / "customer.parquet").as_uri())
+    df = QUERIES["blacked_out"](spark, tmp_path.as_uri())
+    assert not broadcasts(df)
+    assert df.count() == 50 * 2 + 17
