@@ -603,7 +603,7 @@ def redacted_files(spark, sf):
     """Every text redacted into a file of its own, `<base>.redacted.txt`, and the files read again."""
     path = f"{shared_folder(spark).rstrip('/')}/texts-{uuid.uuid4().hex}"
     writers.write_texts(api.redact(texts(spark, sf), config=ALL).withColumn("name", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))), path)
-    back = readers.read_texts(spark, path)
+    back = readers.read_text_files(spark, path)
     return back.select(F.regexp_extract("name", r"(\d+)\.redacted\.txt$", 1).cast("bigint").alias("doc_id"), "text")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.functions.text import extension, trimmed
+from maskwright.sources.files import listed, opened
 
 # Extensions by kind, and why others are refused.
 TEXTS = ("txt", "md", "json", "log", "xml", "html", "htm", "eml", "yaml", "yml")
@@ -36,6 +37,36 @@ def read_texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return df.where(extension(F.col("name")).isin(*TEXTS))
 
 
+#: Bytes of texts that `read_text_files` hands on together.
+_TOGETHER = 4 << 20
+
+
+def read_text_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """The same of millions of files, in a folder and the folders in it, through pyarrow's file systems: folders are listed by
+    tasks (`files.listed`), where `read_texts` has the driver hold a record of each file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, texts, size = [], [], 0
+        for b in batches:
+            for path in b.column("path").to_pylist():
+                with opened(path) as f:
+                    texts.append(f.read())
+                names.append(path)
+                size += len(texts[-1]) + len(path)
+                if size > _TOGETHER:
+                    yield shaped(names, texts)
+                    names, texts, size = [], [], 0
+        if names:
+            yield shaped(names, texts)
+
+    def shaped(names: list[str], texts: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.binary())], names=["name", "text"])
+
+    found = listed(spark, paths).where(extension(F.col("path")).isin(*TEXTS)).select("path")
+    dealt = found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.mapInArrow(run, "name string, text binary").select("name", F.col("text").cast("string").alias("text"))
+
+
 def whole_units(body: Column, little: bool) -> Column:
     """Whether UTF-16 bytes are whole units, with each high surrogate before a low one and no other low ones."""
     byte = "[0-9A-F]{2}"

@@ -21,7 +21,7 @@ def write_texts(df: DataFrame, path: str, doc: str = "doc_id", overwrite: bool =
     several = named.groupBy("base").agg(F.count("*").alias("n")).where("n > 1").drop("n").withColumn("several", F.lit(True))
     told = named.join(several, "base", "left")
     name = F.concat("base", F.when(F.col("several"), F.concat(F.lit("."), F.col("doc").cast("string"))).otherwise(""), F.lit(".redacted.txt"))
-    write_named_files(told.select(name.alias("name"), F.lit(0).alias("part"), F.coalesce("text", F.lit("")).alias("content")), path, overwrite)
+    write_named_files(told.select(name.alias("name"), F.lit(0).alias("part"), F.coalesce("text", F.lit("")).alias("content")), path, overwrite, dealt=True)
 
 
 def write_texts_table(df: DataFrame, path: str) -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from maskwright.operators import layout
 from maskwright.operators.intervals import overlap_join, points_in
+from maskwright.sources import files, readers, writers
 
 
 def broadcasts(df):
@@ -55,3 +56,46 @@ def test_blacked_out_is_never_broadcast(spark, tmp_path):
     df = QUERIES["blacked_out"](spark, tmp_path.as_uri())
     assert not broadcasts(df)
     assert df.count() == 50 * 2 + 17
+
+
+def test_texts_are_listed_by_tasks(spark, tmp_path):
+    """Reading them, the driver knows no file: the plan has no list of files, and the rows are those of Spark's own reader, with empty texts."""
+    (tmp_path / "in/_staging").mkdir(parents=True)
+    (tmp_path / "in/b").mkdir()
+    for name, data in (("a 50%.txt", "é\r\n".encode()), ("c.log", b""), ("b/d.txt", b"in"), ("d.bin", b"x"), ("_staging/e.txt", b"x"), (".f.txt", b"x"), ("g.md", b"\xff\x00")):
+        (tmp_path / "in" / name).write_bytes(data)
+    path = str(tmp_path / "in")
+    got = readers.read_text_files(spark, path)
+    assert got.inputFiles() == []
+    key = lambda df: sorted((r["name"].rsplit("/", 1)[1].replace("%20", " ").replace("%25", "%"), bytes(r["text"])) for r in df.withColumn("text", F.col("text").cast("binary")).collect())
+    top = [("a 50%.txt", "é\r\n".encode()), ("c.log", b""), ("g.md", b"\xff\x00")]
+    assert key(readers.read_texts(spark, path)) == [x for x in top if x[1]]  # Spark leaves out empty files
+    assert key(got) == sorted([*top, ("d.txt", b"in")])  # with the folders in it
+
+
+def test_what_a_task_reports_does_not_grow_with_its_files(tmp_path):
+    """And the commit names all of them, those of several tasks in one order."""
+    import pickle
+
+    import pyarrow as pa
+
+    w = files.NamedFilesWriter(str(tmp_path / "out"), overwrite=False)
+    batch = lambda ids: iter([pa.RecordBatch.from_pydict({"name": [f"{k:05d}.txt" for k in ids], "part": [0] * len(ids), "content": [str(k).encode() for k in ids]})])
+    told = [w.write(batch(range(3, 4))), w.write(batch(range(4, 3000))), w.write(batch([3, 1, 2]))]
+    assert len(pickle.dumps(told[1])) == len(pickle.dumps(told[0]))
+    w.commit(told)
+    assert {p.name: p.read_text() for p in (tmp_path / "out").iterdir()} == {f"{k:05d}.txt": str(k) for k in (1, 2, *range(4, 3000))} | {"00003.part-00000.txt": "3", "00003.part-00001.txt": "3"}
+
+
+def test_texts_are_made_once_to_be_written(spark, tmp_path):
+    """No sampling of the texts before they are dealt out, which would make all of them twice."""
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        made.add(1)
+        return x
+
+    texts = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") - F.col("id") % 39, F.lit(".txt")).alias("name"), F.udf(seen, "string")(F.col("id").cast("string")).alias("text"))
+    writers.write_texts(texts, str(tmp_path / "out"))
+    assert made.value == 40
+    assert len(list((tmp_path / "out").iterdir())) == 40 and (tmp_path / "out/t39.redacted.txt").read_text() == "39" and (tmp_path / "out/t0.7.redacted.txt").read_text() == "7"
