@@ -6,9 +6,9 @@ at its end, with the records that end on the way. Such maps compose, so a prefix
 small rows a gigabyte, not the text) tells each range its state and the number of its first record; the ranges are
 then parsed side by side, each the records that begin in it, the last one beyond its end.
 
-The ranges are a Python data source (`delimited_ranges`), one input partition for `range_bytes`. Files are read
-through pyarrow's file systems, so their store has to be one that pyarrow knows; `readers.read_tables` reads files of
-2 GB at most through Spark itself.
+Files are listed by tasks (`files.listed`), and their ranges are rows; a task reads many of them, however small they are,
+and a range of RANGE_BYTES or more alone. Files are read through pyarrow's file systems, so their store has to be one that pyarrow
+knows; `readers.read_tables` reads files of 2 GB at most through Spark itself.
 
 Encodings and dialects are those of `readers`: a byte order mark, else UTF-8, else Windows-1252; tabs for .tsv, else the
 most frequent mark of the first ten lines (of their first megabyte). A file whose quoting is broken, or that is
@@ -20,24 +20,26 @@ from __future__ import annotations
 
 import csv
 import io
-import json
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from maskwright.functions.text import extension
+from maskwright.sources.files import listed, opened
 from maskwright.sources.readers import DELIMITERS, TABLES
 from maskwright.storage import write_table
 
 RANGE_BYTES = 32 << 20
 _BLOCK = 1 << 20
 _HEAD = 1 << 20
+#: Rows that are handed on together.
+_ROWS = 10_000
 
 #: States of a reader before a symbol.
 RECORD, FIELD, PLAIN, QUOTED, CLOSED, BROKEN = range(6)
@@ -144,11 +146,6 @@ def _valid_utf8(data: bytes, rest: bytes, is_first: bool) -> bool:
 Open = Callable[[str], io.RawIOBase]
 
 
-def opened(path: str):
-    fs, name = pyarrow.fs.FileSystem.from_uri(path)
-    return fs.open_input_file(name)
-
-
 _PART = re.compile(r"\.part-\d{5,}(?=\.[^./]*\Z|\Z)")
 
 
@@ -157,11 +154,15 @@ def whole_name(path: str) -> str:
     return _PART.sub("", path)
 
 
-def summary(open_: Open, path: str, size: int, start: int, end: int, head: str | None = None) -> tuple:
+def head_layout(open_: Open, path: str) -> Layout:
+    with open_(path) as f:
+        return layout_of(path, f.read(_HEAD))
+
+
+def summary(open_: Open, path: str, size: int, start: int, end: int, head: str | None = None, how: Layout | None = None) -> tuple:
     """path, size, start, end, skip, encoding, delimiter, ends (by starting state), records (ended, by starting state), valid.
-    head: the first part of the file, where path is a later one."""
-    with open_(head or path) as f:
-        how = layout_of(path, f.read(_HEAD))
+    head: the first part of the file, where path is a later one; how: that part's layout, where it is known."""
+    how = how or head_layout(open_, head or path)
     if head and head != path:
         how = Layout(0, how.encoding, how.delimiter)
     with open_(path) as f:
@@ -185,7 +186,7 @@ def summary(open_: Open, path: str, size: int, start: int, end: int, head: str |
     return path, size, start, end, how.skip, how.encoding, how.delimiter, m.tolist(), c.tolist(), valid
 
 
-SUMMARY = "path string, size long, start long, end long, skip int, encoding string, delimiter string, ends array<int>, records array<long>, valid boolean"
+SUMMARY = "file string, path string, size long, start long, end long, skip int, encoding string, delimiter string, ends array<int>, records array<long>, valid boolean"
 CARRIED = "file string, path string, start long, end long, skip int, encoding string, delimiter string, state int, row long, reason string"
 
 
@@ -228,10 +229,11 @@ def records(open_: Open, path: str, start: int, end: int, skip: int, encoding: s
     at = max(start, skip)
     with open_(path) as f:
         f.seek(at)
+        block = _BLOCK
         while state != RECORD and at < end:  # to the end of the record that an earlier range began
-            data = f.read(_BLOCK + how.unit.itemsize)
+            data = f.read(block + how.unit.itemsize)
             units = np.frombuffer(data[: len(data) - len(data) % how.unit.itemsize], how.unit)
-            n = min(len(units), _BLOCK // how.unit.itemsize)
+            n = min(len(units), block // how.unit.itemsize)
             if not n:
                 return
             found = symbols(units[:n], int(units[n]) if len(units) > n else None, delimiter).tolist()
@@ -253,103 +255,76 @@ def records(open_: Open, path: str, start: int, end: int, skip: int, encoding: s
             row += 1
 
 
-@dataclass
-class Ranges(InputPartition):
-    """Ranges (path, size, start, end, head) that one task reads."""
-
-    of: list[tuple[str, int, int, int, str]]
-
-
-class _RangeReader(DataSourceReader):
-    def __init__(self, paths: list[str], range_bytes: int):
-        self.paths, self.range_bytes = paths, range_bytes
-
-    def files(self) -> Iterator[tuple[str, int]]:
-        for path in self.paths:
-            fs, name = pyarrow.fs.FileSystem.from_uri(path)
-            info = fs.get_file_info(name)
-            prefix = path[: len(path) - len(name)]
-            if info.type == pyarrow.fs.FileType.Directory:
-                listed = fs.get_file_info(pyarrow.fs.FileSelector(name, recursive=True))
-            elif info.type == pyarrow.fs.FileType.File:
-                listed = [info]
-            else:
-                raise FileNotFoundError(path)
-            yield from ((prefix + x.path, x.size) for x in listed if x.is_file and x.path.rsplit(".", 1)[-1].lower() in TABLES and x.base_name[0] not in "._")
-
-    def partitions(self) -> list[Ranges]:
-        out, held, most = [], [], self.range_bytes
-        heads: dict[str, str] = {}
-        for path, size in sorted(self.files()):
-            head = heads.setdefault(whole_name(path), path)
-            for start in range(0, max(size, 1), most):
-                r = (path, size, start, min(size, start + most), head)
-                if held and sum(x[3] - x[2] for x in held) + r[3] - r[2] > most:
-                    out, held = [*out, Ranges(held)], []
-                held.append(r)
-        return [*out, Ranges(held)] if held else [Ranges([])]
+def _batches(rows: Iterator[tuple], shape: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows as batches, however few each file or range has."""
+    held: list[tuple] = []
+    for row in rows:
+        held.append(row)
+        if len(held) == _ROWS:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), shape.types, strict=True)], schema=shape)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), shape.types, strict=True)], schema=shape)
 
-    def read(self, partition: Ranges) -> Iterator[tuple]:
-        for r in partition.of:
-            yield summary(opened, *r)
 
-
-class DelimitedRanges(DataSource):
-    """`delimited_ranges`: the ranges of delimited files and what each does to a reader's state."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "delimited_ranges"
-
-    def schema(self) -> str:
-        return SUMMARY
-
-    def reader(self, schema) -> _RangeReader:
-        paths = json.loads(self.options["paths"]) if "paths" in self.options else [self.options["path"]]
-        width = int(self.options.get("range_bytes", RANGE_BYTES))
-        return _RangeReader(paths, max(2, width - width % 2))  # no range parts the two bytes of a UTF-16 unit
+_STRING, _INT, _LONG = pa.string(), pa.int32(), pa.int64()
+_SUMMED = pa.schema([("file", _STRING), ("path", _STRING), ("size", _LONG), ("start", _LONG), ("end", _LONG), ("skip", _INT), ("encoding", _STRING), ("delimiter", _STRING), ("ends", pa.list_(_INT)), ("records", pa.list_(_LONG)), ("valid", pa.bool_())])
+_CARRIED = pa.schema([("file", _STRING), ("path", _STRING), ("start", _LONG), ("end", _LONG), ("skip", _INT), ("encoding", _STRING), ("delimiter", _STRING), ("state", _INT), ("row", _LONG), ("reason", _STRING)])
+_RECORDS = pa.schema([("file", _STRING), ("row", _LONG), ("cells", pa.list_(_STRING))])
 
 
 def carried(ranges: DataFrame) -> DataFrame:
-    """The prefix scan: each range with the state and the row number it begins with."""
+    """The prefix scan: each range with the state and the row number it begins with. A task goes through file after file."""
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted((tuple(r.values()) for r in table.to_pylist()), key=lambda r: (r[0], r[2]))
-        return pa.Table.from_pylist([dict(zip(shape.names, r, strict=True)) for r in carry(rows)], schema=shape)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (tuple(r.values()) for b in batches for r in b.to_pylist())
+        yield from _batches((r for _, of in groupby(rows, lambda r: r[0]) for r in carry([r[1:] for r in of])), _CARRIED)
 
-    shape = pa.schema([("file", pa.string()), ("path", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("skip", pa.int32()), ("encoding", pa.string()), ("delimiter", pa.string()), ("state", pa.int32()), ("row", pa.int64()), ("reason", pa.string())])
-    whole = F.regexp_replace("path", _PART.pattern.replace(r"\Z", r"\z"), "")
-    return ranges.groupBy(whole).applyInArrow(run, CARRIED)
+    return ranges.repartition("file").sortWithinPartitions("file", "path", "start").mapInArrow(run, CARRIED)
 
 
 def read_large_tables(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> tuple[DataFrame, DataFrame]:
     """(cells, rejects) of a delimited file, or of all in a folder, as `readers.read_tables` gives them, but with files of
     any size read by many tasks; rows are numbered through a file."""
-    spark.dataSource.register(DelimitedRanges)
-    ranges = spark.read.format("delimited_ranges").option("range_bytes", range_bytes).load(path)
-    known = write_table(carried(ranges), "ranges")
-    good = known.where("reason is null")
+    width = max(2, range_bytes - range_bytes % 2)  # no range parts the two bytes of a UTF-16 unit
+    whole = F.regexp_replace("path", _PART.pattern.replace(r"\Z", r"\z"), "")
+    tables = listed(spark, path).where(extension(F.col("path")).isin(*TABLES)).withColumn("file", whole)
+    found = write_table(tables.withColumn("head", F.min("path").over(Window.partitionBy("file"))), "files")
+    some = F.greatest(F.lit(1), F.ceil(F.col("size") / width))
+    ranges, size = found.agg(F.coalesce(F.sum(some), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    tasks = max(1, min(int(ranges), max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // RANGE_BYTES))))
+    cut = found.select("file", "path", "size", "head", F.explode(F.sequence(F.lit(0).cast("long"), some - 1)).alias("k"))
+    cut = cut.select("file", "path", "size", "head", (F.col("k") * width).alias("start"), F.least("size", (F.col("k") + 1) * width).alias("end"))
+
+    def in_tasks(df: DataFrame) -> DataFrame:
+        """Ranges next to each other are read by one task, as many in each."""
+        return df.repartitionByRange(tasks, "path", "start").sortWithinPartitions("path", "start")
+
+    def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            head, how = None, None
+            for b in batches:
+                for r in b.to_pylist():
+                    if r["head"] != head:
+                        head, how = r["head"], head_layout(opened, r["head"])
+                    yield r.pop("file"), *summary(opened, how=how, **r)
+
+        yield from _batches(rows(), _SUMMED)
+
+    known = write_table(carried(in_tasks(cut).mapInArrow(summaries, SUMMARY)), "ranges")
+    good = known.where("reason is null").drop("reason")
     rejects = known.where("reason is not null").select(F.col("file").alias("path"), "reason").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                held: list[tuple[int, list[str]]] = []
-                file = r.pop("file")
-                for number, cells in records(opened, **r):
-                    held.append((number, cells))
-                    if len(held) == 10_000:
-                        yield batch(file, held)
-                        held = []
-                if held:
-                    yield batch(file, held)
-
-    def batch(name: str, rows: list[tuple[int, list[str]]]) -> pa.RecordBatch:
-        numbers, cells = zip(*rows, strict=True)
-        columns = [pa.array([name] * len(rows)), pa.array(numbers, pa.int64()), pa.array(cells, pa.list_(pa.string()))]
-        return pa.RecordBatch.from_arrays(columns, names=["file", "row", "cells"])
-
-    n = max(1, good.count())  # a row a range: as many tasks
-    rows = good.drop("reason").repartition(n).mapInArrow(run, "file string, row long, cells array<string>")
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                for r in b.to_pylist():
+                    file = r.pop("file")
+                    for number, cells in records(opened, **r):
+                        yield file, number, cells
+
+        yield from _batches(rows(), _RECORDS)
+
+    rows = in_tasks(good).mapInArrow(run, "file string, row long, cells array<string>")
     cells = rows.select(F.col("file").alias("doc_id"), F.lit(0).alias("sheet"), "row", F.posexplode("cells").alias("col", "value"))
     return cells, rejects

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from maskwright.operators import layout
 from maskwright.operators.intervals import overlap_join, points_in
-from maskwright.sources import files, readers, writers
+from maskwright.sources import delimited, files, readers, writers
 
 
 def broadcasts(df):
@@ -99,3 +99,13 @@ def test_texts_are_made_once_to_be_written(spark, tmp_path):
     writers.write_texts(texts, str(tmp_path / "out"))
     assert made.value == 40
     assert len(list((tmp_path / "out").iterdir())) == 40 and (tmp_path / "out/t39.redacted.txt").read_text() == "39" and (tmp_path / "out/t0.7.redacted.txt").read_text() == "7"
+
+
+def test_small_ranges_share_tasks(spark, tmp_path):
+    """However many files and ranges there are, tasks are as many as a shuffle has, or one for RANGE_BYTES."""
+    for k in range(40):
+        (tmp_path / f"{k}.csv").write_text("a,b\n" * 30 + '"x\ny",c\n')
+    cells, rejects = delimited.read_large_tables(spark, tmp_path.as_uri(), range_bytes=50)
+    assert cells.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert cells.count() == 40 * 31 * 2 and rejects.count() == 0
+    assert cells.where("row = 30 and col = 0 and value = 'x\ny'").count() == 40
