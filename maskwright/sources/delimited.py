@@ -38,6 +38,8 @@ from maskwright.storage import write_table
 RANGE_BYTES = 32 << 20
 _BLOCK = 1 << 20
 _HEAD = 1 << 20
+#: Bytes that are searched first for the end of a record.
+_NEAR = 1 << 12
 #: Rows that are handed on together.
 _ROWS = 10_000
 
@@ -229,11 +231,12 @@ def records(open_: Open, path: str, start: int, end: int, skip: int, encoding: s
     at = max(start, skip)
     with open_(path) as f:
         f.seek(at)
-        block = _BLOCK
+        block = _NEAR
         while state != RECORD and at < end:  # to the end of the record that an earlier range began
             data = f.read(block + how.unit.itemsize)
             units = np.frombuffer(data[: len(data) - len(data) % how.unit.itemsize], how.unit)
             n = min(len(units), block // how.unit.itemsize)
+            block = min(2 * block, _BLOCK)
             if not n:
                 return
             found = symbols(units[:n], int(units[n]) if len(units) > n else None, delimiter).tolist()

@@ -1,5 +1,6 @@
 """Plans and memory of queries over larger tables: what may grow, and where."""
 
+import io
 import random
 
 from pyspark.sql import functions as F
@@ -109,3 +110,25 @@ def test_small_ranges_share_tasks(spark, tmp_path):
     assert cells.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert cells.count() == 40 * 31 * 2 and rejects.count() == 0
     assert cells.where("row = 30 and col = 0 and value = 'x\ny'").count() == 40
+
+
+def test_a_small_range_reads_little():
+    """The end of a record that an earlier range began is looked for nearby first, and a known layout is not read again."""
+    data = ('a,b\n' + "v" * 20 + ",w\n") * 100_000
+    read = 0
+
+    class Counted(io.BytesIO):
+        def read(self, n=-1):
+            nonlocal read
+            out = super().read(n)
+            read += len(out)
+            return out
+
+        read1 = read
+
+    open_ = lambda _: Counted(data.encode())
+    got = list(delimited.records(open_, "x.csv", 1030, 2054, 0, "UTF-8", ",", delimited.PLAIN, 7))
+    assert got[0][0] == 7 and len(got) in range(70, 80) and read < 50_000
+    read = 0
+    how = delimited.layout_of("x.csv", data[:1000].encode())
+    assert delimited.summary(open_, "x.csv", len(data), 1024, 2048, how=how)[:4] == ("x.csv", len(data), 1024, 2048) and read < 5_000
