@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from maskwright.config import HEADER, RedactionConfig
 from maskwright.functions.text import column_label, dialect, normalised, trimmed
-from maskwright.operators.intervals import overlap_join
 from maskwright.operators.replace import label_map, replacement, spliced
+from maskwright.operators.runs import put_in_runs
 from maskwright.storage import write_table
 
 # What a header says about its column; the first that matches wins.
@@ -206,8 +206,5 @@ def pivot_back(cells: DataFrame, columns: Sequence[str], header_rows: int = 1) -
 def apply_to_runs(runs: DataFrame, active: DataFrame) -> DataFrame:
     """Formatted runs (doc_id, run_no, start, end, text) with spans (doc_id, start, end, new) put in: the new
     text goes where a span starts, and what it covers of later runs is removed."""
-    s = active.select("doc_id", F.col("start").alias("__s"), F.col("end").alias("__e"), "new")
-    met = overlap_join(runs.select("doc_id", "run_no", "start", "end"), s, ["doc_id"])
-    piece = F.struct((F.greatest("__s", "start") - F.col("start")).alias("start"), (F.least("__e", "end") - F.col("start")).alias("end"), F.when(F.col("__s") >= F.col("start"), F.col("new")).otherwise("").alias("new"))
-    pieces = met.groupBy("doc_id", "run_no").agg(F.array_sort(F.collect_list(piece)).alias("__p"))
-    return runs.join(pieces, ["doc_id", "run_no"], "left").withColumn("text", F.when(F.col("__p").isNull(), F.col("text")).otherwise(spliced(F.col("text"), F.col("__p")))).drop("__p")
+    done = put_in_runs(runs, active.select("doc_id", "start", "end", "new"))
+    return done.select("doc_id", "run_no", *(c for c in runs.columns if c not in ("doc_id", "run_no")))

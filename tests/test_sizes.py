@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from maskwright.operators import layout
+from maskwright.operators import layout, tables
 from maskwright.operators.intervals import overlap_join, points_in
 from maskwright.sources import delimited, files, readers, writers
 
@@ -132,3 +132,48 @@ def test_a_small_range_reads_little():
     read = 0
     how = delimited.layout_of("x.csv", data[:1000].encode())
     assert delimited.summary(open_, "x.csv", len(data), 1024, 2048, how=how)[:4] == ("x.csv", len(data), 1024, 2048) and read < 5_000
+
+
+def test_runs_are_packed_to_move(spark):
+    """Runs in any order, with gaps, nulls, text of all widths, long ones, and spans over bins, against a brute-force version."""
+    rng = random.Random(9)
+    runs, spans, want = [], [], {}
+    for doc in (0, 1, 2, None):
+        at = rng.randrange(5)
+        own = []
+        for k in range(400):
+            n = rng.choice([0, 1, 7, 7, 7, 200]) if doc != 2 else rng.choice([7, 900])
+            n = 70_000 if doc == 1 and k in (3, 200) else n
+            t = "".join(rng.choices("abé日😀 " if doc != 2 else "xyz ", k=n))
+            own.append((doc, k, at, at + n, t if k % 50 or not n else None, f"s{k % 3}" if k % 5 else None))
+            at += n + (k % 4 == 0)
+        runs += own
+        s, found = 0, []
+        while s < at:
+            e = min(at, s + rng.choice([0, 1, 5, 20, 400]))
+            if rng.random() < 0.6 and doc != 2 or rng.random() < 0.02:
+                found.append((doc, s, e, rng.choice(["", "[é]", "<x>"])))
+            s = e + 1 + rng.randrange(40)
+        spans += found
+        for _, k, a, b, t, _ in own:
+            for _, s, e, new in reversed(found if doc is not None and t is not None else []):
+                if a < e and s < b:
+                    t = t[: max(s, a) - a] + (new if s >= a else "") + t[min(e, b) - a :]
+            want[doc, k] = t
+    df = spark.createDataFrame(rng.sample(runs, len(runs)), "doc_id int, run_no int, start int, end long, text string, style string").repartition(3)
+    done = tables.apply_to_runs(df, spark.createDataFrame(spans, "doc_id int, start int, end int, new string").repartition(2))
+    got = done.collect()
+    assert done.columns == ["doc_id", "run_no", "start", "end", "text", "style"]
+    assert {(r["doc_id"], r["run_no"]): r["text"] for r in got} == want and len(got) == len(runs)
+    assert sorted((r["doc_id"] or -1, r["run_no"], r["start"], r["end"], r["style"] or "") for r in got) == sorted((r[0] or -1, r[1], r[2], r[3], r[5] or "") for r in runs)
+
+
+def test_runs_meet_spans_in_few_rows(spark):
+    """What is shuffled grows with documents and spans, not with runs."""
+    runs = spark.range(20).select(F.col("id").alias("doc_id"), F.posexplode(F.sequence(F.lit(0), F.lit(499))).alias("run_no", "k")).select("doc_id", "run_no", (F.col("k") * 7).alias("start"), (F.col("k") * 7 + 7).alias("end"), F.lit("seven c").alias("text"))
+    done = tables.apply_to_runs(runs, spark.range(20).selectExpr("id AS doc_id", "3 AS start", "9 AS end", "'[x]' AS new"))
+    done.write.format("noop").mode("overwrite").save()
+    assert done.where("run_no = 0 and text = 'sev[x]' or run_no = 1 and text = 'ven c' or run_no > 1 and text = 'seven c'").count() == 20 * 500
+    assert "Generate posexplode" in done._jdf.queryExecution().executedPlan().toString()
+    exchanged = done._jdf.queryExecution().optimizedPlan().toString()
+    assert exchanged.count("MapInArrow") == 2 and "__level" not in exchanged
