@@ -2,12 +2,14 @@
 
 import io
 import random
+import time
 
 from pyspark.sql import functions as F
 
 from maskwright.operators import layout, tables
 from maskwright.operators.intervals import overlap_join, points_in
 from maskwright.sources import delimited, files, readers, writers
+from maskwright.storage import _CLEANUP, shuffles_dropped, write_table
 
 
 def broadcasts(df):
@@ -177,3 +179,19 @@ def test_runs_meet_spans_in_few_rows(spark):
     assert "Generate posexplode" in done._jdf.queryExecution().executedPlan().toString()
     exchanged = done._jdf.queryExecution().optimizedPlan().toString()
     assert exchanged.count("MapInArrow") == 2 and "__level" not in exchanged
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """Without waiting for the driver's garbage collection; the setting is as it was before."""
+    blocks = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ")
+    ours = lambda: {b for b in blocks().split() if b.startswith("shuffle_")}
+    before, setting = ours(), spark.conf.get(_CLEANUP, None)
+    with shuffles_dropped(spark):
+        df = spark.range(5000).repartition(3, "id")
+        held = write_table(df, "dealt")
+        assert held.count() == 5000
+    for _ in range(40):
+        if not ours() - before:
+            break
+        time.sleep(0.25)
+    assert not ours() - before and spark.conf.get(_CLEANUP, None) == setting
